@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import sharding, topk
+from tidewater.llm import licenses, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_topk": topk.op4_topk,
+        "op5_licenses": licenses.op5_licenses,
+        "op9_secrets": secrets.op9_secrets,
         "op10_sharding": sharding.op10_sharding,
     }
 
