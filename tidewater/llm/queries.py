@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import licenses, secrets, sharding, topk
+from tidewater.llm import decontam, langid, licenses, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_langid": langid.op2_langid,
+        "op3_decontam": decontam.op3_decontam,
         "op4_topk": topk.op4_topk,
         "op5_licenses": licenses.op5_licenses,
         "op9_secrets": secrets.op9_secrets,
