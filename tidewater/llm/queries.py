@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import decontam, langid, licenses, packing, secrets, sharding, topk
+from tidewater.llm import decontam, langid, licenses, packing, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontam": decontam.op3_decontam,
         "op4_topk": topk.op4_topk,
         "op5_licenses": licenses.op5_licenses,
+        "op6_simhash": simhash.op6_simhash,
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
         "op10_sharding": sharding.op10_sharding,
