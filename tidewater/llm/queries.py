@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import decontam, langid, licenses, packing, secrets, sharding, simhash, topk
+from tidewater.llm import decontam, langid, licenses, linededup, packing, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_linededup": linededup.op1_linededup,
         "op2_langid": langid.op2_langid,
         "op3_decontam": decontam.op3_decontam,
         "op4_topk": topk.op4_topk,
