@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import decontam, langid, licenses, linededup, packing, secrets, sharding, simhash, topk
+from tidewater.llm import decontam, langid, licenses, linededup, lm, packing, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_topk": topk.op4_topk,
         "op5_licenses": licenses.op5_licenses,
         "op6_simhash": simhash.op6_simhash,
+        "op7_lm": lm.op7_lm,
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
         "op10_sharding": sharding.op10_sharding,
