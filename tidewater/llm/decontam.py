@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read_table
-from tidewater.llm.words import hashes_of, leading, slices, words_of
+from tidewater.llm.common import materialize, read_table
+from tidewater.llm.words import leading, slices, words_of
 
 #: Words of a phrase; an item of fewer words is one phrase.
 WINDOW = 10
@@ -30,7 +30,8 @@ SAMPLE = 8
 #: Bytes of benchmark text whose phrases are broadcast at once; more items go in further passes.
 BLOCK_BYTES = 16 << 20
 
-_FOUND = "doc_id long, row long, n_words long, firsts array<int>, lasts array<int>, items array<string>, text string"
+_FOUND = "_n_words long, _firsts array<int>, _lasts array<int>, _items array<string>"
+_FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 
 class Phrases(NamedTuple):
@@ -238,11 +239,13 @@ class _Shard:
             at = range(base, base + piece.num_rows)
             base += piece.num_rows
             texts = [self.without(i, *spans[i]) if self.cut and i in spans else None for i in at]
+            own = piece.drop_columns("text")
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("row"), pa.array([self.n_words[i] for i in at], pa.int64())]
+                [*own.columns, pa.array([self.n_words[i] for i in at], pa.int64())]
                 + [pa.array([spans.get(i, ([], []))[k] for i in at], pa.list_(pa.int32())) for k in (0, 1)]
-                + [pa.array([sorted(items.get(i, ())) for i in at], pa.list_(pa.string())), pa.array(texts, pa.string())],
-                names=["doc_id", "row", "n_words", "firsts", "lasts", "items", "text"],
+                + [pa.array([sorted(items.get(i, ())) for i in at], pa.list_(pa.string()))]
+                + ([pa.array([t if t is not None else old for t, old in zip(texts, piece.column("text").to_pylist())], pa.string())] if self.cut else []),
+                names=[*own.schema.names, *_FOUND_NAMES, *(["_text"] if self.cut else [])],
             )
         self.clear()
 
@@ -276,29 +279,66 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[li
     return [[(r["item_id"], r["text"]) for r in named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()] for i in range(n)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False, window: int = WINDOW) -> DataFrame:
-    """Where phrases of the benchmark stand in documents.
+def _passed(docs: DataFrame, items: list[tuple[str, str | None]], cut: bool, window: int) -> DataFrame:
+    """One pass over docs: its columns without text, then what was found."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(phrases_of(items, window))
+    return docs.mapInArrow(_scan(shared, cut), ", ".join([*fields, _FOUND, *(["_text string"] if cut else [])]))
 
-    Returns (doc_id, row, n_words, firsts, lasts, items, text): row is docs' own column of that name if it has
-    one, else null; words firsts[i]..lasts[i] are spans for removal, merged where they touch; items are the ids of the
-    items whose phrases occur. With cut, text is the document without its spans, and null where it has none.
-    Null texts have no words; null and repeated doc_ids are rows like others; items without id or words match
-    nothing; an empty table gives no rows. A benchmark above BLOCK_BYTES takes several passes, joined by (doc_id, row).
+
+def _merged(spans):
+    """Sorted spans (f, l) with those that overlap or touch put together."""
+    none = F.array().cast("array<struct<f: int, l: int>>")
+    last = lambda a: F.element_at(a, -1)
+    joined = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["f"].alias("f"), F.greatest(last(a)["l"], x["l"]).alias("l"))))
+    return F.aggregate(F.array_sort(spans), none, lambda a, x: F.when((F.size(a) > 0) & (x["f"] <= F.try_element_at(a, F.lit(-1))["l"] + 1), joined(a, x)).otherwise(F.concat(a, F.array(x))))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Where phrases of the benchmark stand in documents: (doc_id, n_words, firsts, lasts, items), one row for each of docs.
+
+    Words firsts[i]..lasts[i] are spans for removal, merged where they touch; items are the ids of the items whose
+    phrases occur. Null texts have no words; null and repeated doc_ids are rows like others; items without id or words
+    match nothing; further columns play no part; an empty table gives no rows. A benchmark of more than block_bytes
+    takes several passes, whose spans are merged for each row.
     """
-    spark = docs.sparkSession
-    row = F.col("row") if "row" in docs.columns else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("row"), "text")
-    blocks = item_blocks(benchmark)
-    passes = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(phrases_of(b, window)), cut and len(blocks) == 1), _FOUND) for b in blocks]
-    if len(passes) == 1:
-        return passes[0]
-    raise ValueError(f"the benchmark has over {BLOCK_BYTES} bytes; call find_contamination for parts of it, one after the other")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = item_blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        found = _passed(rows, blocks[0], False, window)
+        return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_firsts").alias("firsts"), F.col("_lasts").alias("lasts"), F.col("_items").alias("items"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+    passes = [_passed(rows, b, False, window) for b in blocks]
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionAll(more)
+    spans = F.arrays_zip(F.col("_firsts").alias("f"), F.col("_lasts").alias("l"))
+    met = every.select("doc_id", "row", "_n_words", spans.alias("s"), "_items").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("_n_words").alias("n_words"), _merged(F.flatten(F.collect_list("s"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items")
+    )
+    return met.select("doc_id", "n_words", F.transform("s", lambda x: x["f"]).alias("firsts"), F.transform("s", lambda x: x["l"]).alias("lasts"), "items")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the words of all spans cut out of text, and words_removed; other columns are carried along.
+
+    Texts without spans stay byte for byte, null ones null. Each block of the benchmark is a pass over what the last one left.
+    """
+    columns = [c for c in docs.columns if c != "words_removed"]
+    out = docs.select(*columns).withColumn("words_removed", F.lit(0).cast("long"))
+    for items in item_blocks(benchmark, block_bytes):
+        found = _passed(out, items, True, window)
+        out = found.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in columns], (F.col("words_removed") + _length("_firsts", "_lasts")).alias("words_removed"))
+    return out
+
+
+def _length(firsts: str, lasts: str):
+    return F.aggregate(F.zip_with(firsts, lasts, lambda f, x: x - f + 1), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of benchmark in whole documents."""
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    hit = F.aggregate(F.arrays_zip("firsts", "lasts"), F.lit(0).cast("long"), lambda a, x: a + x["lasts"] - x["firsts"] + 1)
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("firsts") > 0).alias("contaminated")
+        "doc_id", "n_words", _length("firsts", "lasts").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("firsts") > 0).alias("contaminated")
     )

@@ -53,10 +53,16 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
         fit = (words >= MIN_WORDS) & ((c["lines"] > 1) | (words >= LONG_LINE))
         return F.struct(c["body"].alias("body"), F.when(fit, F.xxhash64(c["body"])).alias("h"))
 
-    cut = docs.withColumn("_lines", F.flatten(F.transform(F.split(text, _AFTER_BREAK), lines_of)))
-    cut = cut.withColumn("_starts", F.filter(F.sequence(F.lit(1), F.size("_lines")), begins))
-    cut = cut.withColumn("_chunks", F.transform("_starts", chunk))
-    return cut.withColumn("chunks", F.transform("_chunks", hashed)).drop("_lines", "_starts", "_chunks")
+    cut = _once(docs, F.flatten(F.transform(F.split(text, _AFTER_BREAK), lines_of)), "_lines")
+    cut = _once(cut, F.filter(F.sequence(F.lit(1), F.size("_lines")), begins), "_starts")
+    cut = _once(cut, F.transform("_starts", chunk), "_chunks")
+    return _once(cut, F.transform("_chunks", hashed), "chunks").drop("_lines", "_starts", "_chunks")
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is computed once for each row: a generator keeps the optimizer from copying it into the
+    functions that run for every element of an array."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _repeats(places: DataFrame) -> DataFrame:
@@ -104,9 +110,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         refused = unequal if refused is None else refused.unionByName(unequal)
     gone = F.transform(F.filter("marks", lambda m: m["goes"]), lambda m: m["j"])
     touched = with_chunks(marked.where(F.size(gone) > 0))
-    left = F.array_join(F.transform(F.filter("chunks", lambda c, i: ~F.array_contains(gone, i)), lambda c: c["body"]), "")
+    body = F.array_join(F.transform(F.filter("chunks", lambda c, i: ~F.array_contains(gone, i)), lambda c: c["body"]), "")
     counts = [F.coalesce(F.size("marks"), F.lit(0)).alias("lines_repeated"), F.coalesce(F.size(gone), F.lit(0)).alias("lines_removed")]
-    changed = touched.select(*[left.alias("text") if c == "text" else F.col(c) for c in plain.columns], *counts)
+    changed = _once(touched, body, "_left").select(*[F.col("_left").alias("text") if c == "text" else F.col(c) for c in plain.columns], *counts)
     whole = marked.where(F.col("marks").isNull() | (F.size(gone) == 0)).select(*plain.columns, *counts)
     return whole.unionByName(changed)
 

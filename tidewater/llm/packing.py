@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import materialize, read_table
-from tidewater.llm.words import slices
+from tidewater.llm.words import LOWER, SOLID, slices
 
 #: Share of a slot that may stay empty before a piece is cut instead.
 SLACK = 1 / 32
 #: Workers' shares of a class; counts of class times share are sent to the driver.
 SHARES = 64
 #: Words with their ids that a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?|", np.uint8))
+_IS_PLAIN = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+#: A word of letters only is one piece to the tokenizer, and its last token alone has the mark of a word's end.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 _PIECES = "doc_id long, start long, length int, slots int, doc_tokens long, ids binary"
 
@@ -41,36 +48,77 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def shrink(self, n: int) -> None:
+        """Keep the n words learnt first, which are the frequent ones."""
+        self.number = dict(zip(islice(self.number, n), range(n)))
+        self.first, self.size = self.first[:n], self.size[:n]
+        self.flat = self.flat[: int(self.first[-1] + self.size[-1])].copy()
+
     def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        plain, other = [], []
+        for w in words:
+            (plain if _LETTERS.fullmatch(w) else other).append(w)
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                self.add(part, ids, np.diff(ends, prepend=0))
+            else:
+                other += part
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.add(other, np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum())), size)
+
+    def add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """ids of each text; split() on bytes splits at ASCII white space only."""
-        per_text = [t.split() for t in texts]
-        words = list(chain.from_iterable(per_text))
+        """ids of each text. The tokenizer lower-cases too, but finds its special tokens before that, so texts that
+        could hold one are left as they are. Words are split at ASCII white space only."""
+        joined = b"\n".join(texts) + b"\n"
+        if b"<|" in joined:
+            blob, marks = np.frombuffer(joined, np.uint8), np.empty(0, np.int64)
+        else:
+            blob = LOWER[np.frombuffer(joined, np.uint8)]
+            marks = _lone_marks(blob)
+        solid = SOLID[blob]
+        starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+        words = (np.insert(blob, marks, 32) if len(marks) else blob).tobytes().split()
+        text_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        counts = np.searchsorted(starts, text_starts) + np.searchsorted(marks, text_starts)
         if len(self.number) > CACHE_WORDS:
-            self.clear()
+            self.shrink(CACHE_WORDS // 3)
         if missing := list(set(words).difference(self.number)):
             self.learn(missing)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, per_text)])]
+        bounds = np.concatenate([[0], ends])[counts]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
+def _lone_marks(blob: np.ndarray) -> np.ndarray:
+    """Places of single marks behind a letter or digit and before white space: tokens of their own either way, and words repeat more without them."""
+    at = np.flatnonzero(_IS_MARK[blob[:-1]])
+    at = at[(at > 1) & ~SOLID[blob[at + 1]]]
+    before, lead = blob[at - 1], blob[at - 2]
+    return at[_IS_PLAIN[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]
+
+
 _LOADED: dict[str, WordTokens] = {}
 
 

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm import decontam, langid, licenses, linededup, lm, packing, secrets, sharding, simhash, topk
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_linededup": linededup.op1_linededup,
@@ -21,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": pipeline,
     }
 
 

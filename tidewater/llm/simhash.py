@@ -82,20 +82,29 @@ def _bit_counts(h: np.ndarray, starts: np.ndarray, block: int = 1 << 17) -> np.n
     return ones
 
 
+def nodes_of(f: np.ndarray) -> np.ndarray:
+    """What stands for fingerprints in links: one word itself, or a hash of several."""
+    node = f[:, 0].copy()
+    for i in range(1, f.shape[1]):
+        node = _spread(node ^ f[:, i], i)
+    return node.view(np.int64)
+
+
 def _fingerprint(shingle: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in slices(batch):
-                f = fingerprints_of(texts, shingle, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*piece.drop_columns("text").columns, *(pa.array(f[:, i]) for i in range(words))], names=["doc_id", "k", *(f"f{i}" for i in range(words))])
+                f = fingerprints_of(texts, shingle, words)
+                own = piece.drop_columns("text")
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nodes_of(f)), *(pa.array(f[:, i].view(np.int64)) for i in range(words))], names=[*own.schema.names, "node", *(f"f{i}" for i in range(words))])
 
     return run
 
 
 def fingerprint(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, k, f0, f1, ...): k hashes the text; f0.. are fingerprints of 64 bits each, as signed longs."""
+    """(doc_id, k, node, f0, f1, ...): k hashes the text; f0.. are fingerprints of 64 bits each, as signed longs; node stands for all of them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
-    return rows.mapInArrow(_fingerprint(shingle, words), "doc_id long, k long, " + ", ".join(f"f{i} long" for i in range(words)))
+    return rows.mapInArrow(_fingerprint(shingle, words), "doc_id long, k long, node long, " + ", ".join(f"f{i} long" for i in range(words)))
 
 
 # ---- partitions and radii
@@ -261,7 +270,7 @@ def _block_pairs(f: np.ndarray, a0: int, a1: int, b0: int, b1: int, radius: int)
     return i + a0, j + b0
 
 
-def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: list[int], small: int = 24, block: int = 1024) -> pa.RecordBatch | None:
+def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: list[int], turn: int = 0, small: int = 24, block: int = 1024) -> pa.RecordBatch | None:
     """Forest edges of the whole buckets in a batch sorted by bucket, sub and level; raises: the radius of each group of bits."""
     f = np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(words)], axis=1)
     bucket, sub = batch.column("bucket").to_numpy(), batch.column("sub").to_numpy()
@@ -298,13 +307,11 @@ def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: lis
     if not forest.edges:
         return None
     e = np.array(forest.edges)
-    node = f[:, 0].copy()
-    for i in range(1, words):
-        node = _spread(node ^ f[:, i], i)
-    return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]].view(np.int64)), pa.array(node[e[:, 1]].view(np.int64))], names=["a", "b"])
+    node = nodes_of(np.roll(f, turn, axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], names=["a", "b"])
 
 
-def _links(words: int, radius: int, wide: int, raises: list[int]):
+def _links(words: int, radius: int, wide: int, raises: list[int], turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
@@ -317,40 +324,36 @@ def _links(words: int, radius: int, wide: int, raises: list[int]):
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut or key is not None and (bucket[0], sub[0]) != key:
                 ready = held + ([batch.slice(0, cut)] if cut else [])
-                if ready and (out := _link(pa.Table.from_batches(ready).combine_chunks().to_batches()[0], words, radius, wide, raises)):
+                if ready and (out := _link(pa.Table.from_batches(ready).combine_chunks().to_batches()[0], words, radius, wide, raises, turn)):
                     yield out
                 held = []
             held.append(batch.slice(cut))
             key = (bucket[-1], sub[-1])
-        if held and (out := _link(pa.Table.from_batches(held).combine_chunks().to_batches()[0], words, radius, wide, raises)):
+        if held and (out := _link(pa.Table.from_batches(held).combine_chunks().to_batches()[0], words, radius, wide, raises, turn)):
             yield out
 
     return run
 
 
-def node_of(words: int):
-    """What stands for a fingerprint in links: itself, or a hash of its words."""
-    return F.col("f0") if words == 1 else F.col("node")
-
-
-def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0) -> DataFrame:
+def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0, turn: int = 0) -> DataFrame:
     """(a, b): links of a spanning forest of each bucket, between distinct fingerprints (f0, ...) of prints.
 
-    All pairs within `radius` bits in f0, and within `wide` bits in all words if there are several, are connected by
-    the links; nothing else is. With one word nodes are fingerprints; with more they are a hash of the words.
+    All pairs within `radius` bits in one word, f0 or the turn-th, and within `wide` bits in all words if there are several, are connected by
+    the links; nothing else is. a and b are the fingerprints' nodes.
     """
     spark = prints.sparkSession
+    names = [f"f{i}" for i in range(words)]
+    prints = prints.select(*[F.col(names[(i + turn) % words]).alias(x) for i, x in enumerate(names)])
     n = prints.count()
     mask = (1 << 40) - 1
     chance = int(mask * min(1.0, SAMPLE / max(1, n))) + 1
     sample = prints.where(F.xxhash64("f0").bitwiseAND(F.lit(mask)) < chance).select("f0").toArrow().column("f0").to_numpy().view(np.uint64)
     plan = allot(sample, n, radius)
-    names = [f"f{i}" for i in range(words)]
     schema = "bucket long, sub int, level byte, " + ", ".join(f"{x} long" for x in names)
     rows = prints.select(*names).mapInArrow(_bucket_rows(plan, words), schema)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "bucket", "sub").sortWithinPartitions("bucket", "sub", "level")
-    return ordered.mapInArrow(_links(words, radius, wide, [t for _, t, _ in plan]), "a long, b long").distinct()
+    return ordered.mapInArrow(_links(words, radius, wide, [t for _, t, _ in plan], turn), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -370,6 +373,32 @@ def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return rows.join(per_print, "f0").select("doc_id", "f0", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 10, wide: int = 46, indexed: int = 2) -> DataFrame:
+    """docs with one document of each group of near-duplicates, all columns as they are.
+
+    Fingerprints have `words` words of 64 bits; documents link if they differ in at most `wide` bits of all, which is a
+    similarity of about 0.8 of their word shingles, and in at most `radius` bits of one of the first `indexed` words. Of each
+    connected group the row of the smallest (doc_id, hash of the text) stays; null doc_ids come first. Null texts
+    and texts without words are a group of their own. Rows that agree in doc_id and text leave one row. An empty table gives no rows.
+    """
+    names = [f"f{i}" for i in range(words)]
+    rows = materialize(fingerprint(docs, shingle, words), "near-rows")
+    prints = materialize(rows.select("node", *names).distinct(), "near-prints")
+    links = linked(prints, radius, words, wide)
+    for turn in range(1, indexed):
+        links = links.unionByName(linked(prints, radius, words, wide, turn))
+    labels = connected_components(links)
+    grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
+    grouped = materialize(grouped, "near-groups")
+    first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    gone = grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_k"))
+    kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    if not grouped.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most 4 bits."""
     out = near_components(read_table(spark, sf_dir, "documents"), 4, 4)
