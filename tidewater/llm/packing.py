@@ -29,7 +29,7 @@ SLACK = 1 / 32
 #: Workers' shares of a class; counts of class times share are sent to the driver.
 SHARES = 64
 #: Words with their ids that a Python worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 _IS_MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?|", np.uint8))
 _IS_PLAIN = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
@@ -40,6 +40,19 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PIECES = "doc_id long, start long, length int, slots int, doc_tokens long, ids binary"
 
 
+class _Numbers(dict):
+    """Numbers of words; an unknown word gets the next one and waits in `fresh`."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordTokens:
     """Token ids of texts, word by word: pre-tokenization splits at white space, so a word's ids don't depend on its neighbours."""
 
@@ -54,36 +67,41 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def shrink(self, n: int) -> None:
         """Keep the n words learnt first, which are the frequent ones."""
-        self.number = dict(zip(islice(self.number, n), range(n)))
-        self.first, self.size = self.first[:n], self.size[:n]
-        self.flat = self.flat[: int(self.first[-1] + self.size[-1])].copy()
-
-    def learn(self, words: list[bytes]) -> None:
+        self.number = _Numbers(zip(islice(self.number, n), range(n)))
+        self.first, self.size = self.first[:n], self.size[:n].copy()
+        kept = self.flat[np.repeat(self.first - (np.cumsum(self.size) - self.size), self.size) + np.arange(int(self.size.sum()))]
+        self.first, self.flat = np.cumsum(self.size) - self.size, kept
+
+    def learn(self) -> None:
+        """Tokenize the fresh words."""
+        words, self.number.fresh = self.number.fresh, []
         plain, other = [], []
-        for w in words:
-            (plain if _LETTERS.fullmatch(w) else other).append(w)
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+        for i, w in enumerate(words):
+            (plain if _LETTERS.fullmatch(w) else other).append(i)
+        size, blocks, order = np.zeros(len(words), np.int64), [], []
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join([words[i] for i in part]).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part):
-                self.add(part, ids, np.diff(ends, prepend=0))
+                size[part] = np.diff(ends, prepend=0)
+                blocks.append(ids)
+                order += part
             else:
                 other += part
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)]
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.add(other, np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum())), size)
-
-    def add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, ids])
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in other], add_special_tokens=False)]
+        size[other] = list(map(len, rows))
+        blocks.append(np.fromiter(chain.from_iterable(rows), np.uint32))
+        order += other
+        first = np.empty(len(words), np.int64)
+        first[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *blocks])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """ids of each text. The tokenizer lower-cases too, but finds its special tokens before that, so texts that
@@ -101,9 +119,9 @@ class WordTokens:
         counts = np.searchsorted(starts, text_starts) + np.searchsorted(marks, text_starts)
         if len(self.number) > CACHE_WORDS:
             self.shrink(CACHE_WORDS // 3)
-        if missing := list(set(words).difference(self.number)):
-            self.learn(missing)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.fresh:
+            self.learn()
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
