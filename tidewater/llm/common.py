@@ -33,9 +33,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key(text: Column) -> Column:
-    """With doc_id, what tells one document row from another; identical rows share it."""
-    return F.xxhash64(text)
+def apart(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): all columns but text as one struct, so that an operator's own columns meet none of them."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(others.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def together(columns: list[str], text: Column) -> list[Column]:
+    """Undo apart: the columns in their order, text as given."""
+    return [text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in columns]
 
 
 def crc_of_id(doc_id: Column) -> Column:

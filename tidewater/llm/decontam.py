@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import apart, materialize, read_table, together
 from tidewater.llm.words import leading, slices, words_of
 
 #: Words of a phrase; an item of fewer words is one phrase.
@@ -325,11 +325,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     Texts without spans stay byte for byte, null ones null. Each block of the benchmark is a pass over what the last one left.
     """
     columns = [c for c in docs.columns if c != "words_removed"]
-    out = docs.select(*columns).withColumn("words_removed", F.lit(0).cast("long"))
+    out = apart(docs.select(*columns)).drop("doc_id").withColumn("removed", F.lit(0).cast("long"))
     for items in item_blocks(benchmark, block_bytes):
         found = _passed(out, items, True, window)
-        out = found.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in columns], (F.col("words_removed") + _length("_firsts", "_lasts")).alias("words_removed"))
-    return out
+        out = found.select("doc", F.col("_text").alias("text"), (F.col("removed") + _length("_firsts", "_lasts")).alias("removed"))
+    return out.select(*together(columns, F.col("text")), F.col("removed").alias("words_removed"))
 
 
 def _length(firsts: str, lasts: str):

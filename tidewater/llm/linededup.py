@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import apart, materialize, read_table, together
 
 #: Words from which a line is long: it begins and ends a chunk, and is cut at sentence ends.
 LONG_LINE = 20
@@ -87,19 +87,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are one document and keep or lose the same chunks. Null doc_ids come first. Other columns are carried along;
     columns named lines_repeated or lines_removed are replaced. An empty table gives no rows.
     """
-    plain = docs.drop("lines_repeated", "lines_removed")
+    columns = [c for c in docs.columns if c not in ("lines_repeated", "lines_removed")]
+    keyed = apart(docs.select(*columns)).withColumn("k", F.xxhash64("text"))
     # one pass over the texts leaves hashes only
-    narrow = with_chunks(plain.where(F.col("text") != "").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text"))
+    narrow = with_chunks(keyed.where(F.col("text") != "").select("doc_id", "k", "text"))
     hashes = materialize(narrow.select("doc_id", "k", F.transform("chunks", lambda c: c["h"]).alias("hs")), "lines-hashes")
     places = hashes.select("doc_id", "k", F.posexplode("hs").alias("j", "h")).where(F.col("h").isNotNull()).distinct()
-    keyed = plain.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_k", F.xxhash64("text"))
     refused = None
     while True:
         usable = places if refused is None else places.join(refused, "h", "left_anti")
-        marks = _by_document(usable, materialize(_repeats(usable), "lines-repeats"))
-        same = keyed["_id"].eqNullSafe(marks["doc_id"]) & keyed["_k"].eqNullSafe(marks["k"])
-        joined = keyed.join(marks.hint("shuffle_hash"), same, "left").select(*[keyed[c] for c in plain.columns], "marks")
-        marked = materialize(joined, "lines-marked")
+        marks = _by_document(usable, materialize(_repeats(usable), "lines-repeats")).alias("m").hint("shuffle_hash")
+        same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.k").eqNullSafe(F.col("m.k"))
+        marked = materialize(keyed.alias("d").join(marks, same, "left").select("doc", "text", "marks"), "lines-marked")
         # the comparison of bytes: chunks of one hash must fall into one group
         rows = with_chunks(marked.where(F.col("marks").isNotNull()).select("text", "marks"))
         bodies = rows.select(F.explode(F.transform("marks", lambda m: F.element_at("chunks", m["j"] + 1))).alias("c")).select("c.h", "c.body")
@@ -109,11 +108,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             break
         refused = unequal if refused is None else refused.unionByName(unequal)
     gone = F.transform(F.filter("marks", lambda m: m["goes"]), lambda m: m["j"])
+    counts = [F.coalesce(F.size("marks"), F.lit(0)).alias("lines_repeated"), F.coalesce(F.size(gone), F.lit(0)).alias("lines_removed")]
     touched = with_chunks(marked.where(F.size(gone) > 0))
     body = F.array_join(F.transform(F.filter("chunks", lambda c, i: ~F.array_contains(gone, i)), lambda c: c["body"]), "")
-    counts = [F.coalesce(F.size("marks"), F.lit(0)).alias("lines_repeated"), F.coalesce(F.size(gone), F.lit(0)).alias("lines_removed")]
-    changed = _once(touched, body, "_left").select(*[F.col("_left").alias("text") if c == "text" else F.col(c) for c in plain.columns], *counts)
-    whole = marked.where(F.col("marks").isNull() | (F.size(gone) == 0)).select(*plain.columns, *counts)
+    changed = _once(touched, body, "left").select(*together(columns, F.col("left")), *counts)
+    whole = marked.where(F.col("marks").isNull() | (F.size(gone) == 0)).select(*together(columns, F.col("text")), *counts)
     return whole.unionByName(changed)
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import apart, materialize, read_table, together
 from tidewater.llm.components import connected_components
 from tidewater.llm.words import LOWER_TABLE, slices
 
@@ -391,12 +391,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, radi
     grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
     grouped = materialize(grouped, "near-groups")
     first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    gone = grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_k"))
-    kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    gone = grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select("doc_id", "k").distinct()
+    rest = apart(docs).withColumn("k", F.xxhash64("text")).alias("rest")
+    same = F.col("rest.doc_id").eqNullSafe(F.col("gone.doc_id")) & F.col("rest.k").eqNullSafe(F.col("gone.k"))
+    kept = rest.join(gone.alias("gone").hint("shuffle_hash"), same, "left_anti")
     if not grouped.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    return kept.select(*together(docs.columns, F.col("text")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
