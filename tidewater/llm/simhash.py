@@ -27,6 +27,8 @@ from tidewater.llm.words import LOWER_TABLE, slices
 SAMPLE = 10_000
 #: Relative costs of a bucket row and of a compared pair; rows of a bucket from which it is split.
 ROW_COST, PAIR_COST, SPLIT_ROWS = 1.0, 0.002, 16_384
+#: Plans are made for so many fingerprints at least, so that small inputs run by the plan of large ones.
+PLAN_FOR = 1_000_000
 #: Values a fingerprint may take in one partition.
 MAX_PROBES = 200
 
@@ -173,12 +175,12 @@ def allot(sample: np.ndarray, n: int, radius: int) -> list[tuple[np.ndarray, int
                 for a, c in zip(value[count > 1].tolist(), count[count > 1].tolist()):
                     seen[a] = seen.get(a, 0) + c
                 freq = np.array(list(seen.values()), float)
-                scale = n / max(1, len(v))
+                scale, large = n / max(1, len(v)), max(n, PLAN_FOR) / max(1, len(v))
                 # smoothed: values seen once stand for a uniform rest
-                pairs = ((freq * scale) ** 2).sum() + (len(v) * rows_each * scale) ** 2 / 2.0**width
+                pairs = ((freq * large) ** 2).sum() + (len(v) * rows_each * large) ** 2 / 2.0**width
                 splits = {a: int(-(-c * scale // SPLIT_ROWS)) for a, c in seen.items() if c * scale > SPLIT_ROWS}
-                copies = sum((g - 1) * seen[a] * scale for a, g in splits.items())
-                own.append((ROW_COST * (n * len(x) / max(1, len(v)) + copies) + PAIR_COST * pairs / 2 + (own[-1][0] if t else 0.0), splits))
+                copies = sum(c * large // SPLIT_ROWS * c * large for c in seen.values())
+                own.append((ROW_COST * (len(x) * large + copies) + PAIR_COST * pairs / 2 + (own[-1][0] if t else 0.0), splits))
             options.append((bits, own))
         # by[e]: least cost of giving e = sum(t + 1) to the groups so far
         by = {0: (0.0, [])}
