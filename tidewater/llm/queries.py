@@ -33,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": topk.OP4_SQL}
+    return {"op3_decontam": decontam.OP3_SQL, "op4_topk": topk.OP4_SQL}
