@@ -212,8 +212,9 @@ def test_likelihood_scales():
 def test_mixture_of_equal_draws_is_the_plain_distribution():
     mean, h, nu = np.full(5, 0.001), np.full((5, 3), 1e-4), np.full(5, 8.0)
     want = 0.001 + math.sqrt(1e-4 * 6 / 8) * special.t_ppf(np.array([0.01]), 8.0)[0]
-    assert np.allclose(garch.mixture_quantile(0.01, mean, h, nu), want)
-    assert np.allclose(garch.mixture_cdf(np.full(3, want), mean, h, nu), 0.01)
+    mixture = garch.Mixture(mean, h, nu)
+    assert np.allclose(mixture.quantile(0.01), want, rtol=1e-8)
+    assert np.allclose(mixture.cdf(np.full(3, want)), 0.01, rtol=1e-8)
 
 
 def test_a_failed_refit_blanks_its_own_block(framed):
@@ -229,6 +230,13 @@ def test_posterior_draws_are_admissible():
     assert len(draws) == 960 and (draws[:, 2] + draws[:, 3] < 1).all() and (draws[:, 4] > 4).all() and facts["max_r_hat"] > 0.9
 
 
+def test_dispersed_draws_have_wider_tails():
+    nu, mean = np.full(60, 8.0), np.zeros(60)
+    h = 1e-4 * np.exp(np.random.default_rng(1).normal(0, 0.8, (60, 1)))
+    spread, plain = garch.Mixture(mean, h, nu), garch.Mixture(mean[:1], np.array([[h.mean()]]), nu[:1])
+    assert spread.quantile(0.005)[0] < plain.quantile(0.005)[0] and spread.quantile(0.05)[0] > plain.quantile(0.05)[0]
+
+
 def test_studies_must_agree_to_be_merged(framed):
     rows = forecasts.baselines(framed, STUDY)
     with pytest.raises(ValueError):

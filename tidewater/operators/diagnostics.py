@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+
+from tidewater.functions.special import beta_inc, binomial_test, chi2_sf
 
 
 def acf(values: DataFrame, lags: int) -> DataFrame:
@@ -44,3 +50,89 @@ def histogram(values: DataFrame, bins: int, low: float, high: float) -> DataFram
     return every.join(found, ["series", "model", "bin"], "left").fillna(0, ["n"])
 
 
+
+
+@pandas_udf(DoubleType())
+def symmetry_p(below: pd.Series, total: pd.Series) -> pd.Series:
+    """Exact two-sided p-value that breaches fall on either side alike; null without breaches."""
+    return pd.Series([binomial_test(int(k), int(n)) if n else None for k, n in zip(below, total)], dtype=float)
+
+
+def _least_squares(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(coefficients, residual sum of squares, their standard errors)"""
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ (x.T @ y)
+    rss = float(((y - x @ beta) ** 2).sum())
+    return beta, rss, np.sqrt(np.maximum(0, np.diag(inverse)) * rss / max(1, len(y) - x.shape[1]))
+
+
+def _lagged(v: np.ndarray, lags: int) -> np.ndarray:
+    return np.column_stack([v[lags - j : len(v) - j] for j in range(1, lags + 1)])
+
+
+def arch_test(v: np.ndarray, lags: int) -> tuple[float, float, float, float]:
+    """Lagrange multiplier and F statistics, each with its p-value, of squared demeaned values on their own lags."""
+    s = (v - v.mean()) ** 2
+    y, x = s[lags:], np.column_stack([np.ones(len(s) - lags), _lagged(s, lags)])
+    _, rss, _ = _least_squares(y, x)
+    total, free = float(((y - y.mean()) ** 2).sum()), len(y) - lags - 1
+    lm = len(y) * (1 - rss / total)
+    f = (total - rss) / lags / (rss / free)
+    return lm, chi2_sf(lm, lags), f, float(beta_inc(free / 2, lags / 2, free / (free + lags * f)))
+
+
+# Limits and sample-size terms of the 1, 5 and 10 per cent points of the unit-root statistic with a constant.
+_UNIT_ROOT = ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.040), (-2.56677, -1.5384, -2.809, 0.0))
+
+
+def unit_root_test(v: np.ndarray, max_lag: int | None = None) -> tuple[float, int, list[float]]:
+    """Augmented unit-root statistic with a constant: (statistic, lags by the Akaike criterion on one sample, critical values)."""
+    n = len(v)
+    most = int(np.ceil(12 * (n / 100) ** 0.25)) if max_lag is None else max_lag
+    most = max(0, min(most, n // 2 - 3))
+    d = np.diff(v)
+
+    def regression(lags: int, skip: int):
+        y = d[skip:]
+        parts = [v[skip:-1], np.ones(len(y)), *(d[skip - j : len(d) - j] for j in range(1, lags + 1))]
+        return y, np.column_stack(parts)
+
+    best, chosen = np.inf, 0
+    for lags in range(most + 1):
+        y, x = regression(lags, most)
+        _, rss, _ = _least_squares(y, x)
+        criterion = len(y) * np.log(rss / len(y)) + 2 * x.shape[1]
+        if criterion < best:
+            best, chosen = criterion, lags
+    y, x = regression(chosen, chosen)
+    beta, _, error = _least_squares(y, x)
+    return float(beta[0] / error[0]), chosen, [float(sum(c / len(y) ** k for k, c in enumerate(row))) for row in _UNIT_ROOT]
+
+
+def regression_tests(values: DataFrame, lags: tuple[int, ...] = (5, 10, 22)) -> DataFrame:
+    """(series, test, lags, statistic, p_value, critical_05): ARCH tests at each lag and the unit-root test, one task a series."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows.sort_values("date")["value"].dropna().to_numpy()
+        out = []
+        for k in lags:
+            if len(v) > 3 * k + 3:
+                lm, lm_p, f, f_p = arch_test(v, k)
+                out += [("arch_lm", k, lm, lm_p, None), ("arch_f", k, f, f_p, None)]
+        if len(v) > 20:
+            statistic, used, critical = unit_root_test(v)
+            out.append(("unit_root", used, statistic, None, critical[1]))
+        found = pd.DataFrame(out, columns=["test", "lags", "statistic", "p_value", "critical_05"])
+        found.insert(0, "series", rows["series"].iloc[0])
+        return found
+
+    tests = values.groupBy("series").applyInPandas(run, "series string, test string, lags int, statistic double, p_value double, critical_05 double")
+    return tests.select("series", "test", "lags", "statistic", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("p_value", "critical_05")])
+
+
+def quantile_pairs(values: DataFrame) -> DataFrame:
+    """(series, i, value, p): values in order with their plotting positions (i - 0.5) / n, for quantile plots."""
+    w = Window.partitionBy("series")
+    rows = values.where(F.col("value").isNotNull())
+    i = F.row_number().over(w.orderBy("value", "date"))
+    return rows.select("series", i.alias("i"), "value", ((i - 0.5) / F.count("*").over(w)).alias("p"))

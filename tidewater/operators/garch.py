@@ -21,8 +21,10 @@ from tidewater.operators.forecasts import refit_ids
 #: Starts: shares of the shock and of persistence, degrees of freedom. Sums of 0.995 or more are left out.
 STARTS_ALPHA, STARTS_BETA, STARTS_NU = (0.03, 0.08, 0.15), (0.75, 0.85, 0.92), (5.0, 8.0, 15.0)
 BARRIER = 1e10
-#: Bounds of convergence diagnostics.
-MAX_R_HAT, MIN_ESS = 1.01, 400
+#: Bounds of convergence diagnostics. Every walker of the ensemble counts as a chain, so the bound on R-hat is wider than that for a few long chains.
+MAX_R_HAT, MIN_ESS = 1.05, 400
+#: Draws that a predictive mixture keeps, evenly from all.
+DRAWS = 300
 
 
 def variances(theta: np.ndarray, r: np.ndarray, h0: float) -> np.ndarray:
@@ -144,7 +146,7 @@ def log_prior(theta: np.ndarray) -> np.ndarray:
     return np.where(ok, value, -np.inf)
 
 
-def sample(r: np.ndarray, scale: float, seed: int, chains: int = 24, draws: int = 400) -> tuple[np.ndarray, dict]:
+def sample(r: np.ndarray, scale: float, seed: int, chains: int = 32, draws: int = 2500) -> tuple[np.ndarray, dict]:
     """Posterior draws (n, 5) on the return scale from an affine-invariant ensemble, with split R-hat and effective sizes."""
     r = r[np.isfinite(r)] * scale
     h0, rng = r.var(ddof=1), np.random.default_rng(seed)
@@ -154,8 +156,9 @@ def sample(r: np.ndarray, scale: float, seed: int, chains: int = 24, draws: int
         jacobian = u[:, 1] + np.log(theta[:, 2]) + np.log(theta[:, 3]) + np.log1p(-theta[:, 2] - theta[:, 3]) + u[:, 4]
         return np.nan_to_num(log_likelihood(theta, r, h0) + log_prior(theta) + jacobian, nan=-np.inf)
 
-    start = _open(np.array([[r.mean(), h0 * 0.05, 0.08, 0.85, 8.0]]))
-    x = start + rng.standard_normal((chains, 5)) * np.array([0.05, 0.3, 0.3, 0.3, 0.3])
+    mode = fit(r, 1.0, True)
+    start = _open(np.array([[mode["mu"], mode["omega"], max(1e-3, mode["alpha"]), max(1e-3, mode["beta"]), max(4.05, mode["nu"])]]))
+    x = start + rng.standard_normal((chains, 5)) * np.array([0.02 * math.sqrt(h0), 0.2, 0.2, 0.2, 0.2])
     value, kept, half = density(x), np.empty((draws, chains, 5)), chains // 2
     for t in range(-draws // 2, draws):
         for own, other in ((slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))):
@@ -189,16 +192,41 @@ def diagnose(kept: np.ndarray) -> dict:
     return {"max_r_hat": float(np.sqrt(pooled / within).max()), "min_ess": float((parts.shape[0] * parts.shape[1] / total).min())}
 
 
-def mixture_cdf(x: np.ndarray, mean: np.ndarray, h: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """Equal-weight mixture over draws of standardised t distributions, at x (dates,); h is (draws, dates)."""
-    scale = np.sqrt(h * ((nu - 2) / nu)[:, None])
-    return t_cdf((x[None, :] - mean[:, None]) / scale, nu[:, None]).mean(0)
+class Mixture:
+    """Equal-weight mixture of standardised t distributions with means (draws,), variances h (draws, dates) and degrees of freedom nu (draws,).
 
+    Each draw's distribution function is tabulated once, on points that are even in asinh, with its density for the slopes
+    between them; so quantiles over many dates cost look-ups.
+    """
 
-def mixture_quantile(p: float, mean: np.ndarray, h: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """Quantiles between the least and the greatest of the components'."""
-    each = mean[:, None] + np.sqrt(h * ((nu - 2) / nu)[:, None]) * t_ppf(np.full(len(nu), p), nu)[:, None]
-    return bisect(lambda x: mixture_cdf(x, mean, h, nu) - p, each.min(0), each.max(0), 50)
+    POINTS, REACH = 1201, 12.0
+
+    def __init__(self, mean: np.ndarray, h: np.ndarray, nu: np.ndarray):
+        self.mean, self.nu = mean, nu
+        self.scale = np.sqrt(h * ((nu - 2) / nu)[:, None])
+        self.u = np.linspace(-self.REACH, self.REACH, self.POINTS)
+        z = np.sinh(self.u)
+        log_c = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * v) for v in nu])
+        self.cdf_at = t_cdf(z[None, :], nu[:, None])
+        # slope in u: density times cosh
+        self.slope_at = np.exp(log_c[:, None] - (nu[:, None] + 1) / 2 * np.log1p(z * z / nu[:, None])) * np.cosh(self.u)
+
+    def cdf(self, x: np.ndarray) -> np.ndarray:
+        """At x (dates,)."""
+        u = np.clip(np.arcsinh((x[None, :] - self.mean[:, None]) / self.scale), -self.REACH, self.REACH)
+        step = self.u[1] - self.u[0]
+        i = np.minimum(((u + self.REACH) / step).astype(np.int64), self.POINTS - 2)
+        t = (u - self.u[i]) / step
+        take = lambda table, k: np.take_along_axis(table, k, 1)
+        low, high = take(self.cdf_at, i), take(self.cdf_at, i + 1)
+        value = low * (1 + 2 * t) * (1 - t) ** 2 + high * t * t * (3 - 2 * t) + step * (take(self.slope_at, i) * t * (1 - t) ** 2 - take(self.slope_at, i + 1) * t * t * (1 - t))
+        return np.clip(value, 0, 1).mean(0)
+
+    def quantile(self, p: float) -> np.ndarray:
+        """Between the least and the greatest of the components' quantiles."""
+        z = t_ppf(np.full(len(self.nu), p), self.nu)
+        each = self.mean[:, None] + self.scale * z[:, None]
+        return bisect(lambda x: self.cdf(x) - p, each.min(0), each.max(0), 50)
 
 
 def _path_schema(study: Study) -> str:
@@ -244,8 +272,8 @@ def _block(study: Study, model: str, task, past: np.ndarray, block: np.ndarray)
     try:
         if model == "garch_posterior":
             theta, facts = sample(past, study.fit_scale, task.refit_id)
-            theta = theta[:: max(1, len(theta) // 500)]
-            ok = facts["max_r_hat"] <= 1.1
+            theta = theta[:: max(1, len(theta) // DRAWS)]
+            ok = facts["max_r_hat"] <= MAX_R_HAT and facts["min_ess"] >= MIN_ESS
         else:
             found = fit(past, study.fit_scale, student)
             theta, ok = np.array([[found["mu"], found["omega"], found["alpha"], found["beta"], found["nu"] or np.inf]]), found["converged"]
@@ -259,10 +287,10 @@ def _block(study: Study, model: str, task, past: np.ndarray, block: np.ndarray)
     h = variances(theta, np.concatenate([past, block]), past.var(ddof=1))[:, len(past) : len(past) + len(block)]
     mean, nu = theta[:, 0], theta[:, 4]
     known = np.isfinite(h).all(0)
-    quantiles = {}
+    quantiles, mixture = {}, Mixture(mean, np.where(known, h, 1.0), nu) if student else None
     for p in sorted({q for x in study.levels for q in ((1 - x) / 2, (1 + x) / 2)} | {1 - study.var_level}):
         if len(theta) > 1:
-            q = mixture_quantile(p, mean, np.where(known, h, 1.0), nu)
+            q = mixture.quantile(p)
         else:
             z = t_ppf(np.array([p]), nu)[0] * math.sqrt((nu[0] - 2) / nu[0]) if student else bisect(lambda x: normal_cdf(x) - p, [-40.0], [40.0])[0]
             q = mean[0] + z * np.sqrt(h[0])
@@ -272,7 +300,7 @@ def _block(study: Study, model: str, task, past: np.ndarray, block: np.ndarray)
     out["var_99"] = quantiles[1 - study.var_level]
     out["variance"], out["mean"] = h.mean(0), np.where(known, mean.mean(), np.nan)
     if student:
-        pit = mixture_cdf(np.nan_to_num(block), mean, np.where(known, h, 1.0), nu)
+        pit = mixture.cdf(np.nan_to_num(block))
     else:
         pit = normal_cdf((block - mean[0]) / np.sqrt(np.where(known, h[0], 1.0)))
     out["pit"] = np.where(known & np.isfinite(block), pit, np.nan)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.config import ORDERS, Study
-from tidewater.functions.expressions import normal_cdf_sql
+from tidewater.functions.expressions import annualised, normal_cdf_sql
 from tidewater.operators import derive, diagnostics, forecasts, garch, resampling, scoring
 from tidewater.sources import bars
 
@@ -531,12 +531,139 @@ _SQL["coverage_difference"] = _interval_sql(
 )
 
 
-# ---- fitted models: no SQL
+@_register("regime_difference", "model excludes_zero", "point lower upper")
+def _regime_difference(spark, d):
+    """Mean qlike of stressed days less that of calm ones, resampled apart."""
+    s = scored(spark, d).withColumn("value", F.col("qlike")).where(F.col("value").isNotNull())
+    out = resampling.independent_difference(s.where("regime = 'stressed'"), s.where("regime = 'calm'"), ["model"], ORDERS)
+    return out.withColumn("excludes_zero", (F.col("lower") > 0) | (F.col("upper") < 0))
+
+
+_ROWS = "SELECT model, regime, date, qlike AS value FROM scored WHERE qlike IS NOT NULL"
+_SQL["regime_difference"] = (
+    f"{_with(['scored'])}, "
+    + ", ".join(
+        f"v{k} AS (SELECT model, value, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY model) AS n FROM ({_ROWS}) WHERE regime = '{r}'), "
+        + _draws(f"SELECT DISTINCT n FROM v{k}").replace("draws AS", f"draws{k} AS", 1).replace(f":{ORDERS.seed}:", f":{ORDERS.seed + k}:")
+        + f", m{k} AS (SELECT model, rep, sum(value) / n AS m FROM v{k} JOIN draws{k} USING (n, idx) GROUP BY model, n, rep), p{k} AS (SELECT model, avg(value) AS p FROM v{k} GROUP BY model)"
+        for k, r in ((0, "stressed"), (1, "calm"))
+    )
+    + f""" SELECT model, any_value(p0.p - p1.p) IS NOT NULL AND (quantile_cont(m0.m - m1.m, 0.025) > 0 OR quantile_cont(m0.m - m1.m, 0.975) < 0) AS excludes_zero, round(any_value(p0.p - p1.p), {DIGITS}) + 0.0 AS point,
+        round(quantile_cont(m0.m - m1.m, 0.025), {DIGITS}) + 0.0 AS lower, round(quantile_cont(m0.m - m1.m, 0.975), {DIGITS}) + 0.0 AS upper FROM m0 JOIN m1 USING (model, rep) JOIN p0 USING (model) JOIN p1 USING (model) GROUP BY model"""
+)
+
+
+# ---- more reports and the data of figures
+
+
+@_register("missing_dates", "date", "", "SELECT date FROM driver WHERE date NOT IN (SELECT date FROM bars)", "bars driver")
+def _missing_dates(spark, d):
+    return bars.lineitem_daily(spark, d).select("date").join(bars.orders_daily(spark, d).select("date"), "date", "left_anti")
+
+
+@_register("paired_losses", "date", "qlike_a qlike_b", "SELECT * FROM pairs", "pairs")
+def _paired(spark, d):
+    return scoring.paired(scored(spark, d), _PAIR, ("qlike",))
+
+
+@_register("merge_order", "date model", "position", "SELECT date, model, row_number() OVER (ORDER BY date, CASE model WHEN 'yesterday' THEN 0 ELSE 1 END) AS position FROM table_ WHERE date < DATE '1998-03-01'", "table_")
+def _merge_order(spark, d):
+    """The forecast table's first dates in the order of dates and then of models; one series, so one window."""
+    from pyspark.sql import Window
+
+    rows = forecasts.baselines(framed(spark, d), ORDERS).where(F.col("date") < F.lit("1998-03-01").cast("date"))
+    order = F.when(F.col("model") == "yesterday", 0).otherwise(1)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("series").orderBy("date", order)))
+
+
+@_register("return_histogram", "bin", "n", "SELECT bin, count(log_return) AS n FROM (SELECT CAST(unnest(range(80)) AS INTEGER) AS bin) LEFT JOIN (SELECT log_return, CAST(least(floor((log_return + 8.0) / 0.2), 79) AS INTEGER) AS bin FROM frame WHERE log_return BETWEEN -8 AND 8) USING (bin) GROUP BY 1", "frame")
+def _return_histogram(spark, d):
+    values = framed(spark, d).where("log_return between -8 and 8").select("series", F.lit("all").alias("model"), F.col("log_return").alias("value"))
+    return diagnostics.histogram(values, 80, -8.0, 8.0)
+
+
+@_register("return_quantiles", "", "i value p", "SELECT row_number() OVER (ORDER BY log_return, date) AS i, log_return AS value, (row_number() OVER (ORDER BY log_return, date) - 0.5) / count(*) OVER () AS p FROM frame WHERE log_return IS NOT NULL", "frame")
+def _return_quantiles(spark, d):
+    return diagnostics.quantile_pairs(_values(spark, d))
+
+
+@_register("residual_acf", "model", "lag acf")
+def _residual_acf(spark, d):
+    """Autocorrelation of squared standardised residuals for each model."""
+    rows = scored(spark, d).where("variance is not null")
+    values = rows.select(F.col("model").alias("series"), "date", F.pow(F.col("log_return") - F.col("mean"), 2).alias("e"), "variance").withColumn("value", F.col("e") / F.col("variance"))
+    return diagnostics.acf(values, 10).withColumnRenamed("series", "model")
+
+
+_SQL["residual_acf"] = f"""{_with(["scored"])}, e AS (SELECT model, power(log_return - mean, 2) / variance AS v, row_number() OVER (PARTITION BY model ORDER BY date) AS i FROM scored WHERE variance IS NOT NULL AND log_return IS NOT NULL),
+    c AS (SELECT model, i, v - avg(v) OVER (PARTITION BY model) AS c FROM e)
+    SELECT model, lag::DOUBLE AS lag, round(s / t, {DIGITS}) + 0.0 AS acf FROM (SELECT x.model, a.lag, sum(x.c * y.c) AS s FROM (SELECT unnest(range(1, 11)) AS lag) a JOIN c x ON true JOIN c y ON y.model = x.model AND y.i = x.i - a.lag GROUP BY 1, 2)
+    JOIN (SELECT model, sum(c * c) AS t FROM c GROUP BY 1) USING (model)"""
+
+# Periods that figures shade.
+PERIODS = (("early", "1995-03-01", "1995-06-30"), ("middle", "1998-08-01", "1998-10-31"), ("late", "2001-01-01", "2001-12-31"))
+
+
+@_register("period_overlay", "period first_date last_date", "n", "SELECT period, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM frame JOIN (VALUES " + ", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in PERIODS) + ") v(period, a, b) ON date BETWEEN a AND b GROUP BY 1", "frame")
+def _period_overlay(spark, d):
+    table = spark.createDataFrame(PERIODS, "period string, a string, b string").select("period", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+    rows = framed(spark, d).join(F.broadcast(table), F.col("date").between(F.col("a"), F.col("b")))  # three literal rows
+    return rows.groupBy("period").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"))
+
+
+@_register("annualised_path", "date model", "forecast realised", "SELECT date, model, sqrt(252 * variance) AS forecast, sqrt(252 * proxy_var) AS realised FROM scored WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'", "scored")
+def _annualised(spark, d):
+    rows = scored(spark, d).where(F.col("date").between(F.lit("1999-01-01").cast("date"), F.lit("1999-06-30").cast("date")))
+    return rows.select("date", "model", annualised(F.col("variance")).alias("forecast"), annualised(F.col("proxy_var")).alias("realised"))
+
+
+@_register("worst_symmetry", "model", "nominal n_below n_above", """SELECT arg_min(model, (b, model, nominal)) AS model, arg_min(nominal, (b, model, nominal)) AS nominal, arg_min(n_below, (b, model, nominal)) AS n_below, arg_min(n_above, (b, model, nominal)) AS n_above FROM (
+    SELECT *, -abs(n_below - n_above) / sqrt(n_below + n_above) AS b FROM (SELECT model, nominal, count(*) FILTER (WHERE log_return < lo) AS n_below, count(*) FILTER (WHERE log_return > hi) AS n_above FROM levels WHERE variance IS NOT NULL GROUP BY 1, 2) WHERE n_below + n_above > 0)""", "levels")
+def _worst_symmetry(spark, d):
+    """The model and level whose breaches lean most to one side."""
+    rows = scoring.tail_asymmetry(scored(spark, d), ORDERS).where("n_below + n_above > 0")
+    lean = -F.abs(F.col("n_below") - F.col("n_above")) / F.sqrt((F.col("n_below") + F.col("n_above")).cast("double"))
+    return rows.agg(F.min_by(F.struct("model", "nominal", "n_below", "n_above"), F.struct(lean, F.col("model"), F.col("nominal"))).alias("x")).select("x.*")
+
+
+# ---- fitted models and exact p-values: no SQL
+
+
+@_register("symmetry_tests", "model", "nominal n_below n_above symmetry_p")
+def _symmetry_tests(spark, d):
+    rows = scoring.tail_asymmetry(scored(spark, d), ORDERS)
+    return rows.withColumn("symmetry_p", diagnostics.symmetry_p("n_below", F.col("n_below") + F.col("n_above")))
+
+
+@_register("regression_tests", "series test lags", "statistic p_value critical_05")
+def _regression_tests(spark, d):
+    return diagnostics.regression_tests(_values(spark, d))
+
+
+def _refits(spark, d):
+    rows = garch.garch_forecasts(framed(spark, d), replace(ORDERS, refit_every=252))
+    return rows.groupBy("series", "model", "refit_id").agg(F.bool_and("converged").alias("converged"), *[F.max(c).alias(c) for c in ("alpha", "beta", "nu")])
+
+
+@_register("parameter_stability", "model refit_id converged", "alpha beta persistence nu")
+def _parameter_stability(spark, d):
+    return _refits(spark, d).withColumn("persistence", F.col("alpha") + F.col("beta"))
+
+
+@_register("convergence", "model", "n_refits n_converged")
+def _convergence(spark, d):
+    return _refits(spark, d).groupBy("model").agg(F.count("*").alias("n_refits"), F.count_if("converged").alias("n_converged"))
+
+
+@_register("posterior_walk_forward", "series date model refit_id converged", "variance mean lo_95 hi_95 var_99 pit")
+def _posterior(spark, d):
+    """Mixtures over posterior draws; a refit for every two years of days."""
+    return garch.garch_forecasts(framed(spark, d), replace(ORDERS, refit_every=504), ("garch_posterior",))
 
 
 @_register("garch_walk_forward", "series date model refit_id converged", "variance mean lo_95 hi_95 var_99 pit")
 def _garch_walk_forward(spark, d):
-    return garch.garch_forecasts(framed(spark, d), replace(ORDERS, refit_every=252))
+    return garch.garch_forecasts(framed(spark, d), ORDERS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
