@@ -26,7 +26,7 @@ _AFTER_BREAK, _AFTER_SENTENCE = r"(?<=\n)", r"(?<=[.!?] )"
 
 def _words(text: Column) -> Column:
     """Words by the spaces between them."""
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,14 +34,14 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     that are too short to be removed. A null text has null chunks."""
 
     def lines_of(line: Column) -> Column:
-        parts = F.transform(F.split(line, _AFTER_SENTENCE), lambda s, i: F.struct(s.alias("s"), (i == 0).alias("opens"), F.lit(True).alias("long")))
-        alone = F.array(F.struct(line.alias("s"), F.lit(False).alias("opens"), F.lit(False).alias("long")))
+        parts = F.transform(F.split(line, _AFTER_SENTENCE), lambda s, i: F.struct(s.alias("s"), F.xxhash64(s).alias("h"), (i == 0).alias("opens"), F.lit(True).alias("long")))
+        alone = F.array(F.struct(line.alias("s"), F.xxhash64(line).alias("h"), F.lit(False).alias("opens"), F.lit(False).alias("long")))
         return F.when(_words(line) >= LONG_LINE, parts).otherwise(alone)
 
     def begins(i: Column) -> Column:
         here, before = F.element_at("_lines", i), F.element_at("_lines", F.greatest(i - 1, F.lit(1)))
         edge = here["opens"] | (before["long"] & ~here["long"])
-        return (i == 1) | edge | (F.pmod(F.xxhash64(before["s"], here["s"]), F.lit(SPREAD)) == 0)
+        return (i == 1) | edge | (F.pmod(F.xxhash64(before["h"], here["h"]), F.lit(SPREAD)) == 0)
 
     def chunk(start: Column, n: Column) -> Column:
         end = F.coalesce(F.get("_starts", n + 1), F.size("_lines") + 1)
