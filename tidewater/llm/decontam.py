@@ -9,7 +9,6 @@ walking to the next sampled position, and merged into spans for removal.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 

@@ -371,7 +371,8 @@ def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     named = labels.join(prints, labels["node"] == prints["f0"]).select("node", "label", "low")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     chosen = named.join(lowest, "label").select(F.col("node").alias("f0"), "component_id")
-    per_print = prints.join(chosen, "f0", "left").select("f0", F.coalesce("component_id", "low").alias("component_id"))
+    # written out, so that the last join deals both sides anew and can split a fingerprint that many rows share
+    per_print = materialize(prints.join(chosen, "f0", "left").select("f0", F.coalesce("component_id", "low").alias("component_id")), "simhash-components")
     return rows.join(per_print, "f0").select("doc_id", "f0", "component_id")
 
 
@@ -392,7 +393,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, radi
     labels = connected_components(links)
     grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
     grouped = materialize(grouped, "near-groups")
-    first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    # written out for the same reason as above: a group may hold a third of all rows
+    first = materialize(grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1), "near-first")
     gone = grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select("doc_id", "k").distinct()
     rest = apart(docs).withColumn("k", F.xxhash64("text")).alias("rest")
     same = F.col("rest.doc_id").eqNullSafe(F.col("gone.doc_id")) & F.col("rest.k").eqNullSafe(F.col("gone.k"))
