@@ -286,3 +286,20 @@ def test_stream_equals_the_batch_filter(spark, tmp_path):
             h = 0.94 * h + 0.06 * math.log(prices[i] / prices[i - 1]) ** 2
         if i == 0:
             assert r["log_return"] is None
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 200])
+def test_variances_equal_a_loop(n):
+    rng = np.random.default_rng(n)
+    r = rng.normal(0, 1, n)
+    theta = np.array([[0.1, 0.2, 0.1, 0.8], [0.0, 0.5, 0.3, 1e-12], [0.0, 0.01, 0.05, 0.949]])
+    out = garch.variances(theta, r, 1.5)
+    for row, (mu, omega, alpha, beta) in zip(out, theta):
+        h = 1.5
+        for t in range(n):
+            assert row[t] == pytest.approx(h, rel=1e-7)
+            h = omega + alpha * (r[t] - mu) ** 2 + beta * h
+        assert row[n] == pytest.approx(h, rel=1e-7)
+    if n > 40:
+        r[35] = np.nan
+        assert np.isfinite(garch.variances(theta, r, 1.5)[:, :36]).all() and np.isnan(garch.variances(theta, r, 1.5)[:, 36:]).all()

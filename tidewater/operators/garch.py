@@ -27,15 +27,26 @@ MAX_R_HAT, MIN_ESS = 1.05, 400
 DRAWS = 300
 
 
-def variances(theta: np.ndarray, r: np.ndarray, h0: float) -> np.ndarray:
-    """(m, n + 1) conditional variances for m parameter rows (mu, omega, alpha, beta, ...); the last is the forecast after r."""
-    mu, omega, alpha, beta = theta.T[:4]
-    h = np.empty((len(r) + 1, len(theta)))
-    h[0] = h0
-    shock = omega + alpha * (r[:, None] - mu) ** 2
-    for t in range(len(r)):
-        h[t + 1] = shock[t] + beta * h[t]
-    return h.T
+def variances(theta: np.ndarray, r: np.ndarray, h0: float, block: int = 32) -> np.ndarray:
+    """(m, n + 1) conditional variances for m parameter rows (mu, omega, alpha, beta, ...); the last is the forecast after r.
+
+    Inside blocks the recursion is a running sum scaled by powers of beta, for all blocks at once; only the values
+    between blocks are taken one after the other. A missing return makes what follows it missing.
+    """
+    mu, omega, alpha, beta = (c[:, None] for c in theta.T[:4])
+    m, n = len(theta), len(r)
+    blocks = -(-n // block)
+    shock = np.zeros((m, blocks * block))
+    shock[:, :n] = omega + alpha * (r - mu) ** 2
+    power = np.maximum(beta, 1e-8) ** np.arange(1, block + 1)  # below that a power's inverse is no number, and its effect none
+    inside = np.cumsum(shock.reshape(m, blocks, block) / power[:, None, :], axis=2) * power[:, None, :]
+    start = np.empty((m, blocks))
+    h = np.full(m, float(h0))
+    for b in range(blocks):
+        start[:, b] = h
+        h = power[:, -1] * h + inside[:, b, -1]
+    inside += power[:, None, :] * start[:, :, None]
+    return np.concatenate([np.full((m, 1), float(h0)), inside.reshape(m, -1)[:, :n]], axis=1)
 
 
 def log_likelihood(theta: np.ndarray, r: np.ndarray, h0: float, student: bool = True) -> np.ndarray:
