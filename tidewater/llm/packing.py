@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain, islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ _IS_PLAIN = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 #: A word of letters only is one piece to the tokenizer, and its last token alone has the mark of a word's end.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
-_PIECES = "doc_id long, start long, length int, slots int, doc_tokens long, ids binary"
+_PIECES = "doc_id long, start long, length int, slots int, doc_tokens long, ids_crc32 long"
 
 
 class _Numbers(dict):
@@ -103,9 +104,9 @@ class WordTokens:
         self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, *blocks])
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """ids of each text. The tokenizer lower-cases too, but finds its special tokens before that, so texts that
-        could hold one are left as they are. Words are split at ASCII white space only."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text's). The tokenizer lower-cases too, but finds its special tokens before
+        that, so texts that could hold one are left as they are. Words are split at ASCII white space only."""
         joined = b"\n".join(texts) + b"\n"
         if b"<|" in joined:
             blob, marks = np.frombuffer(joined, np.uint8), np.empty(0, np.int64)
@@ -125,8 +126,7 @@ class WordTokens:
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[counts]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return ids, np.concatenate([[0], ends])[counts]
 
 
 def _lone_marks(blob: np.ndarray) -> np.ndarray:
@@ -157,27 +157,37 @@ def cuts(tokens: int, capacity: int, slack: float = SLACK) -> list[tuple[int, in
     return out
 
 
-def _tokenize(path: str, capacity: int, end_id: int, slack: float):
+def _tokenize(path: str, capacity: int, end_id: int, slack: float, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _LOADED.get(path) or _LOADED.setdefault(path, WordTokens(path))
         for batch in batches:
             for piece, texts in slices(batch):
-                rows = []
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), tokens.encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    rows += [(doc_id, s, n, k, len(ids), ids[s : s + n].tobytes()) for s, n, k in cuts(len(ids), capacity, slack)]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "slots", "doc_tokens", "ids"])
+                ids, bounds = tokens.encode(texts)
+                flat = memoryview(np.insert(ids, bounds[1:], end_id).astype("<u4")).cast("B")
+                first = (bounds[:-1] + np.arange(len(texts))).tolist()
+                rows, parts = [], []
+                for doc_id, at, n in zip(piece.column("doc_id").to_pylist(), first, (np.diff(bounds) + 1).tolist()):
+                    for start, length, slots in cuts(n, capacity, slack):
+                        part = flat[4 * (at + start) : 4 * (at + start + length)]
+                        rows.append((doc_id, start, length, slots, n, crc32(part)))
+                        if with_ids:
+                            parts.append(bytes(part))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                names = [f.split()[0] for f in _PIECES.split(", ")]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
     return run
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, slack: float = SLACK) -> DataFrame:
-    """Pieces of documents: (doc_id, start, length, slots, doc_tokens, ids); ids are little-endian unsigned 32-bit numbers.
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, slack: float = SLACK, with_ids: bool = True) -> DataFrame:
+    """Pieces of documents: (doc_id, start, length, slots, doc_tokens, ids_crc32, ids); ids are little-endian unsigned 32-bit
+    numbers, left out without with_ids.
 
     Each document's ids are its text's (null: none) and then end_id. Null or repeated doc_ids are rows like others.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, capacity, end_id, slack), _PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_tokenize(tokenizer_path, capacity, end_id, slack, with_ids), _PIECES + ", ids binary" * with_ids)
 
 
 def _leftovers(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -251,9 +261,8 @@ def default_tokenizer() -> str:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces of docs with their places, digested: crc32 of ids instead of the ids."""
-    pieces = tokenized_pieces(docs, tokenizer_path or default_tokenizer())
-    digest = pieces.select("doc_id", "start", "length", "slots", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack_harmonic(digest).select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = tokenized_pieces(docs, tokenizer_path or default_tokenizer(), with_ids=False)
+    return pack_harmonic(pieces).select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
