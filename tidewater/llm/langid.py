@@ -60,7 +60,7 @@ class _Grams:
         self.blob = self._letters[np.frombuffer(b" " + b"  ".join(lowered) + b" ", np.uint8)]
         self.ends = np.cumsum([len(t) + 2 for t in lowered])
 
-    def blocks(self, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks(self, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(buckets (k, grams), place of each gram) for parts of the joined texts; grams over a text's end are few and stay."""
         b = self.blob.astype(np.uint32)
         n = len(b) - max(GRAMS) + 1
