@@ -138,6 +138,26 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_repeated_passages_go_wherever_they_stand(spark):
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    lines = "\n".join(" ".join(words(f"line{n}x", 11)) for n in range(5))
+    tabbed = "\t".join(words("tab", 60))
+    endless = " ".join(words("endless", 60))
+    short = " ".join(f"{w}." for w in words("one", 60))
+    rows = []
+    for n, passage in enumerate((lines, tabbed, endless, short)):
+        for copy in (0, 1):
+            glue = " " if passage == endless else "\n"
+            rows.append((2 * n + copy, " ".join(words(f"before{n}{copy}", 40)) + glue + passage + glue + " ".join(words(f"after{n}{copy}", 40))))
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, least in ((0, 55), (1, 60), (2, 40), (3, 60)):
+        assert out[2 * n] == rows[2 * n][1]
+        assert len(rows[2 * n + 1][1].split()) - len(out[2 * n + 1].split()) >= least
+        assert out[2 * n + 1].split()[:35] == words(f"before{n}1", 35) and out[2 * n + 1].split()[-35:] == words(f"after{n}1", 40)[5:]
+
+
 def test_chunks_join_to_the_text(docs):
     rows = linededup.with_chunks(docs.select("doc_id", "text").where(F.col("text").isNotNull())).select("text", F.array_join(F.transform("chunks", lambda c: c["body"]), "").alias("joined")).collect()
     assert all(r["text"] == r["joined"] for r in rows)

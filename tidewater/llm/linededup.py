@@ -1,10 +1,11 @@
-"""Line dedup over content-defined chunks, with DataFrame operations only.
-
-A text is cut into lines, and long lines further at sentence ends. Rolling hashes
-over two neighbouring line hashes choose where chunks begin, so a passage is cut
-alike wherever it stands; a long line always begins and ends a chunk. Chunks of
-several lines that stand in more than one place are removed from all places but the
-first, after their bytes were compared by grouping.
+"""Line dedup over runs of lines and sentences, with DataFrame operations only.
+
+A text is cut into lines and sentences; what is long without a sentence end is cut
+further before words whose hash is the least around, so a passage is cut alike wherever it
+stands. Every unit begins a window: the fewest units from it on that have enough
+words. Windows that stand in more than one place lose all places but the first, after
+their bytes were compared by grouping; neighbouring windows overlap, so together they
+cover a repeated passage from its first unit to its last.
 """
 
 from __future__ import annotations
@@ -14,49 +15,91 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import apart, materialize, read_table, together
 
-#: Words from which a line is long: it begins and ends a chunk, and is cut at sentence ends.
+#: Words that a window of one unit has at least; shorter lines repeat by chance.
 LONG_LINE = 20
-#: One in so many places between lines begins a chunk.
-SPREAD = 3
-#: Words that a chunk has at least to be removed; shorter ones repeat by chance or are set phrases. A chunk of one line must be long.
+#: Words that a window of several units has at least; shorter ones are set phrases.
 MIN_WORDS = 12
+#: Words from which a unit without sentence end is cut, before words whose hash is less than those of so many words on
+#: both sides. Where few words repeat at once there are none, so that a drone stays whole.
+ENDLESS, NEAR = 30, 3
 
-_AFTER_BREAK, _AFTER_SENTENCE = r"(?<=\n)", r"(?<=[.!?] )"
+_ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+_WORD = rf"[{_ALONE}]|[^\s{_ALONE}]+"
+_BETWEEN_UNITS = r"(?<=\s)(?=\S)(?<=\n\s{0,8}|[.!?]\s{1,8})|(?<=[\u3002\uFF01\uFF1F])(?=\S)"
+_BETWEEN_WORDS = rf"(?<=\s)(?=\S)|(?<=[{_ALONE}])(?=\S)"
+_WHITE = " \t\n\r\x0b\x0c"
 
 
 def _words(text: Column) -> Column:
-    """Words by the spaces between them."""
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    """Words by all white space between them; in scripts without spaces a character is a word."""
+    return F.regexp_count(text, F.lit(_WORD))
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value) with value computed once, also inside of functions that run for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `units`, array<string> in the text's order; joined, they are the text. A null text has null units."""
+
+    def pieces(unit: Column) -> Column:
+        def begins(h: Column, i: Column) -> Column:
+            here, after = F.element_at(h, i), F.array_min(F.slice(h, i + 1, F.lit(NEAR)))
+            return (i > NEAR) & (here < F.array_min(F.slice(h, F.greatest(i - NEAR, F.lit(1)), F.lit(NEAR)))) & (after.isNull() | (here < after))
+
+        def cut(w: Column) -> Column:
+            hashes = F.transform(w, lambda x: F.xxhash64(F.rtrim(x, F.lit(_WHITE))))
+            starts = _bind(hashes, lambda h: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | begins(h, i)))
+            return _bind(starts, lambda st: F.transform(st, lambda i, n: F.array_join(F.slice(w, i, F.coalesce(F.get(st, n + 1), F.size(w) + 1) - i), "")))
+
+        return F.when((F.length(unit) >= ENDLESS) & (_words(unit) >= ENDLESS), _bind(F.split(unit, _BETWEEN_WORDS), cut)).otherwise(F.array(unit))
+
+    return _once(docs, F.flatten(F.transform(F.split(text, _BETWEEN_UNITS), pieces)), "units")
 
 
 def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `chunks`, array<struct<body, h>> in the text's order; joined, the bodies are the text. h is null for chunks
-    that are too short to be removed. A null text has null chunks."""
+    """docs with `chunks`, array<struct<body, h, words>> of units in the text's order. h is of the body without white space at its end."""
+    cut = with_units(docs, text)
+    hashed = F.transform("units", lambda u: F.struct(u.alias("body"), F.xxhash64(F.rtrim(u, F.lit(_WHITE))).alias("h"), _words(u).alias("words")))
+    return _once(cut, hashed, "chunks").drop("units")
+
+
+def _windows(hashed: DataFrame) -> DataFrame:
+    """hashed with `windows`, array<struct<j, n, h>> over its `chunks` (h, words): n units from the j-th on, j from 0."""
 
-    def lines_of(line: Column) -> Column:
-        parts = F.transform(F.split(line, _AFTER_SENTENCE), lambda s, i: F.struct(s.alias("s"), (i == 0).alias("opens"), F.lit(True).alias("long")))
-        alone = F.array(F.struct(line.alias("s"), F.lit(False).alias("opens"), F.lit(False).alias("long")))
-        return F.when(_words(line) >= LONG_LINE, parts).otherwise(alone)
+    def enough(n: Column, words: Column) -> Column:
+        return (words >= LONG_LINE) | ((n > 1) & (words >= MIN_WORDS))
 
-    def begins(i: Column) -> Column:
-        here, before = F.element_at("_lines", i), F.element_at("_lines", F.greatest(i - 1, F.lit(1)))
-        edge = here["opens"] | (before["long"] & ~here["long"])
-        return (i == 1) | edge | (F.pmod(F.xxhash64(before["s"], here["s"]), F.lit(SPREAD)) == 0)
+    def grown(units: Column) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(0).cast("long").alias("h"))
+        more = lambda a, x: F.when(enough(a["n"], a["words"]), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["words"] + x["words"]).alias("words"), F.xxhash64(a["h"], x["h"]).alias("h")))
+        return F.aggregate(units, none, more)
 
-    def chunk(start: Column, n: Column) -> Column:
-        end = F.coalesce(F.get("_starts", n + 1), F.size("_lines") + 1)
-        body = F.array_join(F.transform(F.slice("_lines", start, end - start), lambda x: x["s"]), "")
-        return F.struct(body.alias("body"), (end - start).alias("lines"))
+    def window(j: Column, g: Column) -> Column:
+        return F.when(enough(g["n"], g["words"]), F.struct(j.cast("int").alias("j"), g["n"].alias("n"), g["h"].alias("h")))
 
-    def hashed(c: Column) -> Column:
-        words = _words(c["body"])
-        fit = (words >= MIN_WORDS) & ((c["lines"] > 1) | (words >= LONG_LINE))
-        return F.struct(c["body"].alias("body"), F.when(fit, F.xxhash64(c["body"])).alias("h"))
+    def from_unit(i: Column) -> Column:
+        # quick forms of what grown gives, for one unit and for two
+        a, b = F.get("chunks", i), F.get("chunks", i + 1)
+        seed = F.xxhash64(F.lit(0).cast("long"), a["h"])
+        made = lambda n, h: F.struct(i.cast("int").alias("j"), F.lit(n).alias("n"), h.alias("h"))
+        return (
+            F.when(a["words"] >= LONG_LINE, made(1, seed))
+            .when(a["words"] + b["words"] >= MIN_WORDS, made(2, F.xxhash64(seed, b["h"])))
+            .otherwise(_bind(grown(F.slice("chunks", i + 1, MIN_WORDS)), lambda g: window(i, g)))
+        )
 
-    cut = _once(docs, F.flatten(F.transform(F.split(text, _AFTER_BREAK), lines_of)), "_lines")
-    cut = _once(cut, F.filter(F.sequence(F.lit(1), F.size("_lines")), begins), "_starts")
-    cut = _once(cut, F.transform("_starts", chunk), "_chunks")
-    return _once(cut, F.transform("_chunks", hashed), "chunks").drop("_lines", "_starts", "_chunks")
+    def upto(end: Column) -> Column:
+        # the fewest units that end here, hashed from the first to the last like the others
+        first = F.greatest(end - MIN_WORDS + 1, F.lit(0))
+        back = grown(F.reverse(F.slice("chunks", first + 1, end - first + 1)))
+        return _bind(back, lambda g: F.when(enough(g["n"], g["words"]), F.struct((end - g["n"] + 1).cast("int").alias("j"), g["n"].alias("n"), F.aggregate(F.slice("chunks", end - g["n"] + 2, g["n"]), F.lit(0).cast("long"), lambda h, x: F.xxhash64(h, x["h"])).alias("h"))))
+
+    every = F.sequence(F.lit(0), F.size("chunks") - 1)
+    ahead = _once(hashed, F.filter(F.transform(every, from_unit), lambda w: w.isNotNull()), "_ahead")
+    ends = F.array_except(every, F.transform("_ahead", lambda w: w["j"] + w["n"] - 1))
+    return _once(ahead, F.concat("_ahead", F.filter(F.transform(ends, upto), lambda w: w.isNotNull())), "windows").drop("_ahead")
 
 
 def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -66,57 +109,67 @@ def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _repeats(places: DataFrame) -> DataFrame:
-    """(h, first): hashes that stand in several places of (doc_id, k, h, j), with the first place."""
-    seen = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "j")).alias("first"))
-    return seen.where(F.col("n") > 1).select("h", "first")
+    """(h, first): the first place of each hash in (doc_id, k, h, j)."""
+    return places.groupBy("h").agg(F.min(F.struct("doc_id", "k", "j")).alias("first"))
 
 
 def _by_document(places: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(doc_id, k, marks): for each document its chunks that repeat, and whether each is to go."""
+    """(doc_id, k, marks): for each document its windows that repeat, and whether each is to go."""
     place = F.struct("doc_id", "k", "j")
-    met = places.join(repeats, "h").select("doc_id", "k", F.struct("j", (~place.eqNullSafe(F.col("first"))).alias("goes")).alias("mark"))
-    return met.groupBy("doc_id", "k").agg(F.collect_set("mark").alias("marks"))
+    met = places.join(repeats, "h").select("doc_id", "k", F.struct("j", "n", "h", (~place.eqNullSafe(F.col("first"))).alias("goes")).alias("mark"))
+    return met.groupBy("doc_id", "k").agg(F.collect_list("mark").alias("marks"))
+
+
+def _covered(marks: Column) -> Column:
+    """Numbers of the units in windows."""
+    return F.array_distinct(F.flatten(F.transform(marks, lambda m: F.sequence(m["j"], m["j"] + m["n"] - 1))))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text freed of repeated chunks; further columns lines_repeated and lines_removed (chunks).
+    """docs with text freed of repeated passages; further columns lines_repeated and lines_removed (units: lines, sentences or pieces).
 
-    A chunk with equal bytes in several places of the table, in one document or many, is kept in its first place by
-    (doc_id, hash of the text, place in it) and removed from the others. The rest of a text stays byte for byte. A null text
+    A window of units with equal bytes, apart from white space at the ends of units, in several places of the table, in
+    one document or many, is kept in its first place by (doc_id, hash of the text, place in it), and its units go from
+    the others. So every unit stays somewhere. The rest of a text stays byte for byte. A null text
     stays null, an empty one empty; a text that repeats as a whole becomes empty. Rows that agree in doc_id and text
-    are one document and keep or lose the same chunks. Null doc_ids come first. Other columns are carried along;
+    are one document and keep or lose the same units. Null doc_ids come first. Other columns are carried along;
     columns named lines_repeated or lines_removed are replaced. An empty table gives no rows.
     """
     columns = [c for c in docs.columns if c not in ("lines_repeated", "lines_removed")]
     keyed = apart(docs.select(*columns)).withColumn("k", F.xxhash64("text"))
     # one pass over the texts leaves hashes only
-    narrow = with_chunks(keyed.where(F.col("text") != "").select("doc_id", "k", "text"))
-    hashes = materialize(narrow.select("doc_id", "k", F.transform("chunks", lambda c: c["h"]).alias("hs")), "lines-hashes")
-    places = hashes.select("doc_id", "k", F.posexplode("hs").alias("j", "h")).where(F.col("h").isNotNull()).distinct()
+    narrow = _windows(with_chunks(keyed.where(F.col("text") != "").select("doc_id", "k", "text")))
+    hashes = materialize(narrow.select("doc_id", "k", "windows"), "lines-hashes")
+    if not hashes.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty():
+        hashes = hashes.dropDuplicates(["doc_id", "k"])
+    often = hashes.select(F.explode("windows.h").alias("h")).groupBy("h").count().where(F.col("count") > 1).select("h")
+    places = hashes.select("doc_id", "k", F.inline("windows")).join(often, "h", "left_semi")
+    places = materialize(places, "lines-places")
     refused = None
     while True:
         usable = places if refused is None else places.join(refused, "h", "left_anti")
         marks = _by_document(usable, materialize(_repeats(usable), "lines-repeats")).alias("m").hint("shuffle_hash")
         same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.k").eqNullSafe(F.col("m.k"))
         marked = materialize(keyed.alias("d").join(marks, same, "left").select("doc", "text", "marks"), "lines-marked")
-        # the comparison of bytes: chunks of one hash must fall into one group
-        rows = with_chunks(marked.where(F.col("marks").isNotNull()).select("text", "marks"))
-        bodies = rows.select(F.explode(F.transform("marks", lambda m: F.element_at("chunks", m["j"] + 1))).alias("c")).select("c.h", "c.body")
+        # the comparison of bytes: windows of one hash must fall into one group
+        rows = with_units(marked.where(F.col("marks").isNotNull()).select("text", "marks"))
+        bodies = rows.select(F.explode(F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.transform(F.slice("units", m["j"] + 1, m["n"]), lambda u: F.rtrim(u, F.lit(_WHITE))).alias("body")))).alias("c")).select("c.h", "c.body")
         unequal = bodies.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") > 1).select("h")
         unequal = materialize(unequal, "lines-unequal")
         if unequal.isEmpty():
             break
         refused = unequal if refused is None else refused.unionByName(unequal)
-    gone = F.transform(F.filter("marks", lambda m: m["goes"]), lambda m: m["j"])
-    counts = [F.coalesce(F.size("marks"), F.lit(0)).alias("lines_repeated"), F.coalesce(F.size(gone), F.lit(0)).alias("lines_removed")]
-    touched = with_chunks(marked.where(F.size(gone) > 0))
-    body = F.array_join(F.transform(F.filter("chunks", lambda c, i: ~F.array_contains(gone, i)), lambda c: c["body"]), "")
+    going = F.filter("marks", lambda m: m["goes"])
+    counted = _once(_once(marked, _covered(going), "gone"), F.coalesce(F.size(_covered(F.col("marks"))), F.lit(0)), "met")
+    counts = [F.col("met").alias("lines_repeated"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed")]
+    touched = with_units(counted.where(F.size("gone") > 0))
+    body = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("gone")), lambda i: F.get("units", i)), "")
     changed = _once(touched, body, "left").select(*together(columns, F.col("left")), *counts)
-    whole = marked.where(F.col("marks").isNull() | (F.size(gone) == 0)).select(*together(columns, F.col("text")), *counts)
+    whole = counted.where(F.col("gone").isNull() | (F.size("gone") == 0)).select(*together(columns, F.col("text")), *counts)
     return whole.unionByName(changed)
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents without the chunks of lines that stand elsewhere before."""
+    """documents without the passages that stand elsewhere before."""
     out = dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_repeated", "lines_removed", F.length("text").cast("long").alias("n_chars"), "text")
