@@ -256,6 +256,23 @@ def test_one_near_duplicate_stays(docs, empty, spark):
     assert kept == [1, 3, 4]
 
 
+@pytest.mark.parametrize("flips, met", [((11, 11, 12, 12), True), ((12, 12, 11, 11), True), ((12, 12, 12, 10), True), ((11, 12, 12, 12), False)])
+def test_near_pairs_meet_in_some_word(spark, monkeypatch, flips, met):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+    near = base.copy()
+    for i, n in enumerate(flips):
+        for b in rng.choice(64, n, replace=False).tolist():
+            near[i] ^= np.uint64(1 << b)
+    f = np.stack([base, near, *rng.integers(0, 1 << 64, (20, 4), dtype=np.uint64)])
+    names = [f"f{i}" for i in range(4)]
+    rows = [(d, f"text {d}", int(node), *x) for d, (node, x) in enumerate(zip(simhash.nodes_of(f), f.view(np.int64).tolist()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, " + ", ".join(f"{x} long" for x in names))
+    monkeypatch.setattr(simhash, "fingerprint", lambda *_: docs.select("doc_id", F.xxhash64("text").alias("k"), "node", *names))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs.select("doc_id", "text")).collect()}
+    assert kept == set(range(22)) - ({1} if met else set())
+
+
 def test_lm(docs, empty):
     held = lm.held_out(F.col("doc_id"))
     tokens = lambda t: (t or "").encode().translate(bytes(brute.LOWER.get(c, c) for c in range(256))).split() + [None]

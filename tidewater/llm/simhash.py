@@ -376,20 +376,26 @@ def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return rows.join(per_print, "f0").select("doc_id", "f0", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 10, wide: int = 46, indexed: int = 2) -> DataFrame:
+def radii(wide: int, words: int) -> list[int]:
+    """Of two fingerprints within wide bits one word at least is within its radius: sum(t + 1) = wide + 1."""
+    return [(wide + words - i) // words - 1 for i in range(words)]
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46) -> DataFrame:
     """docs with one document of each group of near-duplicates, all columns as they are.
 
     Fingerprints have `words` words of 64 bits; documents link if they differ in at most `wide` bits of all, which is a
-    similarity of about 0.8 of their word shingles, and in at most `radius` bits of one of the first `indexed` words. Of each
-    connected group the row of the smallest (doc_id, hash of the text) stays; null doc_ids come first. Null texts
+    similarity of about 0.8 of their word shingles. All words are probed, with radii of which a pair within `wide` bits
+    meets one at least. Of each connected group the row of the smallest (doc_id, hash of the text) stays; null doc_ids come first. Null texts
     and texts without words are a group of their own. Rows that agree in doc_id and text leave one row. An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(words)]
     rows = materialize(fingerprint(docs, shingle, words), "near-rows")
     prints = materialize(rows.select("node", *names).distinct(), "near-prints")
-    links = linked(prints, radius, words, wide)
-    for turn in range(1, indexed):
-        links = links.unionByName(linked(prints, radius, words, wide, turn))
+    links = None
+    for turn, radius in enumerate(radii(wide, words)):
+        more = linked(prints, radius, words, wide, turn)
+        links = more if links is None else links.unionByName(more)
     labels = connected_components(links)
     grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
     grouped = materialize(grouped, "near-groups")
