@@ -113,6 +113,14 @@ def test_contaminated_words_are_cut(docs, items):
     assert decontam.find_contamination(out, items).where(F.size("items") > 0).count() == 0
 
 
+def test_blocks_of_items_change_no_cut(docs, spark):
+    w = [f"w{i}" for i in range(1, 21)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100, "start " + " ".join(w) + " end")], "doc_id long, text string"))
+    items = spark.createDataFrame([(f"i{a}", " ".join(w[a : a + 10])) for a in range(0, 11, 2)] + [("a", ITEM), ("b", "Four five six")], "item_id string, text string")
+    got = [Counter((r["doc_id"], r["text"], r["words_removed"]) for r in decontam.decontaminate(rows, items, block_bytes=b).collect()) for b in (1 << 20, 30)]
+    assert got[0] == got[1] and got[1][100, "start  end", 20] == 1
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 4, 400)

@@ -237,7 +237,7 @@ class _Shard:
         for piece in self.rows:
             at = range(base, base + piece.num_rows)
             base += piece.num_rows
-            texts = [self.without(i, *spans[i]) if self.cut and i in spans else None for i in at]
+            texts = [_without(self.texts[i], *self.bounds[i], *spans[i]) if self.cut and i in spans else None for i in at]
             own = piece.drop_columns("text")
             yield pa.RecordBatch.from_arrays(
                 [*own.columns, pa.array([self.n_words[i] for i in at], pa.int64())]
@@ -248,13 +248,27 @@ class _Shard:
             )
         self.clear()
 
-    def without(self, doc: int, firsts: list[int], lasts: list[int]) -> str:
-        """The text without the words of the spans and what stands between them."""
-        text, (starts, ends), out, at = self.texts[doc], self.bounds[doc], [], 0
-        for f, last in zip(firsts, lasts):
-            out.append(text[at : starts[f]])
-            at = int(ends[last])
-        return b"".join([*out, text[at:]]).decode()
+
+def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, firsts: list[int], lasts: list[int]) -> str:
+    """The text without the words of the spans and what stands between them; starts, ends: of its words."""
+    out, at = [], 0
+    for f, last in zip(firsts, lasts):
+        out.append(text[at : starts[f]])
+        at = int(ends[last])
+    return b"".join([*out, text[at:]]).decode()
+
+
+def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of text, _s (spans) and further columns: these with _text, which is text without its spans."""
+    for batch in batches:
+        for piece, texts in slices(batch):
+            w, spans, out = words_of(texts), piece.column("_s").to_pylist(), piece.column("text").to_pylist()
+            for i, own in enumerate(spans):
+                if own:
+                    at = slice(w.first[i], w.first[i + 1])
+                    out[i] = _without(texts[i], w.starts[at] - w.text_starts[i], w.ends[at] - w.text_starts[i], [x["f"] for x in own], [x["l"] for x in own])
+            rest = piece.drop_columns(["text", "_s"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*rest.schema.names, "_text"])
 
 
 def _scan(shared, cut: bool):
@@ -293,6 +307,18 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), none, lambda a, x: F.when((F.size(a) > 0) & (x["f"] <= F.try_element_at(a, F.lit(-1))["l"] + 1), joined(a, x)).otherwise(F.concat(a, F.array(x))))
 
 
+def _over_blocks(rows: DataFrame, blocks: list[list[tuple[str, str | None]]], window: int, *carried: str) -> DataFrame:
+    """(row, carried, _n_words, _s, _items) for each of rows (row, text, carried): spans _s of all blocks on the unchanged texts, merged."""
+    passes = [_passed(rows.select("row", "text", *carried), b, False, window) for b in blocks]
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionAll(more)
+    spans = F.arrays_zip(F.col("_firsts").alias("f"), F.col("_lasts").alias("l"))
+    return every.select("row", *carried, "_n_words", spans.alias("s"), "_items").groupBy("row").agg(
+        *[F.max(c).alias(c) for c in carried], F.max("_n_words").alias("_n_words"), _merged(F.flatten(F.collect_list("s"))).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")
+    )
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Where phrases of the benchmark stand in documents: (doc_id, n_words, firsts, lasts, items), one row for each of docs.
 
@@ -307,28 +333,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         found = _passed(rows, blocks[0], False, window)
         return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_firsts").alias("firsts"), F.col("_lasts").alias("lasts"), F.col("_items").alias("items"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    passes = [_passed(rows, b, False, window) for b in blocks]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionAll(more)
-    spans = F.arrays_zip(F.col("_firsts").alias("f"), F.col("_lasts").alias("l"))
-    met = every.select("doc_id", "row", "_n_words", spans.alias("s"), "_items").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("_n_words").alias("n_words"), _merged(F.flatten(F.collect_list("s"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items")
-    )
+    met = _over_blocks(rows, blocks, window, "doc_id").withColumnsRenamed({"_n_words": "n_words", "_s": "s", "_items": "items"})
     return met.select("doc_id", "n_words", F.transform("s", lambda x: x["f"]).alias("firsts"), F.transform("s", lambda x: x["l"]).alias("lasts"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the words of all spans cut out of text, and words_removed; other columns are carried along.
 
-    Texts without spans stay byte for byte, null ones null. Each block of the benchmark is a pass over what the last one left.
+    Texts without spans stay byte for byte, null ones null. A benchmark of more than block_bytes takes several passes
+    over the unchanged texts, whose spans are merged for each row before they are cut, so blocks change no result.
     """
     columns = [c for c in docs.columns if c != "words_removed"]
-    out = apart(docs.select(*columns)).drop("doc_id").withColumn("removed", F.lit(0).cast("long"))
-    for items in item_blocks(benchmark, block_bytes):
-        found = _passed(out, items, True, window)
-        out = found.select("doc", F.col("_text").alias("text"), (F.col("removed") + _length("_firsts", "_lasts")).alias("removed"))
-    return out.select(*together(columns, F.col("text")), F.col("removed").alias("words_removed"))
+    rows = apart(docs.select(*columns)).drop("doc_id")
+    blocks = item_blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        found = _passed(rows, blocks[0], True, window)
+        out = found.select("doc", F.col("_text").alias("text"), _length("_firsts", "_lasts").alias("removed"))
+        return out.select(*together(columns, F.col("text")), F.col("removed").alias("words_removed"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+    spans = _over_blocks(rows, blocks, window).where(F.size("_s") > 0).select("row", "_s")
+    met = rows.join(spans, "row", "left").select("doc", "_s", "text")
+    removed = F.coalesce(F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["l"] - x["f"] + 1), F.lit(0).cast("long"))
+    met = met.withColumn("removed", removed)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("text", "_s")]
+    out = met.mapInArrow(_cut_spans, ", ".join([*fields, "_text string"]))
+    return out.select(*together(columns, F.col("_text")), F.col("removed").alias("words_removed"))
 
 
 def _length(firsts: str, lasts: str):
