@@ -299,6 +299,16 @@ def test_lm(docs, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
+def test_every_training_position_is_a_target(monkeypatch):
+    model = lm.fresh_model(np.sort(np.array([3, 9, int(lm.END)], np.uint64)), np.full(3 + lm.CLASSES, 1 / (3 + lm.CLASSES)))
+    s = lm.stream_of([b"two words", b"", b"a text of some more words than eight of them"])
+    met = Counter()
+    trainer = lm.Trainer(model, 1)
+    monkeypatch.setattr(trainer, "step", lambda contexts, targets: met.update(targets.tolist()))
+    trainer.learn(s)
+    assert met == Counter(model.symbols(s).tolist())
+
+
 def test_symbol_probabilities_are_normalised():
     model = lm.fresh_model(np.sort(np.array([3, 9, int(lm.END)], np.uint64)), np.full(3 + lm.CLASSES, 1 / (3 + lm.CLASSES)))
     s = lm.stream_of([b"some words", b"", b"more of them"])

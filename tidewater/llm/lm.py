@@ -25,8 +25,6 @@ from tidewater.llm.words import SOLID, Words, slices, words_of
 WORDS, CLASSES = 127, 128
 #: Symbols of context, and size of their vectors.
 CONTEXT, DIM = 4, 16
-#: Training uses one in so many positions of every training text.
-STRIDE = 8
 BATCH, NOISE, RATE = 1024, 64, 0.08
 #: A token with at least 1/HEAD of all training tokens has its count broadcast; there are at most HEAD of them.
 HEAD = 500_000
@@ -194,9 +192,10 @@ class Trainer:
             p += RATE * g * np.sqrt(n) / np.sqrt(square)
         self.seen += n
 
-    def learn(self, s: Stream, offset: int, stride: int = STRIDE) -> None:
+    def learn(self, s: Stream) -> None:
+        """Every position is a target once, in random order."""
         symbols = self.model.symbols(s)
-        at = np.arange(offset % stride, len(symbols), stride)
+        at = np.arange(len(symbols))
         self.rng.shuffle(at)
         for i in range(0, len(at), BATCH):
             part = at[i : i + BATCH]
@@ -205,11 +204,10 @@ class Trainer:
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, turn = Trainer(shared.value, 17 + TaskContext.get().partitionId()), 0
+        trainer = Trainer(shared.value, 17 + TaskContext.get().partitionId())
         for batch in batches:
             for _, texts in slices(batch):
-                trainer.learn(stream_of(texts), turn)
-                turn += 1
+                trainer.learn(stream_of(texts))
         if trainer.seen:
             flat = np.concatenate([p.ravel() for p in trainer.params]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.seen), pa.array(np.full(len(flat), float(trainer.seen)))], names=["i", "v", "w"])
@@ -300,7 +298,7 @@ def score_texts(docs: DataFrame, training: DataFrame, held: Column | None = None
     Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs. Null texts
     are empty and have one token, their end. Without training texts every token has count 0. held is the column for
     held_out. Null or repeated doc_ids are rows like others; further columns play no part; empty tables give no rows.
-    Token counts cover all training texts; the model's training uses one in STRIDE positions of each of them.
+    Token counts cover all training texts; so does the model's training, each position of them once.
     """
     spark = docs.sparkSession
     counts = materialize(token_counts(training), "lm-counts")
