@@ -1,38 +1,37 @@
-"""Line dedup over runs of lines and sentences, with DataFrame operations only.
-
-A text is cut into lines and sentences; what is long without a sentence end is cut
-further before words whose hash is the least around, so a passage is cut alike wherever it
-stands. Every unit begins a window: the fewest units from it on that have enough
-words. Windows that stand in more than one place lose all places but the first, after
-their bytes were compared by grouping; neighbouring windows overlap, so together they
-cover a repeated passage from its first unit to its last.
+"""Line dedup over content-defined chunks of lines and sentences, with DataFrame operations only.
+
+A text is cut into lines and sentences; what is long without a sentence end is cut further between words. A rolling
+hash over the hashes of neighbouring units chooses the boundaries of chunks, so a passage is chunked alike wherever it
+stands. Chunks that stand in more than one place keep the first, and runs of repeated chunks that are long enough go
+from the other places, after their bytes were compared by grouping.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import apart, materialize, read_table, together
 
-#: Words that a window of one unit has at least; shorter lines repeat by chance.
-LONG_LINE = 20
-#: Words that a window of several units has at least; shorter ones are set phrases.
-MIN_WORDS = 12
-#: Words from which a unit without sentence end is cut, before words whose hash is less than those of so many words on
-#: both sides. Where few words repeat at once there are none, so that a drone stays whole.
-ENDLESS, NEAR = 30, 3
+#: Code points that a run of repeated chunks has at least; shorter ones are set phrases.
+MIN_CHARS = 80
+#: Code points from which a sentence ends a chunk whatever the rolling hash says; the end of a line always does.
+OWN_CHUNK = 40
+#: Code points from which a unit is cut between words, at one in WORD_SPREAD places.
+ENDLESS, WORD_SPREAD = 240, 6
 
 _ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
-_WORD = rf"[{_ALONE}]|[^\s{_ALONE}]+"
-_BETWEEN_UNITS = r"(?<=\s)(?=\S)(?<=\n\s{0,8}|[.!?]\s{1,8})|(?<=[\u3002\uFF01\uFF1F])(?=\S)"
+_END = "\n.!?。！？"
+_UNIT = rf"[^{_END}]*+[{_END}]++\s*+|[^{_END}]++"
 _BETWEEN_WORDS = rf"(?<=\s)(?=\S)|(?<=[{_ALONE}])(?=\S)"
 _WHITE = " \t\n\r\x0b\x0c"
+_MASK = (1 << 40) - 1
 
 
-def _words(text: Column) -> Column:
-    """Words by all white space between them; in scripts without spaces a character is a word."""
-    return F.regexp_count(text, F.lit(_WORD))
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is computed once for each row: a generator keeps the optimizer from copying it into the
+    functions that run for every element of an array."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _bind(value: Column, use) -> Column:
@@ -40,128 +39,119 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `units`, array<string> in the text's order; joined, they are the text. A null text has null units."""
-
-    def pieces(unit: Column) -> Column:
-        def begins(h: Column, i: Column) -> Column:
-            here, after = F.element_at(h, i), F.array_min(F.slice(h, i + 1, F.lit(NEAR)))
-            return (i > NEAR) & (here < F.array_min(F.slice(h, F.greatest(i - NEAR, F.lit(1)), F.lit(NEAR)))) & (after.isNull() | (here < after))
+def _hash(unit: Column) -> Column:
+    return F.xxhash64(F.rtrim(unit, F.lit(_WHITE)))
 
-        def cut(w: Column) -> Column:
-            hashes = F.transform(w, lambda x: F.xxhash64(F.rtrim(x, F.lit(_WHITE))))
-            starts = _bind(hashes, lambda h: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | begins(h, i)))
-            return _bind(starts, lambda st: F.transform(st, lambda i, n: F.array_join(F.slice(w, i, F.coalesce(F.get(st, n + 1), F.size(w) + 1) - i), "")))
 
-        return F.when((F.length(unit) >= ENDLESS) & (_words(unit) >= ENDLESS), _bind(F.split(unit, _BETWEEN_WORDS), cut)).otherwise(F.array(unit))
+def _chosen(h: Column, i: Column, spread: int) -> Column:
+    """Whether the rolling hash over the hashes i - 1 and i, counted from 0, is one in `spread`."""
+    return F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)).bitwiseAND(F.lit(_MASK)), F.lit(spread)) == 0
 
-    return _once(docs, F.flatten(F.transform(F.split(text, _BETWEEN_UNITS), pieces)), "units")
 
+def _pieces(unit: Column) -> Column:
+    """A long unit cut before words chosen by rolling hash; not before one of the three words before it, so that a
+    drone of few words stays whole."""
 
-def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `chunks`, array<struct<body, h, words>> of units in the text's order. h is of the body without white space at its end."""
-    cut = with_units(docs, text)
-    hashed = F.transform("units", lambda u: F.struct(u.alias("body"), F.xxhash64(F.rtrim(u, F.lit(_WHITE))).alias("h"), _words(u).alias("words")))
-    return _once(cut, hashed, "chunks").drop("units")
-
+    def cut(w: Column) -> Column:
+        def starts(h: Column) -> Column:
+            fresh = lambda i: ~F.array_contains(F.slice(h, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), F.get(h, i))
+            return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (_chosen(h, i, WORD_SPREAD) & fresh(i)))
 
-def _windows(hashed: DataFrame) -> DataFrame:
-    """hashed with `windows`, array<struct<j, n, h>> over its `chunks` (h, words): n units from the j-th on, j from 0."""
+        def joined(at: Column) -> Column:
+            return F.transform(at, lambda i, n: F.array_join(F.slice(w, i + 1, F.coalesce(F.get(at, n + 1), F.size(w)) - i), ""))
 
-    def enough(n: Column, words: Column) -> Column:
-        return (words >= LONG_LINE) | ((n > 1) & (words >= MIN_WORDS))
+        return _bind(_bind(F.transform(w, _hash), starts), joined)
 
-    def grown(units: Column) -> Column:
-        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(0).cast("long").alias("h"))
-        more = lambda a, x: F.when(enough(a["n"], a["words"]), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["words"] + x["words"]).alias("words"), F.xxhash64(a["h"], x["h"]).alias("h")))
-        return F.aggregate(units, none, more)
+    return F.when(F.char_length(unit) >= ENDLESS, _bind(F.split(unit, _BETWEEN_WORDS), cut)).otherwise(F.array(unit))
 
-    def window(j: Column, g: Column) -> Column:
-        return F.when(enough(g["n"], g["words"]), F.struct(j.cast("int").alias("j"), g["n"].alias("n"), g["h"].alias("h")))
 
-    def from_unit(i: Column) -> Column:
-        # quick forms of what grown gives, for one unit and for two
-        a, b = F.get("chunks", i), F.get("chunks", i + 1)
-        seed = F.xxhash64(F.lit(0).cast("long"), a["h"])
-        made = lambda n, h: F.struct(i.cast("int").alias("j"), F.lit(n).alias("n"), h.alias("h"))
-        return (
-            F.when(a["words"] >= LONG_LINE, made(1, seed))
-            .when(a["words"] + b["words"] >= MIN_WORDS, made(2, F.xxhash64(seed, b["h"])))
-            .otherwise(_bind(grown(F.slice("chunks", i + 1, MIN_WORDS)), lambda g: window(i, g)))
-        )
+def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `units`, array<string> in the text's order; joined, they are the text. A null text has null units."""
+    coarse = _once(docs, F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0)), "_coarse")
+    some = F.exists("_coarse", lambda u: F.char_length(u) >= ENDLESS)
+    return _once(coarse, F.when(some, F.flatten(F.transform("_coarse", _pieces))).otherwise(F.col("_coarse")), "units").drop("_coarse")
 
-    def upto(end: Column) -> Column:
-        # the fewest units that end here, hashed from the first to the last like the others
-        first = F.greatest(end - MIN_WORDS + 1, F.lit(0))
-        back = grown(F.reverse(F.slice("chunks", first + 1, end - first + 1)))
-        return _bind(back, lambda g: F.when(enough(g["n"], g["words"]), F.struct((end - g["n"] + 1).cast("int").alias("j"), g["n"].alias("n"), F.aggregate(F.slice("chunks", end - g["n"] + 2, g["n"]), F.lit(0).cast("long"), lambda h, x: F.xxhash64(h, x["h"])).alias("h"))))
 
-    every = F.sequence(F.lit(0), F.size("chunks") - 1)
-    ahead = _once(hashed, F.filter(F.transform(every, from_unit), lambda w: w.isNotNull()), "_ahead")
-    ends = F.array_except(every, F.transform("_ahead", lambda w: w["j"] + w["n"] - 1))
-    return _once(ahead, F.concat("_ahead", F.filter(F.transform(ends, upto), lambda w: w.isNotNull())), "windows").drop("_ahead")
+def _placed(cut: DataFrame) -> DataFrame:
+    """cut with `chunks`, array<struct<s, n, h, chars>>: n units from the s-th on, s from 0."""
+    told = F.transform("units", lambda u: F.struct(_hash(u).alias("h"), F.char_length(u).alias("chars"), F.endswith(F.rtrim(u, F.lit(" \t\r")), F.lit("\n")).alias("ends")))
+    seen = _once(cut, told, "_told")
+    ends = lambda i: F.get("_told", i)["ends"] | (F.get("_told", i)["chars"] >= OWN_CHUNK)
+    begins = lambda i: (i == 0) | ends(i - 1) | _chosen(F.col("_told.h"), i, 2)
+    starts = _once(seen, F.when(F.size("_told") > 0, F.filter(F.sequence(F.lit(0), F.size("_told") - 1), begins)).otherwise(F.array().cast("array<int>")), "_starts")
 
+    def chunk(s: Column, i: Column) -> Column:
+        own = F.slice("_told", s + 1, F.coalesce(F.get("_starts", i + 1), F.size("_told")) - s)
+        return _bind(own, lambda x: F.struct(s.alias("s"), F.size(x).alias("n"), F.xxhash64(x["h"]).alias("h"), F.aggregate(x, F.lit(0), lambda a, u: a + u["chars"]).alias("chars")))
 
-def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """df with a column that is computed once for each row: a generator keeps the optimizer from copying it into the
-    functions that run for every element of an array."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
+    return _once(starts, F.transform("_starts", chunk), "chunks").drop("_told", "_starts")
 
-def _repeats(places: DataFrame) -> DataFrame:
-    """(h, first): the first place of each hash in (doc_id, k, h, j)."""
-    return places.groupBy("h").agg(F.min(F.struct("doc_id", "k", "j")).alias("first"))
 
+def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `chunks`, array<struct<body, s, n, h, chars>> in the text's order. h is of the units without white space at their ends."""
+    whole = lambda c: F.struct(F.array_join(F.slice("units", c["s"] + 1, c["n"]), "").alias("body"), c["s"].alias("s"), c["n"].alias("n"), c["h"].alias("h"), c["chars"].alias("chars"))
+    placed = _placed(with_units(docs, text)).withColumnRenamed("chunks", "_placed")
+    return _once(placed, F.transform("_placed", whole), "chunks").drop("units", "_placed")
 
-def _by_document(places: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(doc_id, k, marks): for each document its windows that repeat, and whether each is to go."""
-    place = F.struct("doc_id", "k", "j")
-    met = places.join(repeats, "h").select("doc_id", "k", F.struct("j", "n", "h", (~place.eqNullSafe(F.col("first"))).alias("goes")).alias("mark"))
-    return met.groupBy("doc_id", "k").agg(F.collect_list("mark").alias("marks"))
 
+def _going(places: DataFrame) -> DataFrame:
+    """(h, doc_id, k, s, n) of places in runs of MIN_CHARS code points or more whose every chunk has an earlier place.
 
-def _covered(marks: Column) -> Column:
-    """Numbers of the units in windows."""
-    return F.array_distinct(F.flatten(F.transform(marks, lambda m: F.sequence(m["j"], m["j"] + m["n"] - 1))))
+    A run is counted within its document; nothing of other documents is gathered there.
+    """
+    first = materialize(places.groupBy("h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first")), "lines-first")
+    later = places.join(first, "h").where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first"))).drop("first")
+    in_doc = Window.partitionBy("doc_id", "k").orderBy("s")
+    # the units before a chunk that are not in such chunks are as many all along a run
+    run = later.withColumn("run", F.col("s") - F.coalesce(F.sum("n").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sized = run.withColumn("size", F.sum("chars").over(Window.partitionBy("doc_id", "k", "run")))
+    return sized.where(F.col("size") >= MIN_CHARS).select("h", "doc_id", "k", "s", "n")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text freed of repeated passages; further columns lines_repeated and lines_removed (units: lines, sentences or pieces).
 
-    A window of units with equal bytes, apart from white space at the ends of units, in several places of the table, in
-    one document or many, is kept in its first place by (doc_id, hash of the text, place in it), and its units go from
-    the others. So every unit stays somewhere. The rest of a text stays byte for byte. A null text
-    stays null, an empty one empty; a text that repeats as a whole becomes empty. Rows that agree in doc_id and text
-    are one document and keep or lose the same units. Null doc_ids come first. Other columns are carried along;
+    A chunk of units with equal bytes, apart from white space at the ends of units, in several places of the table, in
+    one document or many, is kept in its first place by (doc_id, hash of the text, place in it). The others go where
+    they stand in a run of such chunks of MIN_CHARS code points or more. So every unit stays somewhere. The rest of a
+    text stays byte for byte. lines_repeated counts the units of chunks that go or are the first place of one that goes.
+    A null text stays null, an empty one empty; a text that repeats as a whole becomes empty. Rows that agree in doc_id
+    and text are one document and keep or lose the same units. Null doc_ids come first. Other columns are carried along;
     columns named lines_repeated or lines_removed are replaced. An empty table gives no rows.
     """
     columns = [c for c in docs.columns if c not in ("lines_repeated", "lines_removed")]
     keyed = apart(docs.select(*columns)).withColumn("k", F.xxhash64("text"))
     # one pass over the texts leaves hashes only
-    narrow = _windows(with_chunks(keyed.where(F.col("text") != "").select("doc_id", "k", "text")))
-    hashes = materialize(narrow.select("doc_id", "k", "windows"), "lines-hashes")
+    narrow = _placed(with_units(keyed.where(F.col("text") != "").select("doc_id", "k", "text")).drop("text"))
+    hashes = materialize(narrow.select("doc_id", "k", "chunks"), "lines-hashes")
     if not hashes.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty():
         hashes = hashes.dropDuplicates(["doc_id", "k"])
-    often = hashes.select(F.explode("windows.h").alias("h")).groupBy("h").count().where(F.col("count") > 1).select("h")
-    places = hashes.select("doc_id", "k", F.inline("windows")).join(often, "h", "left_semi")
+    often = hashes.select(F.explode("chunks.h").alias("h")).groupBy("h").count().where(F.col("count") > 1).select("h")
+    places = hashes.select("doc_id", "k", F.inline("chunks")).join(often.hint("shuffle_hash"), "h", "left_semi")
     places = materialize(places, "lines-places")
     refused = None
     while True:
         usable = places if refused is None else places.join(refused, "h", "left_anti")
-        marks = _by_document(usable, materialize(_repeats(usable), "lines-repeats")).alias("m").hint("shuffle_hash")
+        going = materialize(_going(usable), "lines-going")
+        # a chunk that goes somewhere is compared in all its places
+        compared = usable.join(going.select("h").distinct(), "h", "left_semi")
+        goes = compared.join(going.select("h", "doc_id", "k", "s", F.lit(True).alias("goes")).alias("g"), (compared["h"] == F.col("g.h")) & compared["doc_id"].eqNullSafe(F.col("g.doc_id")) & (compared["k"] == F.col("g.k")) & (compared["s"] == F.col("g.s")), "left")
+        mark = F.struct(compared["s"], compared["n"], compared["h"], F.coalesce(F.col("goes"), F.lit(False)).alias("goes"))
+        marks = goes.groupBy(compared["doc_id"], compared["k"]).agg(F.collect_list(mark).alias("marks")).alias("m").hint("shuffle_hash")
         same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.k").eqNullSafe(F.col("m.k"))
         marked = materialize(keyed.alias("d").join(marks, same, "left").select("doc", "text", "marks"), "lines-marked")
-        # the comparison of bytes: windows of one hash must fall into one group
+        # the comparison of bytes: chunks of one hash must fall into one group
         rows = with_units(marked.where(F.col("marks").isNotNull()).select("text", "marks"))
-        bodies = rows.select(F.explode(F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.transform(F.slice("units", m["j"] + 1, m["n"]), lambda u: F.rtrim(u, F.lit(_WHITE))).alias("body")))).alias("c")).select("c.h", "c.body")
+        bodies = rows.select(F.explode(F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.transform(F.slice("units", m["s"] + 1, m["n"]), lambda u: F.rtrim(u, F.lit(_WHITE))).alias("body")))).alias("c")).select("c.h", "c.body")
         unequal = bodies.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") > 1).select("h")
         unequal = materialize(unequal, "lines-unequal")
         if unequal.isEmpty():
             break
         refused = unequal if refused is None else refused.unionByName(unequal)
-    going = F.filter("marks", lambda m: m["goes"])
-    counted = _once(_once(marked, _covered(going), "gone"), F.coalesce(F.size(_covered(F.col("marks"))), F.lit(0)), "met")
-    counts = [F.col("met").alias("lines_repeated"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed")]
+    covered = lambda marks: F.flatten(F.transform(marks, lambda m: F.sequence(m["s"], m["s"] + m["n"] - 1)))
+    counted = _once(marked, covered(F.filter("marks", lambda m: m["goes"])), "gone")
+    met = F.coalesce(F.aggregate("marks", F.lit(0), lambda a, m: a + m["n"]), F.lit(0))
+    counts = [met.alias("lines_repeated"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed")]
     touched = with_units(counted.where(F.size("gone") > 0))
     body = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("gone")), lambda i: F.get("units", i)), "")
     changed = _once(touched, body, "left").select(*together(columns, F.col("left")), *counts)
