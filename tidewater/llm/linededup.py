@@ -8,6 +8,8 @@ from the other places, after their bytes were compared by grouping.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,18 @@ from tidewater.llm.common import apart, materialize, read_table, together
 #: Code points that a run of repeated chunks has at least; shorter ones are set phrases.
 MIN_CHARS = 80
 #: Code points from which a sentence ends a chunk whatever the rolling hash says; the end of a line always does.
-OWN_CHUNK = 40
+OWN_CHUNK = 64
+#: One in so many ends of shorter sentences is a boundary.
+SPREAD = 3
 #: Code points from which a unit is cut between words, at one in WORD_SPREAD places.
-ENDLESS, WORD_SPREAD = 240, 6
-
-_ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
-_END = "\n.!?。！？"
-_UNIT = rf"[^{_END}]*+[{_END}]++\s*+|[^{_END}]++"
-_BETWEEN_WORDS = rf"(?<=\s)(?=\S)|(?<=[{_ALONE}])(?=\S)"
+ENDLESS, WORD_SPREAD = 300, 8
+
+_UNIT = r"[^\n.!?]*+[\n.!?]++\s*+|[^\n.!?]++"
+#: From here on, code points of scripts that write without spaces are words of their own. One range; unions are slow.
+_ALONE = r"\x{0E00}-\x{3FFFF}"
+_WORD = rf"[^\s{_ALONE}]++\s*+|[{_ALONE}]\s*+|\s++"
+#: Stands before the words that begin a piece while pieces are made; a unit that has it itself is not cut.
+_MARK = "\x01"
 _WHITE = " \t\n\r\x0b\x0c"
 _MASK = (1 << 40) - 1
 
@@ -39,8 +45,14 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _trimmed(unit: Column) -> Column:
+    """unit without spaces at its end, and without any white space there if the last of it is no space. Trimming of other
+    characters than spaces is slow, so it is done where it is needed only."""
+    return F.when(reduce(lambda a, b: a | b, (F.endswith(unit, F.lit(c)) for c in _WHITE[1:])), F.rtrim(unit, F.lit(_WHITE))).otherwise(F.rtrim(unit))
+
+
 def _hash(unit: Column) -> Column:
-    return F.xxhash64(F.rtrim(unit, F.lit(_WHITE)))
+    return F.xxhash64(_trimmed(unit))
 
 
 def _chosen(h: Column, i: Column, spread: int) -> Column:
@@ -53,16 +65,14 @@ def _pieces(unit: Column) -> Column:
     drone of few words stays whole."""
 
     def cut(w: Column) -> Column:
-        def starts(h: Column) -> Column:
-            fresh = lambda i: ~F.array_contains(F.slice(h, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), F.get(h, i))
-            return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (_chosen(h, i, WORD_SPREAD) & fresh(i)))
+        def marked(h: Column) -> Column:
+            fresh = lambda i: reduce(lambda a, b: a & b, (~F.get(h, i).eqNullSafe(F.get(h, F.greatest(i - d, F.lit(0)))) for d in (1, 2, 3)))
+            return F.transform(w, lambda x, i: F.when((i > 0) & _chosen(h, i, WORD_SPREAD) & fresh(i), F.concat(F.lit(_MARK), x)).otherwise(x))
 
-        def joined(at: Column) -> Column:
-            return F.transform(at, lambda i, n: F.array_join(F.slice(w, i + 1, F.coalesce(F.get(at, n + 1), F.size(w)) - i), ""))
+        return F.split(F.array_join(_bind(F.transform(w, _hash), marked), ""), _MARK)
 
-        return _bind(_bind(F.transform(w, _hash), starts), joined)
-
-    return F.when(F.char_length(unit) >= ENDLESS, _bind(F.split(unit, _BETWEEN_WORDS), cut)).otherwise(F.array(unit))
+    words = F.regexp_extract_all(unit, F.lit(_WORD), F.lit(0))
+    return F.when((F.char_length(unit) >= ENDLESS) & ~F.contains(unit, F.lit(_MARK)), _bind(words, cut)).otherwise(F.array(unit))
 
 
 def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,22 +84,31 @@ def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _placed(cut: DataFrame) -> DataFrame:
     """cut with `chunks`, array<struct<s, n, h, chars>>: n units from the s-th on, s from 0."""
-    told = F.transform("units", lambda u: F.struct(_hash(u).alias("h"), F.char_length(u).alias("chars"), F.endswith(F.rtrim(u, F.lit(" \t\r")), F.lit("\n")).alias("ends")))
-    seen = _once(cut, told, "_told")
-    ends = lambda i: F.get("_told", i)["ends"] | (F.get("_told", i)["chars"] >= OWN_CHUNK)
-    begins = lambda i: (i == 0) | ends(i - 1) | _chosen(F.col("_told.h"), i, 2)
-    starts = _once(seen, F.when(F.size("_told") > 0, F.filter(F.sequence(F.lit(0), F.size("_told") - 1), begins)).otherwise(F.array().cast("array<int>")), "_starts")
+    seen = _once(_once(cut, F.transform("units", _hash), "_h"), F.transform("units", F.char_length), "_n")
+    ends = lambda i: (F.get("_n", i) >= OWN_CHUNK) | F.endswith(F.rtrim(F.get("units", i)), F.lit("\n"))
+    begins = lambda i: (i == 0) | ends(i - 1) | _chosen(F.col("_h"), i, SPREAD)
+    starts = _once(seen, F.when(F.size("_n") > 0, F.filter(F.sequence(F.lit(0), F.size("_n") - 1), begins)).otherwise(F.array().cast("array<int>")), "_starts")
+
+    def over(name: str, s: Column, n: Column, merge) -> Column:
+        """merge over n elements from the s-th on, by their numbers: a slice would copy the whole array each time."""
+        first = F.get(name, s)
+        return F.when(n == 1, first).otherwise(F.aggregate(F.sequence(s + 1, s + F.greatest(n - 1, F.lit(1))), first, lambda a, i: merge(a, F.get(name, i))))
 
     def chunk(s: Column, i: Column) -> Column:
-        own = F.slice("_told", s + 1, F.coalesce(F.get("_starts", i + 1), F.size("_told")) - s)
-        return _bind(own, lambda x: F.struct(s.alias("s"), F.size(x).alias("n"), F.xxhash64(x["h"]).alias("h"), F.aggregate(x, F.lit(0), lambda a, u: a + u["chars"]).alias("chars")))
+        n = F.coalesce(F.get("_starts", i + 1), F.size("_n")) - s
+        return F.struct(s.alias("s"), n.alias("n"), over("_h", s, n, F.xxhash64).alias("h"), over("_n", s, n, lambda a, x: a + x).alias("chars"))
+
+    return _once(starts, F.transform("_starts", chunk), "chunks").drop("_h", "_n", "_starts")
+
 
-    return _once(starts, F.transform("_starts", chunk), "chunks").drop("_told", "_starts")
+def _units_of(c: Column) -> Column:
+    """The units of a chunk or mark; not by a slice, which would copy the whole array each time."""
+    return F.transform(F.sequence(c["s"], c["s"] + c["n"] - 1), lambda i: F.get("units", i))
 
 
 def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `chunks`, array<struct<body, s, n, h, chars>> in the text's order. h is of the units without white space at their ends."""
-    whole = lambda c: F.struct(F.array_join(F.slice("units", c["s"] + 1, c["n"]), "").alias("body"), c["s"].alias("s"), c["n"].alias("n"), c["h"].alias("h"), c["chars"].alias("chars"))
+    whole = lambda c: F.struct(F.array_join(_units_of(c), "").alias("body"), c["s"].alias("s"), c["n"].alias("n"), c["h"].alias("h"), c["chars"].alias("chars"))
     placed = _placed(with_units(docs, text)).withColumnRenamed("chunks", "_placed")
     return _once(placed, F.transform("_placed", whole), "chunks").drop("units", "_placed")
 
@@ -142,7 +161,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         marked = materialize(keyed.alias("d").join(marks, same, "left").select("doc", "text", "marks"), "lines-marked")
         # the comparison of bytes: chunks of one hash must fall into one group
         rows = with_units(marked.where(F.col("marks").isNotNull()).select("text", "marks"))
-        bodies = rows.select(F.explode(F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.transform(F.slice("units", m["s"] + 1, m["n"]), lambda u: F.rtrim(u, F.lit(_WHITE))).alias("body")))).alias("c")).select("c.h", "c.body")
+        bodies = rows.select(F.explode(F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.transform(_units_of(m), _trimmed).alias("body")))).alias("c")).select("c.h", "c.body")
         unequal = bodies.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") > 1).select("h")
         unequal = materialize(unequal, "lines-unequal")
         if unequal.isEmpty():
