@@ -113,18 +113,21 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return _once(placed, F.transform("_placed", whole), "chunks").drop("units", "_placed")
 
 
-def _going(places: DataFrame) -> DataFrame:
-    """(h, doc_id, k, s, n) of places in runs of MIN_CHARS code points or more whose every chunk has an earlier place.
+def _marks(places: DataFrame) -> DataFrame:
+    """(h, doc_id, k, s, n, goes): places in runs of MIN_CHARS code points or more whose every chunk has an earlier
+    place, and the first places of their chunks.
 
     A run is counted within its document; nothing of other documents is gathered there.
     """
-    first = materialize(places.groupBy("h").agg(F.min(F.struct("doc_id", "k", "s")).alias("first")), "lines-first")
-    later = places.join(first, "h").where(~F.struct("doc_id", "k", "s").eqNullSafe(F.col("first"))).drop("first")
+    first = materialize(places.groupBy("h").agg(F.min(F.struct("doc_id", "k", "s", "n")).alias("first")), "lines-first")
+    later = places.join(first, "h").where(~F.struct("doc_id", "k", "s", "n").eqNullSafe(F.col("first"))).drop("first")
     in_doc = Window.partitionBy("doc_id", "k").orderBy("s")
     # the units before a chunk that are not in such chunks are as many all along a run
     run = later.withColumn("run", F.col("s") - F.coalesce(F.sum("n").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sized = run.withColumn("size", F.sum("chars").over(Window.partitionBy("doc_id", "k", "run")))
-    return sized.where(F.col("size") >= MIN_CHARS).select("h", "doc_id", "k", "s", "n")
+    going = materialize(sized.where(F.col("size") >= MIN_CHARS).select("h", "doc_id", "k", "s", "n"), "lines-going")
+    kept = first.join(going.select("h").distinct(), "h", "left_semi").select("h", "first.*")
+    return going.withColumn("goes", F.lit(True)).unionByName(kept.withColumn("goes", F.lit(False)))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -151,12 +154,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     refused = None
     while True:
         usable = places if refused is None else places.join(refused, "h", "left_anti")
-        going = materialize(_going(usable), "lines-going")
-        # a chunk that goes somewhere is compared in all its places
-        compared = usable.join(going.select("h").distinct(), "h", "left_semi")
-        goes = compared.join(going.select("h", "doc_id", "k", "s", F.lit(True).alias("goes")).alias("g"), (compared["h"] == F.col("g.h")) & compared["doc_id"].eqNullSafe(F.col("g.doc_id")) & (compared["k"] == F.col("g.k")) & (compared["s"] == F.col("g.s")), "left")
-        mark = F.struct(compared["s"], compared["n"], compared["h"], F.coalesce(F.col("goes"), F.lit(False)).alias("goes"))
-        marks = goes.groupBy(compared["doc_id"], compared["k"]).agg(F.collect_list(mark).alias("marks")).alias("m").hint("shuffle_hash")
+        marks = _marks(usable).groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "n", "h", "goes")).alias("marks")).alias("m").hint("shuffle_hash")
         same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.k").eqNullSafe(F.col("m.k"))
         marked = materialize(keyed.alias("d").join(marks, same, "left").select("doc", "text", "marks"), "lines-marked")
         # the comparison of bytes: chunks of one hash must fall into one group
