@@ -1,9 +1,10 @@
 """Language-model scores from a log-bilinear model, trained by noise-contrastive estimation in numpy.
 
-A token is one of the most frequent words or falls into a class by its last bytes.
-The model predicts that symbol from the symbols before it, as a softmax over
-bilinear scores; inside a class a token has its smoothed share of the class. So
-every text has a normalised probability, with exact counts of all training tokens.
+A token is one of the frequent words or falls into a class by its last bytes; the numbers of both grow with the root of
+the training tokens. The model predicts that symbol from the one before it, as a softmax over bilinear scores; inside a
+class a token has its smoothed share of the class. So every text has a normalised probability, with exact counts of all
+training tokens. Training reads the exact counts of neighbouring symbols over all training texts, in blocks of rows, and
+takes noise by its expectation. Each block is solved by itself, so how rows are dealt to tasks changes nothing.
 Frequent tokens' counts are broadcast, the others' are joined.
 """
 
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import crc_of_id, materialize, read_table
 from tidewater.llm.words import SOLID, Words, slices, words_of
 
-#: Symbols: so many frequent words, and classes of the other tokens.
-WORDS, CLASSES = 127, 128
-#: Symbols of context, and size of their vectors.
-CONTEXT, DIM = 4, 16
-BATCH, NOISE, RATE = 1024, 64, 0.08
+#: Frequent words for the root of the number of training tokens, the least and the most of them (the model is broadcast);
+#: other tokens' classes, one for so many words.
+WORDS_PER_ROOT, LEAST_WORDS, MOST_WORDS, WORDS_PER_CLASS = 0.5, 64, 1 << 16, 4
+#: Size of the vectors, noise tokens for a true one, weight of the vectors' prior.
+DIM, NOISE, PRIOR = 12, 16.0, 2.0
+#: Rounds over contexts and targets, Newton steps in each, length of a step at most.
+ROUNDS, STEPS, LONGEST = 3, 2, 3.0
+#: Rows of a block of pair counts; parts in which a block's counts are summed first; pairs a task holds.
+BLOCK, PARTS, HELD = 64, 8, 4_000_000
 #: A token with at least 1/HEAD of all training tokens has its count broadcast; there are at most HEAD of them.
 HEAD = 500_000
 #: The end of a text as a token.
@@ -36,18 +41,17 @@ def held_out(doc_id: Column) -> Column:
     return crc_of_id(doc_id) % 5 == 1
 
 
-def classes_of(w: Words) -> np.ndarray:
-    """The class of each word: its last two bytes, hashed."""
-    last = w.blob[w.ends - 1].astype(np.uint32)
-    before = np.where(w.ends - w.starts > 1, w.blob[np.maximum(w.ends - 2, 0)], 0).astype(np.uint32)
-    return (((last << np.uint32(8) | before) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % CLASSES
+def suffixes_of(w: Words) -> np.ndarray:
+    """The last two bytes of each word."""
+    before = np.where(w.ends - w.starts > 1, w.blob[np.maximum(w.ends - 2, 0)], 0)
+    return w.blob[w.ends - 1].astype(np.int32) << 8 | before
 
 
 class Stream(NamedTuple):
-    """Tokens of several texts, each followed by its end: hashes, classes, the text's number, and the place in it."""
+    """Tokens of several texts, each followed by its end: hashes, last bytes, the text's number, and the place in it."""
 
     hashes: np.ndarray
-    classes: np.ndarray
+    suffixes: np.ndarray
     text: np.ndarray
     place: np.ndarray
 
@@ -59,10 +63,10 @@ def stream_of(texts: list[bytes]) -> Stream:
     total = int(n.sum())
     is_end = np.zeros(total, bool)
     is_end[starts + n - 1] = True
-    hashes, classes = np.full(total, END, np.uint64), np.zeros(total, np.int64)
-    hashes[~is_end], classes[~is_end] = w.hashes, classes_of(w)
+    hashes, suffixes = np.full(total, END, np.uint64), np.zeros(total, np.int32)
+    hashes[~is_end], suffixes[~is_end] = w.hashes, suffixes_of(w)
     text = np.repeat(np.arange(len(texts)), n)
-    return Stream(hashes, classes, text, np.arange(total) - starts[text])
+    return Stream(hashes, suffixes, text, np.arange(total) - starts[text])
 
 
 # ---- counts
@@ -77,14 +81,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return unique, c[at], np.bincount(back, n, len(unique)).astype(np.int64)
 
     def batch_of(h, c, n):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int16)), pa.array(n)], names=["h", "class", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n)], names=["h", "suffix", "n"])
 
     parts, size = [], 0
     for batch in batches:
         for _, texts in slices(batch):
             s = stream_of(texts)
             h, at, n = np.unique(s.hashes, return_index=True, return_counts=True)
-            parts.append((h, s.classes[at], n))
+            parts.append((h, s.suffixes[at], n))
             size += len(h)
             if size > 2_000_000:
                 parts = [merged(parts)]
@@ -97,137 +101,256 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(h, class, n): how often each token stands in the texts, ends included; h is its 64-bit hash."""
-    rows = texts.select("text").mapInArrow(_count, "h long, class short, n long")
-    return rows.groupBy("h").agg(F.max("class").alias("class"), F.sum("n").alias("n"))
+    """(h, suffix, n): how often each token stands in the texts, ends included; h is its 64-bit hash, suffix its last bytes."""
+    rows = texts.select("text").mapInArrow(_count, "h long, suffix int, n long")
+    return rows.groupBy("h").agg(F.max("suffix").alias("suffix"), F.sum("n").alias("n"))
 
 
 # ---- the model
 
 
 class Model(NamedTuple):
-    """frequent: hashes of the frequent words, sorted, END among them; a word's symbol is its place, a class's symbol comes after."""
+    """frequent: hashes of the frequent words, sorted, END among them; a word's symbol is its place, a class's symbol comes
+    after. class_of: the class of each suffix. After the symbols there is one context more, which stands before a text."""
 
     frequent: np.ndarray
-    log_share: np.ndarray  # of each symbol among training tokens
-    context: np.ndarray  # (symbols + 1, DIM); the last row stands before a text
+    class_of: np.ndarray
+    share: np.ndarray  # of each symbol among training tokens
+    seen: np.ndarray  # how often each context has a successor in training
+    context: np.ndarray  # (symbols + 1, DIM)
     target: np.ndarray  # (symbols, DIM)
-    weight: np.ndarray  # (CONTEXT, DIM)
-    bias: np.ndarray
+    bias: np.ndarray  # of each symbol
+    norm: np.ndarray  # natural logarithm of the sum over all symbols, for each context
 
     def symbols(self, s: Stream) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.frequent, s.hashes), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == s.hashes, at, len(self.frequent) + s.classes)
+        return np.where(self.frequent[at] == s.hashes, at, len(self.frequent) + self.class_of[s.suffixes])
 
-    def contexts(self, s: Stream, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """(positions, CONTEXT): the symbols before each position, nearest first."""
-        back = np.arange(1, CONTEXT + 1)
-        return np.where(s.place[at][:, None] >= back, symbols[np.maximum(at[:, None] - back, 0)], len(self.target))
-
-    def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        out = self.context[contexts[:, 0]] * self.weight[0]
-        for i in range(1, CONTEXT):
-            out += self.context[contexts[:, i]] * self.weight[i]
-        return out
+    def contexts(self, s: Stream, symbols: np.ndarray) -> np.ndarray:
+        """The symbol before each position."""
+        return np.where(s.place > 0, np.roll(symbols, 1), len(self.share))
 
     def log_probs(self, s: Stream, symbols: np.ndarray) -> np.ndarray:
         """Natural log-probability of every symbol, normalised over all symbols."""
-        out = np.empty(len(symbols))
-        turned = np.ascontiguousarray(self.target.T)
-        for i in range(0, len(symbols), 4096):
-            at = np.arange(i, min(i + 4096, len(symbols)))
-            scores = self.hidden(self.contexts(s, symbols, at)) @ turned
-            scores += self.bias
-            own = scores[np.arange(len(at)), symbols[at]]
-            scores -= scores.max(1, keepdims=True)
-            top = own - scores[np.arange(len(at)), symbols[at]]
-            np.exp(scores, out=scores)
-            out[at] = own - top - np.log(scores.sum(1))
-        return out
-
-
-def fresh_model(frequent: np.ndarray, share: np.ndarray) -> Model:
-    """A model that ignores context and gives each symbol its share, with small random vectors."""
-    rng, n = np.random.default_rng(3), len(share)
-    log_share = np.log(share).astype(np.float32)
-    small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return Model(frequent, log_share, small(n + 1, DIM), small(n, DIM), np.ones((CONTEXT, DIM), np.float32) / np.arange(1, CONTEXT + 1)[:, None].astype(np.float32), log_share.copy())
-
-
-class Trainer:
-    """Noise-contrastive estimation with noise shared by a batch, by AdaGrad. Noise is drawn by the symbols' shares."""
-
-    def __init__(self, model: Model, seed: int):
-        self.params = [model.context.copy(), model.target.copy(), model.weight.copy(), model.bias.copy()]
-        self.model, self.squares = model, [np.full_like(p, 1e-2) for p in self.params]
-        self.rng, self.seen = np.random.default_rng(seed), 0
-        self.share = np.exp(model.log_share.astype(np.float64))
-        self.share /= self.share.sum()
-
-    def current(self) -> Model:
-        return self.model._replace(context=self.params[0], target=self.params[1], weight=self.params[2], bias=self.params[3])
-
-    def step(self, contexts: np.ndarray, targets: np.ndarray) -> None:
-        context, target, weight, bias = self.params
-        n = len(targets)
-        vectors = context[contexts]
-        hidden = (vectors * weight).sum(1)
-        noise = self.rng.choice(len(target), NOISE, p=self.share)
-        offset = self.model.log_share + np.float32(np.log(NOISE))
-        # chance that a pair came from the text and not from the noise
-        true = 1 / (1 + np.exp(-((hidden * target[targets]).sum(1) + bias[targets] - offset[targets])))
-        false = 1 / (1 + np.exp(-(hidden @ target[noise].T + bias[noise] - offset[noise])))
-        up, down = ((1 - true) / n).astype(np.float32), (false / n).astype(np.float32)
-        g_hidden = up[:, None] * target[targets] - down @ target[noise]
-        g_target, g_bias = np.zeros_like(target), np.zeros_like(bias)
-        np.add.at(g_target, targets, up[:, None] * hidden)
-        np.add.at(g_target, noise, -(down.T @ hidden))
-        np.add.at(g_bias, targets, up)
-        np.add.at(g_bias, noise, -down.sum(0))
-        g_context, g_weight = np.zeros_like(context), (vectors * g_hidden[:, None, :]).sum(0)
-        for i in range(CONTEXT):
-            np.add.at(g_context, contexts[:, i], g_hidden * weight[i])
-        for p, square, g in zip(self.params, self.squares, (g_context, g_target, g_weight, g_bias)):
-            square += (g * n) ** 2 / n
-            p += RATE * g * np.sqrt(n) / np.sqrt(square)
-        self.seen += n
-
-    def learn(self, s: Stream) -> None:
-        """Every position is a target once, in random order."""
-        symbols = self.model.symbols(s)
-        at = np.arange(len(symbols))
-        self.rng.shuffle(at)
-        for i in range(0, len(at), BATCH):
-            part = at[i : i + BATCH]
-            self.step(self.model.contexts(s, symbols, part), symbols[part])
-
-
-def _train(shared):
+        c = self.contexts(s, symbols)
+        return np.einsum("ij,ij->i", self.context[c], self.target[symbols]) + self.bias[symbols] - self.norm[c]
+
+
+def fresh_model(frequent: np.ndarray, class_of: np.ndarray, share: np.ndarray) -> Model:
+    """A model that ignores context and gives each symbol its share; targets have small random vectors."""
+    n = len(share)
+    target = np.random.default_rng(3).standard_normal((n, DIM)) * 0.5
+    return Model(frequent, class_of, share, np.zeros(n + 1), np.zeros((n + 1, DIM)), target, np.log(share), np.zeros(n + 1))
+
+
+def normalised(model: Model, first: int, last: int) -> np.ndarray:
+    """Natural logarithm of the sum over all symbols for the contexts from first up to last."""
+    scores = (model.context[first:last] @ model.target.T + model.bias).astype(np.float64)
+    top = scores.max(1)
+    return top + np.log(np.exp(scores - top[:, None]).sum(1))
+
+
+def fitted(counts: np.ndarray, x: np.ndarray, prior: np.ndarray, features: np.ndarray, noise: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Rows x that maximise the noise-contrastive objective by Newton's method, features of the other side held.
+
+    counts, noise, offset: (rows, others): true pairs, expected noise pairs, and what is added to a pair's score
+    less the logarithm of its noise.
+    """
+    squares = (features[:, :, None] * features[:, None, :]).reshape(len(features), -1).astype(np.float32)
+    f32 = features.astype(np.float32)
+    both = counts + noise
+    for _ in range(STEPS):
+        true = 1 / (1 + np.exp(-(x.astype(np.float32) @ f32.T + offset)))
+        slope = (counts - both * true) @ f32 - PRIOR * (x - prior)
+        curve = ((both * true * (1 - true)) @ squares).reshape(len(x), x.shape[1], x.shape[1]) + PRIOR * np.eye(x.shape[1])
+        step = np.linalg.solve(curve.astype(np.float64), slope[:, :, None].astype(np.float64))[:, :, 0]
+        length = np.sqrt((step**2).sum(1, keepdims=True))
+        x = x + step * np.minimum(1, LONGEST / np.maximum(length, 1e-9))
+    return x
+
+
+# ---- counts of neighbours
+
+
+_PAIRS = "block int, part int, at binary, n binary"
+
+
+def _packed(block: int, part: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64).tobytes()], pa.binary())],
+        names=["block", "part", "at", "n"],
+    )
+
+
+def _unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint32 if len(n) == len(at) else np.uint64).astype(np.int64)
+
+
+def _blocks(rows: np.ndarray, others: np.ndarray, n: np.ndarray, width: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of pair counts; rows are sorted."""
+    cuts = np.flatnonzero(np.diff(rows // BLOCK, prepend=-1))
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+        yield _packed(int(rows[i]) // BLOCK, part, rows[i:j] % BLOCK * width + others[i:j], n[i:j])
+
+
+def _pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(shared.value, 17 + TaskContext.get().partitionId())
+        model: Model = shared.value
+        width, part = len(model.share), TaskContext.get().partitionId() % PARTS
+        keys, n, new, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def merged():
+            fresh, times = np.unique(np.concatenate(new), return_counts=True) if new else (keys[:0], n[:0])
+            if not len(keys):
+                return fresh, times
+            every, back = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+            return every, np.bincount(back, np.concatenate([n, times]), len(every)).astype(np.int64)
+
         for batch in batches:
             for _, texts in slices(batch):
-                trainer.learn(stream_of(texts))
-        if trainer.seen:
-            flat = np.concatenate([p.ravel() for p in trainer.params]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.seen), pa.array(np.full(len(flat), float(trainer.seen)))], names=["i", "v", "w"])
+                s = stream_of(texts)
+                symbols = model.symbols(s)
+                new.append(model.contexts(s, symbols) * width + symbols)
+                held += len(symbols)
+                if held > HELD:
+                    keys, n = merged()
+                    new, held = [], 0
+                    if len(keys) > HELD:
+                        yield from _blocks(keys // width, keys % width, n, width, part)
+                        keys, n = keys[:0], n[:0]
+        keys, n = merged()
+        yield from _blocks(keys // width, keys % width, n, width, part)
+
+    return run
+
+
+def _merge(width: int):
+    """Sums of the packed rows of each block, which come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def done():
+            at = np.flatnonzero(total)
+            return _packed(*key, at, total[at])
+
+        for batch in batches:
+            for block, part, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "at", "n"))):
+                if (block, part) != key:
+                    if key is not None:
+                        yield done()
+                    key, total = (block, part), np.zeros(BLOCK * width, np.int64)
+                at, n = _unpacked(at, n)
+                total[at] += n
+        if key is not None:
+            yield done()
+
+    return run
+
+
+def _turn(width: int, new_width: int):
+    """Blocks of contexts as blocks of targets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "n"))):
+                at, n = _unpacked(at, n)
+                rows, others = at % width, block * BLOCK + at // width
+                order = np.argsort(rows, kind="stable")
+                yield from _blocks(rows[order].astype(np.int64), others[order].astype(np.int64), n[order], new_width, block % PARTS)
+
+    return run
+
+
+def _summed(rows: DataFrame, width: int, label: str) -> DataFrame:
+    """One packed row for each block: first each part of it, then the parts."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.repartition(parts, "block", "part").sortWithinPartitions("block", "part").mapInArrow(_merge(width), _PAIRS)
+    whole = some.withColumn("part", F.lit(0)).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge(width), _PAIRS)
+    return materialize(whole, label)
+
+
+def _fit(shared, of_contexts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        chance = NOISE * m.share
+        for batch in batches:
+            for block, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "n"))):
+                at, n = _unpacked(at, n)
+                here = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(m.context) if of_contexts else len(m.target)))
+                width = len(m.target) if of_contexts else len(m.context)
+                counts = np.zeros(BLOCK * width, np.float32)
+                counts[at] = n
+                counts = counts.reshape(BLOCK, width)[: len(here)]
+                if of_contexts:
+                    noise, offset = np.outer(m.seen[here], chance), (m.bias - np.log(chance))[None, :]
+                    x = fitted(counts, m.context[here], np.zeros((1, DIM)), m.target, noise.astype(np.float32), offset.astype(np.float32))
+                else:
+                    noise, offset = np.outer(chance[here], m.seen), -np.log(chance[here])[:, None]
+                    own = np.hstack([m.target[here], m.bias[here, None]])
+                    prior = np.hstack([np.zeros((len(here), DIM)), np.log(m.share[here, None])])
+                    x = fitted(counts, own, prior, np.hstack([m.context, np.ones((width, 1))]), noise.astype(np.float32), offset.astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))], names=["i", "x"])
+
+    return run
+
+
+def _norms(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                z = normalised(shared.value, block * BLOCK, (block + 1) * BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z), dtype=np.int32) + block * BLOCK), pa.array(z)], names=["i", "z"])
 
     return run
 
 
 def train(texts: DataFrame, model: Model) -> Model:
-    """Each task trains a copy of the model on its texts; the copies are averaged by the positions they saw."""
-    sums = texts.select("text").mapInArrow(_train(texts.sparkSession.sparkContext.broadcast(model)), "i int, v double, w double")
-    mean = sums.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
-    if not mean.num_rows:
-        return model
-    flat = np.zeros(mean.num_rows, np.float32)
-    flat[mean.column("i").to_numpy()] = mean.column("v").to_numpy()
-    parts, at = [], 0
-    for p in (model.context, model.target, model.weight, model.bias):
-        parts.append(flat[at : at + p.size].reshape(p.shape))
-        at += p.size
-    return model._replace(context=parts[0], target=parts[1], weight=parts[2], bias=parts[3])
+    """The model fitted to all neighbours in texts: contexts with targets held, then targets with contexts held, in rounds.
+
+    The driver gets what the model has: DIM numbers for each symbol.
+    """
+    spark, width = texts.sparkSession, len(model.share)
+    send = spark.sparkContext.broadcast
+    by_context = _summed(texts.select("text").mapInArrow(_pairs(send(model)), _PAIRS), width, "lm-contexts")
+    by_target = _summed(by_context.mapInArrow(_turn(width, width + 1), _PAIRS), width + 1, "lm-targets")
+    seen = np.zeros(width + 1)
+    for r in by_context.mapInArrow(_seen(width), "i int, n long").collect():
+        seen[r["i"]] = r["n"]
+    model = model._replace(seen=seen)
+    for _ in range(ROUNDS):
+        for of_contexts, table in ((True, by_context), (False, by_target)):
+            got = table.mapInArrow(_fit(send(model), of_contexts), "i int, x array<double>").toArrow()
+            if not got.num_rows:
+                continue
+            i, x = got.column("i").to_numpy(), np.array(got.column("x").to_pylist())
+            if of_contexts:
+                model = model._replace(context=_put(model.context, i, x))
+            else:
+                model = model._replace(target=_put(model.target, i, x[:, :DIM]), bias=_put(model.bias, i, x[:, DIM]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = spark.range(0, -(-(width + 1) // BLOCK), 1, parts).mapInArrow(_norms(send(model)), "i int, z double").toArrow()
+    return model._replace(norm=_put(model.norm, got.column("i").to_numpy(), got.column("z").to_numpy()))
+
+
+def _put(old: np.ndarray, i: np.ndarray, x: np.ndarray) -> np.ndarray:
+    new = old.copy()
+    new[i] = x
+    return new
+
+
+def _seen(width: int):
+    """How often each context has a successor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "n"))):
+                at, n = _unpacked(at, n)
+                total = np.bincount(at // width, n, BLOCK).astype(np.int64)
+                i = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array((i + block * BLOCK).astype(np.int32)), pa.array(total[i])], names=["i", "n"])
+
+    return run
 
 
 # ---- scores
@@ -304,16 +427,22 @@ def score_texts(docs: DataFrame, training: DataFrame, held: Column | None = None
     counts = materialize(token_counts(training), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    top = counts.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
-    end = int(END.astype(np.int64))
-    frequent = np.unique(np.append(top.column("h").to_numpy(), end).view(np.uint64))
-    is_frequent = F.col("h").isin([int(x) for x in frequent.view(np.int64)])
-    seen = {int(r["h"]): r["n"] for r in counts.where(is_frequent).select("h", "n").collect()}
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.where(~is_frequent).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        mass[r["class"]], kinds[r["class"]] = r["n"], r["v"]
-    share = np.concatenate([[seen.get(int(x), 0) for x in frequent.view(np.int64)], mass]) + 0.5
-    model = train(training, fresh_model(frequent, share / share.sum()))
+    words = int(min(max(WORDS_PER_ROOT * n**0.5, LEAST_WORDS), MOST_WORDS))
+    classes = words // WORDS_PER_CLASS
+    is_end = F.col("h") == int(END.astype(np.int64))
+    ends = counts.where(is_end).select("n").first()
+    top = counts.where(~is_end).orderBy(F.desc("n"), "h").limit(words).select("h", "suffix", "n").toArrow()
+    frequent, at = np.unique(np.append(top.column("h").to_numpy(), END.astype(np.int64)).view(np.uint64), return_index=True)
+    own = np.append(top.column("n").to_numpy(), ends["n"] if ends else 0)[at]
+    # classes: suffixes by hash; what the frequent words have of them is taken off
+    class_of = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % classes
+    mass, kinds = np.zeros(classes), np.zeros(classes)
+    for table, sign in ((counts.where(~is_end).groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow(), 1), (top.append_column("v", pa.array(np.ones(top.num_rows))), -1)):
+        c = class_of[table.column("suffix").to_numpy()]
+        np.add.at(mass, c, sign * table.column("n").to_numpy().astype(float))
+        np.add.at(kinds, c, sign * table.column("v").to_numpy().astype(float))
+    share = np.concatenate([own, mass]) + 0.5
+    model = train(training, fresh_model(frequent, class_of, share / share.sum()))
     least = max(1, -(-n // HEAD))
     head = counts.where(F.col("n") >= least).select("h", "n").toArrow()
     hashes = head.column("h").to_numpy().view(np.uint64)
