@@ -277,7 +277,8 @@ def test_near_pairs_meet_in_some_word(spark, monkeypatch, flips, met):
     rows = [(d, f"text {d}", int(node), *x) for d, (node, x) in enumerate(zip(simhash.nodes_of(f), f.view(np.int64).tolist()))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node long, " + ", ".join(f"{x} long" for x in names))
     monkeypatch.setattr(simhash, "fingerprint", lambda *_: docs.select("doc_id", F.xxhash64("text").alias("k"), "node", *names))
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs.select("doc_id", "text")).collect()}
+    # the texts are made up, so the candidates are told without looking at them
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs.select("doc_id", "text"), share=0.0).collect()}
     assert kept == set(range(22)) - ({1} if met else set())
 
 
@@ -299,30 +300,44 @@ def test_lm(docs, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
-def test_every_training_position_is_a_target(monkeypatch):
-    model = lm.fresh_model(np.sort(np.array([3, 9, int(lm.END)], np.uint64)), np.full(3 + lm.CLASSES, 1 / (3 + lm.CLASSES)))
-    s = lm.stream_of([b"two words", b"", b"a text of some more words than eight of them"])
-    met = Counter()
-    trainer = lm.Trainer(model, 1)
-    monkeypatch.setattr(trainer, "step", lambda contexts, targets: met.update(targets.tolist()))
-    trainer.learn(s)
-    assert met == Counter(model.symbols(s).tolist())
+def _small_model(words=2, classes=3):
+    frequent = np.sort(np.array([3, 9, int(lm.END)], np.uint64)[-words - 1 :])
+    n = len(frequent) + classes
+    return lm.fresh_model(frequent, np.arange(1 << 16) % classes, np.full(n, 1 / n))
 
 
-def test_symbol_probabilities_are_normalised():
-    model = lm.fresh_model(np.sort(np.array([3, 9, int(lm.END)], np.uint64)), np.full(3 + lm.CLASSES, 1 / (3 + lm.CLASSES)))
-    s = lm.stream_of([b"some words", b"", b"more of them"])
-    total = np.zeros(len(s.hashes))
-    for k in range(3 + lm.CLASSES):
-        total += np.exp(_log_prob_of(model, s, k))
-    assert np.allclose(total, 1, atol=1e-4)
+def test_every_training_position_is_a_target(spark):
+    model = _small_model()
+    texts = [t for _, t in TEXTS if t != TEXTS[10][1]] * 30
+    want = Counter()
+    for t in texts:
+        s = lm.stream_of([(t or "").encode()])
+        symbols = model.symbols(s).tolist()
+        want.update(zip([len(model.share), *symbols], symbols))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    width = len(model.share)
+    by_context = lm._summed(docs.mapInArrow(lm._pairs(spark.sparkContext.broadcast(model)), lm._PAIRS), width, "test-contexts")
+    by_target = lm._summed(by_context.mapInArrow(lm._turn(width, width + 1), lm._PAIRS), width + 1, "test-targets")
+    got = [{}, {}]
+    for turned, (table, size) in enumerate(((by_context, width), (by_target, width + 1))):
+        for r in table.collect():
+            at, n = lm._unpacked(r["at"], r["n"])
+            for x, c in zip(at.tolist(), n.tolist()):
+                row, other = r["block"] * lm.BLOCK + x // size, x % size
+                got[turned][(other, row) if turned else (row, other)] = c
+    assert got[0] == got[1] == dict(want)
 
 
-def _log_prob_of(model, s, k):
-    symbols = model.symbols(s)
-    at = np.arange(len(symbols))
-    scores = model.hidden(model.contexts(s, symbols, at)) @ model.target.T + model.bias
-    return scores[:, k] - np.log(np.exp(scores).sum(1))
+def test_symbol_probabilities_are_normalised():
+    rng = np.random.default_rng(4)
+    model = _small_model()
+    n = len(model.share)
+    model = model._replace(context=rng.normal(size=model.context.shape), bias=rng.normal(size=n))
+    model = model._replace(norm=lm.normalised(model, 0, n + 1))
+    s = lm.stream_of([b"some words", b"", b"more of them"])
+    context = model.contexts(s, model.symbols(s))
+    total = sum(np.exp((model.context[context] * model.target[k]).sum(1) + model.bias[k] - model.norm[context]) for k in range(n))
+    assert np.allclose(total, 1, atol=1e-9)
 
 
 def test_packing(docs, empty):

@@ -1,0 +1,163 @@
+"""What the methods find, held against plain versions and planted cases."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidewater.llm import langid, licenses, linededup, lm, secrets, simhash
+
+
+def _table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_weak_candidates_need_a_complement(spark):
+    texts = [
+        "user: alice.w password=ab1c here",  # a value too short for the base form, with an identifier
+        "password=ab1c alone",
+        "AKIAIOSFODNN7 and https://storage.example.com/bucket",  # a short access key with an endpoint
+        "AKIAIOSFODNN7 alone",
+        "host: db.example.org\nkey 0123456789abcdef0f",  # hex of 18
+        "key 0123456789abcdef0f" + " word" * 200 + " host: db.example.org",  # too far
+        "card 4283648832092189 and bob@mail.example.com",  # digits only
+        "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" AKIAIOSFODNN7 x",  # a base secret with a short access key
+        "a clean text about passwords and tokens, with bob@mail.example.com and https://www.example.com/path1234567890abcdef",
+        "q3k5j8h1g7f4d2s9 login: carol",  # one case
+    ]
+    out = {r["doc_id"]: [texts[r["doc_id"]][x["start"] : x["end"]] for x in r["linked"]] for r in secrets.scan_secrets(_table(spark, texts)).collect()}
+    assert out == {0: ["password=ab1c"], 1: [], 2: ["AKIAIOSFODNN7"], 3: [], 4: ["0123456789abcdef0f"], 5: [], 6: [], 7: ["AKIAIOSFODNN7"], 8: [], 9: ["q3k5j8h1g7f4d2s9"]}
+
+
+def test_linked_candidates_are_those_of_a_plain_join(spark):
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(d), 1, int(rng.integers(0, 5)), int(s), int(s) + 9) for d in range(12) for s in rng.choice(3000, 8, replace=False)})
+    parts = spark.createDataFrame(rows, "doc_id long, k long, kind int, start int, end int")
+    got = {(r["doc_id"], r["start"]) for r in secrets.linked_candidates(parts, 400).collect()}
+    want = {(d, s) for d, _, kind, s, _ in rows if kind in secrets.NEEDS for d2, _, other, s2, _ in rows if d == d2 and abs(s - s2) <= 400 and other in secrets.NEEDS[kind]}
+    assert got == want
+
+
+def test_license_spans_follow_the_template(spark):
+    mit = dict(licenses.TEMPLATES)["mit"].split()
+    texts = [
+        "permission is hereby " * 32,  # one gram again and again
+        " ".join(w for i in range(0, len(mit) - 3, 3) for w in reversed(mit[i : i + 3])),  # its words, not in order
+        "intro " + " ".join(mit[:25] + ["added", "words"] + mit[25:]) + " end",
+        " ".join(mit),
+    ]
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(_table(spark, texts)).collect()}
+    assert [out[i]["labels"] for i in range(4)] == ["", "", "mit", "mit"]
+    assert out[0]["score"] == 0 and 0.6 <= out[2]["score"] < 1 and out[3]["score"] == 1
+
+
+def test_letters_are_of_category_l(spark):
+    model = langid.train(spark.createDataFrame([(1, "some words", "en"), (2, "der hund", "de"), (3, "?", "und")], "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    pred, score = model.decode([t.encode() for t in ("\u00bd \u00b2", "\u2460", "\u0663", "12 _ -", "\u00aa", "\u4e2d", "x")])
+    assert [p == langid.UNKNOWN for p in pred] == [True, True, True, True, False, False, False] and score[:4] == [0.0] * 4
+
+
+def test_the_model_does_not_depend_on_how_rows_are_dealt(spark):
+    rng = np.random.default_rng(6)
+    parts = [["the", "of", "and", "ing", "tion"], ["der", "und", "ung", "sch", "ein"]]
+    # words of one language follow each other; texts are of one language
+    texts = [" ".join("".join(rng.choice(parts[i % 2], int(rng.integers(1, 3)))) for _ in range(40)) for i in range(400)]
+    docs = _table(spark, texts)
+    held = lm.held_out(F.col("doc_id"))
+    seen = []
+    for n in (1, 5, 16):
+        own = docs.repartition(n)
+        out = lm.score_texts(own, own.where(~held), held).toPandas().sort_values("doc_id")
+        seen.append(out.score.to_numpy())
+    assert np.allclose(seen[0], seen[1], rtol=0, atol=1e-6) and np.allclose(seen[0], seen[2], rtol=0, atol=1e-6)
+    tested = out[out.held_out]
+    assert (tested.score.sum() - tested.base_score.sum()) / tested.n_tokens.sum() > 0.2
+
+
+def test_probabilities_are_those_of_a_plain_softmax():
+    rng = np.random.default_rng(1)
+    frequent = np.sort(np.array([3, 9, int(lm.END)], np.uint64))
+    model = lm.fresh_model(frequent, np.zeros(1 << 16, np.int64), np.full(4, 0.25))
+    model = model._replace(context=rng.normal(size=model.context.shape), target=rng.normal(size=model.target.shape), bias=rng.normal(size=4))
+    model = model._replace(norm=lm.normalised(model, 0, 5))
+    s = lm.stream_of([b"some words", b"", b"more"])
+    symbols = model.symbols(s)
+    before = [4 if p == 0 else symbols[i - 1] for i, p in enumerate(s.place)]
+    scores = np.exp(model.context[before] @ model.target.T + model.bias)
+    want = np.log(scores[np.arange(len(symbols)), symbols] / scores.sum(1))
+    assert np.allclose(model.log_probs(s, symbols), want)
+
+
+def test_newton_steps_find_the_maximum():
+    rng = np.random.default_rng(2)
+    counts, noise, features = rng.integers(0, 9, (3, 40)).astype(np.float32), rng.random((3, 40)).astype(np.float32) * 5, rng.normal(size=(40, 4))
+    x = np.zeros((3, 4))
+    for _ in range(6):
+        x = lm.fitted(counts, x, np.zeros((1, 4)), features, noise, np.zeros((1, 1), np.float32))
+    value = lambda x: (counts * -np.logaddexp(0, -(x @ features.T)) + noise * -np.logaddexp(0, x @ features.T)).sum() - lm.PRIOR * (x**2).sum() / 2
+    assert all(value(x) >= value(x + 0.01 * rng.normal(size=x.shape)) for _ in range(50))
+
+
+def _share(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_are_told_by_their_shingles(spark):
+    rng = np.random.default_rng(3)
+    texts, want = [], {}
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(300)]
+        other = list(words)
+        for at in rng.choice(300, int(rng.integers(1, 22)), replace=False):
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+        want[2 * i + 1] = _share(texts[-2], texts[-1])
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(_table(spark, texts)).select("doc_id").collect()}
+    assert all(2 * i in kept for i in range(60))
+    assert all(d in kept for d, share in want.items() if share < 0.8)
+    alike = [d for d, share in want.items() if share >= 0.8]
+    assert sum(d not in kept for d in alike) >= 0.8 * len(alike) and sum(want[d] >= 0.87 and d in kept for d in alike) <= 1
+
+
+def test_passages_go_in_any_script(spark):
+    chinese = "\n".join("".join(chr(0x4E00 + (7 * i + 3 * j) % 5000) for j in range(30)) for i in range(40))
+    lines = "\n".join(f"word{i}" for i in range(60))
+    texts = [f"beginning {i}\n{p}\nend {i}" for i, p in enumerate((chinese, chinese, lines, lines))]
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(_table(spark, texts)).collect()}
+    assert [out[0], out[2]] == [texts[0], texts[2]]
+    assert out[1] == "beginning 1\nend 1" and out[3] == "beginning 3\nend 3"
+
+
+def _plain_dedup(texts):
+    """Texts freed of passages, from the chunks that the operator cuts: [(doc_id, [(h, chars, body)])]."""
+    first, out = {}, {}
+    for d, chunks in texts:
+        for n, (h, _, _) in enumerate(chunks):
+            first.setdefault(h, (d, n))
+    for d, chunks in texts:
+        later = [first[h] != (d, n) for n, (h, _, _) in enumerate(chunks)] + [False]
+        left, run = [], []
+        for (_, chars, body), goes in zip([*chunks, (0, 0, "")], later):
+            if goes:
+                run.append((chars, body))
+                continue
+            if sum(c for c, _ in run) < linededup.MIN_CHARS:
+                left += [b for _, b in run]
+            run = []
+            left.append(body)
+        out[d] = "".join(left)
+    return out
+
+
+def test_line_dedup_against_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    pool = [" ".join(f"p{i}w{j}" for j in range(int(rng.integers(1, 30)))) + rng.choice([".", "!", "\n", ".\n", ""]) for i in range(40)]
+    texts = [" ".join(pool[i] for i in rng.integers(0, 40, int(rng.integers(1, 12)))) for _ in range(60)]
+    docs = _table(spark, texts)
+    chunked = [(r["doc_id"], [(re.sub(r"\s+", " ", c["body"]).strip(), c["chars"], c["body"]) for c in r["chunks"]]) for r in linededup.with_chunks(docs).orderBy("doc_id").collect()]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert got == _plain_dedup(chunked) and got != dict(enumerate(texts))

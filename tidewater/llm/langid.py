@@ -8,7 +8,6 @@ its classifier is for that language; a close second makes the text ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ EVIDENCE = 60.0
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def code_matrix(languages: int) -> np.ndarray:
@@ -89,7 +87,8 @@ class _Grams:
 
 
 def _has_letter(t: bytes) -> bool:
-    return _LETTER.search(t.decode("utf-8", "replace")) is not None
+    """Whether any character is of category L; numbers and signs of other kinds are no letters."""
+    return any(map(str.isalpha, t.decode("utf-8", "ignore")))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +159,13 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, weigh_rows: int = WEIGH_ROWS) -> LanguageModel:
-    """A model from (doc_id, text, lang), null texts and null langs left out.
+    """A model from (doc_id, text, lang), null texts, null langs and UNKNOWN ones left out.
 
     n-grams are counted over all labelled rows; only the bits' weights use a sample, of about weigh_rows rows.
     The driver gets BUCKETS counts for each language. Without labelled rows every text is UNKNOWN.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).select("doc_id", "text", "lang")
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("lang").to_pylist()))
     if not languages:

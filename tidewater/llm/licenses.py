@@ -90,27 +90,48 @@ def find_spans(docs: DataFrame, templates: list[tuple[str, str, bool]], cover: f
     n = F.size("w")
     at = F.when(n >= K, F.sequence(F.lit(1), n - K + 1)).otherwise(F.array().cast("array<int>"))
     grams = F.transform(at, lambda i: F.xxhash64(*[F.element_at("w", i + j) for j in range(K)]))
-    placed = words.select("doc_id", "k", "w", n.alias("n_words"), F.posexplode(F.array_append(grams, F.lit(MARK).cast("long"))).alias("p", "gram"))
-    table = F.broadcast(template_grams(spark, templates))
-    same = (F.col("template") < 0) & (F.col("p") == F.greatest(F.lit(0), F.col("n_words") - K + 1)) | (F.col("template") >= 0) & (F.slice("w", F.col("p") + 1, K) == F.col("gram_words"))
-    hits = placed.join(table, "gram").where(same).drop("w", "gram_words", "gram")
+    table = template_grams(spark, templates)
+    # at most MAX_GRAMS values; a generator makes each array once
+    known = [r["gram"] for r in table.where(F.col("template") >= 0).select("gram").distinct().collect()]
+    hashed = words.select("*", F.explode(F.array(grams)).alias("grams"))
+    met = F.filter(F.transform("grams", lambda g, p: F.when(g.isin(known), p)), lambda p: p.isNotNull())
+    some = hashed.select("doc_id", "k", n.alias("n_words"), F.explode(F.array(F.transform(met, lambda p: F.struct(p.alias("p"), F.get("grams", p).alias("gram"), F.array(*[F.get("w", p + j) for j in range(K)]).alias("own"))))).alias("hits"))
+    mark = F.struct(F.lit(-1).alias("p"), F.lit(MARK).cast("long").alias("gram"), F.array().cast("array<string>").alias("own"))
+    placed = some.select("doc_id", "k", "n_words", F.inline(F.array_append("hits", mark)))
+    hits = placed.join(F.broadcast(table), "gram").where(F.col("own") == F.col("gram_words")).drop("own", "gram_words", "gram")
     by = ["doc_id", "k", "n_words", "template"]
     # a vote for each gram on each diagonal; documents that stand twice vote once
     votes = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("p") - F.col("t"))).groupBy(*by, "label", "is_base", "grams", "length", "diagonal").agg(
-        F.size(F.collect_set("t")).alias("votes"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last"), F.count("*").alias("n")
+        F.collect_set(F.struct("t", "p")).alias("hits"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last"), F.count("*").alias("n")
     )
-    whole = (F.col("votes") == F.col("grams")) | (F.col("template") < 0)
+    whole = (F.size("hits") == F.col("grams")) | (F.col("template") < 0)
     # neighbouring diagonals: a new run starts where the gap is above `drift`, and at whole occurrences
     w = Window.partitionBy(*by, "whole").orderBy("diagonal")
     opens = F.col("whole") | F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > drift)
     runs = votes.withColumn("whole", whole).withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy(*by, "label", "is_base", "grams", "length", "whole", "run").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("copies")
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("copies")
     )
-    share = F.least(F.lit(1.0), F.try_divide("votes", "grams"))
-    near = (share >= cover) & (F.col("last") - F.col("first") < 2 * F.col("length")) & ~F.col("is_base")
-    kept = spans.where(F.col("whole") | near)
-    return kept.select("doc_id", "k", F.col("n_words").cast("long").alias("n_words"), "copies", "template", "label", "is_base", F.col("whole").alias("exact"), "first", "last", "votes", share.alias("share"))
+    # only whole occurrences of base phrases count; of the others those are verified that have enough different grams
+    enough = ~F.col("is_base") & (F.size(F.array_distinct("hits.t")) >= cover * F.col("grams"))
+    checked = spans.where(F.col("whole") | enough).withColumn("span", F.when(~F.col("whole"), ordered(F.col("hits"), F.col("length"))))
+    votes = F.when(F.col("whole"), F.col("grams")).otherwise(F.col("span.n"))
+    share = F.least(F.lit(1.0), F.try_divide(votes, F.col("grams")))
+    first, last = F.coalesce("span.first", "first"), F.coalesce(F.col("span.last") + K - 1, F.col("last"))
+    kept = checked.where(F.col("whole") | (share >= cover))
+    return kept.select("doc_id", "k", F.col("n_words").cast("long").alias("n_words"), "copies", "template", "label", "is_base", F.col("whole").alias("exact"), first.alias("first"), last.alias("last"), votes.alias("votes"), share.alias("share"))
+
+
+def ordered(hits: Column, length: Column) -> Column:
+    """The longest stretch found of hits (t, p), sorted, whose grams stand in the document in the template's order and
+    within twice its length: struct<n, first, last>. A template gram counts once, at its first place behind the last."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("t"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def more(a: Column, x: Column) -> Column:
+        fits = (x["t"] > a["t"]) & (x["p"] > a["last"]) & ((a["n"] == 0) | (x["p"] - a["first"] < 2 * length))
+        return F.when(fits, F.struct((a["n"] + 1).alias("n"), x["t"].alias("t"), F.when(a["n"] == 0, x["p"]).otherwise(a["first"]).alias("first"), x["p"].alias("last"))).otherwise(a)
+
+    return F.aggregate(hits, empty, more)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

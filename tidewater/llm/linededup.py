@@ -46,9 +46,10 @@ def _bind(value: Column, use) -> Column:
 
 
 def _trimmed(unit: Column) -> Column:
-    """unit without spaces at its end, and without any white space there if the last of it is no space. Trimming of other
-    characters than spaces is slow, so it is done where it is needed only."""
-    return F.when(reduce(lambda a, b: a | b, (F.endswith(unit, F.lit(c)) for c in _WHITE[1:])), F.rtrim(unit, F.lit(_WHITE))).otherwise(F.rtrim(unit))
+    """unit without white space at its end. Trimming of other characters than spaces is slow, so it is done where it is
+    needed only."""
+    bare = F.rtrim(unit)
+    return F.when(reduce(lambda a, b: a | b, (F.endswith(bare, F.lit(c)) for c in _WHITE[1:])), F.rtrim(unit, F.lit(_WHITE))).otherwise(bare)
 
 
 def _hash(unit: Column) -> Column:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +30,20 @@ _ASSIGN_LEAST, _ACCESS_LEAST = 6, 20
 
 #: Parts of credentials that only count together.
 KINDS = (*BASE_KINDS, "linked")
-IDENT, ENDPOINT, WEAK = 0, 1, 2
-_IDENT = re.compile(r"""(?ai)\b(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}""")
+IDENT, ENDPOINT, WEAK, SECRET, WEAK_ID = 0, 1, 2, 3, 4
+#: What each weak kind needs one of.
+NEEDS = {WEAK: (IDENT, ENDPOINT), WEAK_ID: (SECRET, ENDPOINT)}
+_IDENT = re.compile(r"""(?ai)\b(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|[A-Za-z0-9._-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""")
 _ENDPOINT = re.compile(r"""(?ai)\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|\b(?:endpoint|host|server)["']?\x20*[:=]\x20*["']?[a-z0-9-]+(?:\.[a-z0-9-]+)+""")
-_WEAK = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Names that a value is weak after, whatever it looks like; base names with values too short for the base form are among them.
+_NAMED = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key|pwd|passphrase|private_?key|auth|credential|bearer)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{3,})""")
+_SHORT_ACCESS_LEAST = 8
 
 #: Code points between the starts of parts of one credential.
 SCOPE = 400
-#: Bits a character that a weak candidate has at least.
-ENTROPY = 3.2
+#: Bits a character that a weak token has at least, and its digits and letters.
+ENTROPY, DIGITS, LETTERS = 2.8, 2, 2
 
 _ROWS = "doc_id long, k long, n_assign long, n_access long, n_hex long, spans array<struct<start: int, kind: int, end: int>>, parts array<struct<kind: int, start: int, end: int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -53,29 +60,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _is_weak(token: str) -> bool:
-    if not (any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)):
+    """Whether digits and letters are mixed in token as in keys; one case is enough."""
+    digits, n = sum(map(str.isdigit, token)), len(token)
+    if digits < DIGITS or sum(map(str.isalpha, token)) < LETTERS:
         return False
-    n = len(token)
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= ENTROPY
 
 
 def credential_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of identifiers, endpoints and weak candidates that no base span touches."""
-    weak = [(m.start(), m.end()) for m in _WEAK.finditer(text) if _is_weak(m[0])]
+    """(kind, start, end) of identifiers, endpoints, secrets and weak candidates; none if no candidate is there.
+
+    Base spans are parts, too: access keys identify, assigned values and long hex are secrets. Candidates that a base span,
+    an endpoint or an identifier touches are none. A value of three characters needs a digit.
+    """
+    weak = [(WEAK, m.start(), m.end()) for m in _NAMED.finditer(text) if len(m[1]) > 3 or any(map(str.isdigit, m[1]))]
+    weak += [(WEAK, m.start(), m.end()) for m in _TOKEN.finditer(text) if _is_weak(m[0])]
+    if "AKIA" in text:
+        weak += [(WEAK_ID, m.start(), m.end()) for m in _ACCESS.finditer(text) if _SHORT_ACCESS_LEAST <= len(m[0]) < _ACCESS_LEAST]
     if not weak:
         return []
-    parts = [(IDENT, s, e) for s, kind, e in base if kind == 1]
-    parts += [(IDENT, m.start(), m.end()) for m in _IDENT.finditer(text)]
-    ends = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    parts += [(ENDPOINT, s, e) for s, e in ends]
-    # both lists go by start; what a base span or an endpoint covers is not a candidate
-    taken, at = sorted([(s, e) for s, _, e in base] + ends), 0
-    for s, e in weak:
-        while at < len(taken) and taken[at][1] <= s:
-            at += 1
-        if not any(a < e and s < b for a, b in taken[at : at + 3]):
-            parts.append((WEAK, s, e))
-    return parts
+    parts = [(IDENT if kind == 1 else SECRET, s, e) for s, kind, e in base]
+    found = [(IDENT, m.start(), m.end()) for m in _IDENT.finditer(text)]
+    found += [(ENDPOINT, m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    # what is taken, as spans that do not touch, by start
+    taken: list[list[int]] = []
+    for s, e in sorted([(s, e) for s, _, e in base] + [(s, e) for _, s, e in found]):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    starts = [s for s, _ in taken]
+    last = -1
+    for kind, s, e in sorted(weak, key=lambda x: (x[1], -x[2])):
+        i = bisect_left(starts, e) - 1
+        if s >= last and (i < 0 or taken[i][1] <= s):
+            parts.append((kind, s, e))
+            last = e
+    return parts + found
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,22 +117,26 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_candidates(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Weak candidates with a complementary part whose start is at most `scope` away: (doc_id, k, start, end, with_ident, with_endpoint).
+    """Weak candidates with a complementary part whose start is at most `scope` away: (doc_id, k, start, end, with_ident, with_endpoint, with_secret).
 
-    Each bucket of `scope` positions sends its outermost identifier and endpoint to itself and its two
-    neighbours, so a candidate meets at most three rows of each kind, however many parts a document has.
+    A weak secret needs an identifier or an endpoint, a weak identifier a secret or an endpoint. Each bucket of `scope`
+    positions sends its outermost part of each kind to itself and its two neighbours, so a candidate meets at most
+    three rows of each kind, however many parts a document has.
     """
     bucket = F.floor(F.col("start") / scope).cast("int")
     p = parts.withColumn("bucket", bucket)
-    weak = p.where(F.col("kind") == WEAK).select("doc_id", "k", "bucket", "start", "end").distinct()
-    edges = p.where(F.col("kind") != WEAK).groupBy("doc_id", "k", "bucket", "kind").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    is_weak = F.col("kind").isin(*NEEDS)
+    weak = p.where(is_weak).select("doc_id", "k", "bucket", "start", "end", F.col("kind").alias("weak")).distinct()
+    edges = p.where(~is_weak).groupBy("doc_id", "k", "bucket", "kind").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     spread = edges.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    # outermost of the bucket on each side of the candidate, so the nearest part is one of the two in every bucket but its own;
+    # in its own all are in scope
     near = (F.abs(F.col("low") - F.col("start")) <= scope) | (F.abs(F.col("high") - F.col("start")) <= scope)
+    helps = reduce(lambda a, b: a | b, ((F.col("weak") == w) & F.col("kind").isin(*kinds) for w, kinds in NEEDS.items()))
     same = [weak[c].eqNullSafe(spread[c]) for c in ("doc_id", "k", "bucket")]
-    met = weak.join(spread, [*same, near], "inner")
-    return met.groupBy(weak["doc_id"], weak["k"], weak["start"], weak["end"]).agg(
-        F.max((F.col("kind") == IDENT).cast("int")).alias("with_ident"), F.max((F.col("kind") == ENDPOINT).cast("int")).alias("with_endpoint")
-    )
+    met = weak.join(spread, [*same, near, helps], "inner")
+    with_kind = lambda kind, name: F.max((F.col("kind") == kind).cast("int")).alias(name)
+    return met.groupBy(weak["doc_id"], weak["k"], weak["start"], weak["end"]).agg(with_kind(IDENT, "with_ident"), with_kind(ENDPOINT, "with_endpoint"), with_kind(SECRET, "with_secret"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

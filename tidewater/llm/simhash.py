@@ -115,8 +115,8 @@ def fingerprint(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
 def bit_groups(sample: np.ndarray, m: int) -> list[np.ndarray]:
     """64 bits in m groups of near equal size, each grown around a bit by the strongest correlations with it."""
     bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float64)
-    centred = bits - bits.mean(0)
-    dev = np.sqrt((centred**2).mean(0)) + 1e-9
+    centred = bits - bits.mean(0) if len(bits) else bits
+    dev = np.sqrt((centred**2).sum(0) / max(1, len(bits))) + 1e-9
     corr = np.abs(centred.T @ centred / max(1, len(bits)) / np.outer(dev, dev))
     left, groups = list(range(64)), []
     for i in range(m):
@@ -246,7 +246,11 @@ class _Forest:
             i = int(root[i])
         return i
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, far: np.ndarray | None = None) -> None:
+        """Pairs a, b; with their distances `far`, the nearest first, so that the edges kept are near ones."""
+        if far is not None:
+            order = np.argsort(far, kind="stable")
+            a, b = a[order], b[order]
         a, b = a[self.root[a] != self.root[b]], b[self.root[a] != self.root[b]]
         for x, y in zip(a.tolist(), b.tolist()):
             p, q = self.find(x), self.find(y)
@@ -283,12 +287,16 @@ def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: lis
     ends = np.repeat(first + size, size)
     forest = _Forest(len(bucket))
     short = np.repeat(size <= small, size)
+    found = []
     for d in range(1, min(small, int(size.max(initial=1)))):
         a = np.flatnonzero(short & (np.arange(len(bucket)) + d < ends))
         if not len(a):
             break
         a = a[_near(f, a, a + d, radius, wide)]
-        forest.add(a, a + d)
+        found.append(np.stack([a, a + d]))
+    if found:
+        a, b = np.hstack(found)
+        forest.add(a, b, np.bitwise_count(f[a] ^ f[b]).sum(1))
     for s, n in zip(first[size > small].tolist(), size[size > small].tolist()):
         own = level[s : s + n]
         top = raises[int(bucket[s] >> 40)]
@@ -304,7 +312,7 @@ def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: lis
                         if len(a) and words > 1:
                             ok = np.bitwise_count(f[a] ^ f[b]).sum(1) <= wide
                             a, b = a[ok], b[ok]
-                        forest.add(a, b)
+                        forest.add(a, b, np.bitwise_count(f[a] ^ f[b]).sum(1))
                         forest.settle()
     if not forest.edges:
         return None
@@ -381,13 +389,65 @@ def radii(wide: int, words: int) -> list[int]:
     return [(wide + words - i) // words - 1 for i in range(words)]
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46) -> DataFrame:
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The distinct 64-bit hashes of each text's word shingles, sorted; words as in fingerprints_of."""
+    out = []
+    for t in texts:
+        w = t.translate(LOWER_TABLE).split()
+        rows = [b" ".join(s) for s in zip(*(w[i:] for i in range(shingle)))] if len(w) >= shingle else ([b" ".join(w)] if w else [])
+        out.append(np.array(sorted({xxhash.xxh64_intdigest(s, 42) for s in rows}), np.uint64))
+    return out
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array([x.tobytes() for x in shingle_sets(texts, shingle)], pa.binary())], names=["node", "own"])
+
+    return run
+
+
+def _alike(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= share * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, share: float) -> DataFrame:
+    """The links (a, b) whose texts have at least `share` of their word shingles in common.
+
+    rows: (doc_id, k, node) of docs. Of the texts of one fingerprint one speaks for all. Each text that stands in a link is
+    read once and hashed once.
+    """
+    links = materialize(links, "near-links")
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    spoken = rows.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one")).join(ends, "node").select("node", "one.doc_id", "one.k")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("text"))
+    same = texts["doc_id"].eqNullSafe(F.col("o.doc_id")) & texts["k"].eqNullSafe(F.col("o.k"))
+    sets = texts.join(spoken.alias("o"), same).select("node", "text").mapInArrow(_sets(shingle), "node long, own binary").dropDuplicates(["node"])
+    sets = materialize(sets, "near-sets")
+    first = links.join(sets.select(F.col("node").alias("a"), F.col("own").alias("of_a")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("own").alias("of_b")), "b")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(_alike(share), "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46, share: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates, all columns as they are.
 
-    Fingerprints have `words` words of 64 bits; documents link if they differ in at most `wide` bits of all, which is a
-    similarity of about 0.8 of their word shingles. All words are probed, with radii of which a pair within `wide` bits
-    meets one at least. Of each connected group the row of the smallest (doc_id, hash of the text) stays; null doc_ids come first. Null texts
-    and texts without words are a group of their own. Rows that agree in doc_id and text leave one row. An empty table gives no rows.
+    Fingerprints have `words` words of 64 bits. Candidates differ in at most `wide` bits of all; all words are probed, with
+    radii of which a pair within `wide` bits meets one at least. Of the candidates in a bucket the nearest ones that
+    connect them are kept, and link if the texts have at least `share` of their word shingles in common. Equal
+    fingerprints link. Of each connected group the row of the smallest (doc_id, hash of the text) stays; null doc_ids come
+    first. Null texts and texts without words are a group of their own. Rows that agree in doc_id and text leave one
+    row. An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(words)]
     rows = materialize(fingerprint(docs, shingle, words), "near-rows")
@@ -396,7 +456,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide
     for turn, radius in enumerate(radii(wide, words)):
         more = linked(prints, radius, words, wide, turn)
         links = more if links is None else links.unionByName(more)
-    labels = connected_components(links)
+    labels = connected_components(verified(links.distinct(), rows, docs, shingle, share))
     grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
     grouped = materialize(grouped, "near-groups")
     # written out for the same reason as above: a group may hold a third of all rows
