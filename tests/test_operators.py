@@ -303,3 +303,31 @@ def test_variances_equal_a_loop(n):
     if n > 40:
         r[35] = np.nan
         assert np.isfinite(garch.variances(theta, r, 1.5)[:, :36]).all() and np.isnan(garch.variances(theta, r, 1.5)[:, 36:]).all()
+
+
+@pytest.mark.parametrize("kind", ["negative", "infinite", "inverted", "pit", "repeated"])
+def test_tables_that_scores_are_not_defined_for_are_refused(spark, kind):
+    from tidewater.operators import guards
+
+    good = {"series": "s", "date": "2020-01-01", "model": "m", "variance": 1.0, "pit": 0.5, "log_return": 0.1, "proxy_var": 1.0, "lo_90": -1.0, "hi_90": 1.0, "lo_95": -2.0, "hi_95": 2.0, "lo_99": -3.0, "hi_99": 3.0, "var_99": -2.5}
+    unknown = good | {"date": "2020-01-02"} | {k: None for k, v in good.items() if isinstance(v, float)}
+    bad = good | {"date": "2020-01-03"} | {"negative": {"variance": -1.0}, "infinite": {"log_return": float("inf")}, "inverted": {"hi_95": -2.5}, "pit": {"pit": 1.5}, "repeated": {"date": "2020-01-01"}}[kind]
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'string'}" for k, v in good.items())
+    table = lambda *rows: spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    assert guards.checked_scores(table(good, unknown), ORDERS).count() == 2
+    with pytest.raises(Exception, match="only|finite|below|outside|repeated"):
+        guards.checked_scores(table(good, unknown, bad), ORDERS).count()
+
+
+def test_unknown_models_and_small_regimes_are_refused(spark):
+    from tidewater.operators import guards
+
+    rows = spark.createDataFrame([("s", m, r, 1.0) for m in ("a", "b") for r in ("calm", "normal", "stressed") for _ in range(3)], "series string, model string, regime string, qlike double")
+    assert guards.refuse_unknown_models(rows, ["a", "b"]).count() == 18
+    with pytest.raises(Exception, match="lacks"):
+        guards.refuse_unknown_models(rows, ["a", "c"]).count()
+    assert guards.refuse_small_regimes(rows, "qlike", replace(STUDY, min_regime=3)).count() == 18
+    with pytest.raises(Exception, match="fewer than 4"):
+        guards.refuse_small_regimes(rows, "qlike", replace(STUDY, min_regime=4)).count()
+    with pytest.raises(Exception, match="without"):
+        guards.refuse_uncovered(rows.withColumn("proxy_var", F.lit(None).cast("double")), "proxy_var").count()

@@ -43,7 +43,7 @@ class Study:
 
 
 #: For series made from the orders table.
-ORDERS = Study(train_end="1997-12-31", oos_start="1998-01-01", calm_max=24.0, stressed_min=26.5, fit_scale=1.0, replicates=200)
+ORDERS = Study(train_end="1997-12-31", oos_start="1998-01-01", calm_max=24.0, stressed_min=26.5, fit_scale=1.0)
 
 
 def level_key(level: float) -> str:

@@ -18,13 +18,15 @@ from tidewater.config import Study, level_key
 from tidewater.functions.special import bisect, normal_cdf, t_cdf, t_ppf
 from tidewater.operators.forecasts import refit_ids
 
-#: Starts: shares of the shock and of persistence, degrees of freedom. Sums of 0.995 or more are left out.
-STARTS_ALPHA, STARTS_BETA, STARTS_NU = (0.03, 0.08, 0.15), (0.75, 0.85, 0.92), (5.0, 8.0, 15.0)
+# Starts for the shares of the shock and of persistence, and for the degrees of freedom. Sums of 0.995 or more are left out.
+STARTS_ALPHA = (0.05, 0.10, 0.20)
+STARTS_BETA = (0.75, 0.85, 0.90)
+STARTS_NU = (5.0, 8.0, 15.0)
 BARRIER = 1e10
-#: Bounds of convergence diagnostics. Every walker of the ensemble counts as a chain, so the bound on R-hat is wider than that for a few long chains.
-MAX_R_HAT, MIN_ESS = 1.05, 400
+# Bounds of convergence diagnostics.
+MAX_R_HAT, MIN_ESS = 1.01, 400
 #: Draws that a predictive mixture keeps, evenly from all.
-DRAWS = 300
+DRAWS = 2000
 
 
 def variances(theta: np.ndarray, r: np.ndarray, h0: float, block: int = 32) -> np.ndarray:
@@ -323,7 +325,9 @@ def garch_forecasts(framed: DataFrame, study: Study, models: tuple[str, ...] = (
 
     Null stands for what is missing; the refits of all series are dealt over the cluster.
     """
-    tasks = refit_tasks(framed, study).repartition("series", "refit_id")
+    # a number of partitions of its own: small tables would else be put together into one task
+    parts = framed.sparkSession.sparkContext.defaultParallelism * 4
+    tasks = refit_tasks(framed, study).repartition(parts, "series", "refit_id")
     rows = tasks.mapInPandas(_forecast(study, models), _path_schema(study))
     plain = [F.when(~F.isnan(c), F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes]
     return rows.select(*plain)

@@ -32,6 +32,12 @@ def common_dates(table: DataFrame, models: list[str], columns: tuple[str, ...] =
     return complete.groupBy("series", "date").agg(F.count_distinct("model").alias("n")).where(F.col("n") == len(models)).select("series", "date")
 
 
+def by_sample(scored: DataFrame, models: list[str]) -> DataFrame:
+    """Rows with `sample`: `own` for each model's own days, and again `common` for the days that all models have."""
+    common = scored.join(common_dates(scored, models), ["series", "date"], "left_semi")
+    return scored.withColumn("sample", F.lit("own")).unionByName(common.withColumn("sample", F.lit("common")))
+
+
 def stacked_levels(scored: DataFrame, study: Study) -> DataFrame:
     """A row for each level: nominal, inside, width, lo, hi."""
     levels = [F.struct(F.lit(x).alias("nominal"), *[F.col(f"{c}_{level_key(x)}").alias(c) for c in ("inside", "width", "lo", "hi")]) for x in study.levels]

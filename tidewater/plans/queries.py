@@ -240,7 +240,7 @@ _SQL["garch_loglik"] = f"""{_with(["seed"])}, {_GARCH} SELECT series, CAST(count
     FROM filter JOIN g USING (k) WHERE part = 'train' GROUP BY series"""
 
 
-@_register("start_grid", "", "alpha beta nu", """SELECT a AS alpha, b AS beta, v AS nu FROM (VALUES (0.03), (0.08), (0.15)) x(a), (VALUES (0.75), (0.85), (0.92)) y(b), (VALUES (5.0), (8.0), (15.0)) z(v) WHERE a + b < 0.995""")
+@_register("start_grid", "", "alpha beta nu", """SELECT a AS alpha, b AS beta, v AS nu FROM (VALUES (0.05), (0.10), (0.20)) x(a), (VALUES (0.75), (0.85), (0.90)) y(b), (VALUES (5.0), (8.0), (15.0)) z(v) WHERE a + b < 0.995""")
 def _start_grid(spark, d):
     rows = [tuple(float(x) for x in r[2:]) for r in garch.start_grid(1.0, 0.0, True)]
     return spark.createDataFrame(rows, "alpha double, beta double, nu double")
@@ -448,6 +448,14 @@ def _acf(spark, d):
 _SQL["acf"] = f"""{_with(["frame"])}, {_ACF} SELECT lag::DOUBLE AS lag, round(acf, {DIGITS}) + 0.0 AS acf, round(1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n), {DIGITS}) + 0.0 AS band FROM acf"""
 
 
+@_register("squared_acf", "", "lag acf band")
+def _squared_acf(spark, d):
+    return diagnostics.acf(_values(spark, d).withColumn("value", F.col("value") * F.col("value")), 60)
+
+
+_SQL["squared_acf"] = _SQL["acf"].replace("log_return - avg(log_return) OVER ()", "log_return * log_return - avg(log_return * log_return) OVER ()")
+
+
 @_register("ljung_box", "", "lags statistic")
 def _ljung_box(spark, d):
     return diagnostics.ljung_box(_values(spark, d))
@@ -531,28 +539,131 @@ _SQL["coverage_difference"] = _interval_sql(
 )
 
 
-@_register("regime_difference", "model excludes_zero", "point lower upper")
+REGIME_PAIRS = (("stressed", "calm"), ("stressed", "normal"), ("normal", "calm"))
+
+
+@_register("regime_difference", "model regime_a regime_b excludes_zero", "point lower upper")
 def _regime_difference(spark, d):
-    """Mean qlike of stressed days less that of calm ones, resampled apart."""
+    """Mean qlike of the days of one regime less that of another, resampled apart, for all pairs of regimes."""
     s = scored(spark, d).withColumn("value", F.col("qlike")).where(F.col("value").isNotNull())
-    out = resampling.independent_difference(s.where("regime = 'stressed'"), s.where("regime = 'calm'"), ["model"], ORDERS)
+    parts = []
+    for a, b in REGIME_PAIRS:
+        own = resampling.independent_difference(s.where(F.col("regime") == a), s.where(F.col("regime") == b), ["model"], ORDERS)
+        parts.append(own.withColumns({"regime_a": F.lit(a), "regime_b": F.lit(b)}))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.withColumn("excludes_zero", (F.col("lower") > 0) | (F.col("upper") < 0))
 
 
 _ROWS = "SELECT model, regime, date, qlike AS value FROM scored WHERE qlike IS NOT NULL"
-_SQL["regime_difference"] = (
-    f"{_with(['scored'])}, "
-    + ", ".join(
-        f"v{k} AS (SELECT model, value, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY model) AS n FROM ({_ROWS}) WHERE regime = '{r}'), "
-        + _draws(f"SELECT DISTINCT n FROM v{k}").replace("draws AS", f"draws{k} AS", 1).replace(f":{ORDERS.seed}:", f":{ORDERS.seed + k}:")
+
+
+def _side(k: int, seed: int, regime: str) -> str:
+    """CTEs of one side of a pair of regimes: values, draws, means of replicates, the point."""
+    return (
+        f"v{k} AS (SELECT model, value, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY model) AS n FROM ({_ROWS}) WHERE regime = '{regime}'), "
+        + _draws(f"SELECT DISTINCT n FROM v{k}").replace("draws AS", f"draws{k} AS", 1).replace(f":{ORDERS.seed}:", f":{ORDERS.seed + seed}:")
         + f", m{k} AS (SELECT model, rep, sum(value) / n AS m FROM v{k} JOIN draws{k} USING (n, idx) GROUP BY model, n, rep), p{k} AS (SELECT model, avg(value) AS p FROM v{k} GROUP BY model)"
-        for k, r in ((0, "stressed"), (1, "calm"))
     )
-    + f""" SELECT model, any_value(p0.p - p1.p) IS NOT NULL AND (quantile_cont(m0.m - m1.m, 0.025) > 0 OR quantile_cont(m0.m - m1.m, 0.975) < 0) AS excludes_zero, round(any_value(p0.p - p1.p), {DIGITS}) + 0.0 AS point,
-        round(quantile_cont(m0.m - m1.m, 0.025), {DIGITS}) + 0.0 AS lower, round(quantile_cont(m0.m - m1.m, 0.975), {DIGITS}) + 0.0 AS upper FROM m0 JOIN m1 USING (model, rep) JOIN p0 USING (model) JOIN p1 USING (model) GROUP BY model"""
+
+
+def _pair_sql(i: int, a: str, b: str) -> str:
+    x, y = 2 * i, 2 * i + 1
+    lower, upper = (f"quantile_cont(m{x}.m - m{y}.m, {q})" for q in (0.025, 0.975))
+    return f"""SELECT model, '{a}' AS regime_a, '{b}' AS regime_b, {lower} > 0 OR {upper} < 0 AS excludes_zero, round(any_value(p{x}.p - p{y}.p), {DIGITS}) + 0.0 AS point, round({lower}, {DIGITS}) + 0.0 AS lower,
+        round({upper}, {DIGITS}) + 0.0 AS upper FROM m{x} JOIN m{y} USING (model, rep) JOIN p{x} USING (model) JOIN p{y} USING (model) GROUP BY model"""
+
+
+_SQL["regime_difference"] = (
+    f"{_with(['scored'])}, "
+    + ", ".join(_side(2 * i + k, k, pair[k]) for i, pair in enumerate(REGIME_PAIRS) for k in (0, 1))
+    + " "
+    + " UNION ALL ".join(_pair_sql(i, a, b) for i, (a, b) in enumerate(REGIME_PAIRS))
 )
 
 
+# ---- tables by sample and by regime with intervals
+
+_CTES["complete"] = "SELECT series, date FROM scored WHERE variance IS NOT NULL AND pit IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 2"
+_CTES["sampled"] = "SELECT 'own' AS sample, * FROM scored UNION ALL SELECT 'common', * FROM scored WHERE date IN (SELECT date FROM complete)"
+_CTES["sample_levels"] = " UNION ALL ".join(
+    f"SELECT sample, model, log_return, variance, {x} AS nominal, lo_{k} AS lo, hi_{k} AS hi, inside_{k} AS inside, width_{k} AS width FROM sampled" for x, k in ((0.9, "90"), (0.95, "95"), (0.99, "99"))
+)
+_NEEDS |= {"complete": ["scored"], "sampled": ["complete"], "sample_levels": ["sampled"]}
+
+
+def sampled(spark, d):
+    return scoring.by_sample(scored(spark, d), MODELS)
+
+
+@_register("sample_losses", "sample model loss excludes_zero", "n point lower upper")
+def _sample_losses(spark, d):
+    return resampling.mean_interval(scoring.stacked_losses(sampled(spark, d)), ["sample", "model", "loss"], ORDERS)
+
+
+_SQL["sample_losses"] = _interval_sql(["sampled"], "SELECT sample, date, model, 'qlike' AS loss, qlike AS value FROM sampled UNION ALL SELECT sample, date, model, 'mse', mse FROM sampled", "sample, model, loss")
+
+
+@_register("sample_coverage", "sample model", "nominal n n_below n_above empirical mean_width", f"SELECT sample, model, nominal, {_COVER} FROM sample_levels WHERE variance IS NOT NULL GROUP BY 1, 2, 3", "sample_levels")
+def _sample_coverage(spark, d):
+    return scoring.coverage(sampled(spark, d), ORDERS, ("series", "sample", "model"))
+
+
+_BY_SAMPLE = _COUNTS.replace("PARTITION BY model", "PARTITION BY sample, model").replace("FROM scored", "FROM sampled")
+
+
+@_register(
+    "sample_var", "sample model", "n breaches rate lr_uc p_uc lr_ind p_ind lr_cc p_cc",
+    f"""SELECT *, x AS breaches, x / n AS rate, lr_uc + lr_ind AS lr_cc, 2 * ({normal_cdf_sql("(-sqrt(lr_uc))")}) AS p_uc, 2 * ({normal_cdf_sql("(-sqrt(lr_ind))")}) AS p_ind, exp(-(lr_uc + lr_ind) / 2) AS p_cc FROM (
+        SELECT *, {_LR_UC} AS lr_uc, {_LR_IND} AS lr_ind FROM (SELECT *, (n01 + n11) / (n00 + n01 + n10 + n11) AS p, CASE WHEN n00 + n01 > 0 THEN n01 / (n00 + n01) ELSE 0 END AS p0,
+        CASE WHEN n10 + n11 > 0 THEN n11 / (n10 + n11) ELSE 0 END AS p1 FROM (SELECT sample, model, {_BY_SAMPLE} GROUP BY sample, model)))""", "sampled",
+)
+def _sample_var(spark, d):
+    return scoring.var_tests(sampled(spark, d), ORDERS, ("series", "sample", "model"))
+
+
+@_register(
+    "sample_pit", "sample model", "n ks mean_pit",
+    """SELECT sample, model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT sample, model, pit, row_number() OVER (PARTITION BY sample, model ORDER BY pit, date)::DOUBLE AS i,
+        count(*) OVER (PARTITION BY sample, model)::DOUBLE AS n FROM sampled WHERE pit IS NOT NULL) GROUP BY 1, 2""", "sampled",
+)
+def _sample_pit(spark, d):
+    return scoring.pit_uniformity(sampled(spark, d), ("series", "sample", "model"))
+
+
+@_register("regime_coverage_intervals", "model regime covers_nominal", "nominal n point lower upper")
+def _regime_coverage_intervals(spark, d):
+    """Coverage within each regime with its interval, and whether that has the nominal level in it."""
+    rows = scoring.stacked_levels(scored(spark, d).where(F.col("regime").isNotNull()), ORDERS).withColumn("value", F.col("inside"))
+    out = resampling.mean_interval(rows, ["model", "regime", "nominal"], ORDERS)
+    return out.withColumn("covers_nominal", F.col("nominal").between(F.col("lower"), F.col("upper")))
+
+
+_SQL["regime_coverage_intervals"] = "SELECT model, regime, nominal::DOUBLE AS nominal, n, point, lower, upper, nominal BETWEEN lower AND upper AS covers_nominal FROM (" + _interval_sql(
+    ["levels"], "SELECT model, regime, nominal, date, inside AS value FROM levels WHERE regime IS NOT NULL", "model, regime, nominal"
+) + ")"
+
+
+@_register("regime_var_intervals", "model regime covers_nominal", "n point lower upper")
+def _regime_var_intervals(spark, d):
+    """Rate of breaches within each regime with its interval, and whether that has the nominal rate in it."""
+    rows = scored(spark, d).where(F.col("regime").isNotNull()).withColumn("value", F.col("exceedance"))
+    out = resampling.mean_interval(rows, ["model", "regime"], ORDERS)
+    return out.withColumn("covers_nominal", F.lit(round(1 - ORDERS.var_level, 10)).between(F.col("lower"), F.col("upper")))
+
+
+_SQL["regime_var_intervals"] = "SELECT model, regime, n, point, lower, upper, 0.01 BETWEEN lower AND upper AS covers_nominal FROM (" + _interval_sql(["scored"], "SELECT model, regime, date, exceedance AS value FROM scored WHERE regime IS NOT NULL", "model, regime") + ")"
+
+
+@_register(
+    "trailing_var", "model trailing_regime", "n breaches lr_uc",
+    f"""SELECT *, x AS breaches, {_LR_UC} AS lr_uc FROM (SELECT model, {_TRAIL} AS trailing_regime, count(*)::DOUBLE AS n, sum(exceedance) AS x FROM scored JOIN trail USING (date), cuts WHERE exceedance IS NOT NULL GROUP BY 1, 2)""", "scored cuts",
+)
+def _trailing_var(spark, d):
+    f = framed(spark, d)
+    rows = scored(spark, d).join(derive.trailing_regimes(f, ORDERS).select("series", "date", "trailing_regime"), ["series", "date"])
+    return scoring.var_tests(rows, ORDERS, ("series", "model", "trailing_regime"), independence=False)
+
+
 # ---- more reports and the data of figures
 
 
@@ -566,12 +677,12 @@ def _paired(spark, d):
     return scoring.paired(scored(spark, d), _PAIR, ("qlike",))
 
 
-@_register("merge_order", "date model", "position", "SELECT date, model, row_number() OVER (ORDER BY date, CASE model WHEN 'yesterday' THEN 0 ELSE 1 END) AS position FROM table_ WHERE date < DATE '1998-03-01'", "table_")
+@_register("merge_order", "date model", "position", "SELECT date, model, row_number() OVER (ORDER BY date, CASE model WHEN 'yesterday' THEN 0 ELSE 1 END) AS position FROM table_", "table_")
 def _merge_order(spark, d):
-    """The forecast table's first dates in the order of dates and then of models; one series, so one window."""
+    """The forecast table in the order of dates and then of models, numbered in each series."""
     from pyspark.sql import Window
 
-    rows = forecasts.baselines(framed(spark, d), ORDERS).where(F.col("date") < F.lit("1998-03-01").cast("date"))
+    rows = forecasts.baselines(framed(spark, d), ORDERS)
     order = F.when(F.col("model") == "yesterday", 0).otherwise(1)
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("series").orderBy("date", order)))
 
@@ -635,32 +746,6 @@ def _symmetry_tests(spark, d):
     return rows.withColumn("symmetry_p", diagnostics.symmetry_p("n_below", F.col("n_below") + F.col("n_above")))
 
 
-@_register("regression_tests", "series test lags", "statistic p_value critical_05")
-def _regression_tests(spark, d):
-    return diagnostics.regression_tests(_values(spark, d))
-
-
-def _refits(spark, d):
-    rows = garch.garch_forecasts(framed(spark, d), replace(ORDERS, refit_every=252))
-    return rows.groupBy("series", "model", "refit_id").agg(F.bool_and("converged").alias("converged"), *[F.max(c).alias(c) for c in ("alpha", "beta", "nu")])
-
-
-@_register("parameter_stability", "model refit_id converged", "alpha beta persistence nu")
-def _parameter_stability(spark, d):
-    return _refits(spark, d).withColumn("persistence", F.col("alpha") + F.col("beta"))
-
-
-@_register("convergence", "model", "n_refits n_converged")
-def _convergence(spark, d):
-    return _refits(spark, d).groupBy("model").agg(F.count("*").alias("n_refits"), F.count_if("converged").alias("n_converged"))
-
-
-@_register("posterior_walk_forward", "series date model refit_id converged", "variance mean lo_95 hi_95 var_99 pit")
-def _posterior(spark, d):
-    """Mixtures over posterior draws; a refit for every two years of days."""
-    return garch.garch_forecasts(framed(spark, d), replace(ORDERS, refit_every=504), ("garch_posterior",))
-
-
 @_register("garch_walk_forward", "series date model refit_id converged", "variance mean lo_95 hi_95 var_99 pit")
 def _garch_walk_forward(spark, d):
     return garch.garch_forecasts(framed(spark, d), ORDERS)
