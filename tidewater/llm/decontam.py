@@ -9,7 +9,8 @@ walking to the next sampled position, and merged into spans for removal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -284,12 +285,13 @@ def _scan(shared, cut: bool):
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of about block_bytes each, by a hash of their ids; the driver holds one block at a time until it is broadcast."""
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+    """Items in blocks of about block_bytes each, by a hash of their ids; the driver collects one when it is asked for."""
     named = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // block_bytes))
-    return [[(r["item_id"], r["text"]) for r in named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r["item_id"], r["text"]) for r in named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()]
 
 
 def _passed(docs: DataFrame, items: list[tuple[str, str | None]], cut: bool, window: int) -> DataFrame:
@@ -307,7 +309,7 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), none, lambda a, x: F.when((F.size(a) > 0) & (x["f"] <= F.try_element_at(a, F.lit(-1))["l"] + 1), joined(a, x)).otherwise(F.concat(a, F.array(x))))
 
 
-def _over_blocks(rows: DataFrame, blocks: list[list[tuple[str, str | None]]], window: int, *carried: str) -> DataFrame:
+def _over_blocks(rows: DataFrame, blocks: Iterable[list[tuple[str, str | None]]], window: int, *carried: str) -> DataFrame:
     """(row, carried, _n_words, _s, _items) for each of rows (row, text, carried): spans _s of all blocks on the unchanged texts, merged."""
     passes = [_passed(rows.select("row", "text", *carried), b, False, window) for b in blocks]
     every = passes[0]
@@ -329,11 +331,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = item_blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        found = _passed(rows, blocks[0], False, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _passed(rows, first, False, window)
         return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_firsts").alias("firsts"), F.col("_lasts").alias("lasts"), F.col("_items").alias("items"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    met = _over_blocks(rows, blocks, window, "doc_id").withColumnsRenamed({"_n_words": "n_words", "_s": "s", "_items": "items"})
+    met = _over_blocks(rows, chain((first, second), blocks), window, "doc_id").withColumnsRenamed({"_n_words": "n_words", "_s": "s", "_items": "items"})
     return met.select("doc_id", "n_words", F.transform("s", lambda x: x["f"]).alias("firsts"), F.transform("s", lambda x: x["l"]).alias("lasts"), "items")
 
 
@@ -346,12 +349,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     columns = [c for c in docs.columns if c != "words_removed"]
     rows = apart(docs.select(*columns)).drop("doc_id")
     blocks = item_blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        found = _passed(rows, blocks[0], True, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _passed(rows, first, True, window)
         out = found.select("doc", F.col("_text").alias("text"), _length("_firsts", "_lasts").alias("removed"))
         return out.select(*together(columns, F.col("text")), F.col("removed").alias("words_removed"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    spans = _over_blocks(rows, blocks, window).where(F.size("_s") > 0).select("row", "_s")
+    spans = _over_blocks(rows, chain((first, second), blocks), window).where(F.size("_s") > 0).select("row", "_s")
     met = rows.join(spans, "row", "left").select("doc", "_s", "text")
     removed = F.coalesce(F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["l"] - x["f"] + 1), F.lit(0).cast("long"))
     met = met.withColumn("removed", removed)

@@ -26,8 +26,8 @@ from tidewater.llm.words import LOWER, SOLID, slices
 
 #: Share of a slot that may stay empty before a piece is cut instead.
 SLACK = 1 / 32
-#: Workers' shares of a class; counts of class times share are sent to the driver.
-SHARES = 64
+#: Workers' shares of a class at least, and pieces for one more; counts of class times share are sent to the driver.
+SHARES, SHARE_PIECES = 64, 4_000_000
 #: Words with their ids that a Python worker keeps.
 CACHE_WORDS = 1_000_000
 
@@ -205,6 +205,7 @@ def pack_harmonic(pieces: DataFrame, capacity: int = 4096, shares: int = SHARES)
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pack-pieces")
+    shares = max(shares, pieces.count() // SHARE_PIECES)
     share = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shares)).cast("int")
     shared = pieces.withColumn("share", share)
     counts = sorted((r["slots"], r["share"], r["n"]) for r in shared.groupBy("slots", "share").agg(F.count("*").alias("n")).collect())

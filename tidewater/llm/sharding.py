@@ -16,6 +16,8 @@ from tidewater.llm.common import materialize, read_table
 #: Ranges cut for each shard, and sampled keys for each range; both bound what the driver sees.
 RANGES_PER_SHARD = 128
 SAMPLES_PER_RANGE = 16
+#: Parts in which rows that are equal in text and doc_id can be dealt out.
+ROW_PARTS = 1024
 #: Bits of the key by which a row finds the few splitters near it.
 CELL_BITS = 13
 
@@ -71,7 +73,8 @@ def shard_by_splitters(docs: DataFrame, shards: int = 16, seed: int = 11, per_sh
 
     Returns (doc_id, size, text_crc32, shard, slot, range). size is the text's UTF-8 bytes plus 1 (null text: 1),
     slots count from 0 in each shard without gaps. Equal texts have one key and stay together unless they fill
-    more than a range, 1/per_shard of a shard; then they are subdivided by doc_id. Null texts are equal to each other.
+    more than a range, 1/per_shard of a shard; then they are subdivided by doc_id and by their places in the
+    table. Null texts are equal to each other.
     Null or repeated doc_ids are rows like others; an empty table gives no rows. Columns of docs other than
     doc_id and text play no part.
     """
@@ -79,7 +82,8 @@ def shard_by_splitters(docs: DataFrame, shards: int = 16, seed: int = 11, per_sh
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("k"),
-        F.xxhash64("doc_id").alias("id_key"),
+        # a part of the row's place, too, so that rows equal in text and doc_id can be dealt out
+        F.xxhash64("doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(ROW_PARTS))).alias("id_key"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )

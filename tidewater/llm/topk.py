@@ -154,7 +154,10 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_byt
                 new = (ids, np.arange(at, at + len(ids)), z)
                 value[z.shape[1]] = new if old is None else tuple(np.concatenate(p) for p in zip(old, new))
                 at += len(ids)
-        found.append(candidates.select("vec_id", "z").mapInArrow(_search(spark.sparkContext.broadcast(value), b, k), _PAIRS))
+        # each block is searched and written before the driver takes up the next one
+        shared = spark.sparkContext.broadcast(value)
+        found.append(materialize(candidates.select("vec_id", "z").mapInArrow(_search(shared, b, k), _PAIRS), "topk-found"))
+        shared.destroy()
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionAll(more)
