@@ -244,7 +244,13 @@ def test_frequent_values_are_split_without_losing_links(spark, monkeypatch):
     values = sorted({int(0x1234 << 40) ^ sum(1 << int(b) for b in rng.integers(0, 40, 6)) for _ in range(300)})
     prints = spark.createDataFrame([(v,) for v in values], "f0 long").select("f0", F.col("f0").alias("node"))
     plan = simhash.allot(np.array(values, np.uint64), len(values), 4)
-    assert any(splits for _, _, splits in plan)
+    buckets = Counter()
+    for i, (bits, t) in enumerate(plan):
+        v = simhash.values_in(np.array(values, np.uint64), bits)
+        for level in range(t + 1):
+            buckets.update(((i << 40) + simhash.raised(v, len(bits), level)[1]).tolist())
+    hot = {r["bucket"]: r["parts"] for r in simhash.crowded(prints, plan, len(values)).collect()}
+    assert hot and hot == {b: -(-n // 8) for b, n in buckets.items() if n > 8}
     from tidewater.llm.components import connected_components
 
     got = {r["node"]: r["label"] for r in connected_components(simhash.linked(prints, 4)).collect()}

@@ -29,8 +29,12 @@ SAMPLE = 10_000
 ROW_COST, PAIR_COST, SPLIT_ROWS = 1.0, 0.002, 16_384
 #: Plans are made for so many fingerprints at least, so that small inputs run by the plan of large ones.
 PLAN_FOR = 1_000_000
+#: Bucket rows for each counter of the first, coarse count of buckets.
+CELL_ROWS = 1024
 #: Values a fingerprint may take in one partition.
 MAX_PROBES = 200
+#: Crowded buckets (16 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 # ---- fingerprints
@@ -155,16 +159,13 @@ def raised(values: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.n
     return rows, out
 
 
-def allot(sample: np.ndarray, n: int, radius: int) -> list[tuple[np.ndarray, int, dict[int, int]]]:
-    """Groups of bits with their radii, of least predicted cost for n distinct fingerprints: (bits, t, splits).
-
-    splits tells, for values that the sample shows to be frequent, into how many chunks their buckets are cut.
-    """
+def allot(sample: np.ndarray, n: int, radius: int) -> list[tuple[np.ndarray, int]]:
+    """Groups of bits with their radii, of least predicted cost for n distinct fingerprints: (bits, t)."""
     best, chosen = None, []
     for m in range(2, radius + 2):
         options = []
         for bits in bit_groups(sample, m):
-            v, own = values_in(sample, bits), [(0.0, {})]
+            v, own = values_in(sample, bits), [0.0]
             width, seen, freq = len(bits), {}, np.zeros(0)
             for t in range(radius + 1):
                 rows_each = sum(comb(width, a) for a in range(t + 1)) if t > 1 else 1 + t * width / 2
@@ -175,62 +176,80 @@ def allot(sample: np.ndarray, n: int, radius: int) -> list[tuple[np.ndarray, int
                 for a, c in zip(value[count > 1].tolist(), count[count > 1].tolist()):
                     seen[a] = seen.get(a, 0) + c
                 freq = np.array(list(seen.values()), float)
-                scale, large = n / max(1, len(v)), max(n, PLAN_FOR) / max(1, len(v))
+                large = max(n, PLAN_FOR) / max(1, len(v))
                 # smoothed: values seen once stand for a uniform rest
                 pairs = ((freq * large) ** 2).sum() + (len(v) * rows_each * large) ** 2 / 2.0**width
-                splits = {a: int(-(-c * scale // SPLIT_ROWS)) for a, c in seen.items() if c * scale > SPLIT_ROWS}
                 copies = sum(c * large // SPLIT_ROWS * c * large for c in seen.values())
-                own.append((ROW_COST * (len(x) * large + copies) + PAIR_COST * pairs / 2 + (own[-1][0] if t else 0.0), splits))
+                own.append(ROW_COST * (len(x) * large + copies) + PAIR_COST * pairs / 2 + (own[-1] if t else 0.0))
             options.append((bits, own))
         # by[e]: least cost of giving e = sum(t + 1) to the groups so far
         by = {0: (0.0, [])}
         for bits, own in options:
             by = {
-                e: min(((by[e - u][0] + own[u][0], by[e - u][1] + [u]) for u in range(min(e, len(own) - 1) + 1) if e - u in by), default=None)
+                e: min(((by[e - u][0] + own[u], by[e - u][1] + [u]) for u in range(min(e, len(own) - 1) + 1) if e - u in by), default=None)
                 for e in range(radius + 2)
             }
             by = {e: x for e, x in by.items() if x}
         if radius + 1 in by and (best is None or by[radius + 1][0] < best):
             best, given = by[radius + 1]
-            chosen = [(bits, u - 1, own[u][1]) for (bits, own), u in zip(options, given) if u]
+            chosen = [(bits, u - 1) for (bits, _), u in zip(options, given) if u]
     return chosen
 
 
 # ---- buckets and links
 
 
-def _bucket_rows(plan: list[tuple[np.ndarray, int, dict[int, int]]], words: int):
+def _bucket_rows(plan: list[tuple[np.ndarray, int]], words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 f = batch.column("f0").to_numpy().view(np.uint64)
-                for i, (bits, t, splits) in enumerate(plan):
+                for i, (bits, t) in enumerate(plan):
                     v = values_in(f, bits)
                     for level in range(t + 1):
                         rows, value = raised(v, len(bits), level)
-                        sub, level_of = np.zeros(len(rows), np.int32), np.full(len(rows), level, np.int8)
-                        if splits:
-                            rows, value, sub = _chunks(f, rows, value, splits)
-                            level_of = np.full(len(rows), level, np.int8)
                         own = batch.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array((i << 40) + value), pa.array(sub), pa.array(level_of), *own.columns], names=["bucket", "sub", "level", *(f"f{j}" for j in range(words))]
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array((i << 40) + value), pa.array(np.full(len(rows), level, np.int8)), *own.columns], names=["bucket", "level", *(f"f{j}" for j in range(words))])
 
     return run
 
 
-def _chunks(f: np.ndarray, rows: np.ndarray, value: np.ndarray, splits: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of frequent values once for every pair of chunks that theirs is in."""
-    hot = np.array(sorted(splits))
-    at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-    parts = np.where(hot[at] == value, np.array([splits[v] for v in hot.tolist()])[at], 1)
-    chunk = (_spread(f[rows], 9) % parts.astype(np.uint64)).astype(np.int64)
-    again = np.repeat(np.arange(len(rows)), parts)
-    other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-    mine = chunk[again]
-    return rows[again], value[again], (np.minimum(mine, other) * parts[again] + np.maximum(mine, other)).astype(np.int32)
+def _bucketed(prints: DataFrame, plan: list[tuple[np.ndarray, int]], words: int) -> DataFrame:
+    """(bucket, level, f0, ...): every fingerprint in each of its buckets."""
+    names = [f"f{i}" for i in range(words)]
+    return prints.select(*names).mapInArrow(_bucket_rows(plan, words), "bucket long, level byte, " + ", ".join(f"{x} long" for x in names))
+
+
+def crowded(prints: DataFrame, plan: list[tuple[np.ndarray, int]], n: int) -> DataFrame | None:
+    """(bucket, parts) of the buckets with over SPLIT_ROWS rows, by exact counts; None if there is none.
+
+    Counters that many buckets share come first: a counter of no more than SPLIT_ROWS rows has no such bucket, and only the
+    buckets of the others are counted one by one.
+    """
+    if n <= SPLIT_ROWS:  # a fingerprint stands in a bucket once
+        return None
+    rows = _bucketed(prints, plan, 1)
+    cells = 1 + n * sum(comb(len(bits), a) for bits, t in plan for a in range(t + 1)) // CELL_ROWS
+    cell = F.pmod(F.xxhash64("bucket"), F.lit(cells)).alias("cell")
+    full = materialize(rows.groupBy(cell).count().where(F.col("count") > SPLIT_ROWS).select("cell"), "simhash-cells")
+    if full.isEmpty():
+        return None
+    exact = rows.select("bucket", cell).join(full, "cell", "left_semi").groupBy("bucket").count().where(F.col("count") > SPLIT_ROWS)
+    hot = materialize(exact.select("bucket", F.ceil(F.col("count") / SPLIT_ROWS).cast("int").alias("parts")), "simhash-crowded")
+    return None if hot.isEmpty() else hot
+
+
+def in_chunks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with `sub`: those of crowded buckets once for every pair of chunks that theirs is in, all others with 0."""
+    if hot is None:
+        return rows.withColumn("sub", F.lit(0))
+    known = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    chunk = F.pmod(F.xxhash64("f0"), F.col("parts")).cast("int")
+    met = rows.join(known, "bucket", "left").withColumn("mine", F.coalesce(chunk, F.lit(0)))
+    dealt = met.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    sub = F.least("mine", "other").cast("long") * F.coalesce("parts", F.lit(1)) + F.greatest("mine", "other")
+    return dealt.withColumn("sub", sub).drop("parts", "mine", "other")
 
 
 class _Forest:
@@ -359,11 +378,10 @@ def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0, turn:
     chance = int(mask * min(1.0, SAMPLE / max(1, n))) + 1
     sample = prints.where(F.xxhash64("f0").bitwiseAND(F.lit(mask)) < chance).select("f0").toArrow().column("f0").to_numpy().view(np.uint64)
     plan = allot(sample, n, radius)
-    schema = "bucket long, sub int, level byte, " + ", ".join(f"{x} long" for x in names)
-    rows = prints.select(*names).mapInArrow(_bucket_rows(plan, words), schema)
+    rows = in_chunks(_bucketed(prints, plan, words), crowded(prints, plan, n))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "bucket", "sub").sortWithinPartitions("bucket", "sub", "level")
-    return ordered.mapInArrow(_links(words, radius, wide, [t for _, t, _ in plan], turn), "a long, b long").distinct()
+    return ordered.mapInArrow(_links(words, radius, wide, [t for _, t in plan], turn), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
