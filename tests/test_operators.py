@@ -187,6 +187,22 @@ def test_distribution_functions(spark):
     assert special.binomial_test(2, 10) == pytest.approx(0.109375)
 
 
+def test_tails_in_the_jvm_equal_the_plain_ones(spark):
+    from tidewater.functions import expressions as e
+
+    rows = [(t, n) for t in (-4.0, -1.3, 0.0, 0.2, 2.5) for n in (1, 2, 3, 4, 5, 10, 31, 700, 20_000)]
+    got = spark.createDataFrame(rows, "t double, n long").select("t", "n", e.t_two_sided(F.col("t"), F.col("n")).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(2 * float(special.t_cdf(np.array([-abs(r["t"])]), float(r["n"]))[0]), abs=1e-8) for r in got)
+    x = spark.createDataFrame([(v,) for v in (0.0, 0.3, 4.0, 25.0, 90.0)], "x double")
+    for df in (1, 2, 3, 5, 10, 22):
+        assert all(r["p"] == pytest.approx(special.chi2_sf(r["x"], df), abs=1e-9) for r in x.select("x", e.chi2_sf(F.col("x"), df).alias("p")).collect())
+    # a published example: skewness and size of a sample with its two-sided p-value
+    values = [1, 2, 3, 4, 5, 6, 7, 8000]
+    skew = float(np.mean((np.array(values) - np.mean(values)) ** 3) / np.std(values) ** 3)
+    p = spark.createDataFrame([(skew, 8), (skew, 7)], "s double, n long").select(e.skew_test_p(F.col("s"), F.col("n"))).collect()
+    assert p[0][0] == pytest.approx(0.00039, abs=1e-4) and p[1][0] is None
+
+
 def test_fit_recovers_parameters():
     rng, h, r = np.random.default_rng(12), 4e-5, []
     nu = 7.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,72 @@ def chi2_sf_2(x: Column) -> Column:
     return F.exp(-x / 2)
 
 
+def chi2_sf(x: Column, df: int) -> Column:
+    """Upper tail of the chi-squared distribution: a finite sum for a whole number of degrees of freedom."""
+    half, odd = x / 2, df % 2
+    total = chi2_sf_1(x) if odd else F.exp(-half)
+    at = 0.5 if odd else 1.0
+    term = F.exp(-half) * F.pow(half, F.lit(at)) / math.gamma(at + 1)
+    while at < df / 2:
+        total, at = total + term, at + 1
+        term = term * half / at
+    return total
+
+
+def t_two_sided(t: Column, df: Column, most: int = 10_000) -> Column:
+    """Probability of a t-distributed value of at least |t|, for whole df from 1: a finite sum of powers of a cosine.
+
+    Above `most` degrees of freedom the normal distribution at a corrected t takes over, which is the same to 8 digits.
+    """
+    terms = F.least(df, F.lit(most))
+    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    cosine, odd = F.cos(angle), F.pmod(terms, F.lit(2)) == 1
+    # the j-th term is the one before times cos^2 (2j - 1) / 2j, for odd df times cos^2 2j / (2j + 1)
+    shift = F.when(odd, 1.0).otherwise(0.0)
+    ratio = lambda j: cosine * cosine * (2 * j - 1 + shift) / (2 * j + shift)
+    more = F.floor((terms - 2 - F.when(odd, 1).otherwise(0)) / 2).cast("int")
+    steps = F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    total = F.aggregate(steps, start, lambda a, j: F.struct((a["term"] * ratio(j)).alias("term"), (a["total"] + a["term"] * ratio(j)).alias("total")))["total"]
+    inside = F.when(df == 1, 2 * angle / math.pi).when(odd, 2 / math.pi * (angle + F.sin(angle) * cosine * total)).otherwise(F.sin(angle) * total)
+    far = 2 * normal_cdf(-F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df)))
+    return F.when(df > most, far).otherwise(F.greatest(F.lit(0.0), 1 - inside))
+
+
+def skew_test_p(skew: Column, n: Column) -> Column:
+    """Two-sided p-value that values with this skewness are from a normal distribution; null below 8 values."""
+    n = n.cast("double")
+    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    fourth = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w = F.sqrt(2 * (fourth - 1)) - 1
+    z = F.asinh(y / F.sqrt(2 / (w - 1))) / F.sqrt(0.5 * F.log(w))
+    return F.when(n >= 8, 2 * normal_cdf(-F.abs(z)))
+
+
+def chi2_sf_sql(x: str, df: str) -> str:
+    """chi2_sf for an engine with lgamma and list functions."""
+    term = f"exp(-({x}) / 2 + (j + ({df}) % 2 / 2.0) * ln(({x}) / 2) - lgamma(j + ({df}) % 2 / 2.0 + 1))"
+    return f"(CASE WHEN ({df}) % 2 = 1 THEN 2 * ({normal_cdf_sql(f'(-sqrt({x}))')}) ELSE 0 END + coalesce(list_sum(list_transform(range(0, (({df}) // 2)::BIGINT), lambda j: {term})), 0))"
+
+
+def t_two_sided_sql(t: str, df: str) -> str:
+    """t_two_sided for an engine with lgamma and list functions."""
+    df = f"(({df})::BIGINT)"
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {df} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * power(cos({angle}), 2 * j)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * power(cos({angle}), 2 * j + 1))), 0))"
+    return f"greatest(0, 1 - CASE WHEN {df} % 2 = 1 THEN {odd} ELSE {even} END)"
+
+
+def skew_test_sql(skew: str, n: str) -> str:
+    """skew_test_p as SQL."""
+    n = f"({n})::DOUBLE"
+    y = f"(({skew}) * sqrt(({n} + 1) * ({n} + 3) / (6 * ({n} - 2))))"
+    w = f"(sqrt(2 * (3 * ({n} * {n} + 27 * {n} - 70) * ({n} + 1) * ({n} + 3) / (({n} - 2) * ({n} + 5) * ({n} + 7) * ({n} + 9)) - 1)) - 1)"
+    z = f"(-abs(asinh({y} / sqrt(2 / ({w} - 1))) / sqrt(0.5 * ln({w}))))"
+    return f"CASE WHEN {n} >= 8 THEN 2 * ({normal_cdf_sql(z)}) END"
+
+
 def xlogy(x: Column, y: Column) -> Column:
     """x * log(y), 0 where x is 0."""
     return F.when(x == 0, 0.0).otherwise(x * F.log(F.when(x == 0, F.lit(1.0)).otherwise(y)))

@@ -95,7 +95,7 @@ def terciles(framed: DataFrame, study: Study) -> DataFrame:
 
 def trailing_regimes(framed: DataFrame, study: Study) -> DataFrame:
     """The frame with `trailing_regime`, cut at the training terciles."""
-    cut = F.broadcast(terciles(framed, study))  # a row for each series, held to two numbers
+    cut = terciles(framed, study)  # a row for each series
     rows = trailing_mean(framed, study.trailing).join(cut, "series")
     return rows.withColumn("trailing_regime", label(F.col("trail_mean"), F.col("low"), F.col("high"))).drop("low", "high")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from tidewater.functions import expressions
 from tidewater.functions.special import beta_inc, binomial_test, chi2_sf
 
 
@@ -28,18 +29,20 @@ def acf(values: DataFrame, lags: int) -> DataFrame:
 
 
 def ljung_box(values: DataFrame, lags: tuple[int, ...] = (5, 10, 22)) -> DataFrame:
-    """(series, lags, statistic): n (n + 2) sum(acf^2 / (n - lag)) up to each number of lags."""
+    """(series, lags, statistic, p_value): n (n + 2) sum(acf^2 / (n - lag)) up to each number of lags, chi-squared with as many degrees of freedom."""
     parts = acf(values, max(lags)).withColumn("q", F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))
     ends = F.explode(F.array(*[F.lit(k) for k in lags])).alias("lags")
-    return parts.select("series", "n", "lag", "q", ends).where(F.col("lag") <= F.col("lags")).groupBy("series", "lags").agg((F.max("n") * (F.max("n") + 2) * F.sum("q")).alias("statistic"))
+    out = parts.select("series", "n", "lag", "q", ends).where(F.col("lag") <= F.col("lags")).groupBy("series", "lags").agg((F.max("n") * (F.max("n") + 2) * F.sum("q")).alias("statistic"))
+    return out.withColumn("p_value", F.coalesce(*[F.when(F.col("lags") == k, expressions.chi2_sf(F.col("statistic"), k)) for k in lags]))
 
 
 def arch_lm_1(values: DataFrame) -> DataFrame:
-    """(series, n, statistic): n R^2 of squared demeaned values on their first lag."""
+    """(series, n, statistic, p_value): n R^2 of squared demeaned values on their first lag, chi-squared with one degree of freedom."""
     w, ordered = Window.partitionBy("series"), Window.partitionBy("series").orderBy("date")
     rows = values.where(F.col("value").isNotNull()).withColumn("s", F.pow(F.col("value") - F.avg("value").over(w), 2))
     rows = rows.withColumn("p", F.lag("s").over(ordered)).where(F.col("p").isNotNull())
-    return rows.groupBy("series").agg(F.count("*").alias("n"), (F.count("*") * F.pow(F.corr("s", "p"), 2)).alias("statistic"))
+    out = rows.groupBy("series").agg(F.count("*").alias("n"), (F.count("*") * F.pow(F.corr("s", "p"), 2)).alias("statistic"))
+    return out.withColumn("p_value", expressions.chi2_sf(F.col("statistic"), 1))
 
 
 def histogram(values: DataFrame, bins: int, low: float, high: float) -> DataFrame:

@@ -19,13 +19,13 @@ def seed_variance(framed: DataFrame, study: Study) -> DataFrame:
 
 def yesterday(framed: DataFrame, study: Study) -> DataFrame:
     """The scaled range variance of the day before; null where it is."""
-    scale = F.broadcast(proxy_scale(framed, study))  # a row for each series
+    scale = proxy_scale(framed, study)  # a row for each series
     return framed.join(scale, "series").withColumn("variance", F.lag(F.col("c") * F.col("parkinson_var")).over(by_date())).drop("c")
 
 
 def ewma(framed: DataFrame, study: Study) -> DataFrame:
     """Exponentially weighted variance from the training variance on; a missing return leaves it as it was. Null on a series' first day."""
-    seeded = framed.join(F.broadcast(seed_variance(framed, study)), "series")
+    seeded = framed.join(seed_variance(framed, study), "series")
     b = (1 - study.ewma_lambda) * F.col("log_return") * F.col("log_return")
     rows = linear_recurrence(seeded.withColumn("b", b), study.ewma_lambda, "b", "h0", name="variance")
     return rows.withColumn("variance", F.when(F.row_number().over(by_date()) > 1, F.col("variance"))).drop("b", "h0")
@@ -33,7 +33,7 @@ def ewma(framed: DataFrame, study: Study) -> DataFrame:
 
 def garch_variance(framed: DataFrame, mu: float, omega: float, alpha: float, beta: float, study: Study) -> DataFrame:
     """Conditional variance at fixed parameters, from the training variance on. A null return makes all later values null."""
-    seeded = framed.join(F.broadcast(seed_variance(framed, study)), "series")
+    seeded = framed.join(seed_variance(framed, study), "series")
     shock = omega + alpha * F.pow(F.col("log_return") - mu, 2)
     # leading rows have no return yet: the recursion begins at the first one
     started = seeded.withColumn("b", shock).withColumn("_seen", F.count("log_return").over(by_date().rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_seen") > 0)
@@ -77,7 +77,7 @@ def with_normal_intervals(rows: DataFrame, study: Study, mean: Column | float =
 
 def baselines(framed: DataFrame, study: Study) -> DataFrame:
     """The forecast table of the models yesterday and ewma on out-of-sample dates, one row for each (series, date, model)."""
-    scale = F.broadcast(proxy_scale(framed, study))
+    scale = proxy_scale(framed, study)
     refits = refit_ids(framed, study).select("series", "date", "refit_id")
     parts = [f(framed, study).select("series", "date", F.lit(name).alias("model"), "variance", "log_return", "parkinson_var", "regime") for name, f in (("yesterday", yesterday), ("ewma", ewma))]
     rows = parts[0].unionByName(parts[1]).join(refits, ["series", "date"]).join(scale, "series")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.config import REGIMES, Study, level_key
-from tidewater.functions.expressions import chi2_sf_1, chi2_sf_2, qlike, xlogy
+from tidewater.functions.expressions import chi2_sf_1, chi2_sf_2, qlike, skew_test_p, t_two_sided, xlogy
 
 
 def score(table: DataFrame, study: Study, proxy: DataFrame | None = None) -> DataFrame:
@@ -93,7 +95,10 @@ def var_tests(scored: DataFrame, study: Study, by: tuple[str, ...] = ("series",
 
 
 def pit_uniformity(scored: DataFrame, by: tuple[str, ...] = ("series", "model")) -> DataFrame:
-    """Largest distance between the distribution of pit and the uniform one, its asymptotic p-value, and the mean of pit."""
+    """Largest distance between the distribution of pit and the uniform one, its asymptotic p-value, and the mean of pit.
+
+    p_value_is_approximate is always true: the p-value is asymptotic and takes the forecast distributions for known ones.
+    """
     rows = scored.where(F.col("pit").isNotNull())
     n = F.count("*").over(Window.partitionBy(*by))
     i = F.row_number().over(Window.partitionBy(*by).orderBy("pit", "date"))
@@ -101,7 +106,8 @@ def pit_uniformity(scored: DataFrame, by: tuple[str, ...] = ("series", "model"))
     out = rows.withColumn("gap", gap).groupBy(*by).agg(F.count("*").alias("n"), F.max("gap").alias("ks"), F.avg("pit").alias("mean_pit"))
     x = F.col("ks") * (F.sqrt(F.col("n").cast("double")) + 0.12 + 0.11 / F.sqrt(F.col("n").cast("double")))
     terms = sum((2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x) for k in range(1, 21))
-    return out.withColumn("p_value", F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms))))
+    p = F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)))
+    return out.withColumns({"p_value": p, "p_value_is_approximate": F.lit(True)})
 
 
 def paired(scored: DataFrame, pairs: list[tuple[str, str]], columns: tuple[str, ...]) -> DataFrame:
@@ -113,14 +119,17 @@ def paired(scored: DataFrame, pairs: list[tuple[str, str]], columns: tuple[str,
     return a.join(b, ["series", "date", "model_b"])
 
 
-def comparison(pairs: DataFrame, column: str, max_lag: int = 40) -> DataFrame:
+def comparison(pairs: DataFrame, column: str) -> DataFrame:
     """Equal predictive accuracy: mean difference of a loss over its long-run deviation, with Bartlett weights.
 
     The number of lags is floor(4 (n/100)^(2/9)); lagged products are averaged over the pairs that exist. If the weighted sum
     is not positive the plain variance stands in, with lag 0. A difference without variance has a null statistic.
-    The statistic carries the small-sample factor sqrt((n-1)/n).
+    The statistic carries the small-sample factor sqrt((n-1)/n); its two-sided p-value is of the t distribution with n - 1
+    degrees of freedom. One number comes to the driver: the largest n, which says how many lagged columns are needed.
     """
     by = ["series", "model_a", "model_b"]
+    most = pairs.where(F.col(f"{column}_a").isNotNull()).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    max_lag = math.floor(4 * (most / 100) ** (2 / 9)) + 1  # one more, whatever rounding does
     d = pairs.withColumn("d", F.col(f"{column}_a") - F.col(f"{column}_b"))
     all_rows, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("date")
     d = d.withColumn("c", F.col("d") - F.avg("d").over(all_rows)).withColumns({f"l{j}": F.lag("c", j).over(ordered) for j in range(1, max_lag + 1)})
@@ -132,7 +141,7 @@ def comparison(pairs: DataFrame, column: str, max_lag: int = 40) -> DataFrame:
         total = total + F.when(F.lit(j) <= lag, 2 * (1 - j / (lag + 1.0)) * F.coalesce(F.col(f"g{j}"), F.lit(0.0))).otherwise(0.0)
     out = out.withColumn("lrv", total).withColumn("lag", F.when(F.col("lrv") > 0, lag).otherwise(0)).withColumn("lrv", F.when(F.col("lrv") > 0, F.col("lrv")).otherwise(F.col("g0")))
     statistic = F.when(F.col("g0") > 0, F.try_divide(F.col("mean_diff"), F.sqrt(F.col("lrv") / n)) * F.sqrt((n - 1) / n))
-    return out.select(*by, "n", "mean_diff", F.col("g0").alias("diff_variance"), "lag", statistic.alias("statistic"))
+    return out.select(*by, "n", "mean_diff", F.col("g0").alias("diff_variance"), "lag", statistic.alias("statistic")).withColumn("p_value", F.when(F.col("n") > 1, t_two_sided(F.col("statistic"), F.col("n") - 1)))
 
 
 def regime_summary(scored: DataFrame, column: str) -> DataFrame:
@@ -146,13 +155,13 @@ def regime_summary(scored: DataFrame, column: str) -> DataFrame:
 
 
 def tail_asymmetry(scored: DataFrame, study: Study) -> DataFrame:
-    """Breaches below and above each interval, what each side should have, and the skew of standardised residuals."""
+    """Breaches below and above each interval, what each side should have, and the skew of standardised residuals with its p-value."""
     rows = scored.where(F.col("variance").isNotNull()).withColumn("residual", (F.col("log_return") - F.col("mean")) / F.sqrt("variance"))
     r = F.col("log_return")
     out = stacked_levels(rows, study).groupBy("series", "model", "nominal").agg(
         F.count("*").alias("n"), F.count_if(r < F.col("lo")).alias("n_below"), F.count_if(r > F.col("hi")).alias("n_above"), F.skewness("residual").alias("residual_skew")
     )
-    return out.withColumn("expected_per_tail", (1 - F.col("nominal")) / 2 * F.col("n"))
+    return out.withColumns({"expected_per_tail": (1 - F.col("nominal")) / 2 * F.col("n"), "skew_p": skew_test_p(F.col("residual_skew"), F.col("n"))})
 
 
 def width_ratios(pairs: DataFrame, study: Study) -> DataFrame:

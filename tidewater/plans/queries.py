@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.config import ORDERS, Study
-from tidewater.functions.expressions import annualised, normal_cdf_sql
+from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
 from tidewater.operators import derive, diagnostics, forecasts, garch, resampling, scoring
 from tidewater.sources import bars
+from tidewater.sources.store import written
 
 DIGITS = 6
 MODELS = ["yesterday", "ewma"]
@@ -93,10 +94,16 @@ def _register(name: str, keys: str, numbers: str = "", sql: str | None = None, c
     return wrap
 
 
-def framed(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
+def derived(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
+    """The frame, for queries that read it once."""
     return derive.frame(bars.orders_daily(spark, d), bars.lineitem_daily(spark, d), study)
 
 
+def framed(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
+    """The frame written once, for queries that read it several times: the fact tables are scanned once."""
+    return written(derived(spark, d, study), "frame")
+
+
 def scored(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
     return scoring.score(forecasts.baselines(framed(spark, d, study), study), study)
 
@@ -135,7 +142,7 @@ def _event_returns(spark, d):
 
 @_register("calendar_join", "series date regime", "log_return parkinson_var driver_lagged", "SELECT * FROM frame", "frame")
 def _calendar_join(spark, d):
-    return framed(spark, d)
+    return derived(spark, d)
 
 
 @_register(
@@ -158,17 +165,17 @@ def _quality(spark, d):
 
 @_register("train_oos_split", "part first_date last_date", "n", "SELECT part, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM frame WHERE part IS NOT NULL GROUP BY part", "frame")
 def _split(spark, d):
-    return derive.split(framed(spark, d), ORDERS).groupBy("part").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"))
+    return derive.split(derived(spark, d), ORDERS).groupBy("part").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"))
 
 
 @_register("proxy_scale", "", "c", "SELECT c FROM scale", "scale")
 def _scale(spark, d):
-    return derive.proxy_scale(framed(spark, d), ORDERS)
+    return derive.proxy_scale(derived(spark, d), ORDERS)
 
 
 @_register("vol_terciles", "", "low high", "SELECT low, high FROM cuts", "cuts")
 def _terciles(spark, d):
-    return derive.terciles(framed(spark, d), ORDERS)
+    return derive.terciles(derived(spark, d), ORDERS)
 
 
 _TRAIL = "CASE WHEN trail_mean < low THEN 'calm' WHEN trail_mean > high THEN 'stressed' WHEN trail_mean IS NOT NULL THEN 'normal' END"
@@ -185,12 +192,12 @@ def _trailing(spark, d):
         sqrt(252) * stddev_samp(log_return) AS annual_vol, count(*) FILTER (WHERE log_return = 0) AS n_zero FROM frame WHERE log_return IS NOT NULL GROUP BY series""", "frame",
 )
 def _describe(spark, d):
-    return derive.describe(framed(spark, d))
+    return derive.describe(derived(spark, d))
 
 
 @_register("regime_counts", "series regime", "n", "SELECT series, regime, count(*) AS n FROM frame GROUP BY 1, 2", "frame")
 def _regime_counts(spark, d):
-    return derive.regime_counts(framed(spark, d))
+    return derive.regime_counts(derived(spark, d))
 
 
 # ---- forecasts
@@ -198,7 +205,7 @@ def _regime_counts(spark, d):
 
 @_register("refit_schedule", "series refit_id refit_date last_date", "n_days", "SELECT series, refit_id, min(date) AS refit_date, max(date) AS last_date, count(*) AS n_days FROM refits GROUP BY 1, 2", "refits")
 def _schedule(spark, d):
-    return forecasts.refit_schedule(framed(spark, d), ORDERS)
+    return forecasts.refit_schedule(derived(spark, d), ORDERS)
 
 
 @_register(
@@ -312,6 +319,7 @@ _COUNTS = "count(*)::DOUBLE AS n, sum(hit) AS x, {c} FROM (SELECT *, exceedance
     "{c}", ", ".join(f"count(*) FILTER (WHERE last = {a} AND hit = {b})::DOUBLE AS n{a}{b}" for a in (0, 1) for b in (0, 1))
 )
 _LR_UC = f"greatest(0, -2 * ({_xl('x', '0.01')} + {_xl('(n - x)', '0.99')} - {_xl('x', '(x / n)')} - {_xl('(n - x)', '(1 - x / n)')}))"
+_P_UC = f"2 * ({normal_cdf_sql('(-sqrt(lr_uc))')})"
 _LR_IND = f"""greatest(0, -2 * ({_xl('(n00 + n10)', '(1 - p)')} + {_xl('(n01 + n11)', 'p')} - {_xl('n00', '(1 - p0)')} - {_xl('n01', 'p0')} - {_xl('n10', '(1 - p1)')} - {_xl('n11', 'p1')}))"""
 
 
@@ -325,15 +333,19 @@ def _var_backtests(spark, d):
     return scoring.var_tests(scored(spark, d), ORDERS)
 
 
-@_register("regime_var", "model regime", "n breaches lr_uc", f"SELECT *, x AS breaches, {_LR_UC} AS lr_uc FROM (SELECT model, regime, count(*)::DOUBLE AS n, sum(exceedance) AS x FROM scored WHERE exceedance IS NOT NULL GROUP BY 1, 2)", "scored")
+@_register("regime_var", "model regime", "n breaches rate lr_uc p_uc", f"SELECT *, {_P_UC} AS p_uc FROM (SELECT *, x AS breaches, x / n AS rate, {_LR_UC} AS lr_uc FROM (SELECT model, regime, count(*)::DOUBLE AS n, sum(exceedance) AS x FROM scored WHERE exceedance IS NOT NULL GROUP BY 1, 2))", "scored")
 def _regime_var(spark, d):
     return scoring.var_tests(scored(spark, d), ORDERS, ("series", "model", "regime"), independence=False)
 
 
+_KS_X = "(ks * (sqrt(n) + 0.12 + 0.11 / sqrt(n)))"
+_KS_P = f"CASE WHEN {_KS_X} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 21), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * {_KS_X} * {_KS_X}))))) END"
+
+
 @_register(
-    "pit_ks", "model", "n ks mean_pit",
-    """SELECT model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT model, pit, row_number() OVER (PARTITION BY model ORDER BY pit, date)::DOUBLE AS i,
-        count(*) OVER (PARTITION BY model)::DOUBLE AS n FROM scored WHERE pit IS NOT NULL) GROUP BY model""", "scored",
+    "pit_ks", "model p_value_is_approximate", "n ks mean_pit p_value",
+    f"""SELECT *, {_KS_P} AS p_value, true AS p_value_is_approximate FROM (SELECT model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT model, pit, row_number() OVER (PARTITION BY model ORDER BY pit, date)::DOUBLE AS i,
+        count(*) OVER (PARTITION BY model)::DOUBLE AS n FROM scored WHERE pit IS NOT NULL) GROUP BY model)""", "scored",
 )
 def _pit_ks(spark, d):
     return scoring.pit_uniformity(scored(spark, d))
@@ -352,10 +364,10 @@ _PAIR = [("yesterday", "ewma")]
 
 
 @_register(
-    "forecast_comparison", "model_a model_b", "n mean_diff diff_variance lag statistic",
-    """SELECT 'yesterday' AS model_a, 'ewma' AS model_b, n, m AS mean_diff, g0 AS diff_variance, CASE WHEN lrv > 0 THEN l ELSE 0 END AS lag, m / sqrt((CASE WHEN lrv > 0 THEN lrv ELSE g0 END) / n) * sqrt((n - 1) / n) AS statistic FROM (
+    "forecast_comparison", "model_a model_b", "n mean_diff diff_variance lag statistic p_value",
+    f"""SELECT *, {t_two_sided_sql("statistic", "n - 1")} AS p_value FROM (SELECT 'yesterday' AS model_a, 'ewma' AS model_b, n, m AS mean_diff, g0 AS diff_variance, CASE WHEN lrv > 0 THEN l ELSE 0 END AS lag, m / sqrt((CASE WHEN lrv > 0 THEN lrv ELSE g0 END) / n) * sqrt((n - 1) / n) AS statistic FROM (
         SELECT n, m, g0, l, g0 + (SELECT sum(2 * (1 - j / (l + 1.0)) * g) FROM (SELECT a.j, avg(x.c * y.c) AS g FROM (SELECT unnest(range(1, 41)) AS j) a JOIN centred x ON true JOIN centred y ON y.i = x.i - a.j GROUP BY a.j) WHERE j <= l) AS lrv
-        FROM (SELECT count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) AS g0, floor(4 * power(count(*) / 100.0, 2.0 / 9)) AS l FROM centred))""",
+        FROM (SELECT count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) AS g0, floor(4 * power(count(*) / 100.0, 2.0 / 9)) AS l FROM centred)))""",
 )
 def _comparison(spark, d):
     return scoring.comparison(scoring.paired(scored(spark, d), _PAIR, ("qlike",)), "qlike")
@@ -374,9 +386,9 @@ def _regime_summary(spark, d):
 
 
 @_register(
-    "tail_asymmetry", "model", "nominal n n_below n_above expected_per_tail residual_skew",
-    """SELECT model, nominal, count(*) AS n, count(*) FILTER (WHERE log_return < lo) AS n_below, count(*) FILTER (WHERE log_return > hi) AS n_above, (1 - nominal) / 2 * count(*) AS expected_per_tail,
-        (avg(z*z*z) - 3 * avg(z) * avg(z*z) + 2 * power(avg(z), 3)) / power(var_pop(z), 1.5) AS residual_skew FROM (SELECT *, (log_return - mean) / sqrt(variance) AS z FROM levels WHERE variance IS NOT NULL) GROUP BY 1, 2""", "levels",
+    "tail_asymmetry", "model", "nominal n n_below n_above expected_per_tail residual_skew skew_p",
+    f"""SELECT *, {skew_test_sql("residual_skew", "n")} AS skew_p FROM (SELECT model, nominal, count(*) AS n, count(*) FILTER (WHERE log_return < lo) AS n_below, count(*) FILTER (WHERE log_return > hi) AS n_above, (1 - nominal) / 2 * count(*) AS expected_per_tail,
+        (avg(z*z*z) - 3 * avg(z) * avg(z*z) + 2 * power(avg(z), 3)) / power(var_pop(z), 1.5) AS residual_skew FROM (SELECT *, (log_return - mean) / sqrt(variance) AS z FROM levels WHERE variance IS NOT NULL) GROUP BY 1, 2)""", "levels",
 )
 def _tail(spark, d):
     return scoring.tail_asymmetry(scored(spark, d), ORDERS)
@@ -433,7 +445,7 @@ def _set_ops(spark, d):
 
 
 def _values(spark, d):
-    return framed(spark, d).select("series", "date", F.col("log_return").alias("value"))
+    return derived(spark, d).select("series", "date", F.col("log_return").alias("value"))
 
 
 _ACF = """centred AS (SELECT log_return - avg(log_return) OVER () AS c, row_number() OVER (ORDER BY date) AS i FROM frame WHERE log_return IS NOT NULL),
@@ -456,17 +468,18 @@ def _squared_acf(spark, d):
 _SQL["squared_acf"] = _SQL["acf"].replace("log_return - avg(log_return) OVER ()", "log_return * log_return - avg(log_return * log_return) OVER ()")
 
 
-@_register("ljung_box", "", "lags statistic")
+@_register("ljung_box", "", "lags statistic p_value")
 def _ljung_box(spark, d):
     return diagnostics.ljung_box(_values(spark, d))
 
 
-_SQL["ljung_box"] = f"""{_with(["frame"])}, {_ACF} SELECT k::DOUBLE AS lags, round(max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)), {DIGITS}) + 0.0 AS statistic FROM acf JOIN (VALUES (5), (10), (22)) v(k) ON lag <= k GROUP BY k"""
+_SQL["ljung_box"] = f"""{_with(["frame"])}, {_ACF} SELECT k::DOUBLE AS lags, round(s, {DIGITS}) + 0.0 AS statistic, round({chi2_sf_sql("s", "k")}, {DIGITS}) + 0.0 AS p_value FROM (
+    SELECT k, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS s FROM acf JOIN (VALUES (5), (10), (22)) v(k) ON lag <= k GROUP BY k)"""
 
 
 @_register(
-    "arch_lm", "series", "n statistic",
-    """SELECT series, count(*) AS n, count(*) * regr_r2(s, p) AS statistic FROM (SELECT series, s, lag(s) OVER (ORDER BY date) AS p FROM (SELECT series, date, power(log_return - avg(log_return) OVER (), 2) AS s FROM frame WHERE log_return IS NOT NULL)) WHERE p IS NOT NULL GROUP BY series""", "frame",
+    "arch_lm", "series", "n statistic p_value",
+    f"""SELECT *, {chi2_sf_sql("statistic", "1")} AS p_value FROM (SELECT series, count(*) AS n, count(*) * regr_r2(s, p) AS statistic FROM (SELECT series, s, lag(s) OVER (ORDER BY date) AS p FROM (SELECT series, date, power(log_return - avg(log_return) OVER (), 2) AS s FROM frame WHERE log_return IS NOT NULL)) WHERE p IS NOT NULL GROUP BY series)""", "frame",
 )
 def _arch_lm(spark, d):
     return diagnostics.arch_lm_1(_values(spark, d))
@@ -622,9 +635,9 @@ def _sample_var(spark, d):
 
 
 @_register(
-    "sample_pit", "sample model", "n ks mean_pit",
-    """SELECT sample, model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT sample, model, pit, row_number() OVER (PARTITION BY sample, model ORDER BY pit, date)::DOUBLE AS i,
-        count(*) OVER (PARTITION BY sample, model)::DOUBLE AS n FROM sampled WHERE pit IS NOT NULL) GROUP BY 1, 2""", "sampled",
+    "sample_pit", "sample model p_value_is_approximate", "n ks mean_pit p_value",
+    f"""SELECT *, {_KS_P} AS p_value, true AS p_value_is_approximate FROM (SELECT sample, model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT sample, model, pit, row_number() OVER (PARTITION BY sample, model ORDER BY pit, date)::DOUBLE AS i,
+        count(*) OVER (PARTITION BY sample, model)::DOUBLE AS n FROM sampled WHERE pit IS NOT NULL) GROUP BY 1, 2)""", "sampled",
 )
 def _sample_pit(spark, d):
     return scoring.pit_uniformity(sampled(spark, d), ("series", "sample", "model"))
@@ -655,8 +668,8 @@ _SQL["regime_var_intervals"] = "SELECT model, regime, n, point, lower, upper, 0.
 
 
 @_register(
-    "trailing_var", "model trailing_regime", "n breaches lr_uc",
-    f"""SELECT *, x AS breaches, {_LR_UC} AS lr_uc FROM (SELECT model, {_TRAIL} AS trailing_regime, count(*)::DOUBLE AS n, sum(exceedance) AS x FROM scored JOIN trail USING (date), cuts WHERE exceedance IS NOT NULL GROUP BY 1, 2)""", "scored cuts",
+    "trailing_var", "model trailing_regime", "n breaches rate lr_uc p_uc",
+    f"""SELECT *, {_P_UC} AS p_uc FROM (SELECT *, x AS breaches, x / n AS rate, {_LR_UC} AS lr_uc FROM (SELECT model, {_TRAIL} AS trailing_regime, count(*)::DOUBLE AS n, sum(exceedance) AS x FROM scored JOIN trail USING (date), cuts WHERE exceedance IS NOT NULL GROUP BY 1, 2))""", "scored cuts",
 )
 def _trailing_var(spark, d):
     f = framed(spark, d)
@@ -718,7 +731,7 @@ PERIODS = (("early", "1995-03-01", "1995-06-30"), ("middle", "1998-08-01", "1998
 @_register("period_overlay", "period first_date last_date", "n", "SELECT period, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM frame JOIN (VALUES " + ", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in PERIODS) + ") v(period, a, b) ON date BETWEEN a AND b GROUP BY 1", "frame")
 def _period_overlay(spark, d):
     table = spark.createDataFrame(PERIODS, "period string, a string, b string").select("period", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
-    rows = framed(spark, d).join(F.broadcast(table), F.col("date").between(F.col("a"), F.col("b")))  # three literal rows
+    rows = derived(spark, d).join(F.broadcast(table), F.col("date").between(F.col("a"), F.col("b")))  # three literal rows
     return rows.groupBy("period").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"))
 
 
