@@ -30,7 +30,7 @@ ROW_COST, PAIR_COST, SPLIT_ROWS = 1.0, 0.002, 16_384
 #: Plans are made for so many fingerprints at least, so that small inputs run by the plan of large ones.
 PLAN_FOR = 1_000_000
 #: Bucket rows for each counter of the first, coarse count of buckets.
-CELL_ROWS = 1024
+CELL_ROWS = 4096
 #: Values a fingerprint may take in one partition.
 MAX_PROBES = 200
 #: Crowded buckets (16 bytes each) up to which they are broadcast.
