@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Name of the folder made when no shared folder is configured (local runs, tests).
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-tidewater-")
-    return _LOCAL["dir"]
+from tidewater.sources.store import shared_folder
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
