@@ -263,6 +263,12 @@ def test_studies_must_agree_to_be_merged(framed):
     assert level_key(0.9) == "90" and level_key(0.975) == "975"
 
 
+def test_tickers_without_letters_are_refused():
+    assert bars.file_name("^V-I.X_") == "VIX.csv"
+    with pytest.raises(ValueError):
+        bars.file_name("^_")
+
+
 def test_files_and_their_manifest(spark, tmp_path):
     folder = tmp_path / "raw"
     folder.mkdir()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,11 @@ def canonical(df: DataFrame) -> DataFrame:
 
 
 def file_name(ticker: str) -> str:
-    """File of a ticker: its letters and digits."""
-    return "".join(c for c in ticker if c.isalnum()) + ".csv"
+    """File of a ticker: its letters and digits. A ticker without any is an error."""
+    stem = re.sub(r"[\W_]+", "", ticker)
+    if not stem:
+        raise ValueError(f"no letter or digit in {ticker!r}")
+    return f"{stem}.csv"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
