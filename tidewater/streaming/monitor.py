@@ -1,7 +1,8 @@
 """Exponentially weighted variance of a stream of prices, kept per series; an extension of the batch operator.
 
-Rows are taken in event-time order once the watermark has passed them; later ones are dropped, as a filter
-cannot go back.
+Rows are taken in event-time order inside each micro-batch, and micro-batches as they come. Nothing waits for the
+watermark and nothing is dropped: a row that comes after a batch with later ones enters the filter where it arrives, as a
+filter cannot go back. Sources must deliver a series in order for the stream to equal the batch operator.
 """
 
 from __future__ import annotations
