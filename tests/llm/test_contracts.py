@@ -270,6 +270,17 @@ def test_one_near_duplicate_stays(docs, empty, spark):
     assert kept == [1, 3, 4]
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_few_and_many_keys_remove_the_same_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in (50, 200, 350)]
+    rows = [(None, near[0], "a"), (7, near[1], "b"), (7, near[2], "c"), (8, near[1], "d"), (9, " ".join(f"v{i}" for i in range(400)), "e"), (None, None, "f"), (10, None, "g"), (11, "", "h")]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, k string"))
+    # null doc_ids come first; texts without words are one group
+    assert sorted(r["k"] for r in out.collect()) == ["a", "e", "f"]
+
+
 @pytest.mark.parametrize("flips, met", [((11, 11, 12, 12), True), ((12, 12, 11, 11), True), ((12, 12, 12, 10), True), ((11, 12, 12, 12), False)])
 def test_near_pairs_meet_in_some_word(spark, monkeypatch, flips, met):
     rng = np.random.default_rng(5)

@@ -33,7 +33,7 @@ PLAN_FOR = 1_000_000
 CELL_ROWS = 4096
 #: Values a fingerprint may take in one partition.
 MAX_PROBES = 200
-#: Crowded buckets (16 bytes each) up to which they are broadcast.
+#: Rows of two numbers (crowded buckets, keys of texts) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -240,6 +240,11 @@ def crowded(prints: DataFrame, plan: list[tuple[np.ndarray, int]], n: int) -> Da
     return None if hot.isEmpty() else hot
 
 
+def met_by(keys: DataFrame) -> DataFrame:
+    """Written keys, marked for a broadcast if they are few, so that the texts they are joined to stay where they are; else for a hash join of shuffled sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+
+
 def in_chunks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """rows with `sub`: those of crowded buckets once for every pair of chunks that theirs is in, all others with 0."""
     if hot is None:
@@ -447,10 +452,10 @@ def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, s
     """
     links = materialize(links, "near-links")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    spoken = rows.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one")).join(ends, "node").select("node", "one.doc_id", "one.k")
+    spoken = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one")).join(ends, "node").select("node", "one.doc_id", "one.k"), "near-spoken")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(F.col("o.doc_id")) & texts["k"].eqNullSafe(F.col("o.k"))
-    sets = texts.join(spoken.alias("o"), same).select("node", "text").mapInArrow(_sets(shingle), "node long, own binary").dropDuplicates(["node"])
+    sets = texts.join(met_by(spoken).alias("o"), same).select("node", "text").mapInArrow(_sets(shingle), "node long, own binary").dropDuplicates(["node"])
     sets = materialize(sets, "near-sets")
     first = links.join(sets.select(F.col("node").alias("a"), F.col("own").alias("of_a")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("own").alias("of_b")), "b")
@@ -479,10 +484,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide
     grouped = materialize(grouped, "near-groups")
     # written out for the same reason as above: a group may hold a third of all rows
     first = materialize(grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1), "near-first")
-    gone = grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select("doc_id", "k").distinct()
+    gone = materialize(grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select("doc_id", "k").distinct(), "near-gone")
     rest = apart(docs).withColumn("k", F.xxhash64("text")).alias("rest")
     same = F.col("rest.doc_id").eqNullSafe(F.col("gone.doc_id")) & F.col("rest.k").eqNullSafe(F.col("gone.k"))
-    kept = rest.join(gone.alias("gone").hint("shuffle_hash"), same, "left_anti")
+    kept = rest.join(met_by(gone).alias("gone"), same, "left_anti")
     if not grouped.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(*together(docs.columns, F.col("text")))
