@@ -52,6 +52,11 @@ def frame(bars: DataFrame, driver: DataFrame, study: Study) -> DataFrame:
     )
 
 
+def trimmed(framed: DataFrame, first: str, last: str) -> DataFrame:
+    """The frame from one date to another, both kept. Lags were taken before, so the first row kept has its own."""
+    return framed.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
 def mismatches(bars: DataFrame, driver: DataFrame) -> DataFrame:
     """(date, side): dates that only one of the two has."""
     left, right = bars.select("date").distinct(), driver.select("date").distinct()

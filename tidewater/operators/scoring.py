@@ -52,6 +52,13 @@ def stacked_losses(scored: DataFrame) -> DataFrame:
     return scored.select("*", F.explode(losses).alias("l")).select("*", "l.*").drop("l")
 
 
+def ranking(scored: DataFrame) -> DataFrame:
+    """(series, loss, ranked): models from the least mean loss on, joined by commas; equal means by name, models without a loss left out."""
+    means = stacked_losses(scored).groupBy("series", "loss", "model").agg(F.avg("value").alias("mean")).where(F.col("mean").isNotNull())
+    ordered = F.array_sort(F.collect_list(F.struct("mean", "model")))
+    return means.groupBy("series", "loss").agg(F.array_join(F.transform(ordered, lambda x: x["model"]), ",").alias("ranked"))
+
+
 def coverage(scored: DataFrame, study: Study, by: tuple[str, ...] = ("series", "model")) -> DataFrame:
     """n, n_below, n_above, empirical coverage and mean width for each level."""
     r = F.col("log_return")

@@ -750,6 +750,47 @@ def _worst_symmetry(spark, d):
     return rows.agg(F.min_by(F.struct("model", "nominal", "n_below", "n_above"), F.struct(lean, F.col("model"), F.col("nominal"))).alias("x")).select("x.*")
 
 
+@_register("lag_before_trim", "series date regime", "log_return driver_lagged", "SELECT * FROM frame WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'", "frame")
+def _lag_before_trim(spark, d):
+    """Dates of a study cut from the whole history, after lags are taken: the first row has its own."""
+    return derive.trimmed(derived(spark, d), "1996-01-01", "1998-12-31")
+
+
+@_register("pit_var_merge", "sample model", "n ks lr_uc p_uc", f"SELECT * FROM ({_SQL['sample_pit']}) JOIN ({_SQL['sample_var']}) USING (sample, model, n)")
+def _pit_var_merge(spark, d):
+    """Uniformity and value-at-risk tests side by side, where both rest on as many days."""
+    s, by = written(sampled(spark, d), "sampled"), ("series", "sample", "model")
+    return scoring.pit_uniformity(s, by).join(scoring.var_tests(s, ORDERS, by), [*by, "n"])
+
+
+@_register("pivot_sample", "model", "own common", f"SELECT model, max(n) FILTER (WHERE sample = 'own') AS own, max(n) FILTER (WHERE sample = 'common') AS common FROM ({_SQL['sample_pit']}) GROUP BY model")
+def _pivot_sample(spark, d):
+    """Days of each model in either sample."""
+    return scoring.pit_uniformity(sampled(spark, d), ("series", "sample", "model")).groupBy("model").pivot("sample", ["own", "common"]).agg(F.max("n"))
+
+
+@_register(
+    "raw_proxy_ranking", "loss scaled_order raw_order same", "",
+    f"""SELECT loss, scaled_order, raw_order, scaled_order = raw_order AS same FROM (SELECT loss, string_agg(model, ',' ORDER BY scaled, model) AS scaled_order, string_agg(model, ',' ORDER BY raw, model) AS raw_order FROM (
+        SELECT model, loss, avg(scaled) AS scaled, avg(raw) AS raw FROM (SELECT model, 'qlike' AS loss, qlike AS scaled, CASE WHEN parkinson_var > 0 AND variance > 0 THEN parkinson_var / variance - ln(parkinson_var / variance) - 1 END AS raw
+        FROM scored JOIN (SELECT date, parkinson_var FROM frame) USING (date) UNION ALL SELECT model, 'mse', mse, power(parkinson_var - variance, 2) FROM scored JOIN (SELECT date, parkinson_var FROM frame) USING (date)) GROUP BY 1, 2) GROUP BY loss)""", "scored",
+)
+def _raw_proxy_ranking(spark, d):
+    """Models by mean loss under the scaled proxy and under the raw one, and whether both give one order."""
+    f = framed(spark, d)
+    table = written(forecasts.baselines(f, ORDERS), "forecasts")
+    raw = f.withColumn("proxy_var", F.col("parkinson_var"))
+    orders = [scoring.ranking(scoring.score(table, ORDERS, proxy)).withColumnRenamed("ranked", name) for name, proxy in (("scaled_order", None), ("raw_order", raw))]
+    return orders[0].join(orders[1], ["series", "loss"]).withColumn("same", F.col("scaled_order") == F.col("raw_order"))
+
+
+@_register("first_of_refit", "series model refit_id date", "variance", "SELECT series, model, refit_id, min(date) AS date, arg_min(coalesce(variance, -1), date) AS variance FROM scored GROUP BY 1, 2, 3", "scored")
+def _first_of_refit(spark, d):
+    """The first forecast after each refit; -1 stands for none."""
+    rows = forecasts.baselines(framed(spark, d), ORDERS).groupBy("series", "model", "refit_id")
+    return rows.agg(F.min("date").alias("date"), F.min_by(F.coalesce("variance", F.lit(-1.0)), "date").alias("variance"))
+
+
 # ---- fitted models and exact p-values: no SQL
 
 
