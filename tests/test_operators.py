@@ -225,6 +225,17 @@ def test_likelihood_scales():
         assert a == pytest.approx(b + len(r) * math.log(100))
 
 
+def test_likelihood_of_rows_equals_that_of_an_array(framed):
+    theta = (1e-4, 1e-6, 0.1, 0.85)
+    one = framed.where("series = 'A'")
+    r = np.array([x[0] for x in derive.split(one, STUDY).where("part = 'train' and log_return is not null").orderBy("date").select("log_return").collect()])
+    for nu in (7.0, None):
+        want = garch.log_likelihood(np.array([[*theta, nu or 9.0]]), r, r.var(ddof=1), nu is not None)[0]
+        assert garch.garch_likelihood(one, *theta, STUDY, nu=nu).first()["loglik"] == pytest.approx(want, rel=1e-9)
+    assert garch.garch_likelihood(one, *theta, STUDY, nu=3.0).first()["loglik"] == -math.inf
+    assert garch.garch_likelihood(one, 0.0, 1e-6, 0.2, 0.85, STUDY).first()["loglik"] == -math.inf
+
+
 def test_mixture_of_equal_draws_is_the_plain_distribution():
     mean, h, nu = np.full(5, 0.001), np.full((5, 3), 1e-4), np.full(5, 8.0)
     want = 0.001 + math.sqrt(1e-4 * 6 / 8) * special.t_ppf(np.array([0.01]), 8.0)[0]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.config import Study, level_key
@@ -333,11 +333,28 @@ def garch_forecasts(framed: DataFrame, study: Study, models: tuple[str, ...] = (
     return rows.select(*plain)
 
 
-def garch_likelihood(framed: DataFrame, mu: float, omega: float, alpha: float, beta: float, study: Study) -> DataFrame:
-    """(series, n, loglik): normal log-likelihood of the training returns at fixed parameters, in the JVM."""
+def admissible(omega: Column, alpha: Column, beta: Column, nu: Column) -> Column:
+    """Whether parameters give a positive variance that reverts and shocks with four moments; a null or NaN nu stands for normal shocks."""
+    known = (omega > 0) & ~F.isnan(omega) & (alpha >= 0) & (beta >= 0) & (alpha + beta < 1)
+    return F.coalesce(known & (nu.isNull() | F.isnan(nu) | (nu > 4)), F.lit(False))
+
+
+def garch_likelihood(framed: DataFrame, mu: float, omega: float, alpha: float, beta: float, study: Study, nu: float | None = None) -> DataFrame:
+    """(series, n, loglik): log-likelihood of the training returns at fixed parameters, in the JVM; minus infinity where they are not admissible.
+
+    Shocks are normal, or of a t distribution with nu degrees of freedom and variance one.
+    """
     from tidewater.operators.derive import split
     from tidewater.operators.forecasts import garch_variance
 
     rows = garch_variance(split(framed, study).where((F.col("part") == "train") & F.col("log_return").isNotNull()).drop("part"), mu, omega, alpha, beta, study)
-    each = -0.5 * (math.log(2 * math.pi) + F.log("variance") + F.pow(F.col("log_return") - mu, 2) / F.col("variance"))
-    return rows.groupBy("series").agg(F.count("*").alias("n"), F.sum(each).alias("loglik"))
+    square = F.pow(F.col("log_return") - mu, 2) / F.col("variance")
+    if nu is None:
+        each = -0.5 * (math.log(2 * math.pi) + F.log("variance") + square)
+    elif nu > 4:
+        level = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
+        each = level - 0.5 * F.log("variance") - (nu + 1) / 2 * F.log1p(square / (nu - 2))
+    else:
+        each = F.lit(-math.inf)
+    ok = admissible(*[F.lit(x) for x in (omega, alpha, beta)], F.lit(nu).cast("double"))
+    return rows.groupBy("series").agg(F.count("*").alias("n"), F.sum(each).alias("loglik")).withColumn("loglik", F.when(ok, F.col("loglik")).otherwise(-math.inf))

@@ -242,10 +242,32 @@ def _garch_loglik(spark, d):
     return garch.garch_likelihood(framed(spark, d), *THETA, ORDERS)
 
 
+@_register("garch_t_loglik", "series", "n loglik")
+def _garch_t_loglik(spark, d):
+    return garch.garch_likelihood(framed(spark, d), *THETA, ORDERS, nu=8.0)
+
+
+#: Parameters on both sides of each bound: omega, alpha, beta, nu.
+CASES = [(0.1, 0.1, 0.8, 8.0), (0.0, 0.1, 0.8, 8.0), (0.1, -0.1, 0.8, 8.0), (0.1, 0.0, 0.0, 8.0), (0.1, 0.1, -0.1, 8.0), (0.1, 0.5, 0.5, 8.0), (0.1, 0.1, 0.8, 4.0), (0.1, 0.1, 0.8, None), (None, 0.1, 0.8, None)]
+
+
+@_register(
+    "params_valid", "i valid", "",
+    "SELECT i, coalesce(omega > 0 AND alpha >= 0 AND beta >= 0 AND alpha + beta < 1 AND (nu IS NULL OR nu > 4), false) AS valid FROM (VALUES "
+    + ", ".join("(" + ", ".join("NULL::DOUBLE" if x is None else f"{x}::{t}" for x, t in zip((i, *c), ("INTEGER", *["DOUBLE"] * 4))) + ")" for i, c in enumerate(CASES)) + ") v(i, omega, alpha, beta, nu)",
+)
+def _params_valid(spark, d):
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, omega double, alpha double, beta double, nu double")
+    return table.withColumn("valid", garch.admissible(*[F.col(c) for c in ("omega", "alpha", "beta", "nu")]))
+
+
 _SQL["garch_filter"] = f"{_with(['seed'])}, {_GARCH} SELECT date, round(h, {DIGITS}) + 0.0 AS variance FROM filter JOIN g USING (k)"
 _SQL["garch_loglik"] = f"""{_with(["seed"])}, {_GARCH} SELECT series, CAST(count(*) AS DOUBLE) AS n, round(sum(-0.5 * (ln(2 * pi()) + ln(h) + power(log_return - {_MU}, 2) / h)), {DIGITS}) + 0.0 AS loglik
     FROM filter JOIN g USING (k) WHERE part = 'train' GROUP BY series"""
 
+_SQL["garch_t_loglik"] = f"""{_with(["seed"])}, {_GARCH} SELECT series, CAST(count(*) AS DOUBLE) AS n, round(sum(lgamma(4.5) - lgamma(4.0) - 0.5 * ln(pi() * 6.0) - 0.5 * ln(h) - 4.5 * ln(1 + power(log_return - {_MU}, 2) / (6.0 * h))), {DIGITS}) + 0.0 AS loglik
+    FROM filter JOIN g USING (k) WHERE part = 'train' GROUP BY series"""
+
 
 @_register("start_grid", "", "alpha beta nu", """SELECT a AS alpha, b AS beta, v AS nu FROM (VALUES (0.05), (0.10), (0.20)) x(a), (VALUES (0.75), (0.85), (0.90)) y(b), (VALUES (5.0), (8.0), (15.0)) z(v) WHERE a + b < 0.995""")
 def _start_grid(spark, d):
