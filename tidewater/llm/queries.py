@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import decontam, langid, licenses, linededup, lm, packing, secrets, sharding, simhash, topk
+from tidewater.llm import decontam, filteraudit, importance, jaccardjoin, langid, licenses, linededup, lm, packing, secrets, sharding, simhash, topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_secrets": secrets.op9_secrets,
         "op10_sharding": sharding.op10_sharding,
+        "op11_jaccard": jaccardjoin.op11_jaccard,
+        "op12_importance": importance.op12_importance,
+        "op13_filters": filteraudit.op13_filters,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontam": decontam.OP3_SQL, "op4_topk": topk.OP4_SQL}
+    return {"op3_decontam": decontam.OP3_SQL, "op4_topk": topk.OP4_SQL, "op13_filters": filteraudit.OP13_SQL}
