@@ -3,7 +3,8 @@
 Strong forms (assignments, access keys, long hex) are reported as they stand. A
 weak candidate, a long mixed token that could be a secret, is reported only when
 a complementary part of a credential, an access identifier or an endpoint, lies
-within its scope; parts meet in an interval join over buckets of text positions.
+within its scope. A strong secret with such a part in its scope is reported as a
+credential that spans both. Parts meet in interval joins over buckets of text positions.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal either way, so short ones can be left out at once
 _ASSIGN_LEAST, _ACCESS_LEAST = 6, 20
 
-#: Parts of credentials that only count together.
-KINDS = (*BASE_KINDS, "linked")
+#: Parts of credentials that only count together: weak candidates, and strong secrets with what completes them.
+KINDS = (*BASE_KINDS, "linked", "credential")
 IDENT, ENDPOINT, WEAK, SECRET, WEAK_ID = 0, 1, 2, 3, 4
 #: What each weak kind needs one of.
 NEEDS = {WEAK: (IDENT, ENDPOINT), WEAK_ID: (SECRET, ENDPOINT)}
-_IDENT = re.compile(r"""(?ai)\b(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|[A-Za-z0-9._-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""")
+_IDENT = re.compile(r"""(?ai)\b(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++""")
 _ENDPOINT = re.compile(r"""(?ai)\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|\b(?:endpoint|host|server)["']?\x20*[:=]\x20*["']?[a-z0-9-]+(?:\.[a-z0-9-]+)+""")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Names that a value is weak after, whatever it looks like; base names with values too short for the base form are among them.
@@ -68,18 +69,24 @@ def _is_weak(token: str) -> bool:
 
 
 def credential_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of identifiers, endpoints, secrets and weak candidates; none if no candidate is there.
+    """(kind, start, end) of identifiers, endpoints, secrets and weak candidates; none if neither a candidate nor a strong secret is there.
 
-    Base spans are parts, too: access keys identify, assigned values and long hex are secrets. Candidates that a base span,
-    an endpoint or an identifier touches are none. A value of three characters needs a digit.
+    Base spans are parts, too: access keys identify, assigned values and long hex are secrets; hex inside of an assigned value is none of
+    its own. Candidates that a base span, an endpoint or an identifier touches are none. A value of three characters needs a digit.
     """
     weak = [(WEAK, m.start(), m.end()) for m in _NAMED.finditer(text) if len(m[1]) > 3 or any(map(str.isdigit, m[1]))]
     weak += [(WEAK, m.start(), m.end()) for m in _TOKEN.finditer(text) if _is_weak(m[0])]
     if "AKIA" in text:
         weak += [(WEAK_ID, m.start(), m.end()) for m in _ACCESS.finditer(text) if _SHORT_ACCESS_LEAST <= len(m[0]) < _ACCESS_LEAST]
-    if not weak:
+    parts, upto = [], -1
+    for s, kind, e in base:
+        if kind == 1:
+            parts.append((IDENT, s, e))
+        elif e > upto:
+            parts.append((SECRET, s, e))
+            upto = e
+    if not weak and not any(kind == SECRET for kind, _, _ in parts):
         return []
-    parts = [(IDENT if kind == 1 else SECRET, s, e) for s, kind, e in base]
     found = [(IDENT, m.start(), m.end()) for m in _IDENT.finditer(text)]
     found += [(ENDPOINT, m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     # what is taken, as spans that do not touch, by start
@@ -139,18 +146,37 @@ def linked_candidates(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return met.groupBy(weak["doc_id"], weak["k"], weak["start"], weak["end"]).agg(with_kind(IDENT, "with_ident"), with_kind(ENDPOINT, "with_endpoint"), with_kind(SECRET, "with_secret"))
 
 
+def credentials(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Strong secrets with the nearest identifier or endpoint that starts at most `scope` away: (doc_id, k, start, end), from the start of the
+    first of the two to the end of the last; of two as near the earlier one.
+
+    A bucket of `scope` positions holds at most so many parts, as their starts differ, so a secret meets a bounded number of them.
+    """
+    p = parts.withColumn("bucket", F.floor(F.col("start") / scope).cast("int"))
+    own = p.where(F.col("kind") == SECRET).select("doc_id", "k", "bucket", "start", "end").distinct()
+    held = p.where(F.col("kind").isin(IDENT, ENDPOINT)).groupBy("doc_id", "k", "bucket").agg(F.collect_set(F.struct("start", "end")).alias("held"))
+    spread = held.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    same = [own[c].eqNullSafe(spread[c]) for c in ("doc_id", "k", "bucket")]
+    near = F.array_min(F.transform("held", lambda x: F.struct(F.abs(x["start"] - own["start"]).alias("far"), x["start"].alias("start"), x["end"].alias("end"))))
+    met = own.join(spread, same).select(own["doc_id"], own["k"], own["start"], own["end"], near.alias("near")).where(F.col("near.far") <= scope)
+    best = met.groupBy("doc_id", "k", "start", "end").agg(F.min("near").alias("near"))
+    return best.select("doc_id", "k", F.least("start", "near.start").alias("start"), F.greatest("end", "near.end").alias("end"))
+
+
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per document with all its spans.
 
     Null texts are empty. Null doc_ids are kept; rows that agree in doc_id and text give equal rows. Positions are
     code points, ends exclusive. Columns other than doc_id and text play no part; an empty table gives no rows.
     Returns (doc_id, n_assign, n_access, n_hex, spans, linked): spans are (start, kind, end) of the base kinds in
-    order, linked those of weak candidates that a complementary part supports.
+    order, linked those of weak candidates that a complementary part supports, and of credentials.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text").mapInArrow(_extract, _ROWS)
     found = materialize(found, "secrets-rows")
     parts = found.where(F.size("parts") > 0).select("doc_id", "k", F.explode("parts").alias("p")).select("doc_id", "k", "p.*")
-    links = linked_candidates(parts, scope).groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("kind"), "end"))).alias("linked"))
+    kind = lambda name: F.lit(KINDS.index(name)).alias("kind")
+    found_both = linked_candidates(parts, scope).select("doc_id", "k", "start", kind("linked"), "end").unionByName(credentials(parts, scope).select("doc_id", "k", "start", kind("credential"), "end"))
+    links = found_both.groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("linked"))
     joined = found.alias("f").join(links.alias("l"), F.col("f.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("f.k").eqNullSafe(F.col("l.k")), "left")
     empty = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     return joined.select("f.doc_id", "n_assign", "n_access", "n_hex", "spans", F.coalesce("linked", empty).alias("linked"))
