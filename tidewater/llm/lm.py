@@ -24,7 +24,7 @@ from tidewater.llm.words import SOLID, Words, slices, words_of
 
 #: Frequent words for the root of the number of training tokens, the least and the most of them (the model is broadcast);
 #: other tokens' classes, one for so many words.
-WORDS_PER_ROOT, LEAST_WORDS, MOST_WORDS, WORDS_PER_CLASS = 0.5, 64, 1 << 16, 4
+WORDS_PER_ROOT, LEAST_WORDS, MOST_WORDS, WORDS_PER_CLASS = 0.5, 64, 1 << 18, 4
 #: Size of the vectors, noise tokens for a true one, weight of the vectors' prior.
 DIM, NOISE, PRIOR = 12, 16.0, 2.0
 #: Rounds over contexts and targets, Newton steps in each, length of a step at most.
@@ -365,7 +365,7 @@ class Known(NamedTuple):
     class_norm: np.ndarray
 
 
-_SCORED = "uid long, h long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_SCORED = "uid long, h long, times long, in_class boolean, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def _score(shared):
@@ -402,6 +402,8 @@ def _score(shared):
                         pa.array(np.concatenate([mine, mine[text[first]]])),
                         pa.array(np.concatenate([(mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), h[first].view(np.int64)])),
                         pa.array(np.concatenate([np.zeros(n, np.int64), times])),
+                        # a symbol of its own has its probability already, however rare it is; others share their class by their counts
+                        pa.array(np.concatenate([np.zeros(n, bool), in_class[rest][order][first]])),
                         pa.concat_arrays([piece.column("doc_id"), pa.nulls(k, pa.int64())]),
                         pa.concat_arrays([piece.column("held_out"), pa.nulls(k, pa.bool_())]),
                         pa.array(np.concatenate([tokens, np.zeros(k, np.int64)])),
@@ -458,7 +460,7 @@ def score_texts(docs: DataFrame, training: DataFrame, held: Column | None = None
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
         F.sum(F.col("base") + part).alias("base"),
-        F.sum(F.col("score") + part).alias("score"),
+        F.sum(F.col("score") + F.when(F.col("in_class"), part).otherwise(0.0)).alias("score"),
     )
     norm = float(np.log10(n + 0.5 * (v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
