@@ -4,7 +4,8 @@ Every rolling word k-gram of every document is hashed and joined to the k-grams
 of the license templates. A hit at document word p and template word t votes for
 the diagonal p - t; a full run of votes on one diagonal is a whole occurrence of
 the template, and neighbouring diagonals with enough votes together are an
-occurrence with words added or left out. Spans are verified on the words themselves.
+occurrence with words added or left out; how far apart neighbours may be grows with
+their votes. Spans are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ TEMPLATES = (
 K = 3
 #: Share of a template's grams that neighbouring diagonals must hit together.
 COVER = 0.6
-#: Diagonals at most this far apart are neighbours.
+#: Diagonals at most this far apart are neighbours whatever their votes.
 DRIFT = 4
 #: Templates are broadcast to the join; this many grams at most.
 MAX_GRAMS = 100_000
@@ -105,10 +106,15 @@ def find_spans(docs: DataFrame, templates: list[tuple[str, str, bool]], cover: f
         F.collect_set(F.struct("t", "p")).alias("hits"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last"), F.count("*").alias("n")
     )
     whole = (F.size("hits") == F.col("grams")) | (F.col("template") < 0)
-    # neighbouring diagonals: a new run starts where the gap is above `drift`, and at whole occurrences
-    w = Window.partitionBy(*by, "whole").orderBy("diagonal")
-    opens = F.col("whole") | F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > drift)
-    runs = votes.withColumn("whole", whole).withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a diagonal reaches as far as it has different grams, or lacks them if these are fewer: a part of an occurrence has the grams that the
+    # other part lacks, two occurrences have the same ones. Diagonals whose reaches overlap are neighbours; whole occurrences stand alone.
+    own = F.size(F.array_distinct("hits.t"))
+    reach = F.least(own, F.col("grams") - own) + F.lit(drift / 2)
+    votes = votes.withColumn("whole", whole).withColumn("low", F.col("diagonal") - reach).withColumn("high", F.col("diagonal") + reach)
+    w = Window.partitionBy(*by, "whole").orderBy("low", "diagonal")
+    before = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.col("whole") | before.isNull() | (F.col("low") > before)
+    runs = votes.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy(*by, "label", "is_base", "grams", "length", "whole", "run").agg(
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("copies")
     )
@@ -123,15 +129,26 @@ def find_spans(docs: DataFrame, templates: list[tuple[str, str, bool]], cover: f
 
 
 def ordered(hits: Column, length: Column) -> Column:
-    """The longest stretch found of hits (t, p), sorted, whose grams stand in the document in the template's order and
-    within twice its length: struct<n, first, last>. A template gram counts once, at its first place behind the last."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("t"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    """The longest stretch found of hits (t, p) whose grams stand in the document in the template's order and within
+    twice its length: struct<n, t, first, last>.
 
-    def more(a: Column, x: Column) -> Column:
-        fits = (x["t"] > a["t"]) & (x["p"] > a["last"]) & ((a["n"] == 0) | (x["p"] - a["first"] < 2 * length))
-        return F.when(fits, F.struct((a["n"] + 1).alias("n"), x["t"].alias("t"), F.when(a["n"] == 0, x["p"]).otherwise(a["first"]).alias("first"), x["p"].alias("last"))).otherwise(a)
+    Places are taken in order; for every gram of the template the best stretch that ends there and has not grown too long is held.
+    """
+    stretch = "struct<n: int, t: int, first: int, last: int>"
+    start = F.struct(F.array().cast(f"array<{stretch}>").alias("open"), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("t"), F.lit(-1).alias("first"), F.lit(-1).alias("last")).cast(stretch).alias("best"))
 
-    return F.aggregate(hits, empty, more)
+    def more(a: Column, x: Column) -> Column:
+        alive = F.filter(a["open"], lambda c: x["p"] - c["first"] < 2 * length)
+        # the most grams first, then the latest beginning
+        fit = F.transform(F.filter(alive, lambda c: (c["t"] < x["t"]) & (c["last"] < x["p"])), lambda c: F.struct(c["n"].alias("n"), c["first"].alias("first")))
+        last = F.array_max(fit)
+        new = F.struct((F.coalesce(last["n"], F.lit(0)) + 1).alias("n"), x["t"].alias("t"), F.coalesce(last["first"], x["p"]).alias("first"), x["p"].alias("last")).cast(stretch)
+        better = F.exists(alive, lambda c: (c["t"] == x["t"]) & ((c["n"] > new["n"]) | ((c["n"] == new["n"]) & (c["first"] >= new["first"]))))
+        kept = F.when(better, alive).otherwise(F.array_append(F.filter(alive, lambda c: c["t"] != x["t"]), new))
+        return F.struct(kept.alias("open"), F.when(new["n"] > a["best"]["n"], new).otherwise(a["best"]).alias("best"))
+
+    by_place = F.array_sort(F.transform(hits, lambda x: F.struct(x["p"].alias("p"), x["t"].alias("t"))))
+    return F.aggregate(by_place, start, more)["best"]
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
