@@ -14,6 +14,10 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
+def solid_words(text, lower=True):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER if lower else {}))
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 

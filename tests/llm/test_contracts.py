@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontam, langid, licenses, linededup, lm, packing, secrets, sharding, simhash, topk
+from tidewater.llm import common, decontam, langid, licenses, linededup, lm, packing, secrets, sharding, simhash, topk
 
 ITEM = "One two three four five six seven eight nine ten eleven twelve, thirteen."
 PASSAGE = " ".join(f"shared{i}" for i in range(20)) + ". " + " ".join(f"common{i}" for i in range(20)) + ". " + " ".join(f"again{i}" for i in range(20)) + "."
@@ -36,6 +36,7 @@ TEXTS = [
     (None, "no id but text, under the mit license"),
     (None, None),
     (17, "one two three four five six seven eight nine ten one two three four five six seven eight nine ten eleven"),
+    (19, "".join(chr(97 + (i * i * 7 + i // 11) % 26) if i % 3 else str(i * i % 10) for i in range(60_000))),
     (18, "\tta\x0bbs\x0c\x1c and wide\r\nspaces \x00 nul"),
 ]
 CLASH = ("k", "h", "w", "row", "n", "marks", "chunks", "doc", "node", "f0", "share", "slots", "label", "gram", "size", "shard", "range", "_id", "_k", "_text", "uid", "c")
@@ -272,7 +273,7 @@ def test_one_near_duplicate_stays(docs, empty, spark):
 
 @pytest.mark.parametrize("most", [0, 500_000])
 def test_few_and_many_keys_remove_the_same_documents(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     words = [f"w{i}" for i in range(400)]
     near = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in (50, 200, 350)]
     rows = [(None, near[0], "a"), (7, near[1], "b"), (7, near[2], "c"), (8, near[1], "d"), (9, " ".join(f"v{i}" for i in range(400)), "e"), (None, None, "f"), (10, None, "g"), (11, "", "h")]
@@ -295,7 +296,7 @@ def test_near_pairs_meet_in_some_word(spark, monkeypatch, flips, met):
     docs = spark.createDataFrame(rows, "doc_id long, text string, node long, " + ", ".join(f"{x} long" for x in names))
     monkeypatch.setattr(simhash, "fingerprint", lambda *_: docs.select("doc_id", F.xxhash64("text").alias("k"), "node", *names))
     # the texts are made up, so the candidates are told without looking at them
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs.select("doc_id", "text"), share=0.0).collect()}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs.select("doc_id", "text"), percent=0).collect()}
     assert kept == set(range(22)) - ({1} if met else set())
 
 

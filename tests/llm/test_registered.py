@@ -25,8 +25,12 @@ COLUMNS = {
     "op7_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op11_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op12_importance": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_filters": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
 }
+NOT_BY_DOCUMENT = ("op4_topk", "op8_packing", "op13_filters")
 VECTORS = [(0, [0.5, -0.25]), (1, [1.0, 1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (50, [0.1, 0.2]), (51, [0.1, 0.2]), (100, [float("inf"), 0.0])]
 
 
@@ -38,6 +42,7 @@ def edges(spark, tmp_path_factory):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in CLASH})
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([("a", ITEM), ("b", None), ("c", "..."), (None, "the cat")], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
     return path
 
@@ -46,7 +51,7 @@ def edges(spark, tmp_path_factory):
 def nothing(spark, edges, tmp_path_factory):
     """The same tables without rows."""
     path = str(tmp_path_factory.mktemp("nothing"))
-    for name in ("documents", "benchmark", "embeddings"):
+    for name in ("documents", "benchmark", "embeddings", "labels"):
         spark.read.parquet(f"{edges}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -57,7 +62,7 @@ def test_columns_and_rows(spark, name):
     types = {f.name: f.dataType.simpleString() for f in out.schema.fields}
     assert all(types.get(c.split()[0]) == c.split()[1] for c in COLUMNS[name].split(", "))
     rows = out.collect()
-    if name not in ("op4_topk", "op8_packing"):
+    if name not in NOT_BY_DOCUMENT:
         assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
     scores = [r["score"] for r in rows if name in ("op2_langid", "op5_licenses")]
     assert all(0 <= x <= 1 for x in scores)
@@ -66,7 +71,7 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", COLUMNS)
 def test_edge_tables(spark, edges, nothing, name):
     out = registry.queries()[name](spark, edges).collect()
-    if name not in ("op4_topk", "op8_packing"):
+    if name not in NOT_BY_DOCUMENT:
         assert len(out) == len(TEXTS)
     elif name == "op4_topk":
         assert {(r["query_id"], r["rank"], r["vec_id"]) for r in out} == {(0, 1, 1), (0, 2, 50), (0, 3, 51), (50, 1, 1), (50, 2, 51), (50, 3, 0)}

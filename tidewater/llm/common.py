@@ -18,6 +18,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two numbers (keys of texts, crowded buckets) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def met_by(keys: DataFrame) -> DataFrame:
+    """Written keys, marked for a broadcast if they are few, so that the texts they are joined to stay where they are; else for a hash join of shuffled sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,5 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last, mark = mark, _mark(edges)
         if mark == last:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))

@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import materialize, met_by, read_table
 from tidewater.llm.components import connected_components
-from tidewater.llm.simhash import met_by
 from tidewater.llm.words import SOLID, slices, words_of
 
 SHINGLE, PERCENT = 5, 80
@@ -203,7 +202,7 @@ def _set_rows(shingle: int):
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(node, own): the whole set of each node in pairs, as sorted hashes; of the texts of a node one is read."""
+    """(node, own): the whole set of each node in pairs (a, b), as sorted hashes; rows say (node, doc_id, k) of docs, and of the texts of a node one is read."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = rows.select("node", "doc_id", "k").join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one"))
     spoken = materialize(one.select("node", "one.doc_id", "one.k"), "jaccard-spoken")
@@ -238,7 +237,7 @@ def _verified(percent: int):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
-    """The pairs (a, b) of nodes, different and written, whose sets have the similarity.
+    """The pairs (a, b) of nodes, different and written, whose sets have the similarity; rows as in sets_of.
 
     The end with more pairs is put first. Its set goes once to each part of its pairs, of links_a_task about; the other end's goes
     along with each pair. Parts are sorted, so a task holds one first set and one other at a time.

@@ -19,8 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import apart, materialize, read_table, together
+from tidewater.llm import common
+from tidewater.llm.common import apart, materialize, met_by, read_table, together
 from tidewater.llm.components import connected_components
+from tidewater.llm.jaccardjoin import verify
 from tidewater.llm.words import LOWER_TABLE, slices
 
 #: Fingerprints, about, from which bit groups and candidate counts are estimated.
@@ -33,8 +35,8 @@ PLAN_FOR = 1_000_000
 CELL_ROWS = 4096
 #: Values a fingerprint may take in one partition.
 MAX_PROBES = 200
-#: Rows of two numbers (crowded buckets, keys of texts) up to which they are broadcast.
-BROADCAST_ROWS = 500_000
+#: Where a link failed, so many of the nearest candidates in other classes are tried for each fingerprint of a bucket.
+REFILL = 4
 
 
 # ---- fingerprints
@@ -199,7 +201,7 @@ def allot(sample: np.ndarray, n: int, radius: int) -> list[tuple[np.ndarray, int
 # ---- buckets and links
 
 
-def _bucket_rows(plan: list[tuple[np.ndarray, int]], words: int):
+def _bucket_rows(plan: list[tuple[np.ndarray, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -210,15 +212,14 @@ def _bucket_rows(plan: list[tuple[np.ndarray, int]], words: int):
                     for level in range(t + 1):
                         rows, value = raised(v, len(bits), level)
                         own = batch.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([pa.array((i << 40) + value), pa.array(np.full(len(rows), level, np.int8)), *own.columns], names=["bucket", "level", *(f"f{j}" for j in range(words))])
+                        yield pa.RecordBatch.from_arrays([pa.array((i << 40) + value), pa.array(np.full(len(rows), level, np.int8)), *own.columns], names=["bucket", "level", *batch.schema.names])
 
     return run
 
 
-def _bucketed(prints: DataFrame, plan: list[tuple[np.ndarray, int]], words: int) -> DataFrame:
-    """(bucket, level, f0, ...): every fingerprint in each of its buckets."""
-    names = [f"f{i}" for i in range(words)]
-    return prints.select(*names).mapInArrow(_bucket_rows(plan, words), "bucket long, level byte, " + ", ".join(f"{x} long" for x in names))
+def _bucketed(prints: DataFrame, plan: list[tuple[np.ndarray, int]]) -> DataFrame:
+    """(bucket, level, f0, ...): every fingerprint, with all its columns of longs, in each of its buckets."""
+    return prints.mapInArrow(_bucket_rows(plan), "bucket long, level byte, " + ", ".join(f"{x} long" for x in prints.columns))
 
 
 def crowded(prints: DataFrame, plan: list[tuple[np.ndarray, int]], n: int) -> DataFrame | None:
@@ -229,7 +230,7 @@ def crowded(prints: DataFrame, plan: list[tuple[np.ndarray, int]], n: int) -> Da
     """
     if n <= SPLIT_ROWS:  # a fingerprint stands in a bucket once
         return None
-    rows = _bucketed(prints, plan, 1)
+    rows = _bucketed(prints.select("f0"), plan)
     cells = 1 + n * sum(comb(len(bits), a) for bits, t in plan for a in range(t + 1)) // CELL_ROWS
     cell = F.pmod(F.xxhash64("bucket"), F.lit(cells)).alias("cell")
     full = materialize(rows.groupBy(cell).count().where(F.col("count") > SPLIT_ROWS).select("cell"), "simhash-cells")
@@ -240,16 +241,11 @@ def crowded(prints: DataFrame, plan: list[tuple[np.ndarray, int]], n: int) -> Da
     return None if hot.isEmpty() else hot
 
 
-def met_by(keys: DataFrame) -> DataFrame:
-    """Written keys, marked for a broadcast if they are few, so that the texts they are joined to stay where they are; else for a hash join of shuffled sides."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
-
-
 def in_chunks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """rows with `sub`: those of crowded buckets once for every pair of chunks that theirs is in, all others with 0."""
     if hot is None:
         return rows.withColumn("sub", F.lit(0))
-    known = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    known = F.broadcast(hot) if hot.count() <= common.BROADCAST_ROWS else hot
     chunk = F.pmod(F.xxhash64("f0"), F.col("parts")).cast("int")
     met = rows.join(known, "bucket", "left").withColumn("mine", F.coalesce(chunk, F.lit(0)))
     dealt = met.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
@@ -300,30 +296,22 @@ def _block_pairs(f: np.ndarray, a0: int, a1: int, b0: int, b1: int, radius: int)
     return i + a0, j + b0
 
 
-def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: list[int], turn: int = 0, small: int = 24, block: int = 1024) -> pa.RecordBatch | None:
-    """Forest edges of the whole buckets in a batch sorted by bucket, sub and level; raises: the radius of each group of bits."""
-    f = np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(words)], axis=1)
-    bucket, sub = batch.column("bucket").to_numpy(), batch.column("sub").to_numpy()
-    level = batch.column("level").to_numpy()
-    fresh = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (sub[1:] != sub[:-1])])
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(bucket)))
+def _candidates(f: np.ndarray, first: np.ndarray, size: np.ndarray, level: np.ndarray, tops: list[int], radius: int, wide: int, open_, small: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket within the bounds, in parts; first, size and tops (largest raise) of the buckets. open_ says which pairs are still of use."""
     ends = np.repeat(first + size, size)
-    forest = _Forest(len(bucket))
     short = np.repeat(size <= small, size)
     found = []
     for d in range(1, min(small, int(size.max(initial=1)))):
-        a = np.flatnonzero(short & (np.arange(len(bucket)) + d < ends))
+        a = np.flatnonzero(short & (np.arange(len(f)) + d < ends))
         if not len(a):
             break
+        a = a[open_(a, a + d)]
         a = a[_near(f, a, a + d, radius, wide)]
         found.append(np.stack([a, a + d]))
     if found:
-        a, b = np.hstack(found)
-        forest.add(a, b, np.bitwise_count(f[a] ^ f[b]).sum(1))
-    for s, n in zip(first[size > small].tolist(), size[size > small].tolist()):
+        yield tuple(np.hstack(found))
+    for s, n, top in zip(first[size > small].tolist(), size[size > small].tolist(), (t for t, k in zip(tops, size.tolist()) if k > small)):
         own = level[s : s + n]
-        top = raises[int(bucket[s] >> 40)]
         cut = [s + int(np.searchsorted(own, x)) for x in range(top + 2)]
         # two rows meet here for the first time if their raises together are within the group's radius
         for x in range(top + 1):
@@ -331,18 +319,57 @@ def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: lis
                 for i in range(cut[x], cut[x + 1], block):
                     for j in range(max(cut[y], i if x == y else 0), cut[y + 1], block):
                         a, b = _block_pairs(f, i, min(i + block, cut[x + 1]), j, min(j + block, cut[y + 1]), radius)
-                        ok = forest.root[a] != forest.root[b]
+                        ok = open_(a, b) & (a != b)
                         a, b = a[ok], b[ok]
-                        if len(a) and words > 1:
+                        if len(a) and f.shape[1] > 1:
                             ok = np.bitwise_count(f[a] ^ f[b]).sum(1) <= wide
                             a, b = a[ok], b[ok]
-                        forest.add(a, b, np.bitwise_count(f[a] ^ f[b]).sum(1))
-                        forest.settle()
-    if not forest.edges:
+                        yield a, b
+
+
+def _nearest(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs a, b those that are among the `most` nearest of either end."""
+    far = np.bitwise_count(f[a] ^ f[b]).sum(1)
+    keep = np.zeros(len(a), bool)
+    for end in (a, b):
+        order = np.lexsort((far, end))
+        sorted_end = end[order]
+        start = np.searchsorted(sorted_end, sorted_end)
+        keep[order[np.arange(len(order)) - start < most]] = True
+    return a[keep], b[keep]
+
+
+def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: list[int], turn: int = 0, small: int = 24, block: int = 1024) -> pa.RecordBatch | None:
+    """Links of the whole buckets in a batch sorted by bucket, sub and level; raises: the radius of each group of bits.
+
+    Without labels these are the edges of a spanning forest of each bucket, nearest candidates first; with labels, each row's nearest
+    candidates of other labels.
+    """
+    f = np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(words)], axis=1)
+    bucket, sub = batch.column("bucket").to_numpy(), batch.column("sub").to_numpy()
+    fresh = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (sub[1:] != sub[:-1])])
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(bucket)))
+    bounds = (f, first, size, batch.column("level").to_numpy(), [raises[int(b >> 40)] for b in bucket[first]], radius, wide)
+    if "label" in batch.schema.names:
+        label = batch.column("label").to_numpy()
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for x, y in _candidates(*bounds, lambda x, y: label[x] != label[y], small, block):
+            a, b = np.append(a, x), np.append(b, y)
+            if len(a) > 4 * REFILL * len(f):
+                a, b = _nearest(f, a, b, REFILL)
+        a, b = _nearest(f, a, b, REFILL)
+        edges = np.stack([a, b], axis=1)
+    else:
+        forest = _Forest(len(bucket))
+        for a, b in _candidates(*bounds, lambda x, y: forest.root[x] != forest.root[y], small, block):
+            forest.add(a, b, np.bitwise_count(f[a] ^ f[b]).sum(1))
+            forest.settle()
+        edges = np.array(forest.edges).reshape(-1, 2)
+    if not len(edges):
         return None
-    e = np.array(forest.edges)
     node = nodes_of(np.roll(f, turn, axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
 
 
 def _links(words: int, radius: int, wide: int, raises: list[int], turn: int):
@@ -370,20 +397,21 @@ def _links(words: int, radius: int, wide: int, raises: list[int], turn: int):
 
 
 def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0, turn: int = 0) -> DataFrame:
-    """(a, b): links of a spanning forest of each bucket, between distinct fingerprints (f0, ...) of prints.
+    """(a, b): links between distinct fingerprints (f0, ...) of prints, of a spanning forest of each bucket.
 
     All pairs within `radius` bits in one word, f0 or the turn-th, and within `wide` bits in all words if there are several, are connected by
-    the links; nothing else is. a and b are the fingerprints' nodes.
+    the links; nothing else is. If prints have a column label, links are each fingerprint's nearest candidates of other labels
+    instead, REFILL in each bucket. a and b are the fingerprints' nodes.
     """
     spark = prints.sparkSession
     names = [f"f{i}" for i in range(words)]
-    prints = prints.select(*[F.col(names[(i + turn) % words]).alias(x) for i, x in enumerate(names)])
+    prints = prints.select(*[F.col(names[(i + turn) % words]).alias(x) for i, x in enumerate(names)], *[c for c in prints.columns if c == "label"])
     n = prints.count()
     mask = (1 << 40) - 1
     chance = int(mask * min(1.0, SAMPLE / max(1, n))) + 1
     sample = prints.where(F.xxhash64("f0").bitwiseAND(F.lit(mask)) < chance).select("f0").toArrow().column("f0").to_numpy().view(np.uint64)
     plan = allot(sample, n, radius)
-    rows = in_chunks(_bucketed(prints, plan, words), crowded(prints, plan, n))
+    rows = in_chunks(_bucketed(prints, plan), crowded(prints, plan, n))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "bucket", "sub").sortWithinPartitions("bucket", "sub", "level")
     return ordered.mapInArrow(_links(words, radius, wide, [t for _, t in plan], turn), "a long, b long").distinct()
@@ -412,74 +440,48 @@ def radii(wide: int, words: int) -> list[int]:
     return [(wide + words - i) // words - 1 for i in range(words)]
 
 
-def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
-    """The distinct 64-bit hashes of each text's word shingles, sorted; words as in fingerprints_of."""
-    out = []
-    for t in texts:
-        w = t.translate(LOWER_TABLE).split()
-        rows = [b" ".join(s) for s in zip(*(w[i:] for i in range(shingle)))] if len(w) >= shingle else ([b" ".join(w)] if w else [])
-        out.append(np.array(sorted({xxhash.xxh64_intdigest(s, 42) for s in rows}), np.uint64))
-    return out
-
-
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array([x.tobytes() for x in shingle_sets(texts, shingle)], pa.binary())], names=["node", "own"])
-
-    return run
-
-
-def _alike(share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= share * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _links_of_all_words(prints: DataFrame, words: int, wide: int) -> DataFrame:
+    links = None
+    for turn, radius in enumerate(radii(wide, words)):
+        more = linked(prints, radius, words, wide, turn)
+        links = more if links is None else links.unionByName(more)
+    return materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
 
 
-def verified(links: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, share: float) -> DataFrame:
-    """The links (a, b) whose texts have at least `share` of their word shingles in common.
+def near_links(prints: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, words: int, wide: int, percent: int) -> DataFrame:
+    """(a, b): links between fingerprints (node, f0, ...) of prints whose texts have the similarity in word shingles.
 
-    rows: (doc_id, k, node) of docs. Of the texts of one fingerprint one speaks for all. Each text that stands in a link is
-    read once and hashed once.
+    First the forests of all buckets are verified. Where a link of a forest fails, what it connected may be connected otherwise: of all
+    fingerprints that candidates connect but verified links don't, the nearest candidates in other classes are verified, too.
+    rows: (doc_id, k, node) of docs.
     """
-    links = materialize(links, "near-links")
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    spoken = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one")).join(ends, "node").select("node", "one.doc_id", "one.k"), "near-spoken")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("text"))
-    same = texts["doc_id"].eqNullSafe(F.col("o.doc_id")) & texts["k"].eqNullSafe(F.col("o.k"))
-    sets = texts.join(met_by(spoken).alias("o"), same).select("node", "text").mapInArrow(_sets(shingle), "node long, own binary").dropDuplicates(["node"])
-    sets = materialize(sets, "near-sets")
-    first = links.join(sets.select(F.col("node").alias("a"), F.col("own").alias("of_a")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("own").alias("of_b")), "b")
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(_alike(share), "a long, b long")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46, share: float = 0.8) -> DataFrame:
+    tried = _links_of_all_words(prints, words, wide)
+    good = verify(tried, docs, rows, shingle, percent)
+    around = connected_components(tried).select("node", F.col("label").alias("around"))
+    inside = connected_components(good).select("node", F.col("label").alias("inside"))
+    both = materialize(around.join(inside, "node", "left").select("node", "around", F.coalesce("inside", "node").alias("label")), "near-classes")
+    split = materialize(both.groupBy("around").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("around"), "near-split")
+    if split.isEmpty():
+        return good
+    left = materialize(prints.join(both.join(split, "around", "left_semi").select("node", "label"), "node"), "near-left")
+    more = materialize(_links_of_all_words(left.drop("node"), words, wide).join(tried, ["a", "b"], "left_anti"), "near-more")
+    return good.unionByName(verify(more, docs, rows, shingle, percent))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates, all columns as they are.
 
     Fingerprints have `words` words of 64 bits. Candidates differ in at most `wide` bits of all; all words are probed, with
-    radii of which a pair within `wide` bits meets one at least. Of the candidates in a bucket the nearest ones that
-    connect them are kept, and link if the texts have at least `share` of their word shingles in common. Equal
+    radii of which a pair within `wide` bits meets one at least. The nearest candidates that connect a bucket, and where these fail
+    others, link if the texts have at least `percent` of their word shingles in common. Equal
     fingerprints link. Of each connected group the row of the smallest (doc_id, hash of the text) stays; null doc_ids come
     first. Null texts and texts without words are a group of their own. Rows that agree in doc_id and text leave one
-    row. An empty table gives no rows.
+    row. Columns of any name are kept. An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(words)]
     rows = materialize(fingerprint(docs, shingle, words), "near-rows")
     prints = materialize(rows.select("node", *names).distinct(), "near-prints")
-    links = None
-    for turn, radius in enumerate(radii(wide, words)):
-        more = linked(prints, radius, words, wide, turn)
-        links = more if links is None else links.unionByName(more)
-    labels = connected_components(verified(links.distinct(), rows, docs, shingle, share))
+    labels = connected_components(near_links(prints, rows, docs, shingle, words, wide, percent))
     grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
     grouped = materialize(grouped, "near-groups")
     # written out for the same reason as above: a group may hold a third of all rows
