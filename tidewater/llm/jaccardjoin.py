@@ -7,8 +7,11 @@ that share a prefix shingle are filtered by size and by the places of that
 shingle, then expanded to members and verified on their whole sets.
 
 Links are needed as classes only, so the pairs of a crowd of copies are never all
-made: first every group is held against one pivot for each of its shingles, and what is
-then already in one class is not compared again. Every other pair is.
+made: first every group is held against one pivot for each of its shingles. Where that leaves several
+classes at a shingle, its members are compared in place by their signatures: first each one's
+nearest in other classes, then all that are still apart. A signature has a bit for the parity of the
+shingles that fall on it, so two differ in no more bits than the sets in shingles, and what it rejects is no
+link. What it lets pass is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ COUNTERS, BLOCK = 1 << 20, 1 << 12
 HOT_ROWS = 50_000
 #: Prefix rows for each counter of the first, coarse count of shingles.
 CELL_ROWS = 4096
-#: Links of one set that are verified by one task.
-LINKS_A_TASK = 10_000
+#: Links of one set that are verified by one task; rows of a shingle that are compared in place by one.
+LINKS_A_TASK, SPLIT_ROWS = 10_000, 4096
+#: Of each member's candidates in other classes, so many of the nearest are verified before all are.
+NEAREST = 4
+#: Bits of a signature for each shingle of a set, at least; a power of two in all, so that longer ones can be folded.
+SIGNATURE_BITS, LEAST_BITS = 4, 64
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(64)], np.uint64)
 
@@ -114,9 +121,21 @@ def levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
 # ---- prefixes and groups
 
 
-def least_common(n: Column, percent: int) -> Column:
-    """ceil(percent n / 100)"""
-    return F.floor((n * percent + 99) / 100).cast("int")
+def signatures_of(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each text's set, of n shingles h, the parity of its shingles in each of a power of two of bits."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n * SIGNATURE_BITS, LEAST_BITS))).astype(np.int64)
+    ends = np.cumsum(bits)
+    at = (ends - bits)[text] + ((h >> np.uint64(20)) % bits[text].astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a // 8 : b // 8] for a, b in zip((ends - bits).tolist(), ends.tolist())]
+
+
+def folded(signature: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as they would be with `words` words."""
+    while signature.shape[-1] > words:
+        half = signature.shape[-1] // 2
+        signature = signature[..., :half] ^ signature[..., half:]
+    return signature
 
 
 def _prefixes(level: np.ndarray, shingle: int, percent: int):
@@ -137,17 +156,17 @@ def _prefixes(level: np.ndarray, shingle: int, percent: int):
                 raw = prefix.tobytes()
                 of = [int.from_bytes(xxhash.xxh64_digest(raw[8 * a : 8 * b], k), "big", signed=True) for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("k"), pa.array(n.astype(np.int64)), pa.array(node, pa.int64()), pa.array(of, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
-                    names=["doc_id", "k", "n", "node", "of", "prefix"],
+                    [piece.column("doc_id"), piece.column("k"), pa.array(n.astype(np.int64)), pa.array(node, pa.int64()), pa.array(of, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), pa.array(signatures_of(text, h, n), pa.binary())],
+                    names=["doc_id", "k", "n", "node", "of", "prefix", "signature"],
                 )
 
     return run
 
 
 def prefix_rows(docs: DataFrame, level: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, k, n, node, of, prefix): k hashes the text, n is the size of its set, node stands for the set, of for its prefix and size (the group)."""
+    """(doc_id, k, n, node, of, prefix, signature): k hashes the text, n is the size of its set, node stands for the set, of for its prefix and size (the group)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
-    return rows.mapInArrow(_prefixes(level, shingle, percent), "doc_id long, k long, n long, node long, of long, prefix array<long>")
+    return rows.mapInArrow(_prefixes(level, shingle, percent), "doc_id long, k long, n long, node long, of long, prefix array<long>, signature binary")
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -202,33 +221,49 @@ def _set_rows(shingle: int):
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(node, own): the whole set of each node in pairs (a, b), as sorted hashes; rows say (node, doc_id, k) of docs, and of the texts of a node one is read."""
+    """(node, own): the whole set of each node in pairs (a, b), as sorted hashes; rows say (node, doc_id, k) of docs, and of the texts of a node one is read.
+
+    Rows that agree in doc_id and text give equal rows.
+    """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = rows.select("node", "doc_id", "k").join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one"))
     spoken = materialize(one.select("node", "one.doc_id", "one.k"), "jaccard-spoken")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(F.col("o.doc_id")) & texts["k"].eqNullSafe(F.col("o.k"))
     read = texts.join(met_by(spoken).alias("o"), same).select("node", "text").mapInArrow(_set_rows(shingle), "node long, own binary")
-    return materialize(read.dropDuplicates(["node"]), "jaccard-sets")
+    return materialize(read, "jaccard-sets")
+
+
+def _similar(first: bytes, second: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum()) if len(large) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
+def _may_be_similar(first: bytes, second: bytes, percent: int) -> bool:
+    """The same of signatures, behind the sizes of their sets."""
+    n, m = int.from_bytes(first[:8], "big"), int.from_bytes(second[:8], "big")
+    x, y = np.frombuffer(first[8:], np.uint64), np.frombuffer(second[8:], np.uint64)
+    words = min(len(x), len(y))
+    odd = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+    return (100 + percent) * odd <= (100 - percent) * (n + m)
 
-def _verified(percent: int):
+
+def _held_against(test, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, None
+        key, first = None, b""
         for batch in batches:
             a, b = [], []
-            for x, part, y, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "own"))):
+            for x, part, y, own in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "own"))):
                 if y is None:
-                    key, first = (x, part), np.frombuffer(raw, np.uint64)
+                    key, first = (x, part), own
                     continue
                 if (x, part) != key:
-                    raise ValueError(f"the set of {x} is missing")
-                second = np.frombuffer(raw, np.uint64)
-                small, large = (first, second) if len(first) < len(second) else (second, first)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(first) + len(second) - both):
+                    raise ValueError(f"what {x} is held against is missing")
+                if test(first, own, percent):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -236,25 +271,132 @@ def _verified(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
-    """The pairs (a, b) of nodes, different and written, whose sets have the similarity; rows as in sets_of.
-
-    The end with more pairs is put first. Its set goes once to each part of its pairs, of links_a_task about; the other end's goes
-    along with each pair. Parts are sorted, so a task holds one first set and one other at a time.
-    """
+def _oriented(pairs: DataFrame, links_a_task: int) -> DataFrame:
+    """(a, b, part): the pairs, with the end that has more of them first, and the part of its pairs, of links_a_task about."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     many = materialize(ends.groupBy("node").agg(F.count("*").alias("links")), "jaccard-degrees")
     both = pairs.join(many.select(F.col("node").alias("a"), F.col("links").alias("of_a")), "a").join(many.select(F.col("node").alias("b"), F.col("links").alias("of_b")), "b")
     turned = F.struct("of_b", "b") > F.struct("of_a", "a")
     parts = F.ceil(F.greatest("of_a", "of_b") / links_a_task)
     put = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), parts.alias("parts"))
-    put = materialize(put.select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "jaccard-pairs")
-    sets = sets_of(docs, rows, pairs, shingle)
-    second = put.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "own")
-    first = put.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "own")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(put.select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "jaccard-pairs")
+
+
+def _held(put: DataFrame, values: DataFrame, test, percent: int) -> DataFrame:
+    """The pairs (a, b, part) of put whose values (node, own) pass the test.
+
+    The first end's value goes once to each part of its pairs, the other end's along with each pair. Parts are
+    sorted, so a task holds one first value and one other at a time.
+    """
+    second = put.join(values.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "own")
+    first = put.select("a", "part").distinct().join(values.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "own")
+    n = int(put.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = first.unionByName(second).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return materialize(dealt.mapInArrow(_verified(percent), "a long, b long"), "jaccard-links")
+    return materialize(dealt.mapInArrow(_held_against(test, percent), "a long, b long").distinct(), "jaccard-links")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
+    """The pairs (a, b) of nodes, different and written, whose sets have the similarity; rows as in sets_of."""
+    return _held(_oriented(pairs, links_a_task), sets_of(docs, rows, pairs, shingle), _similar, percent)
+
+
+def screened(pairs: DataFrame, members: DataFrame, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
+    """The pairs (a, b) that the signatures of members (node, n, signature) do not rule out."""
+    size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
+    return _held(_oriented(pairs, links_a_task), members.select("node", F.concat(size, "signature").alias("own")), _may_be_similar, percent)
+
+
+# ---- comparing in place
+
+
+def _bucket_pairs(b: pa.RecordBatch, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one shingle (node, n, at, label, signature) in different classes that sizes, places and signatures let pass;
+    with `most`, only those among the so many nearest of either."""
+    n, at, label = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "at", "label"))
+    raw = b.column("signature").to_pylist()
+    width = np.array([len(x) // 8 for x in raw])
+    found = []
+    for w in np.unique(width).tolist():
+        near = np.flatnonzero((width == w) | (width == 2 * w))
+        sig = np.stack([folded(np.frombuffer(raw[i], np.uint64), w) for i in near.tolist()])
+        rows = np.flatnonzero(width[near] == w)
+        step = max(1, (1 << 20) // len(near))
+        for i in range(0, len(rows), step):
+            x = near[rows[i : i + step]][:, None]
+            y = near[None, :]
+            ok = (label[x] != label[y]) & ((width[y] > w) | (x < y)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            ok &= (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])
+            p, q = np.nonzero(ok)
+            p = rows[i + p]
+            few = max(1, (1 << 20) // w)
+            for j in range(0, len(p), few):
+                u, v = p[j : j + few], q[j : j + few]
+                odd = np.bitwise_count(sig[u] ^ sig[v]).sum(1, dtype=np.int64)
+                u, v = near[u], near[v]
+                pass_ = (100 + percent) * odd <= (100 - percent) * (n[u] + n[v])
+                found.append(np.stack([u[pass_], v[pass_], odd[pass_]]))
+            if most and sum(x.shape[1] for x in found) > (1 << 20):
+                found = [_nearest(np.hstack(found), most)]
+    out = np.hstack(found) if found else np.zeros((3, 0), np.int64)
+    out = _nearest(out, most) if most else out
+    return out[0], out[1]
+
+
+def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs (a, b, distance) those that are among the `most` nearest of either end."""
+    keep = np.zeros(pairs.shape[1], bool)
+    for end in pairs[:2]:
+        order = np.lexsort((pairs[2], end))
+        rank = np.arange(len(order)) - np.searchsorted(end[order], end[order])
+        keep[order[rank < most]] = True
+    return pairs[:, keep]
+
+
+def _compared(percent: int, most: int | None):
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        x, y = _bucket_pairs(b, percent, most)
+        node = b.column("node").to_numpy()
+        x, y = node[x], node[y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            shingle, sub = batch.column("shingle").to_numpy(), batch.column("sub").to_numpy()
+            cuts = np.flatnonzero((shingle[1:] != shingle[:-1]) | (sub[1:] != sub[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if held and key != (shingle[a], sub[a]):
+                    yield pairs(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                key = (shingle[a], sub[a])
+        if held:
+            yield pairs(held)
+
+    return run
+
+
+def across(met: DataFrame, members: DataFrame, labels: DataFrame, percent: int, most: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(a, b): pairs of members (of, n, node, signature) that share a shingle in met (of, shingle, at), are in different classes of labels (node,
+    label) and pass sizes, places and signatures; with `most`, each member's so many nearest at a shingle and the like.
+
+    Shingles whose members are all in one class are left out. The members of a shingle that has over split_rows of them are dealt into
+    chunks, and each pair of chunks is compared by itself.
+    """
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spans = materialize(named.groupBy("of").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")), "jaccard-spans")
+    at_shingle = met.join(spans, "of").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"))
+    undone = materialize(at_shingle.where(F.col("low") != F.col("high")).select("shingle", F.ceil(F.col("size") / split_rows).cast("int").alias("parts")), "jaccard-undone")
+    left = materialize(met.join(met_by(undone), "shingle").select("shingle", "parts", "of", "at"), "jaccard-open")
+    rows = left.join(named, "of").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sub = F.least("mine", "other").cast("long") * F.col("parts") + F.greatest("mine", "other")
+    dealt = dealt.select("shingle", sub.alias("sub"), "node", "n", "at", "label", "signature")
+    k = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(k, "shingle", "sub").sortWithinPartitions("shingle", "sub").mapInArrow(_compared(percent, most), "a long, b long").distinct()
 
 
 # ---- the join
@@ -269,43 +411,32 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """
     rows = materialize(prefix_rows(docs, levels(docs, shingle), shingle, percent), "jaccard-rows")
     full = rows.where(F.col("n") > 0)
-    members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").cast("int").alias("n")), "jaccard-members")
-    # a prefix is longer than what identifies it, so copies are told apart before prefixes are shuffled
-    groups = materialize(full.select("of", "n", "prefix").groupBy("of").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")), "jaccard-groups")
-    entries = groups.select("of", "n", F.posexplode("prefix").alias("at", "shingle"))
+    members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "jaccard-members")
+    heads = members.groupBy("of").agg(F.min("node").alias("head"), F.count("*").alias("size"))
+    groups = full.groupBy("of").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = materialize(groups, "jaccard-groups").select("of", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
     met = materialize(pivoted(entries, hot_rows), "jaccard-met")
 
     # the smallest member speaks for its group
-    speaks = materialize(members.groupBy("of").agg(F.min("node").alias("head"), F.count("*").alias("size")), "jaccard-heads")
+    speaks = materialize(heads, "jaccard-heads")
     head = lambda name: speaks.select(F.col("of").alias(f"of_{name}"), F.col("head").alias(name))
     spokes = met.alias("x").where((F.col("x.of") != F.col("x.pivot.of")) & _fits("x", "x.pivot", percent))
     spokes = spokes.select(F.col("x.pivot.of").alias("of_a"), F.col("x.of").alias("of_b")).distinct().join(head("a"), "of_a").join(head("b"), "of_b").select("a", "b")
     within = members.join(speaks.where(F.col("size") > 1), "of").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    stars = materialize(spokes.unionByName(within), "jaccard-stars")
-    links = verify(stars, docs, rows, shingle, percent)
-
-    # what the pivots did not bring into one class
-    labels = materialize(connected_components(links), "jaccard-classes")
-    named = materialize(members.join(labels, "node", "left").select("of", "n", "node", F.coalesce("label", "node").alias("label")), "jaccard-named")
-    spans = materialize(named.groupBy("of").agg(F.min("label").alias("low"), F.max("label").alias("high")), "jaccard-spans")
-    open_rows = met.drop("pivot").join(spans, "of")
-    undone = materialize(open_rows.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("least") != F.col("most")).select("shingle"), "jaccard-undone")
-    left = materialize(open_rows.join(undone, "shingle", "left_semi"), "jaccard-open")
-    x, y = left.alias("x"), left.alias("y")
-    one_class = (F.col("x.low") == F.col("y.high")) & (F.col("y.low") == F.col("x.high"))
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.of") < F.col("y.of")) & _fits("x", "y", percent) & ~one_class)
-    across = across.select(F.col("x.of").alias("of_a"), F.col("y.of").alias("of_b")).distinct()
-    mixed = spans.where(F.col("low") != F.col("high")).select(F.col("of").alias("of_a"), F.col("of").alias("of_b"))
-    side = lambda name: named.select(F.col("of").alias(f"of_{name}"), F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
-    expanded = across.unionByName(mixed).join(side("a"), "of_a").join(side("b"), "of_b")
-    differ = (F.col("label_a") != F.col("label_b")) & ((F.col("of_a") != F.col("of_b")) | (F.col("a") < F.col("b")))
-    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialize(expanded.where(differ).select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-    links = links.unionByName(verify(more, docs, rows, shingle, percent))
+    tried = materialize(spokes.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
+    links = verify(screened(tried, members, percent), docs, rows, shingle, percent)
+
+    # what the pivots did not bring into one class: the nearest of other classes first, then all
+    places = met.select("of", "shingle", "at")
+    for most in (NEAREST, None):
+        labels = materialize(connected_components(links), "jaccard-classes")
+        more = materialize(across(places, members, labels, percent, most).join(tried, ["a", "b"], "left_anti"), "jaccard-across")
+        if not more.isEmpty():
+            links = links.unionByName(verify(more, docs, rows, shingle, percent))
+            tried = tried.unionByName(more)
 
     labels = materialize(connected_components(links), "jaccard-labels")
-    lows = materialize(full.groupBy("node").agg(F.min("doc_id").alias("low")), "jaccard-lows")
-    known = lows.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    known = members.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     lowest = known.groupBy("label").agg(F.min("low").alias("component_id"))
     # written out, so that the last join deals both sides anew and can split a set that many rows share
     of_node = materialize(known.join(lowest, "label").select("node", "component_id"), "jaccard-components")
