@@ -220,14 +220,13 @@ def _set_rows(shingle: int):
     return run
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(node, own): the whole set of each node in pairs (a, b), as sorted hashes; rows say (node, doc_id, k) of docs, and of the texts of a node one is read.
+def sets_of(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(node, own): the whole set of each node in pairs (a, b), as sorted hashes; speakers has one text's (node, doc_id, k) for each node.
 
-    Rows that agree in doc_id and text give equal rows.
+    Rows of docs that agree in doc_id and text give equal rows.
     """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = rows.select("node", "doc_id", "k").join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one"))
-    spoken = materialize(one.select("node", "one.doc_id", "one.k"), "jaccard-spoken")
+    spoken = materialize(speakers.join(ends, "node", "left_semi").select("node", "doc_id", "k"), "jaccard-spoken")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(F.col("o.doc_id")) & texts["k"].eqNullSafe(F.col("o.k"))
     read = texts.join(met_by(spoken).alias("o"), same).select("node", "text").mapInArrow(_set_rows(shingle), "node long, own binary")
@@ -295,9 +294,9 @@ def _held(put: DataFrame, values: DataFrame, test, percent: int) -> DataFrame:
     return materialize(dealt.mapInArrow(_held_against(test, percent), "a long, b long").distinct(), "jaccard-links")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
-    """The pairs (a, b) of nodes, different and written, whose sets have the similarity; rows as in sets_of."""
-    return _held(_oriented(pairs, links_a_task), sets_of(docs, rows, pairs, shingle), _similar, percent)
+def verify(pairs: DataFrame, docs: DataFrame, speakers: DataFrame, shingle: int, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
+    """The pairs (a, b) of nodes, different and written, whose sets have the similarity; speakers as in sets_of."""
+    return _held(_oriented(pairs, links_a_task), sets_of(docs, speakers, pairs, shingle), _similar, percent)
 
 
 def screened(pairs: DataFrame, members: DataFrame, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
@@ -411,7 +410,9 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """
     rows = materialize(prefix_rows(docs, levels(docs, shingle), shingle, percent), "jaccard-rows")
     full = rows.where(F.col("n") > 0)
-    members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low")), "jaccard-members")
+    members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "k")).alias("one")), "jaccard-members")
+    speakers = members.select("node", "one.doc_id", "one.k")
+    members = members.drop("one")
     heads = members.groupBy("of").agg(F.min("node").alias("head"), F.count("*").alias("size"))
     groups = full.groupBy("of").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = materialize(groups, "jaccard-groups").select("of", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
@@ -424,7 +425,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     spokes = spokes.select(F.col("x.pivot.of").alias("of_a"), F.col("x.of").alias("of_b")).distinct().join(head("a"), "of_a").join(head("b"), "of_b").select("a", "b")
     within = members.join(speaks.where(F.col("size") > 1), "of").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     tried = materialize(spokes.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
-    links = verify(screened(tried, members, percent), docs, rows, shingle, percent)
+    links = verify(screened(tried, members, percent), docs, speakers, shingle, percent)
 
     # what the pivots did not bring into one class: the nearest of other classes first, then all
     places = met.select("of", "shingle", "at")
@@ -432,7 +433,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         labels = materialize(connected_components(links), "jaccard-classes")
         more = materialize(across(places, members, labels, percent, most).join(tried, ["a", "b"], "left_anti"), "jaccard-across")
         if not more.isEmpty():
-            links = links.unionByName(verify(more, docs, rows, shingle, percent))
+            links = links.unionByName(verify(more, docs, speakers, shingle, percent))
             tried = tried.unionByName(more)
 
     labels = materialize(connected_components(links), "jaccard-labels")

@@ -456,7 +456,8 @@ def near_links(prints: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
     rows: (doc_id, k, node) of docs.
     """
     tried = _links_of_all_words(prints, words, wide)
-    good = verify(tried, docs, rows, shingle, percent)
+    speakers = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one")).select("node", "one.doc_id", "one.k"), "near-speakers")
+    good = verify(tried, docs, speakers, shingle, percent)
     around = connected_components(tried).select("node", F.col("label").alias("around"))
     inside = connected_components(good).select("node", F.col("label").alias("inside"))
     both = materialize(around.join(inside, "node", "left").select("node", "around", F.coalesce("inside", "node").alias("label")), "near-classes")
@@ -465,7 +466,7 @@ def near_links(prints: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
         return good
     left = materialize(prints.join(both.join(split, "around", "left_semi").select("node", "label"), "node"), "near-left")
     more = materialize(_links_of_all_words(left.drop("node"), words, wide).join(tried, ["a", "b"], "left_anti"), "near-more")
-    return good.unionByName(verify(more, docs, rows, shingle, percent))
+    return good.unionByName(verify(more, docs, speakers, shingle, percent))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46, percent: int = 80) -> DataFrame:
