@@ -3,8 +3,8 @@
 Words of a slice of texts become ids, and the array of all positions is sorted by
 the ids that follow (a suffix array, deep enough for the longest n-gram). Between
 neighbours the common prefix tells where an n-gram repeats: each run of positions
-with a common prefix of n ids is one n-gram, which is hashed once; its bucket is
-scattered back to all its positions. Buckets are counted over all documents and over the target,
+with a common prefix of n ids is one n-gram, which is hashed once, from the hashes of its
+words; its bucket is scattered back to all its positions. Buckets are counted over all documents and over the target,
 each document is weighed by the gains of its buckets, and the highest weights with a
 Gumbel term are drawn, which is sampling without replacement.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import materialize, read_table
-from tidewater.llm.words import slices, words_of
+from tidewater.llm.words import Words, slices, words_of
 
 # Buckets, the longest n-gram, the least words of a document that may be drawn, the share drawn in percent, the seed.
 BUCKETS = 10_000
@@ -34,12 +35,58 @@ RANGE_ROWS = 1_000_000
 LEAST_RANGES = 8
 
 
-def _ids(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each different word, and the words by number; words are told apart by their bytes."""
-    raw = blob.tobytes()
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
-    return ids, list(number)
+def _ids(w: Words) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each different word of a slice, and the words by number; words of a slice are told apart by a 64-bit hash."""
+    _, at, ids = np.unique(w.hashes, return_index=True, return_inverse=True)
+    raw = w.blob.tobytes()
+    return ids.astype(np.int64), [raw[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist())]
+
+
+@lru_cache(maxsize=None)
+def _zeros_behind(bit: int) -> tuple[int, ...]:
+    """What crc32 makes of each bit of a checksum, without the final turn, when 2^bit zero bytes follow."""
+    if bit == 0:
+        out = []
+        for i in range(32):
+            c = 1 << i
+            for _ in range(8):
+                c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+            out.append(c)
+        return tuple(out)
+    half = _zeros_behind(bit - 1)
+    return tuple(_sum(half, c) for c in half)
+
+
+def _sum(columns: tuple[int, ...], c: int) -> int:
+    out = 0
+    for i in range(32):
+        if c >> i & 1:
+            out ^= columns[i]
+    return out
+
+
+@lru_cache(maxsize=256)
+def _shift(length: int) -> np.ndarray:
+    """(4, 256): what each byte of a checksum becomes when `length` bytes follow."""
+    columns = tuple(1 << i for i in range(32))
+    for bit in range(length.bit_length()):
+        if length >> bit & 1:
+            columns = tuple(_sum(_zeros_behind(bit), c) for c in columns)
+    out = np.zeros((4, 256), np.uint32)
+    for k in range(4):
+        for i in range(8):
+            out[k] ^= np.where(np.arange(256) >> i & 1, np.uint32(columns[8 * k + i]), np.uint32(0))
+    return out
+
+
+def crc_joined(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """crc32 of texts put together, from the crc32 of both parts and the bytes of the second: the checksum is linear."""
+    out = second.copy()
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        table, c = _shift(n), first[at]
+        out[at] ^= table[0][c & 255] ^ table[1][c >> 8 & 255] ^ table[2][c >> 16 & 255] ^ table[3][c >> 24]
+    return out
 
 
 def suffix_array(ids: np.ndarray, text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +118,10 @@ def buckets_of(texts: list[bytes], depth: int = LONGEST, buckets: int = BUCKETS)
     w = words_of(texts)
     per_text = np.diff(w.first)
     text = np.repeat(np.arange(len(texts)), per_text)
-    ids, known = _ids(w.blob, w.starts, w.ends)
+    ids, known = _ids(w)
+    alone = np.array([zlib.crc32(x) for x in known], np.uint32)
+    behind = np.array([zlib.crc32(b" " + x) for x in known], np.uint32)
+    length = np.array([len(x) + 1 for x in known], np.int64)
     order, common = suffix_array(ids, text, depth)
     last = w.first[1:][text]  # one past the end of each position's text
     owners, found = [], []
@@ -81,10 +131,13 @@ def buckets_of(texts: list[bytes], depth: int = LONGEST, buckets: int = BUCKETS)
             continue
         opens = common[at] < n  # the first of each run; what is skipped has no n words, so it is in no run
         places = order[at]
-        heads = np.stack([ids[places[opens] + k] for k in range(n)])
-        crc = np.fromiter((zlib.crc32(b" ".join([known[i] for i in gram])) for gram in heads.T.tolist()), np.int64, heads.shape[1])
+        heads = places[opens]
+        crc = alone[ids[heads]]
+        for k in range(1, n):
+            word = ids[heads + k]
+            crc = crc_joined(crc, behind[word], length[word])
         owners.append(text[places])
-        found.append((crc % buckets)[np.cumsum(opens) - 1])
+        found.append((crc.astype(np.int64) % buckets)[np.cumsum(opens) - 1])
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *owners]), np.concatenate([empty, *found]), per_text
 
