@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.config import ORDERS, Study
+from tidewater.functions.distributions import crossed_sql, t_cdf_sql
 from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
-from tidewater.operators import derive, diagnostics, forecasts, garch, resampling, scoring
+from tidewater.operators import derive, diagnostics, forecasts, garch, predictive, resampling, scoring
 from tidewater.sources import bars
 from tidewater.sources.store import written
 
@@ -827,6 +828,80 @@ def _garch_walk_forward(spark, d):
     return garch.garch_forecasts(framed(spark, d), ORDERS)
 
 
+# ---- predictive distributions over parameter draws
+
+#: Centre and spread of the draws around THETA, with their degrees of freedom, and how many there are.
+DRAW_CENTRE, DRAW_SPREAD, N_DRAWS = (*THETA, 8.0), (0.005, 0.05, 0.05, 0.05, 3.0), 8
+
+
+def _paths(spark, d, means: bool = False):
+    f = framed(spark, d)
+    draws = predictive.draws_around(f, DRAW_CENTRE, DRAW_SPREAD, N_DRAWS, ORDERS.seed)
+    return predictive.per_draw_variances(f, predictive.draw_means(draws) if means else draws, ORDERS)
+
+
+def _draw_sql(name: str, centre: float, spread: float) -> str:
+    return f"{centre!r} + {spread!r} * (2 * (('0x' || substr(md5('{name}:{ORDERS.seed}:' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0) - 1) AS {name}"
+
+
+_PARAMETERS = ", ".join(predictive.PARAMETERS)
+_CTES["rets"] = "SELECT series, date, log_return, row_number() OVER (ORDER BY date) AS k FROM frame WHERE log_return IS NOT NULL"
+_CTES["draws_"] = "SELECT draw, " + ", ".join(_draw_sql(*x) for x in zip(predictive.PARAMETERS, DRAW_CENTRE, DRAW_SPREAD)) + f" FROM (SELECT unnest(range({N_DRAWS}))::INTEGER AS draw)"
+_CTES["every_draw"] = f"SELECT draw, {_PARAMETERS} FROM draws_ UNION ALL SELECT -1, {', '.join(f'avg({x})' for x in predictive.PARAMETERS)} FROM draws_"
+_CTES["drawn"] = """SELECT draw, CAST(1 AS BIGINT) AS k, (SELECT h0 FROM seed) AS h FROM every_draw UNION ALL
+    SELECT x.draw, x.k + 1, p.omega + p.alpha * power(r.log_return - p.mu, 2) + p.beta * x.h FROM drawn x JOIN every_draw p ON p.draw = x.draw JOIN rets r ON r.k = x.k"""
+_CTES["paths"] = f"SELECT r.series, r.date, refit_id, p.draw, h AS variance, {_PARAMETERS}, log_return FROM drawn x JOIN rets r USING (k) JOIN every_draw p ON p.draw = x.draw JOIN refits f ON f.date = r.date"
+_NEEDS |= {"rets": ["frame"], "every_draw": ["draws_"], "drawn": ["every_draw", "seed", "rets"], "paths": ["drawn", "refits"]}
+
+
+@_register("per_draw_filter", "series date draw refit_id", f"variance {' '.join(predictive.PARAMETERS)}", "SELECT * FROM paths WHERE draw >= 0", "paths")
+def _per_draw_filter(spark, d):
+    """The conditional variance of every out-of-sample day at each draw's parameters."""
+    return _paths(spark, d)
+
+
+def _bisected_sql(low: str, high: str, below: str, steps: int) -> str:
+    """Halvings as a list reduction; below says of the middle, `mid`, whether the root is above it. Elements are structs of a bracket."""
+    middle = "((s.lo + s.hi) / 2)"
+    up = below.replace("mid", middle)
+    step = f"struct_pack(lo := CASE WHEN {up} THEN {middle} ELSE s.lo END, hi := CASE WHEN {up} THEN s.hi ELSE {middle} END)"
+    return f"list_reduce(list_prepend(struct_pack(lo := ({low})::DOUBLE, hi := ({high})::DOUBLE), list_transform(range({steps}), lambda j: struct_pack(lo := 0.0::DOUBLE, hi := 0.0::DOUBLE))), lambda s, e: {step}).lo"
+
+
+_LEVELS_SQL = ", ".join(f"('{name}', {p})" for name, p in predictive.probabilities(ORDERS).items())
+_CTES["t_points"] = f"SELECT draw, name, p, {_bisected_sql('-400', '400', t_cdf_sql('mid', 'nu') + ' < p', 60)} AS q FROM every_draw, (VALUES {_LEVELS_SQL}) v(name, p)"
+_NEEDS["t_points"] = ["every_draw"]
+_BOUNDS = list(predictive.probabilities(ORDERS))
+
+
+@_register(
+    "t_predictive", "series date refit_id", f"mu variance nu {' '.join(_BOUNDS)} pit",
+    f"""SELECT series, date, refit_id, mu, variance, nu, {", ".join(f"mu + scale * max(q) FILTER (WHERE name = '{x}') AS {x}" for x in _BOUNDS)}, {t_cdf_sql("((log_return - mu) / scale)", "nu")} AS pit
+        FROM (SELECT *, sqrt(variance * (nu - 2) / nu) AS scale FROM paths WHERE draw = -1) JOIN t_points USING (draw) GROUP BY series, date, refit_id, mu, variance, nu, scale, log_return""", "paths t_points",
+)
+def _t_predictive(spark, d):
+    """The plug-in forecast at the mean of the draws' parameters."""
+    return predictive.t_predictive(_paths(spark, d, means=True), ORDERS)
+
+
+def _mixed_sql(x: str) -> str:
+    return f"list_avg(list_transform(parts, lambda c: {t_cdf_sql(f'(({x} - c.mu) / c.scale)', 'c.nu', 120)}))"
+
+
+@_register("mixture_quantile", "series date refit_id", f"n_draws mean variance {' '.join(_BOUNDS)} pit")
+def _mixture_quantile(spark, d):
+    """The forecast that is averaged over all draws, with quantiles of the mixture."""
+    return predictive.mixture_predictive(_paths(spark, d), ORDERS)
+
+
+_SQL["mixture_quantile"] = f"""{_with(["paths", "t_points"])}, scaled AS (SELECT *, sqrt(variance * (nu - 2) / nu) AS scale FROM paths WHERE draw >= 0),
+    days AS (SELECT series, date, refit_id, any_value(log_return) AS r, count(*) AS n_draws, avg(mu) AS mean, avg(variance) + var_pop(mu) AS variance, list(struct_pack(mu := mu, scale := scale, nu := nu)) AS parts FROM scaled GROUP BY 1, 2, 3),
+    ends AS (SELECT date, name, any_value(p) AS p, min(mu + scale * q) AS low, max(mu + scale * q) AS high FROM scaled JOIN t_points USING (draw) GROUP BY 1, 2),
+    roots AS (SELECT date, name, {crossed_sql("low", "high", lambda x: f"({_mixed_sql(x)} - p)", 12)} AS x FROM ends JOIN days USING (date))
+    SELECT series, date, refit_id, n_draws::DOUBLE AS n_draws, {", ".join(f"round({x}, {DIGITS}) + 0.0 AS {x}" for x in ("mean", "variance"))}, {", ".join(f"round(max(x) FILTER (WHERE name = '{x}'), {DIGITS}) + 0.0 AS {x}" for x in _BOUNDS)},
+    round({_mixed_sql("r").replace("list_transform(parts", "list_transform(any_value(parts)")}, {DIGITS}) + 0.0 AS pit FROM days JOIN roots USING (date) GROUP BY series, date, refit_id, n_draws, mean, variance, r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
