@@ -1,16 +1,12 @@
-"""Autocorrelation diagnostics of a series, from lagged products in one pass."""
+"""Diagnostics of a series: autocorrelations and regressions from sums of lagged products, exact tails."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from tidewater.functions import expressions
-from tidewater.functions.special import beta_inc, binomial_test, chi2_sf
+from tidewater.functions.distributions import beta_inc, let, log_gamma
 
 
 def acf(values: DataFrame, lags: int) -> DataFrame:
@@ -54,83 +50,95 @@ def histogram(values: DataFrame, bins: int, low: float, high: float) -> DataFram
 
 
 
-
-@pandas_udf(DoubleType())
-def symmetry_p(below: pd.Series, total: pd.Series) -> pd.Series:
-    """Exact two-sided p-value that breaches fall on either side alike; null without breaches."""
-    return pd.Series([binomial_test(int(k), int(n)) if n else None for k, n in zip(below, total)], dtype=float)
+# Limits and sample-size terms of the 1, 5 and 10 per cent points of the unit-root statistic with a constant.
+_UNIT_ROOT = ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.040), (-2.56677, -1.5384, -2.809, 0.0))
 
 
-def _least_squares(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """(coefficients, residual sum of squares, their standard errors)"""
-    inverse = np.linalg.pinv(x.T @ x)
-    beta = inverse @ (x.T @ y)
-    rss = float(((y - x @ beta) ** 2).sum())
-    return beta, rss, np.sqrt(np.maximum(0, np.diag(inverse)) * rss / max(1, len(y) - x.shape[1]))
+def gram(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by..., n, m): the sums of products of all pairs of columns over the rows of a group, as one flat array in row order; nulls count as 0.
 
+    Products are summed on the map side, so what is shuffled are len(columns)^2 numbers for each group and task.
+    """
+    p = len(columns)
+    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    pairs = rows.select(*by, v.alias("_v")).select(*by, "_v", F.expr(f"inline(transform(sequence(0, {p * p - 1}), c -> named_struct('_c', c, '_x', _v[c DIV {p}] * _v[c % {p}])))"))
+    sums = pairs.groupBy(*by, "_c").agg(F.sum("_x").alias("_s"), F.count("*").alias("n"))
+    return sums.groupBy(*by).agg(F.max("n").alias("n"), F.expr("transform(array_sort(collect_list(struct(_c, _s))), x -> x._s)").alias("m"))
 
-def _lagged(v: np.ndarray, lags: int) -> np.ndarray:
-    return np.column_stack([v[lags - j : len(v) - j] for j in range(1, lags + 1)])
 
+def swept(p: int, pivots: str, m: str = "m") -> str:
+    """SQL of the p x p matrix m after a sweep of each pivot in the array `pivots`.
 
-def arch_test(v: np.ndarray, lags: int) -> tuple[float, float, float, float]:
-    """Lagrange multiplier and F statistics, each with its p-value, of squared demeaned values on their own lags."""
-    s = (v - v.mean()) ** 2
-    y, x = s[lags:], np.column_stack([np.ones(len(s) - lags), _lagged(s, lags)])
-    _, rss, _ = _least_squares(y, x)
-    total, free = float(((y - y.mean()) ** 2).sum()), len(y) - lags - 1
-    lm = len(y) * (1 - rss / total)
-    f = (total - rss) / lags / (rss / free)
-    return lm, chi2_sf(lm, lags), f, float(beta_inc(free / 2, lags / 2, free / (free + lags * f)))
+    With regressors as pivots and the response in the last row, the last entry is the residual sum of squares, the last column has the
+    coefficients, and the diagonal that of the inverse.
+    """
+    i, j = f"(c DIV {p})", f"(c % {p})"
+    rest = f"v - s[{i} * {p} + k] * s[k * {p} + {j}] / s[k * {p} + k]"
+    entry = f"CASE WHEN {i} = k AND {j} = k THEN 1 / v WHEN {i} = k THEN v / s[k * {p} + k] WHEN {j} = k THEN -v / s[k * {p} + k] ELSE {rest} END"
+    return f"aggregate({pivots}, {m}, (s, k) -> transform(s, (v, c) -> {entry}))"
 
 
-# Limits and sample-size terms of the 1, 5 and 10 per cent points of the unit-root statistic with a constant.
-_UNIT_ROOT = ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.040), (-2.56677, -1.5384, -2.809, 0.0))
+def arch_lm_lags(values: DataFrame, lags: tuple[int, ...] = (5, 10, 22)) -> DataFrame:
+    """(series, lags, n, lm, lm_p, f, f_p): regression of squared demeaned values on a constant and their own first lags.
 
-
-def unit_root_test(v: np.ndarray, max_lag: int | None = None) -> tuple[float, int, list[float]]:
-    """Augmented unit-root statistic with a constant: (statistic, lags by the Akaike criterion on one sample, critical values)."""
-    n = len(v)
-    most = int(np.ceil(12 * (n / 100) ** 0.25)) if max_lag is None else max_lag
-    most = max(0, min(most, n // 2 - 3))
-    d = np.diff(v)
-
-    def regression(lags: int, skip: int):
-        y = d[skip:]
-        parts = [v[skip:-1], np.ones(len(y)), *(d[skip - j : len(d) - j] for j in range(1, lags + 1))]
-        return y, np.column_stack(parts)
-
-    best, chosen = np.inf, 0
-    for lags in range(most + 1):
-        y, x = regression(lags, most)
-        _, rss, _ = _least_squares(y, x)
-        criterion = len(y) * np.log(rss / len(y)) + 2 * x.shape[1]
-        if criterion < best:
-            best, chosen = criterion, lags
-    y, x = regression(chosen, chosen)
-    beta, _, error = _least_squares(y, x)
-    return float(beta[0] / error[0]), chosen, [float(sum(c / len(y) ** k for k, c in enumerate(row))) for row in _UNIT_ROOT]
-
-
-def regression_tests(values: DataFrame, lags: tuple[int, ...] = (5, 10, 22)) -> DataFrame:
-    """(series, test, lags, statistic, p_value, critical_05): ARCH tests at each lag and the unit-root test, one task a series."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values("date")["value"].dropna().to_numpy()
-        out = []
-        for k in lags:
-            if len(v) > 3 * k + 3:
-                lm, lm_p, f, f_p = arch_test(v, k)
-                out += [("arch_lm", k, lm, lm_p, None), ("arch_f", k, f, f_p, None)]
-        if len(v) > 20:
-            statistic, used, critical = unit_root_test(v)
-            out.append(("unit_root", used, statistic, None, critical[1]))
-        found = pd.DataFrame(out, columns=["test", "lags", "statistic", "p_value", "critical_05"])
-        found.insert(0, "series", rows["series"].iloc[0])
-        return found
-
-    tests = values.groupBy("series").applyInPandas(run, "series string, test string, lags int, statistic double, p_value double, critical_05 double")
-    return tests.select("series", "test", "lags", "statistic", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("p_value", "critical_05")])
+    lm is n R^2, chi-squared with as many degrees of freedom as lags; f compares with no lags at all. Each number of lags has its own sample. Series
+    of fewer than 2 lags + 3 values have no row for it.
+    """
+    w, ordered = Window.partitionBy("series"), Window.partitionBy("series").orderBy("date")
+    rows = values.where(F.col("value").isNotNull()).withColumn("s", F.pow(F.col("value") - F.avg("value").over(w), 2))
+    rows = rows.withColumns({f"l{j}": F.lag("s", j).over(ordered) for j in range(1, max(lags) + 1)}).withColumn("one", F.lit(1.0))
+    out = None
+    for k in lags:
+        found = gram(rows.where(F.col(f"l{k}").isNotNull()), ["one", *(f"l{j}" for j in range(1, k + 1)), "s"], ["series"]).where(F.col("n") > k + 2)
+        p = k + 2
+        found = found.withColumn("total", F.expr(f"{swept(p, 'array(0)')}[{p * p - 1}]")).withColumn("rss", F.expr(f"{swept(p, f'sequence(0, {k})')}[{p * p - 1}]"))
+        free = F.col("n") - k - 1
+        lm, f = F.col("n") * (1 - F.col("rss") / F.col("total")), (F.col("total") - F.col("rss")) / k / (F.col("rss") / free)
+        f_p = F.expr(beta_inc("free / 2", f"{k / 2}D", f"free / (free + {k} * f)", f"{k} * f / (free + {k} * f)"))
+        part = found.select("series", F.lit(k).alias("lags"), "n", lm.alias("lm"), f.alias("f"), free.cast("double").alias("free")).withColumns({"lm_p": expressions.chi2_sf(F.col("lm"), k), "f_p": f_p}).drop("free")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def unit_root(values: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(series, lags, n, statistic, critical_01, critical_05, critical_10, stationary): augmented unit-root test with a constant.
+
+    The number of lagged differences is the one of least Akaike criterion on the sample that the most lags leave, and the statistic is
+    taken on the sample that it leaves itself. The most lags are ceil(12 (n/100)^(1/4)), less than half of the sample; one number, that of
+    the longest series, comes to the driver, as it says how many columns are needed. stationary: below the 5 per cent point.
+    """
+    w = Window.partitionBy("series").orderBy("date")
+    rows = values.where(F.col("value").isNotNull()).select("series", "date", F.col("value").cast("double").alias("value"))
+    rows = rows.withColumn("last", F.lag("value").over(w)).withColumn("d", F.col("value") - F.col("last")).withColumn("n_values", F.count("*").over(Window.partitionBy("series")))
+    allowed = F.least(F.ceil(12 * F.pow(F.col("n_values") / 100, F.lit(0.25))), F.floor(F.col("n_values") / 2) - 3).cast("int") if max_lag is None else F.lit(max_lag)
+    rows = rows.withColumn("allowed", F.greatest(allowed, F.lit(0))).where(F.col("d").isNotNull()).withColumn("i", F.row_number().over(w) - 1)
+    most = rows.agg(F.max("allowed")).first()[0] or 0
+    rows = rows.withColumns({f"d{j}": F.lag("d", j).over(w) for j in range(1, most + 1)}).withColumn("one", F.lit(1.0))
+    names = ["last", "one", *(f"d{j}" for j in range(1, most + 1)), "d"]
+    p = len(names)
+    first = gram(rows.where(F.col("i") >= F.col("allowed")), names, ["series", "allowed"])
+    rss = f"transform(sequence(0, allowed), q -> named_struct('aic', n * ln({swept(p, 'sequence(0, q + 1)')}[{p * p - 1}] / n) + 2 * (q + 2), 'lags', q))"
+    chosen = first.select("series", F.expr(f"array_min({rss}).lags").alias("lags"))
+    own = gram(rows.join(chosen, "series").where(F.col("i") >= F.col("lags")), names, ["series", "lags"])
+    own = own.withColumn("s", F.expr(swept(p, "sequence(0, lags + 1)")))
+    error = F.sqrt(F.col("s")[0] * F.col("s")[p * p - 1] / (F.col("n") - F.col("lags") - 2))
+    size = F.col("n").cast("double")
+    points = {f"critical_{name}": sum((c / F.pow(size, F.lit(k)) for k, c in enumerate(row)), F.lit(0.0)) for name, row in zip(("01", "05", "10"), _UNIT_ROOT)}
+    out = own.select("series", "lags", "n", (F.col("s")[p - 1] / error).alias("statistic"), *[c.alias(name) for name, c in points.items()])
+    return out.withColumn("stationary", F.col("statistic") < F.col("critical_05"))
+
+
+def symmetry_p(below: str, above: str) -> str:
+    """SQL of the exact two-sided p-value that breaches fall on either side alike; null without breaches.
+
+    Outcomes no likelier than the one seen are those at least as far from half: both tails from the smaller count on. A tail is summed
+    from its likeliest term down, over 40 deviations at most, beyond which doubles are zero.
+    """
+    first = f"exp({log_gamma('v.n + 1')} - {log_gamma('v.k + 1')} - {log_gamma('v.n - v.k + 1')} - v.n * ln(2D))"
+    steps = "sequence(0, CAST(least(v.k, ceil(20 * sqrt(v.n))) AS INT))"
+    tail = f"aggregate({steps}, named_struct('term', {first}, 'total', 0D), (s, j) -> named_struct('term', s.term * (v.k - j) / (v.n - v.k + j + 1), 'total', s.total + s.term), s -> s.total)"
+    body = let(f"CASE WHEN v.n = 0 THEN NULL WHEN 2 * v.k = v.n THEN 1D ELSE least(1D, 2 * {tail}) END", n="v.b + v.a", k="least(v.b, v.a)")
+    return let(body, b=f"CAST({below} AS DOUBLE)", a=f"CAST({above} AS DOUBLE)")
 
 
 def quantile_pairs(values: DataFrame) -> DataFrame:

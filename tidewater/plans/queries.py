@@ -764,15 +764,6 @@ def _annualised(spark, d):
     return rows.select("date", "model", annualised(F.col("variance")).alias("forecast"), annualised(F.col("proxy_var")).alias("realised"))
 
 
-@_register("worst_symmetry", "model", "nominal n_below n_above", """SELECT arg_min(model, (b, model, nominal)) AS model, arg_min(nominal, (b, model, nominal)) AS nominal, arg_min(n_below, (b, model, nominal)) AS n_below, arg_min(n_above, (b, model, nominal)) AS n_above FROM (
-    SELECT *, -abs(n_below - n_above) / sqrt(n_below + n_above) AS b FROM (SELECT model, nominal, count(*) FILTER (WHERE log_return < lo) AS n_below, count(*) FILTER (WHERE log_return > hi) AS n_above FROM levels WHERE variance IS NOT NULL GROUP BY 1, 2) WHERE n_below + n_above > 0)""", "levels")
-def _worst_symmetry(spark, d):
-    """The model and level whose breaches lean most to one side."""
-    rows = scoring.tail_asymmetry(scored(spark, d), ORDERS).where("n_below + n_above > 0")
-    lean = -F.abs(F.col("n_below") - F.col("n_above")) / F.sqrt((F.col("n_below") + F.col("n_above")).cast("double"))
-    return rows.agg(F.min_by(F.struct("model", "nominal", "n_below", "n_above"), F.struct(lean, F.col("model"), F.col("nominal"))).alias("x")).select("x.*")
-
-
 @_register("lag_before_trim", "series date regime", "log_return driver_lagged", "SELECT * FROM frame WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'", "frame")
 def _lag_before_trim(spark, d):
     """Dates of a study cut from the whole history, after lags are taken: the first row has its own."""
@@ -819,8 +810,80 @@ def _first_of_refit(spark, d):
 
 @_register("symmetry_tests", "model", "nominal n_below n_above symmetry_p")
 def _symmetry_tests(spark, d):
-    rows = scoring.tail_asymmetry(scored(spark, d), ORDERS)
-    return rows.withColumn("symmetry_p", diagnostics.symmetry_p("n_below", F.col("n_below") + F.col("n_above")))
+    return scoring.tail_asymmetry(scored(spark, d), ORDERS).withColumn("symmetry_p", F.expr(diagnostics.symmetry_p("n_below", "n_above")))
+
+
+_SYMMETRY = """SELECT *, CASE WHEN n_below + n_above = 0 THEN NULL WHEN n_below = n_above THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(n_below, n_above) + 1),
+    lambda i: exp(lgamma(n_below + n_above + 1) - lgamma(i + 1) - lgamma(n_below + n_above - i + 1) - (n_below + n_above) * ln(2))))) END AS symmetry_p
+    FROM (SELECT model, nominal, count(*) FILTER (WHERE log_return < lo) AS n_below, count(*) FILTER (WHERE log_return > hi) AS n_above FROM levels WHERE variance IS NOT NULL GROUP BY 1, 2)"""
+_SQL["symmetry_tests"] = f"""{_with(["levels"])} SELECT model, round(nominal::DOUBLE, {DIGITS}) + 0.0 AS nominal, n_below::DOUBLE AS n_below, n_above::DOUBLE AS n_above, round(symmetry_p, {DIGITS}) + 0.0 AS symmetry_p FROM ({_SYMMETRY})"""
+
+
+@_register(
+    "worst_symmetry", "model", "nominal n_below n_above symmetry_p", f"SELECT * FROM ({_SYMMETRY}) WHERE symmetry_p IS NOT NULL ORDER BY round(symmetry_p, 12), model, nominal LIMIT 1", "levels",
+)
+def _worst_symmetry(spark, d):
+    """The model and level whose breaches lean most to one side: the least exact p-value."""
+    rows = scoring.tail_asymmetry(scored(spark, d), ORDERS).withColumn("symmetry_p", F.expr(diagnostics.symmetry_p("n_below", "n_above"))).where("symmetry_p IS NOT NULL")
+    return rows.agg(F.min_by(F.struct("model", "nominal", "n_below", "n_above", "symmetry_p"), F.struct(F.round("symmetry_p", 12), F.col("model"), F.col("nominal"))).alias("x")).where("x IS NOT NULL").select("x.*")
+
+
+def _sweep_sql(p: int, m: str, pivots: str) -> str:
+    """swept for an engine with list functions; lists count from 1 and pivots from 0."""
+    i, j = f"((c - 1) // {p})", f"((c - 1) % {p})"
+    k = "e[1]::BIGINT"
+    at = lambda a, b: f"s[({a} * {p} + {b} + 1)::BIGINT]"
+    entry = f"CASE WHEN {i} = {k} AND {j} = {k} THEN 1 / v WHEN {i} = {k} THEN v / {at(k, k)} WHEN {j} = {k} THEN -v / {at(k, k)} ELSE v - {at(i, k)} * {at(k, j)} / {at(k, k)} END"
+    return f"list_reduce(list_prepend({m}, list_transform({pivots}, lambda q: [q::DOUBLE])), lambda s, e: list_transform(s, lambda v, c: {entry}))"
+
+
+_SQUARES = "SELECT date, power(log_return - avg(log_return) OVER (), 2) AS s, row_number() OVER (ORDER BY date) AS i FROM frame WHERE log_return IS NOT NULL"
+
+
+def _arch_sql(k: int) -> str:
+    """Statistics at k lags; products are summed pair by pair over a table of lagged values."""
+    p = k + 2
+    rows = f"SELECT a.i, list(b.s ORDER BY b.i DESC) AS l FROM squares a JOIN squares b ON b.i BETWEEN a.i - {k} AND a.i WHERE a.i > {k} GROUP BY a.i"
+    vector = f"list_concat([1.0], l[2:{k + 1}], [l[1]])"
+    return f"SELECT {k} AS lags, n, {_sweep_sql(p, 'm', 'range(0, 1)')}[{p * p}] AS total, {_sweep_sql(p, 'm', f'range(0, {k + 1})')}[{p * p}] AS rss FROM (SELECT (SELECT count(*) FROM squares WHERE i > {k}) AS n, list(s ORDER BY c) AS m FROM (SELECT c, sum(x[c // {p} + 1] * x[c % {p} + 1]) AS s FROM (SELECT i, {vector} AS x FROM ({rows})), range({p * p}) r(c) GROUP BY c))"
+
+
+@_register("arch_lm_lags", "series lags", "n lm lm_p f f_p")
+def _arch_lm_lags(spark, d):
+    return diagnostics.arch_lm_lags(_values(spark, d))
+
+
+# the tail of F by Boole's rule over an angle: the beta density of sin^2
+_F_P = """1 - 2 * exp(lgamma((a + b)) - lgamma(a) - lgamma(b)) * h * 2 / (45 * 400) * list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 7 WHEN i % 2 = 1 THEN 32 WHEN i % 4 = 2 THEN 12 ELSE 14 END) * power(sin(h * i / 400), 2 * a - 1) * power(cos(h * i / 400), 2 * b - 1)))"""
+_SQL["arch_lm_lags"] = f"""{_with(["frame"])}, squares AS ({_SQUARES}), fits AS ({" UNION ALL ".join(_arch_sql(k) for k in (5, 10, 22))}),
+    tests AS (SELECT lags, n, n * (1 - rss / total) AS lm, (total - rss) / lags / (rss / (n - lags - 1)) AS f, n - lags - 1 AS free FROM fits)
+    SELECT 'ORD' AS series, lags, n::DOUBLE AS n, round(lm, {DIGITS}) + 0.0 AS lm, round({chi2_sf_sql("lm", "lags")}, {DIGITS}) + 0.0 AS lm_p, round(f, {DIGITS}) + 0.0 AS f, round({_F_P}, {DIGITS}) + 0.0 AS f_p
+    FROM (SELECT *, lags / 2.0 AS a, free / 2.0 AS b, atan(sqrt(lags * f / free)) AS h FROM tests)"""
+
+
+@_register("unit_root", "series lags stationary", "n statistic critical_01 critical_05 critical_10")
+def _unit_root(spark, d):
+    return diagnostics.unit_root(_values(spark, d), UNIT_ROOT_LAGS)
+
+
+#: Lagged differences that the unit-root query chooses from.
+UNIT_ROOT_LAGS = 8
+
+
+def _unit_root_sql() -> str:
+    p = UNIT_ROOT_LAGS + 3
+    lagged = ", ".join(f"coalesce(lag(d, {j}) OVER (ORDER BY i), 0.0)" for j in range(1, UNIT_ROOT_LAGS + 1))
+    sums = f"SELECT c, sum(x[c // {p} + 1] * x[c % {p} + 1]) AS s FROM vectors, range({p * p}) r(c) WHERE i >= {{least}} GROUP BY c"
+    points = ", ".join(f"round({' + '.join(f'({c!r}) / power(n, {k})' for k, c in enumerate(row))}, {DIGITS}) + 0.0 AS critical_{name}" for name, row in zip(("01", "05", "10"), diagnostics._UNIT_ROOT))
+    return f"""{_with(["frame"])}, diffs AS (SELECT last, log_return - last AS d, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT date, log_return, lag(log_return) OVER (ORDER BY date) AS last FROM frame WHERE log_return IS NOT NULL) WHERE last IS NOT NULL),
+        vectors AS (SELECT i, [last, 1.0, {lagged}, d] AS x FROM diffs), first AS (SELECT list(s ORDER BY c) AS m, (SELECT count(*) FROM diffs WHERE i >= {UNIT_ROOT_LAGS}) AS n FROM ({sums.format(least=UNIT_ROOT_LAGS)})),
+        tried AS (SELECT q, n * ln({_sweep_sql(p, "m", "range(0, q + 2)")}[{p * p}] / n) + 2 * (q + 2) AS aic FROM first, range({UNIT_ROOT_LAGS + 1}) t(q)), chosen AS (SELECT q AS lags FROM tried ORDER BY aic, q LIMIT 1),
+        own AS (SELECT lags, list(s ORDER BY c) AS m, (SELECT count(*) FROM diffs, chosen WHERE i >= lags) AS n FROM ({sums.format(least="(SELECT lags FROM chosen)")}), chosen GROUP BY lags),
+        swept AS (SELECT lags, n, {_sweep_sql(p, "m", "range(0, lags + 2)")} AS s FROM own), tests AS (SELECT lags, n, s[{p}] / sqrt(s[1] * s[{p * p}] / (n - lags - 2)) AS statistic FROM swept)
+        SELECT 'ORD' AS series, CAST(lags AS INTEGER) AS lags, n::DOUBLE AS n, round(statistic, {DIGITS}) + 0.0 AS statistic, {points}, statistic < {" + ".join(f"({c!r}) / power(n, {k})" for k, c in enumerate(diagnostics._UNIT_ROOT[1]))} AS stationary FROM tests"""
+
+
+_SQL["unit_root"] = _unit_root_sql()
 
 
 @_register("garch_walk_forward", "series date model refit_id converged", "variance mean lo_95 hi_95 var_99 pit")
