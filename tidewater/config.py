@@ -8,12 +8,15 @@ from dataclasses import asdict, dataclass
 # Quantiles of the standard normal, by probability.
 NORMAL_Z = {0.95: 1.6448536269514722, 0.975: 1.959963984540054, 0.99: 2.3263478740408408, 0.995: 2.5758293035489004}
 REGIMES = ("calm", "normal", "stressed")
+# Pairs of regimes whose rates are compared, in the order of reports.
+REGIME_PAIRS = (("normal", "calm"), ("normal", "stressed"), ("calm", "stressed"))
 
 
 @dataclass(frozen=True)
 class Study:
     """One study: dates of the split, regime cut-points, schedule, interval levels, smoothing and resampling."""
 
+    # Settings of the study of daily equity bars.
     train_end: str = "2016-12-30"
     oos_start: str = "2017-01-03"
     calm_max: float = 15.0
@@ -43,7 +46,7 @@ class Study:
 
 
 #: For series made from the orders table.
-ORDERS = Study(train_end="1997-12-31", oos_start="1998-01-01", calm_max=24.0, stressed_min=26.5, fit_scale=1.0)
+ORDERS = Study(train_end="1997-12-31", oos_start="1998-01-01", calm_max=24.0, stressed_min=26.5, fit_scale=1.0, min_regime=5)
 
 
 def level_key(level: float) -> str:

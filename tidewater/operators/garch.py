@@ -77,6 +77,15 @@ def start_grid(variance: float, mean: float, student: bool) -> np.ndarray:
     return np.array(rows)
 
 
+def start_table(framed: DataFrame, study: Study) -> DataFrame:
+    """(series, mu, omega, alpha, beta, nu): start_grid of each series at its training mean and variance."""
+    from tidewater.operators.derive import split
+
+    moments = split(framed, study).where("part = 'train'").groupBy("series").agg(F.avg("log_return").alias("mu"), F.var_samp("log_return").alias("variance"))
+    shares = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(v).alias("nu")) for a in STARTS_ALPHA for b in STARTS_BETA if a + b < 0.995 for v in STARTS_NU])
+    return moments.select("series", "mu", "variance", F.inline(shares)).select("series", "mu", (F.col("variance") * (1 - F.col("alpha") - F.col("beta"))).alias("omega"), "alpha", "beta", "nu")
+
+
 def _open(theta: np.ndarray) -> np.ndarray:
     """Parameters on the whole line: mu, log omega, shares against what is left, log(nu - 4)."""
     mu, omega, alpha, beta, nu = theta.T

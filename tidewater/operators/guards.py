@@ -47,6 +47,12 @@ def refuse_uncovered(rows: DataFrame, column: str) -> DataFrame:
     return refuse(rows, F.col(column).isNull(), f"dates without {column}")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], what: str) -> DataFrame:
+    """rows with the columns of table, which must have a row for each of their keys; its values may be null."""
+    met = rows.join(table.withColumn("_met", F.lit(True)), on, "left")
+    return refuse(met, F.col("_met").isNull(), f"dates without {what}").drop("_met")
+
+
 def refuse_unknown_models(rows: DataFrame, models: list[str]) -> DataFrame:
     """Every named model must have rows in every series; no row is looked at by the driver."""
     found = rows.groupBy("series").agg(F.collect_set(F.when(F.col("model").isin(models), F.col("model"))).alias("_found"))

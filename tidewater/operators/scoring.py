@@ -117,12 +117,13 @@ def pit_uniformity(scored: DataFrame, by: tuple[str, ...] = ("series", "model"))
     return out.withColumns({"p_value": p, "p_value_is_approximate": F.lit(True)})
 
 
-def paired(scored: DataFrame, pairs: list[tuple[str, str]], columns: tuple[str, ...]) -> DataFrame:
-    """(series, date, model_a, model_b, <column>_a, <column>_b, regime) on the dates that both models of a pair have."""
+def paired(scored: DataFrame, pairs: list[tuple[str, str]], needed: tuple[str, ...], columns: tuple[str, ...] | None = None) -> DataFrame:
+    """(series, date, model_a, model_b, <column>_a, <column>_b, regime) on the dates on which both models of a pair have all that is needed."""
+    columns = columns or needed
     spark = scored.sparkSession
     table = F.broadcast(spark.createDataFrame(pairs, "model_a string, model_b string"))
-    a = scored.dropna(subset=list(columns)).select("series", "date", "regime", F.col("model").alias("model_a"), *[F.col(c).alias(f"{c}_a") for c in columns]).join(table, "model_a")
-    b = scored.dropna(subset=list(columns)).select("series", "date", F.col("model").alias("model_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    a = scored.dropna(subset=list(needed)).select("series", "date", "regime", F.col("model").alias("model_a"), *[F.col(c).alias(f"{c}_a") for c in columns]).join(table, "model_a")
+    b = scored.dropna(subset=list(needed)).select("series", "date", F.col("model").alias("model_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     return a.join(b, ["series", "date", "model_b"])
 
 

@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.config import ORDERS, Study
+from tidewater.config import ORDERS, REGIME_PAIRS, Study
 from tidewater.functions.distributions import crossed_sql, t_cdf_sql
 from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
-from tidewater.operators import derive, diagnostics, forecasts, garch, predictive, resampling, scoring
+from tidewater.operators import derive, diagnostics, forecasts, garch, guards, predictive, resampling, scoring
 from tidewater.sources import bars
 from tidewater.sources.store import written
 
@@ -106,7 +106,18 @@ def framed(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
-    return scoring.score(forecasts.baselines(framed(spark, d, study), study), study)
+    """The scored forecast table, for queries that read it once; tables that scores are not defined for are refused."""
+    return scoring.score(guards.checked_scores(forecasts.baselines(framed(spark, d, study), study), study), study)
+
+
+def scored_once(spark: SparkSession, d: str, study: Study = ORDERS) -> DataFrame:
+    """The scored table written once, for queries that read it several times."""
+    return written(scored(spark, d, study), "scored")
+
+
+def in_regimes(rows: DataFrame, column: str, study: Study = ORDERS) -> DataFrame:
+    """Scored rows in a regime; refused if a model has too few of one."""
+    return guards.refuse_small_regimes(rows.where(F.col("regime").isNotNull()), column, study)
 
 
 # ---- derived columns
@@ -248,18 +259,23 @@ def _garch_t_loglik(spark, d):
     return garch.garch_likelihood(framed(spark, d), *THETA, ORDERS, nu=8.0)
 
 
-#: Parameters on both sides of each bound: omega, alpha, beta, nu.
-CASES = [(0.1, 0.1, 0.8, 8.0), (0.0, 0.1, 0.8, 8.0), (0.1, -0.1, 0.8, 8.0), (0.1, 0.0, 0.0, 8.0), (0.1, 0.1, -0.1, 8.0), (0.1, 0.5, 0.5, 8.0), (0.1, 0.1, 0.8, 4.0), (0.1, 0.1, 0.8, None), (None, 0.1, 0.8, None)]
+#: Centre and spread of draws that lie on both sides of each bound.
+WIDE_CENTRE, WIDE_SPREAD, N_WIDE = (0.0, 0.05, 0.1, 0.8, 6.0), (0.1, 0.1, 0.15, 0.25, 4.0), 200
+
+
+def _draw_sql(name: str, centre: float, spread: float) -> str:
+    return f"{centre!r} + {spread!r} * (2 * (('0x' || substr(md5('{name}:{ORDERS.seed}:' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0) - 1) AS {name}"
 
 
 @_register(
-    "params_valid", "i valid", "",
-    "SELECT i, coalesce(omega > 0 AND alpha >= 0 AND beta >= 0 AND alpha + beta < 1 AND (nu IS NULL OR nu > 4), false) AS valid FROM (VALUES "
-    + ", ".join("(" + ", ".join("NULL::DOUBLE" if x is None else f"{x}::{t}" for x, t in zip((i, *c), ("INTEGER", *["DOUBLE"] * 4))) + ")" for i, c in enumerate(CASES)) + ") v(i, omega, alpha, beta, nu)",
+    "params_valid", "series draw valid", "",
+    f"""SELECT series, draw, omega > 0 AND alpha >= 0 AND beta >= 0 AND alpha + beta < 1 AND nu > 4 AS valid FROM (SELECT series, draw, {", ".join(_draw_sql(*x) for x in zip(predictive.PARAMETERS, WIDE_CENTRE, WIDE_SPREAD))}
+        FROM (SELECT DISTINCT series FROM bars), (SELECT unnest(range({N_WIDE}))::INTEGER AS draw))""", "bars",
 )
 def _params_valid(spark, d):
-    table = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, omega double, alpha double, beta double, nu double")
-    return table.withColumn("valid", garch.admissible(*[F.col(c) for c in ("omega", "alpha", "beta", "nu")]))
+    """Which of the draws made for each series are admissible."""
+    draws = predictive.draws_around(bars.orders_daily(spark, d), WIDE_CENTRE, WIDE_SPREAD, N_WIDE, ORDERS.seed)
+    return draws.withColumn("valid", garch.admissible(*[F.col(c) for c in ("omega", "alpha", "beta", "nu")]))
 
 
 _SQL["garch_filter"] = f"{_with(['seed'])}, {_GARCH} SELECT date, round(h, {DIGITS}) + 0.0 AS variance FROM filter JOIN g USING (k)"
@@ -270,10 +286,14 @@ _SQL["garch_t_loglik"] = f"""{_with(["seed"])}, {_GARCH} SELECT series, CAST(cou
     FROM filter JOIN g USING (k) WHERE part = 'train' GROUP BY series"""
 
 
-@_register("start_grid", "", "alpha beta nu", """SELECT a AS alpha, b AS beta, v AS nu FROM (VALUES (0.05), (0.10), (0.20)) x(a), (VALUES (0.75), (0.85), (0.90)) y(b), (VALUES (5.0), (8.0), (15.0)) z(v) WHERE a + b < 0.995""")
+@_register(
+    "start_grid", "series", "mu omega alpha beta nu",
+    """SELECT series, m AS mu, v * (1 - a - b) AS omega, a AS alpha, b AS beta, n AS nu FROM (SELECT series, avg(log_return) AS m, var_samp(log_return) AS v FROM frame WHERE part = 'train' GROUP BY 1),
+        (VALUES (0.05), (0.10), (0.20)) x(a), (VALUES (0.75), (0.85), (0.90)) y(b), (VALUES (5.0), (8.0), (15.0)) z(n) WHERE a + b < 0.995""", "frame",
+)
 def _start_grid(spark, d):
-    rows = [tuple(float(x) for x in r[2:]) for r in garch.start_grid(1.0, 0.0, True)]
-    return spark.createDataFrame(rows, "alpha double, beta double, nu double")
+    """Parameters from which each series is fitted: its training mean and variance at all admissible shares."""
+    return garch.start_table(derived(spark, d), ORDERS)
 
 
 _ALL = "variance mean lo_90 hi_90 lo_95 hi_95 lo_99 hi_99 var_99 pit log_return proxy_var"
@@ -308,7 +328,7 @@ def _scored(spark, d):
 
 @_register("common_sample", "series date", "", "SELECT series, date FROM scored WHERE variance IS NOT NULL AND pit IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 2", "scored")
 def _common(spark, d):
-    return scoring.common_dates(scored(spark, d), MODELS)
+    return scoring.common_dates(guards.refuse_unknown_models(scored_once(spark, d), MODELS), MODELS)
 
 
 _COVER = "count(inside) AS n, count(*) FILTER (WHERE log_return < lo) AS n_below, count(*) FILTER (WHERE log_return > hi) AS n_above, avg(inside) AS empirical, avg(width) AS mean_width"
@@ -324,13 +344,19 @@ def _regime_coverage(spark, d):
     return scoring.coverage(scored(spark, d), ORDERS, ("series", "model", "regime"))
 
 
+def trailing(spark, d):
+    """Scored rows with the regime of the trailing mean; a day that has no entry there is refused. The frame is written once."""
+    f = framed(spark, d)
+    s = scoring.score(guards.checked_scores(forecasts.baselines(f, ORDERS), ORDERS), ORDERS)
+    return guards.looked_up(s, derive.trailing_regimes(f, ORDERS).select("series", "date", "trailing_regime"), ["series", "date"], "a trailing regime")
+
+
 @_register(
     "trailing_coverage", "model trailing_regime", "nominal n empirical",
     f"SELECT model, {_TRAIL} AS trailing_regime, nominal, count(inside) AS n, avg(inside) AS empirical FROM levels JOIN trail USING (date), cuts WHERE variance IS NOT NULL GROUP BY 1, 2, 3", "levels cuts",
 )
 def _trailing_coverage(spark, d):
-    f = framed(spark, d)
-    rows = scored(spark, d).join(derive.trailing_regimes(f, ORDERS).select("series", "date", "trailing_regime"), ["series", "date"])
+    rows = trailing(spark, d)
     return scoring.coverage(rows, ORDERS, ("series", "model", "trailing_regime"))
 
 
@@ -393,7 +419,7 @@ _PAIR = [("yesterday", "ewma")]
         FROM (SELECT count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) AS g0, floor(4 * power(count(*) / 100.0, 2.0 / 9)) AS l FROM centred)))""",
 )
 def _comparison(spark, d):
-    return scoring.comparison(scoring.paired(scored(spark, d), _PAIR, ("qlike",)), "qlike")
+    return scoring.comparison(scoring.paired(scored_once(spark, d), _PAIR, ("qlike",)), "qlike")
 
 
 _SQL["forecast_comparison"] = _SQL["forecast_comparison"].replace("SELECT model_a", f"{_with(['pairs'])}, centred AS (SELECT qlike_a - qlike_b AS d, qlike_a - qlike_b - avg(qlike_a - qlike_b) OVER () AS c, row_number() OVER (ORDER BY date) AS i FROM pairs) SELECT model_a", 1)
@@ -424,7 +450,7 @@ def _tail(spark, d):
 )
 def _width_ratios(spark, d):
     columns = tuple(f"{c}_{k}" for c in ("inside", "width") for k in ("90", "95", "99"))
-    return scoring.width_ratios(scoring.paired(scored(spark, d), _PAIR, columns), ORDERS).withColumnRenamed("group", "group_")
+    return scoring.width_ratios(scoring.paired(scored_once(spark, d), _PAIR, columns), ORDERS).withColumnRenamed("group", "group_")
 
 
 @_register("loss_ranking", "loss model", "rank mean", "SELECT loss, model, row_number() OVER (PARTITION BY loss ORDER BY mean, model) AS rank, mean FROM (SELECT loss, model, avg(value) AS mean FROM losses GROUP BY 1, 2)", "losses")
@@ -521,13 +547,15 @@ def _draws(sizes: str, reps: int = ORDERS.replicates) -> str:
         WINDOW w AS (PARTITION BY n, rep ORDER BY t)))"""
 
 
-@_register("bootstrap_indices", "rep", "total distinct_idx")
+@_register("bootstrap_indices", "rep", "n total distinct_idx")
 def _bootstrap_indices(spark, d):
-    sizes = spark.createDataFrame([(500,)], "n long")
-    return resampling.indices(sizes, ORDERS).groupBy("rep").agg(F.sum("idx").alias("total"), F.count_distinct("idx").alias("distinct_idx"))
+    """Draws for samples as large as each model's scored days."""
+    sizes = scored(spark, d).groupBy("model").agg(F.count("qlike").alias("n"))
+    return resampling.indices(sizes, ORDERS).groupBy("n", "rep").agg(F.sum("idx").alias("total"), F.count_distinct("idx").alias("distinct_idx"))
 
 
-_SQL["bootstrap_indices"] = f"WITH {_draws('SELECT 500 AS n')} SELECT CAST(rep AS INTEGER) AS rep, sum(idx)::DOUBLE AS total, count(DISTINCT idx)::DOUBLE AS distinct_idx FROM draws GROUP BY rep"
+_SQL["bootstrap_indices"] = f"""{_with(["scored"])}, {_draws("SELECT DISTINCT n FROM (SELECT count(qlike) AS n FROM scored GROUP BY model)")}
+    SELECT CAST(rep AS INTEGER) AS rep, n::DOUBLE AS n, sum(idx)::DOUBLE AS total, count(DISTINCT idx)::DOUBLE AS distinct_idx FROM draws GROUP BY n, rep"""
 
 
 def _interval_sql(ctes: list[str], values: str, by: str) -> str:
@@ -548,7 +576,7 @@ _SQL["point_losses"] = _interval_sql(["losses"], "SELECT * FROM losses", "model,
 
 @_register("loss_difference", "model_a excludes_zero", "n point lower upper")
 def _loss_difference(spark, d):
-    pairs = scoring.paired(scored(spark, d), _PAIR, ("qlike",)).withColumn("value", F.col("qlike_a") - F.col("qlike_b"))
+    pairs = scoring.paired(scored_once(spark, d), _PAIR, ("qlike",)).withColumn("value", F.col("qlike_a") - F.col("qlike_b"))
     return resampling.mean_interval(pairs, ["model_a"], ORDERS)
 
 
@@ -558,7 +586,7 @@ _SQL["loss_difference"] = _interval_sql(["pairs"], "SELECT 'yesterday' AS model_
 @_register("regime_losses", "model regime excludes_zero", "n point lower upper")
 def _regime_losses(spark, d):
     """Mean qlike within each regime; the days of a regime are resampled as they follow each other in it."""
-    return resampling.mean_interval(scored(spark, d).where(F.col("regime").isNotNull()).withColumn("value", F.col("qlike")), ["model", "regime"], ORDERS)
+    return resampling.mean_interval(in_regimes(scored_once(spark, d), "qlike").withColumn("value", F.col("qlike")), ["model", "regime"], ORDERS)
 
 
 _SQL["regime_losses"] = _interval_sql(["scored"], "SELECT model, regime, date, qlike AS value FROM scored WHERE regime IS NOT NULL", "model, regime")
@@ -566,7 +594,7 @@ _SQL["regime_losses"] = _interval_sql(["scored"], "SELECT model, regime, date, q
 
 @_register("coverage_difference", "model_a excludes_zero", "n point lower upper")
 def _coverage_difference(spark, d):
-    pairs = scoring.paired(scored(spark, d), _PAIR, ("inside_95",)).withColumn("value", F.col("inside_95_a") - F.col("inside_95_b"))
+    pairs = scoring.paired(scored_once(spark, d), _PAIR, ("inside_95",)).withColumn("value", F.col("inside_95_a") - F.col("inside_95_b"))
     return resampling.mean_interval(pairs, ["model_a"], ORDERS)
 
 
@@ -575,48 +603,6 @@ _SQL["coverage_difference"] = _interval_sql(
 )
 
 
-REGIME_PAIRS = (("stressed", "calm"), ("stressed", "normal"), ("normal", "calm"))
-
-
-@_register("regime_difference", "model regime_a regime_b excludes_zero", "point lower upper")
-def _regime_difference(spark, d):
-    """Mean qlike of the days of one regime less that of another, resampled apart, for all pairs of regimes."""
-    s = scored(spark, d).withColumn("value", F.col("qlike")).where(F.col("value").isNotNull())
-    parts = []
-    for a, b in REGIME_PAIRS:
-        own = resampling.independent_difference(s.where(F.col("regime") == a), s.where(F.col("regime") == b), ["model"], ORDERS)
-        parts.append(own.withColumns({"regime_a": F.lit(a), "regime_b": F.lit(b)}))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.withColumn("excludes_zero", (F.col("lower") > 0) | (F.col("upper") < 0))
-
-
-_ROWS = "SELECT model, regime, date, qlike AS value FROM scored WHERE qlike IS NOT NULL"
-
-
-def _side(k: int, seed: int, regime: str) -> str:
-    """CTEs of one side of a pair of regimes: values, draws, means of replicates, the point."""
-    return (
-        f"v{k} AS (SELECT model, value, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY model) AS n FROM ({_ROWS}) WHERE regime = '{regime}'), "
-        + _draws(f"SELECT DISTINCT n FROM v{k}").replace("draws AS", f"draws{k} AS", 1).replace(f":{ORDERS.seed}:", f":{ORDERS.seed + seed}:")
-        + f", m{k} AS (SELECT model, rep, sum(value) / n AS m FROM v{k} JOIN draws{k} USING (n, idx) GROUP BY model, n, rep), p{k} AS (SELECT model, avg(value) AS p FROM v{k} GROUP BY model)"
-    )
-
-
-def _pair_sql(i: int, a: str, b: str) -> str:
-    x, y = 2 * i, 2 * i + 1
-    lower, upper = (f"quantile_cont(m{x}.m - m{y}.m, {q})" for q in (0.025, 0.975))
-    return f"""SELECT model, '{a}' AS regime_a, '{b}' AS regime_b, {lower} > 0 OR {upper} < 0 AS excludes_zero, round(any_value(p{x}.p - p{y}.p), {DIGITS}) + 0.0 AS point, round({lower}, {DIGITS}) + 0.0 AS lower,
-        round({upper}, {DIGITS}) + 0.0 AS upper FROM m{x} JOIN m{y} USING (model, rep) JOIN p{x} USING (model) JOIN p{y} USING (model) GROUP BY model"""
-
-
-_SQL["regime_difference"] = (
-    f"{_with(['scored'])}, "
-    + ", ".join(_side(2 * i + k, k, pair[k]) for i, pair in enumerate(REGIME_PAIRS) for k in (0, 1))
-    + " "
-    + " UNION ALL ".join(_pair_sql(i, a, b) for i, (a, b) in enumerate(REGIME_PAIRS))
-)
-
-
 # ---- tables by sample and by regime with intervals
 
 _CTES["complete"] = "SELECT series, date FROM scored WHERE variance IS NOT NULL AND pit IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 2"
@@ -628,7 +614,8 @@ _NEEDS |= {"complete": ["scored"], "sampled": ["complete"], "sample_levels": ["s
 
 
 def sampled(spark, d):
-    return scoring.by_sample(scored(spark, d), MODELS)
+    s = scored_once(spark, d)
+    return scoring.by_sample(guards.refuse_unknown_models(s, MODELS), MODELS)
 
 
 @_register("sample_losses", "sample model loss excludes_zero", "n point lower upper")
@@ -669,7 +656,7 @@ def _sample_pit(spark, d):
 @_register("regime_coverage_intervals", "model regime covers_nominal", "nominal n point lower upper")
 def _regime_coverage_intervals(spark, d):
     """Coverage within each regime with its interval, and whether that has the nominal level in it."""
-    rows = scoring.stacked_levels(scored(spark, d).where(F.col("regime").isNotNull()), ORDERS).withColumn("value", F.col("inside"))
+    rows = scoring.stacked_levels(in_regimes(scored_once(spark, d), "inside_95"), ORDERS).withColumn("value", F.col("inside"))
     out = resampling.mean_interval(rows, ["model", "regime", "nominal"], ORDERS)
     return out.withColumn("covers_nominal", F.col("nominal").between(F.col("lower"), F.col("upper")))
 
@@ -682,7 +669,7 @@ _SQL["regime_coverage_intervals"] = "SELECT model, regime, nominal::DOUBLE AS no
 @_register("regime_var_intervals", "model regime covers_nominal", "n point lower upper")
 def _regime_var_intervals(spark, d):
     """Rate of breaches within each regime with its interval, and whether that has the nominal rate in it."""
-    rows = scored(spark, d).where(F.col("regime").isNotNull()).withColumn("value", F.col("exceedance"))
+    rows = in_regimes(scored_once(spark, d), "exceedance").withColumn("value", F.col("exceedance"))
     out = resampling.mean_interval(rows, ["model", "regime"], ORDERS)
     return out.withColumn("covers_nominal", F.lit(round(1 - ORDERS.var_level, 10)).between(F.col("lower"), F.col("upper")))
 
@@ -695,11 +682,105 @@ _SQL["regime_var_intervals"] = "SELECT model, regime, n, point, lower, upper, 0.
     f"""SELECT *, {_P_UC} AS p_uc FROM (SELECT *, x AS breaches, x / n AS rate, {_LR_UC} AS lr_uc FROM (SELECT model, {_TRAIL} AS trailing_regime, count(*)::DOUBLE AS n, sum(exceedance) AS x FROM scored JOIN trail USING (date), cuts WHERE exceedance IS NOT NULL GROUP BY 1, 2))""", "scored cuts",
 )
 def _trailing_var(spark, d):
-    f = framed(spark, d)
-    rows = scored(spark, d).join(derive.trailing_regimes(f, ORDERS).select("series", "date", "trailing_regime"), ["series", "date"])
+    rows = trailing(spark, d)
     return scoring.var_tests(rows, ORDERS, ("series", "model", "trailing_regime"), independence=False)
 
 
+@_register("regime_difference", "sample model regime_a regime_b separates", "n_a n_b rate_a rate_b difference lower upper")
+def _regime_difference(spark, d):
+    """Rate of breaches in one regime less that in another, resampled apart, for all pairs of regimes, both samples and all models."""
+    values = sampled(spark, d).where(F.col("regime").isNotNull()).withColumn("value", F.col("exceedance"))
+    return resampling.independent_differences(values, ["sample", "model"], REGIME_PAIRS, "regime", ORDERS)
+
+
+_SIDES = ", ".join(f"({k}, {side}, '{name}', {ORDERS.seed + 2 * k + side})" for k, pair in enumerate(REGIME_PAIRS) for side, name in enumerate(pair))
+_SQL["regime_difference"] = f"""{_with(["sampled"])}, sides(pair, side, regime, seed) AS (VALUES {_SIDES}),
+    vals AS (SELECT sample, model, pair, side, seed, exceedance AS value, row_number() OVER (PARTITION BY sample, model, pair, side ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY sample, model, pair, side) AS n
+        FROM sampled JOIN sides USING (regime) WHERE exceedance IS NOT NULL),
+    {_draws("SELECT DISTINCT n, seed FROM vals").replace(f":{ORDERS.seed}:", ":' || seed || ':").replace("SELECT n, rep, t,", "SELECT n, seed, rep, t,").replace("SELECT n, rep, unnest", "SELECT n, seed, rep, unnest").replace("PARTITION BY n, rep", "PARTITION BY n, seed, rep")},
+    means AS (SELECT sample, model, pair, side, rep, sum(value) / n AS m FROM vals JOIN draws USING (n, seed, idx) GROUP BY sample, model, pair, side, n, rep),
+    diffs AS (SELECT a.sample, a.model, a.pair, quantile_cont(a.m - b.m, 0.025) AS lower, quantile_cont(a.m - b.m, 0.975) AS upper FROM means a JOIN means b ON a.sample = b.sample AND a.model = b.model AND a.pair = b.pair AND a.rep = b.rep AND a.side = 0 AND b.side = 1 GROUP BY 1, 2, 3),
+    points AS (SELECT sample, model, pair, count(*) FILTER (WHERE side = 0) AS n_a, count(*) FILTER (WHERE side = 1) AS n_b, avg(value) FILTER (WHERE side = 0) AS rate_a, avg(value) FILTER (WHERE side = 1) AS rate_b FROM vals GROUP BY 1, 2, 3)
+    SELECT sample, model, {", ".join(f"CASE pair {' '.join(f'WHEN {k} THEN {chr(39)}{p[side]}{chr(39)}' for k, p in enumerate(REGIME_PAIRS))} END AS regime_{x}" for side, x in enumerate("ab"))},
+    lower > 0 OR upper < 0 AS separates, n_a::DOUBLE AS n_a, n_b::DOUBLE AS n_b, {", ".join(f"round({x}, {DIGITS}) + 0.0 AS {n}" for x, n in (("rate_a", "rate_a"), ("rate_b", "rate_b"), ("rate_a - rate_b", "difference"), ("lower", "lower"), ("upper", "upper")))}
+    FROM points JOIN diffs USING (sample, model, pair)"""
+
+
+# ---- intervals of further tables
+
+
+@_register("comparison_pieces", "sample piece excludes_zero", "n point lower upper")
+def _comparison_pieces(spark, d):
+    """Mean differences between the two models with intervals, on their own and on common days: both losses, and coverage and width at each level."""
+    columns = ("qlike", "mse", *(f"{c}_{k}" for k in ("90", "95", "99") for c in ("inside", "width")))
+    rows = sampled(spark, d)
+    parts = [scoring.paired(rows.where(F.col("sample") == x).drop("sample"), _PAIR, ("variance",), columns).withColumn("sample", F.lit(x)) for x in ("own", "common")]
+    pieces = F.array(*[F.struct(F.lit(c).alias("piece"), (F.col(f"{c}_a") - F.col(f"{c}_b")).alias("value")) for c in columns])
+    return resampling.mean_interval(parts[0].unionByName(parts[1]).select("sample", "date", F.inline(pieces)), ["sample", "piece"], ORDERS)
+
+
+_PIECES = " UNION ALL ".join(f"SELECT a.sample, a.date, '{c}' AS piece, a.{c} - b.{c} AS value FROM sampled a JOIN sampled b ON a.sample = b.sample AND a.date = b.date AND a.model = 'yesterday' AND b.model = 'ewma' WHERE a.variance IS NOT NULL AND b.variance IS NOT NULL" for c in ("qlike", "mse", *(f"{c}_{k}" for k in ("90", "95", "99") for c in ("inside", "width"))))
+_SQL["comparison_pieces"] = _interval_sql(["sampled"], _PIECES, "sample, piece")
+
+
+@_register("regime_loss_intervals", "sample model regime loss excludes_zero", "n point lower upper")
+def _regime_loss_intervals(spark, d):
+    """Mean of both losses within each regime, for each model's own days and for common ones."""
+    return resampling.mean_interval(scoring.stacked_losses(sampled(spark, d).where(F.col("regime").isNotNull())), ["sample", "model", "regime", "loss"], ORDERS)
+
+
+_SQL["regime_loss_intervals"] = _interval_sql(
+    ["sampled"], "SELECT sample, date, model, regime, 'qlike' AS loss, qlike AS value FROM sampled WHERE regime IS NOT NULL UNION ALL SELECT sample, date, model, regime, 'mse', mse FROM sampled WHERE regime IS NOT NULL", "sample, model, regime, loss"
+)
+
+
+@_register("trailing_coverage_intervals", "model trailing_regime", "nominal n point lower upper")
+def _trailing_coverage_intervals(spark, d):
+    rows = scoring.stacked_levels(trailing(spark, d).where(F.col("trailing_regime").isNotNull()), ORDERS).withColumn("value", F.col("inside"))
+    return resampling.mean_interval(rows, ["model", "trailing_regime", "nominal"], ORDERS)
+
+
+_SQL["trailing_coverage_intervals"] = "SELECT model, trailing_regime, nominal::DOUBLE AS nominal, n, point, lower, upper FROM (" + _interval_sql(
+    ["levels", "cuts"], f"SELECT * FROM (SELECT model, {_TRAIL} AS trailing_regime, nominal, date, inside AS value FROM levels JOIN trail USING (date), cuts) WHERE trailing_regime IS NOT NULL", "model, trailing_regime, nominal"
+) + ")"
+
+
+@_register("trailing_var_intervals", "model trailing_regime excludes_zero", "n point lower upper")
+def _trailing_var_intervals(spark, d):
+    rows = trailing(spark, d).where(F.col("trailing_regime").isNotNull()).withColumn("value", F.col("exceedance"))
+    return resampling.mean_interval(rows, ["model", "trailing_regime"], ORDERS)
+
+
+_SQL["trailing_var_intervals"] = _interval_sql(
+    ["scored", "cuts"], f"SELECT * FROM (SELECT model, {_TRAIL} AS trailing_regime, date, exceedance AS value FROM scored JOIN trail USING (date), cuts) WHERE trailing_regime IS NOT NULL", "model, trailing_regime"
+)
+
+
+@_register("proxy_loss_intervals", "proxy model loss", "n point lower upper")
+def _proxy_loss_intervals(spark, d):
+    """Both losses against the scaled and the raw range variance, with intervals."""
+    f = framed(spark, d)
+    table = written(guards.checked_scores(forecasts.baselines(f, ORDERS), ORDERS), "table")
+    raw = scoring.score(table, ORDERS, f.withColumn("proxy_var", F.col("parkinson_var")))
+    both = scoring.score(table, ORDERS).withColumn("proxy", F.lit("scaled")).unionByName(raw.withColumn("proxy", F.lit("raw")))
+    return resampling.mean_interval(scoring.stacked_losses(both), ["proxy", "model", "loss"], ORDERS)
+
+
+_RAW = "SELECT date, model, CASE WHEN parkinson_var > 0 AND variance > 0 THEN parkinson_var / variance - ln(parkinson_var / variance) - 1 END AS qlike, power(parkinson_var - variance, 2) AS mse FROM scored JOIN frame USING (date)"
+_SQL["proxy_loss_intervals"] = "SELECT proxy, model, loss, n, point, lower, upper FROM (" + _interval_sql(
+    ["scored"], " UNION ALL ".join(f"SELECT '{p}' AS proxy, date, model, '{x}' AS loss, {x} AS value FROM ({t})" for p, t in (("scaled", "SELECT * FROM scored"), ("raw", _RAW)) for x in ("qlike", "mse")), "proxy, model, loss"
+) + ")"
+
+
+@_register("event_properties", "event_type", "n n_known mean_k mean_value",
+    """SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS n_known, avg(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS mean_k, avg(value) AS mean_value FROM events GROUP BY 1""")
+def _event_properties(spark, d):
+    """Typed properties of events, looked up in the map that their JSON is."""
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("map", F.from_json("props", "map<string, int>"))
+    k = F.try_element_at("map", F.lit("k"))
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("n_known"), F.avg(k).alias("mean_k"), F.avg("value").alias("mean_value"))
+
+
 # ---- more reports and the data of figures
 
 
@@ -710,7 +791,7 @@ def _missing_dates(spark, d):
 
 @_register("paired_losses", "date", "qlike_a qlike_b", "SELECT * FROM pairs", "pairs")
 def _paired(spark, d):
-    return scoring.paired(scored(spark, d), _PAIR, ("qlike",))
+    return scoring.paired(scored_once(spark, d), _PAIR, ("qlike",))
 
 
 @_register("merge_order", "date model", "position", "SELECT date, model, row_number() OVER (ORDER BY date, CASE model WHEN 'yesterday' THEN 0 ELSE 1 END) AS position FROM table_", "table_")
@@ -903,10 +984,6 @@ def _paths(spark, d, means: bool = False):
     return predictive.per_draw_variances(f, predictive.draw_means(draws) if means else draws, ORDERS)
 
 
-def _draw_sql(name: str, centre: float, spread: float) -> str:
-    return f"{centre!r} + {spread!r} * (2 * (('0x' || substr(md5('{name}:{ORDERS.seed}:' || draw), 1, 8))::UBIGINT::DOUBLE / 4294967296.0) - 1) AS {name}"
-
-
 _PARAMETERS = ", ".join(predictive.PARAMETERS)
 _CTES["rets"] = "SELECT series, date, log_return, row_number() OVER (ORDER BY date) AS k FROM frame WHERE log_return IS NOT NULL"
 _CTES["draws_"] = "SELECT draw, " + ", ".join(_draw_sql(*x) for x in zip(predictive.PARAMETERS, DRAW_CENTRE, DRAW_SPREAD)) + f" FROM (SELECT unnest(range({N_DRAWS}))::INTEGER AS draw)"
