@@ -37,6 +37,8 @@ HOT_ROWS = 50_000
 CELL_ROWS = 4096
 #: Links of one set that are verified by one task; rows of a shingle that are compared in place by one.
 LINKS_A_TASK, SPLIT_ROWS = 10_000, 4096
+#: Members of a shingle up to which its pairs are made as they are.
+FEW_MEMBERS = 16
 #: Of each member's candidates in other classes, so many of the nearest are verified before all are.
 NEAREST = 4
 #: Bits of a signature for each shingle of a set, at least; a power of two in all, so that longer ones can be folded.
@@ -378,18 +380,43 @@ def _compared(percent: int, most: int | None):
     return run
 
 
-def across(met: DataFrame, members: DataFrame, labels: DataFrame, percent: int, most: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """(a, b): pairs of members (of, n, node, signature) that share a shingle in met (of, shingle, at), are in different classes of labels (node,
-    label) and pass sizes, places and signatures; with `most`, each member's so many nearest at a shingle and the like.
-
-    Shingles whose members are all in one class are left out. The members of a shingle that has over split_rows of them are dealt into
-    chunks, and each pair of chunks is compared by itself.
-    """
+def spans_of(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (of, n, node, signature) with their class, and (of, low, high, size) of each group's classes."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spans = materialize(named.groupBy("of").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")), "jaccard-spans")
+    spans = named.groupBy("of").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    return named, materialize(spans, "jaccard-spans")
+
+
+def undone(met: DataFrame, spans: DataFrame) -> DataFrame:
+    """(shingle, size) of shingles whose members are in several classes; two members have been held against each other by their pivot."""
     at_shingle = met.join(spans, "of").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"))
-    undone = materialize(at_shingle.where(F.col("low") != F.col("high")).select("shingle", F.ceil(F.col("size") / split_rows).cast("int").alias("parts")), "jaccard-undone")
-    left = materialize(met.join(met_by(undone), "shingle").select("shingle", "parts", "of", "at"), "jaccard-open")
+    return materialize(at_shingle.where((F.col("low") != F.col("high")) & (F.col("size") > 2)).select("shingle", "size"), "jaccard-undone")
+
+
+def few_pairs(met: DataFrame, named: DataFrame, spans: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members in different classes whose groups share a shingle in few and pass sizes and places.
+
+    A shingle in few has a bounded number of members, so its pairs of groups are made as they are; the pairs of all shingles are then told apart.
+    """
+    entry = "struct<of: bigint, n: bigint, at: int, low: bigint, high: bigint>"
+    rows = met.join(met_by(few.select("shingle")), "shingle").join(spans, "of").select("shingle", F.struct("of", F.col("n").cast("long").alias("n"), "at", "low", "high").cast(entry).alias("x"))
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) AND NOT (x.low = y.high AND y.low = x.high)"
+    pairs = f"flatten(transform(e, (x, i) -> transform(filter(slice(e, i + 1, size(e)), y -> {fits}), y -> named_struct('of_a', x.of, 'of_b', y.of))))"
+    groups = rows.groupBy("shingle").agg(F.collect_list("x").alias("e")).selectExpr(f"inline({pairs})").distinct()
+    side = lambda name: named.select(F.col("of").alias(f"of_{name}"), F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
+    both = groups.join(side("a"), "of_a").join(side("b"), "of_b").where((F.col("label_a") != F.col("label_b")) & ((F.col("of_a") != F.col("of_b")) | (F.col("a") < F.col("b"))))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def crowd_pairs(met: DataFrame, named: DataFrame, crowds: DataFrame, percent: int, most: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(a, b): pairs of members in different classes that share a shingle in crowds and pass sizes, places and signatures; with `most`, each
+    member's so many nearest at a shingle and the like.
+
+    Members are compared in place, so only what passes is made. Those of a shingle with over split_rows are dealt into chunks, and
+    each pair of chunks is compared by itself.
+    """
+    parts = crowds.select("shingle", F.ceil(F.col("size") / split_rows).cast("int").alias("parts"))
+    left = materialize(met.join(met_by(parts), "shingle").select("shingle", "parts", "of", "at"), "jaccard-open")
     rows = left.join(named, "of").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     sub = F.least("mine", "other").cast("long") * F.col("parts") + F.greatest("mine", "other")
@@ -427,13 +454,19 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     tried = materialize(spokes.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
     links = verify(screened(tried, members, percent), docs, speakers, shingle, percent)
 
-    # what the pivots did not bring into one class: the nearest of other classes first, then all
-    places = met.select("of", "shingle", "at")
-    for most in (NEAREST, None):
-        labels = materialize(connected_components(links), "jaccard-classes")
-        more = materialize(across(places, members, labels, percent, most).join(tried, ["a", "b"], "left_anti"), "jaccard-across")
+    # what the pivots did not bring into one class: shingles with few members, then crowds, first the nearest of other classes, then all
+    places = met.select("of", "n", "shingle", "at")
+    for step in ("few", "nearest", "all"):
+        named, spans = spans_of(members, materialize(connected_components(links), "jaccard-classes"))
+        open_ = undone(places, spans)
+        here = open_.where(F.col("size") <= FEW_MEMBERS) if step == "few" else open_.where(F.col("size") > FEW_MEMBERS)
+        if here.isEmpty():
+            continue
+        found = few_pairs(places, named, spans, here, percent) if step == "few" else crowd_pairs(places, named, here, percent, NEAREST if step == "nearest" else None)
+        more = materialize(found.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
         if not more.isEmpty():
-            links = links.unionByName(verify(more, docs, speakers, shingle, percent))
+            good = screened(more, members, percent) if step == "few" else more
+            links = links.unionByName(verify(good, docs, speakers, shingle, percent))
             tried = tried.unionByName(more)
 
     labels = materialize(connected_components(links), "jaccard-labels")
