@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_contracts import CLASH, TEXTS
 
-from tidewater.llm import filteraudit, importance, jaccardjoin
+from tidewater.llm import common, filteraudit, importance, jaccardjoin
 
 
 def _docs(spark, rows, clash=True):
@@ -63,10 +63,13 @@ def _variants(seed, groups, each, words, changes):
     return out
 
 
-@pytest.mark.parametrize(("hot_rows", "links"), [(50_000, 10_000), (6, 2)])
-def test_components_of_variants(spark, monkeypatch, hot_rows, links):
+@pytest.mark.parametrize(("hot_rows", "links", "few", "split"), [(50_000, 10_000, 16, 4096), (6, 2, 2, 3), (6, 2, 1000, 3)])
+def test_components_of_variants(spark, monkeypatch, hot_rows, links, few, split):
     monkeypatch.setattr(jaccardjoin, "CELL_ROWS", 64)
+    monkeypatch.setattr(jaccardjoin, "FEW_MEMBERS", few)
+    monkeypatch.setattr(jaccardjoin, "NEAREST", 1)
     monkeypatch.setattr(jaccardjoin.verify, "__defaults__", (links,))
+    monkeypatch.setattr(jaccardjoin.crowd_pairs, "__defaults__", (None, split))
     texts = _variants(1, 12, 10, 60, 5) + [(1000 + i, "same text again and again and again") for i in range(9)]
     docs = _docs(spark, [(i, t, None) for i, t in texts])
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccardjoin.similar_components(docs, hot_rows=hot_rows).collect()}
@@ -91,6 +94,28 @@ def test_counters_have_every_shingle(spark):
     assert all(level[k] == int(math.frexp(max(n, 1))[1]) for k, n in count.items())
 
 
+def test_signatures_rule_out_no_link():
+    """Two signatures, folded to one length, differ in no more bits than their sets in shingles."""
+    texts = [t.encode() for _, t in _variants(4, 6, 6, 90, 30)] + [b"a b c", b"", b"one two three four five six"]
+    text, h = jaccardjoin.shingles_of(texts)
+    n = np.bincount(text, minlength=len(texts))
+    sig = [np.frombuffer(x, np.uint64) for x in jaccardjoin.signatures_of(text, h, n)]
+    sets = [set(h[text == i].tolist()) for i in range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(i):
+            words = min(len(sig[i]), len(sig[j]))
+            assert np.bitwise_count(jaccardjoin.folded(sig[i], words) ^ jaccardjoin.folded(sig[j], words)).sum() <= len(sets[i] ^ sets[j])
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    docs = _docs(spark, [(i, t, None) for i, t in _variants(6, 3, 4, 40, 3)])
+    out = jaccardjoin.similar_components(docs)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert left == ["jaccard-components", "jaccard-rows"] and out.count() == 12
+    assert jaccardjoin.similar_components(docs.where("false")).count() == 0
+
+
 def test_join_on_edge_rows(spark):
     docs = _docs(spark, EDGES)
     out = jaccardjoin.similar_components(docs).collect()
@@ -100,7 +125,7 @@ def test_join_on_edge_rows(spark):
         by_id[r["doc_id"]].append((r["n_shingles"], r["component_id"]))
     assert by_id[3] == [(0, 3)] and by_id[4] == [(0, 4)]  # the empty set links with nothing
     assert {c for _, c in by_id[15] + by_id[16]} == {15}
-    assert sorted(n for n, _ in by_id[None]) == [0, 5] and {c for _, c in by_id[None]} == {None}
+    assert sorted(n for n, _ in by_id[None]) == [0, 4] and {c for _, c in by_id[None]} == {None}
     want = _components([(i, t) for i, t, _ in EDGES if i not in (None, 16)])
     assert all(by_id[i] == [w] for i, w in want.items())
     assert jaccardjoin.similar_components(docs.where("false")).count() == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +12,45 @@ from pyspark.sql import functions as F
 from tidewater.sources.store import shared_folder
 
 
+#: Paths that open scratch blocks have written, the innermost block last.
+_SCRATCH: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block of steps whose materialized tables are deleted when it ends, but for those given to what it yields.
+
+    Only tables that no later plan reads may be left in it; what the block returns is built on kept ones.
+    """
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_at)
+        return df
+
+    _SCRATCH.append([])
+    try:
+        yield keep
+    finally:
+        paths = _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1].extend(p for p in paths if p in kept)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in (p for p in paths if p not in kept):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 #: Rows of two numbers (keys of texts, crowded buckets) up to which they are broadcast.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, met_by, read_table
+from tidewater.llm.common import materialize, met_by, read_table, scratch
 from tidewater.llm.components import connected_components
 from tidewater.llm.words import SOLID, slices, words_of
 
@@ -111,7 +111,8 @@ def levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     documents share behind the others. COUNTERS numbers come to the driver and go to the tasks, whatever the input.
     """
     parts = docs.select("text").mapInArrow(_counted(shingle), "block int, counts binary")
-    rows = parts.repartition(COUNTERS // BLOCK, "block").mapInArrow(_summed, "block int, counts binary").collect()
+    tasks = min(COUNTERS // BLOCK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = parts.repartition(tasks, "block").mapInArrow(_summed, "block int, counts binary").collect()
     total = np.zeros((COUNTERS // BLOCK, BLOCK), np.int64)
     for r in rows:
         total[r["block"]] = np.frombuffer(r["counts"], np.int64)
@@ -435,45 +436,46 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     `shingle` words is one shingle as a whole. component_id is the smallest doc_id reached over links; null doc_ids are never it, unless there
     is no other. Rows that agree in doc_id and text stand in one component; an empty table gives no rows. Other columns play no part.
     """
-    rows = materialize(prefix_rows(docs, levels(docs, shingle), shingle, percent), "jaccard-rows")
-    full = rows.where(F.col("n") > 0)
-    members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "k")).alias("one")), "jaccard-members")
-    speakers = members.select("node", "one.doc_id", "one.k")
-    members = members.drop("one")
-    heads = members.groupBy("of").agg(F.min("node").alias("head"), F.count("*").alias("size"))
-    groups = full.groupBy("of").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = materialize(groups, "jaccard-groups").select("of", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
-    met = materialize(pivoted(entries, hot_rows), "jaccard-met")
-
-    # the smallest member speaks for its group
-    speaks = materialize(heads, "jaccard-heads")
-    head = lambda name: speaks.select(F.col("of").alias(f"of_{name}"), F.col("head").alias(name))
-    spokes = met.alias("x").where((F.col("x.of") != F.col("x.pivot.of")) & _fits("x", "x.pivot", percent))
-    spokes = spokes.select(F.col("x.pivot.of").alias("of_a"), F.col("x.of").alias("of_b")).distinct().join(head("a"), "of_a").join(head("b"), "of_b").select("a", "b")
-    within = members.join(speaks.where(F.col("size") > 1), "of").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    tried = materialize(spokes.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
-    links = verify(screened(tried, members, percent), docs, speakers, shingle, percent)
-
-    # what the pivots did not bring into one class: shingles with few members, then crowds, first the nearest of other classes, then all
-    places = met.select("of", "n", "shingle", "at")
-    for step in ("few", "nearest", "all"):
-        named, spans = spans_of(members, materialize(connected_components(links), "jaccard-classes"))
-        open_ = undone(places, spans)
-        here = open_.where(F.col("size") <= FEW_MEMBERS) if step == "few" else open_.where(F.col("size") > FEW_MEMBERS)
-        if here.isEmpty():
-            continue
-        found = few_pairs(places, named, spans, here, percent) if step == "few" else crowd_pairs(places, named, here, percent, NEAREST if step == "nearest" else None)
-        more = materialize(found.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        if not more.isEmpty():
-            good = screened(more, members, percent) if step == "few" else more
-            links = links.unionByName(verify(good, docs, speakers, shingle, percent))
-            tried = tried.unionByName(more)
-
-    labels = materialize(connected_components(links), "jaccard-labels")
-    known = members.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
-    lowest = known.groupBy("label").agg(F.min("low").alias("component_id"))
-    # written out, so that the last join deals both sides anew and can split a set that many rows share
-    of_node = materialize(known.join(lowest, "label").select("node", "component_id"), "jaccard-components")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(materialize(prefix_rows(docs, levels(docs, shingle), shingle, percent), "jaccard-rows"))
+        full = rows.where(F.col("n") > 0)
+        members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "k")).alias("one")), "jaccard-members")
+        speakers = members.select("node", "one.doc_id", "one.k")
+        members = members.drop("one")
+        heads = members.groupBy("of").agg(F.min("node").alias("head"), F.count("*").alias("size"))
+        groups = full.groupBy("of").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        entries = materialize(groups, "jaccard-groups").select("of", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
+        met = materialize(pivoted(entries, hot_rows), "jaccard-met")
+
+        # the smallest member speaks for its group
+        speaks = materialize(heads, "jaccard-heads")
+        head = lambda name: speaks.select(F.col("of").alias(f"of_{name}"), F.col("head").alias(name))
+        spokes = met.alias("x").where((F.col("x.of") != F.col("x.pivot.of")) & _fits("x", "x.pivot", percent))
+        spokes = spokes.select(F.col("x.pivot.of").alias("of_a"), F.col("x.of").alias("of_b")).distinct().join(head("a"), "of_a").join(head("b"), "of_b").select("a", "b")
+        within = members.join(speaks.where(F.col("size") > 1), "of").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+        tried = materialize(spokes.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
+        links = verify(screened(tried, members, percent), docs, speakers, shingle, percent)
+
+        # what the pivots did not bring into one class: shingles with few members, then crowds, first the nearest of other classes, then all
+        places = met.select("of", "n", "shingle", "at")
+        for step in ("few", "nearest", "all"):
+            named, spans = spans_of(members, materialize(connected_components(links), "jaccard-classes"))
+            open_ = undone(places, spans)
+            here = open_.where(F.col("size") <= FEW_MEMBERS) if step == "few" else open_.where(F.col("size") > FEW_MEMBERS)
+            if here.isEmpty():
+                continue
+            found = few_pairs(places, named, spans, here, percent) if step == "few" else crowd_pairs(places, named, here, percent, NEAREST if step == "nearest" else None)
+            more = materialize(found.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+            if not more.isEmpty():
+                good = screened(more, members, percent) if step == "few" else more
+                links = links.unionByName(verify(good, docs, speakers, shingle, percent))
+                tried = tried.unionByName(more)
+
+        labels = materialize(connected_components(links), "jaccard-labels")
+        known = members.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+        lowest = known.groupBy("label").agg(F.min("low").alias("component_id"))
+        # written out, so that the last join deals both sides anew and can split a set that many rows share
+        of_node = keep(materialize(known.join(lowest, "label").select("node", "component_id"), "jaccard-components"))
     linked = full.select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import common
-from tidewater.llm.common import apart, materialize, met_by, read_table, together
+from tidewater.llm.common import apart, materialize, met_by, read_table, scratch, together
 from tidewater.llm.components import connected_components
 from tidewater.llm.jaccardjoin import verify
 from tidewater.llm.words import LOWER_TABLE, slices
@@ -480,18 +480,20 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide
     row. Columns of any name are kept. An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(words)]
-    rows = materialize(fingerprint(docs, shingle, words), "near-rows")
-    prints = materialize(rows.select("node", *names).distinct(), "near-prints")
-    labels = connected_components(near_links(prints, rows, docs, shingle, words, wide, percent))
-    grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
-    grouped = materialize(grouped, "near-groups")
-    # written out for the same reason as above: a group may hold a third of all rows
-    first = materialize(grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1), "near-first")
-    gone = materialize(grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select("doc_id", "k").distinct(), "near-gone")
+    with scratch(docs.sparkSession) as keep:
+        rows = materialize(fingerprint(docs, shingle, words), "near-rows")
+        prints = materialize(rows.select("node", *names).distinct(), "near-prints")
+        labels = connected_components(near_links(prints, rows, docs, shingle, words, wide, percent))
+        grouped = rows.join(labels, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
+        grouped = materialize(grouped, "near-groups")
+        # written out for the same reason as above: a group may hold a third of all rows
+        first = materialize(grouped.groupBy("label").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1), "near-first")
+        gone = keep(materialize(grouped.join(first, "label").where(~F.struct("doc_id", "k").eqNullSafe(F.col("first"))).select("doc_id", "k").distinct(), "near-gone"))
+        repeats = not grouped.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty()
     rest = apart(docs).withColumn("k", F.xxhash64("text")).alias("rest")
     same = F.col("rest.doc_id").eqNullSafe(F.col("gone.doc_id")) & F.col("rest.k").eqNullSafe(F.col("gone.k"))
     kept = rest.join(met_by(gone).alias("gone"), same, "left_anti")
-    if not grouped.groupBy("doc_id", "k").count().where(F.col("count") > 1).isEmpty():
+    if repeats:
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(*together(docs.columns, F.col("text")))
 
