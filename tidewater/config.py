@@ -39,6 +39,12 @@ class Study:
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
+    @classmethod
+    def from_json(cls, text: str) -> Study:
+        """The study that to_json wrote; unknown settings are refused."""
+        found = json.loads(text)
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
+
     def differences(self, other: Study, ignore: tuple[str, ...] = ()) -> dict[str, tuple]:
         """Settings that differ; results of two studies can be put together only if there are none."""
         mine, theirs = asdict(self), asdict(other)

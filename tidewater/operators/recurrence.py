@@ -57,7 +57,8 @@ def affine_scan(rows: DataFrame, a: str, b: str, seed: str, at: str, keys: tuple
         F.array_sort(F.collect_list(F.struct(F.col(at).alias("_at"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.struct(*rows.columns).alias("_row")))).alias("_rows"),
         F.max(F.col(seed).cast("double")).alias("_seed"),
     )
-    none = "named_struct('a', 1D, 'b', 0D)"
+    # of the seed, so that both may become null: what a fold begins with says what it can hold
+    none = "named_struct('a', 1D + 0 * _seed, 'b', 0 * _seed)"
     compose = "named_struct('a', x._a * s.a, 'b', x._a * s.b + x._b)"
     packed = packed.withColumn("_map", F.expr(f"aggregate(_rows, {none}, (s, x) -> {compose})"))
     # maps from the beginning of a block of blocks to the beginning of each of its blocks

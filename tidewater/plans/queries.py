@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,8 +13,8 @@ from tidewater.config import ORDERS, REGIME_PAIRS, Study
 from tidewater.functions.distributions import crossed_sql, t_cdf_sql
 from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
 from tidewater.operators import derive, diagnostics, forecasts, garch, guards, predictive, resampling, scoring
-from tidewater.sources import bars
-from tidewater.sources.store import written
+from tidewater.sources import bars, runs
+from tidewater.sources.store import shared_folder, written
 
 DIGITS = 6
 MODELS = ["yesterday", "ewma"]
@@ -772,6 +773,22 @@ _SQL["proxy_loss_intervals"] = "SELECT proxy, model, loss, n, point, lower, uppe
 ) + ")"
 
 
+@_register(
+    "run_store", "run model first_date last_date", "n n_common",
+    """SELECT 'track-' || model AS run, model, min(date) AS first_date, max(date) AS last_date, count(*) AS n, (SELECT count(*) FROM (SELECT date FROM table_ WHERE variance IS NOT NULL GROUP BY date HAVING count(DISTINCT model) = 2)) AS n_common
+        FROM table_ GROUP BY model""", "table_",
+)
+def _run_store(spark, d):
+    """Each model's forecasts saved as a run, found, merged, and the days that all runs have."""
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    table = written(forecasts.baselines(framed(spark, d), ORDERS), "table")
+    for model, fmt in zip(MODELS, runs.FORMATS):
+        runs.save_run(folder, f"track-{model}", ORDERS, {"forecasts": table.where(F.col("model") == model)}, fmt=fmt)
+    merged = runs.merge_runs(spark, folder)
+    common = runs.dates_of_all_runs(merged).agg(F.count("*").alias("n_common"))
+    return merged.groupBy("run", "model").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n")).join(F.broadcast(common))
+
+
 @_register("event_properties", "event_type", "n n_known mean_k mean_value",
     """SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS n_known, avg(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS mean_k, avg(value) AS mean_value FROM events GROUP BY 1""")
 def _event_properties(spark, d):
