@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.config import ORDERS, REGIME_PAIRS, Study
 from tidewater.functions.distributions import crossed_sql, t_cdf_sql
 from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
-from tidewater.operators import derive, diagnostics, forecasts, garch, guards, predictive, resampling, scoring
+from tidewater.operators import derive, diagnostics, forecasts, garch, guards, likelihood, predictive, resampling, scoring
 from tidewater.sources import bars, runs
 from tidewater.sources.store import shared_folder, written
 
@@ -1059,6 +1059,41 @@ _SQL["mixture_quantile"] = f"""{_with(["paths", "t_points"])}, scaled AS (SELECT
     round({_mixed_sql("r").replace("list_transform(parts", "list_transform(any_value(parts)")}, {DIGITS}) + 0.0 AS pit FROM days JOIN roots USING (date) GROUP BY series, date, refit_id, n_draws, mean, variance, r"""
 
 
+# ---- likelihood of all starts
+
+
+@_register("start_logliks", "series start", "alpha beta nu loglik g_mu g_omega g_alpha g_beta")
+def _start_logliks(spark, d):
+    """The log-likelihood of the training returns at every start, and its derivatives a day."""
+    f = framed(spark, d)
+    returns, starts = likelihood.training_returns(f, ORDERS), likelihood.numbered_starts(f, ORDERS, True)
+    out = starts.join(likelihood.evaluated(returns, starts, True), ["series", "start"])
+    n = returns.groupBy("series").agg(F.count("*").alias("n"))
+    return out.join(n, "series").select("series", "start", "alpha", "beta", "nu", "loglik", *[(F.col("score")[i] / F.col("n")).alias(f"g_{x}") for i, x in enumerate(likelihood.NAMES[:4])])
+
+
+_SQL["start_logliks"] = f"""{_with(["frame"])}, train AS (SELECT series, log_return AS r, row_number() OVER (ORDER BY date) AS k FROM frame WHERE part = 'train' AND log_return IS NOT NULL),
+    moments AS (SELECT avg(r) AS mu, var_samp(r) AS v, count(*) AS n FROM train),
+    starts AS (SELECT row_number() OVER (ORDER BY alpha, beta, nu) - 1 AS start, mu, v AS h0, v * (1 - alpha - beta) AS omega, alpha, beta, nu, n FROM moments, (VALUES (0.05::DOUBLE), (0.10), (0.20)) x(alpha), (VALUES (0.75::DOUBLE), (0.85), (0.90)) y(beta), (VALUES (5.0::DOUBLE), (8.0), (15.0)) z(nu) WHERE alpha + beta < 0.995),
+    walk AS (SELECT start, CAST(1 AS BIGINT) AS k, h0 AS h, 0.0::DOUBLE AS dm, 0.0::DOUBLE AS dw, 0.0::DOUBLE AS da, 0.0::DOUBLE AS db FROM starts UNION ALL
+        SELECT w.start, w.k + 1, omega + alpha * power(r - mu, 2) + beta * h, -2 * alpha * (r - mu) + beta * dm, 1 + beta * dw, power(r - mu, 2) + beta * da, h + beta * db FROM walk w JOIN starts USING (start) JOIN train t ON t.k = w.k),
+    days AS (SELECT *, r - mu AS e, power(r - mu, 2) / ((nu - 2) * h) AS q FROM walk JOIN starts USING (start) JOIN train USING (k)), slopes AS (SELECT *, (-0.5 + (nu + 1) / 2 * q / (1 + q)) / h AS by_h FROM days)
+    SELECT series, CAST(start AS INTEGER) AS start, {", ".join(f"round({x}, {DIGITS}) + 0.0 AS {n}" for x, n in (("alpha", "alpha"), ("beta", "beta"), ("nu", "nu"), ("sum(lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(pi() * (nu - 2)) - 0.5 * ln(h) - (nu + 1) / 2 * ln(1 + q))", "loglik"), ("avg((nu + 1) * e / ((nu - 2) * h) / (1 + q) + by_h * dm)", "g_mu"), ("avg(by_h * dw)", "g_omega"), ("avg(by_h * da)", "g_alpha"), ("avg(by_h * db)", "g_beta")))}
+    FROM slopes GROUP BY series, start, alpha, beta, nu"""
+
+#: Rounds of the fitted query; the likelihood is stable to four digits long before.
+FIT_ROUNDS = 14
+
+
+@_register("garch_fit", "series model n_starts n_converged", "mu omega alpha beta nu loglik")
+def _garch_fit(spark, d):
+    """Parameters of the highest likelihood of the training returns, for t and for normal shocks, from all starts."""
+    f = framed(spark, d)
+    returns = likelihood.training_returns(f, ORDERS)
+    parts = [likelihood.best_fits(likelihood.fit_rounds(returns, likelihood.numbered_starts(f, ORDERS, t), FIT_ROUNDS, t), t).withColumn("model", F.lit(m)) for m, t in (("garch_t", True), ("garch_normal", False))]
+    return parts[0].unionByName(parts[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
