@@ -200,11 +200,15 @@ def hot_shingles(entries: DataFrame, hot_rows: int) -> DataFrame | None:
 def pivoted(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """entries (of, n, shingle, at) of shingles that several groups have, with `pivot`: the shingle's smallest group as struct<of, n, at>."""
     hot = hot_shingles(entries, hot_rows)
-    own = F.struct("of", "n", "at")
     rest = entries if hot is None else entries.join(met_by(hot.select("shingle")), "shingle", "left_anti")
+    # size and place go through the shuffle of all prefixes as one number
+    rest = rest.select("shingle", "of", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("both"))
     by = Window.partitionBy("shingle")
-    out = rest.select("*", F.min(own).over(by).alias("pivot"), F.count("*").over(by).alias("rows")).where(F.col("rows") > 1).drop("rows")
-    return out if hot is None else out.unionByName(entries.join(met_by(hot), "shingle").select(*entries.columns, "pivot"))
+    size, place = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    met = rest.select("*", F.min(F.struct("of", "both")).over(by).alias("least"), F.count("*").over(by).alias("rows")).where(F.col("rows") > 1)
+    pivot = F.struct(F.col("least.of").alias("of"), size(F.col("least.both")).alias("n"), place(F.col("least.both")).alias("at"))
+    out = met.select("of", size(F.col("both")).alias("n"), place(F.col("both")).alias("at"), "shingle", pivot.alias("pivot"))
+    return out if hot is None else out.unionByName(entries.join(met_by(hot), "shingle").select(*out.columns))
 
 
 # ---- verification
@@ -302,10 +306,17 @@ def verify(pairs: DataFrame, docs: DataFrame, speakers: DataFrame, shingle: int,
     return _held(_oriented(pairs, links_a_task), sets_of(docs, speakers, pairs, shingle), _similar, percent)
 
 
-def screened(pairs: DataFrame, members: DataFrame, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
-    """The pairs (a, b) that the signatures of members (node, n, signature) do not rule out."""
+def signatures_for(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, signature) of the nodes (node, distinct and written), one row for each, from the rows of prefix_rows."""
+    found = rows.where(F.col("n") > 0).select("node", "n", "signature").join(met_by(nodes), "node", "left_semi")
+    return materialize(found.groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), "jaccard-signatures")
+
+
+def screened(pairs: DataFrame, rows: DataFrame, percent: int, links_a_task: int = LINKS_A_TASK) -> DataFrame:
+    """The pairs (a, b) that the signatures of their sets do not rule out; rows are those of prefix_rows."""
+    ends = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-ends")
     size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
-    return _held(_oriented(pairs, links_a_task), members.select("node", F.concat(size, "signature").alias("own")), _may_be_similar, percent)
+    return _held(_oriented(pairs, links_a_task), signatures_for(rows, ends).select("node", F.concat(size, "signature").alias("own")), _may_be_similar, percent)
 
 
 # ---- comparing in place
@@ -382,7 +393,7 @@ def _compared(percent: int, most: int | None):
 
 
 def spans_of(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (of, n, node, signature) with their class, and (of, low, high, size) of each group's classes."""
+    """members (of, n, node) with their class, and (of, low, high, size) of each group's classes."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     spans = named.groupBy("of").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     return named, materialize(spans, "jaccard-spans")
@@ -409,7 +420,7 @@ def few_pairs(met: DataFrame, named: DataFrame, spans: DataFrame, few: DataFrame
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def crowd_pairs(met: DataFrame, named: DataFrame, crowds: DataFrame, percent: int, most: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def crowd_pairs(met: DataFrame, named: DataFrame, crowds: DataFrame, rows: DataFrame, percent: int, most: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(a, b): pairs of members in different classes that share a shingle in crowds and pass sizes, places and signatures; with `most`, each
     member's so many nearest at a shingle and the like.
 
@@ -418,8 +429,10 @@ def crowd_pairs(met: DataFrame, named: DataFrame, crowds: DataFrame, percent: in
     """
     parts = crowds.select("shingle", F.ceil(F.col("size") / split_rows).cast("int").alias("parts"))
     left = materialize(met.join(met_by(parts), "shingle").select("shingle", "parts", "of", "at"), "jaccard-open")
-    rows = left.join(named, "of").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    inside = materialize(left.select("of").distinct().join(named, "of").select("of", "node", "label"), "jaccard-inside")
+    signed = inside.join(signatures_for(rows, inside.select("node")), "node")
+    own = left.join(signed, "of").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     sub = F.least("mine", "other").cast("long") * F.col("parts") + F.greatest("mine", "other")
     dealt = dealt.select("shingle", sub.alias("sub"), "node", "n", "at", "label", "signature")
     k = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -439,7 +452,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     with scratch(docs.sparkSession) as keep:
         rows = keep(materialize(prefix_rows(docs, levels(docs, shingle), shingle, percent), "jaccard-rows"))
         full = rows.where(F.col("n") > 0)
-        members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "k")).alias("one")), "jaccard-members")
+        members = materialize(full.groupBy("node").agg(F.first("of").alias("of"), F.first("n").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "k")).alias("one")), "jaccard-members")
         speakers = members.select("node", "one.doc_id", "one.k")
         members = members.drop("one")
         heads = members.groupBy("of").agg(F.min("node").alias("head"), F.count("*").alias("size"))
@@ -454,22 +467,27 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         spokes = spokes.select(F.col("x.pivot.of").alias("of_a"), F.col("x.of").alias("of_b")).distinct().join(head("a"), "of_a").join(head("b"), "of_b").select("a", "b")
         within = members.join(speaks.where(F.col("size") > 1), "of").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
         tried = materialize(spokes.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-stars")
-        links = verify(screened(tried, members, percent), docs, speakers, shingle, percent)
+        links = verify(screened(tried, rows, percent), docs, speakers, shingle, percent)
 
         # what the pivots did not bring into one class: shingles with few members, then crowds, first the nearest of other classes, then all
         places = met.select("of", "n", "shingle", "at")
+        crowded = None
         for step in ("few", "nearest", "all"):
             named, spans = spans_of(members, materialize(connected_components(links), "jaccard-classes"))
-            open_ = undone(places, spans)
-            here = open_.where(F.col("size") <= FEW_MEMBERS) if step == "few" else open_.where(F.col("size") > FEW_MEMBERS)
-            if here.isEmpty():
-                continue
-            found = few_pairs(places, named, spans, here, percent) if step == "few" else crowd_pairs(places, named, here, percent, NEAREST if step == "nearest" else None)
+            open_ = undone(places if crowded is None else crowded, spans)
+            if step == "few":
+                found = few_pairs(places, named, spans, materialize(open_.where(F.col("size") <= FEW_MEMBERS), "jaccard-few"), percent)
+                # what follows looks at crowds alone
+                crowded = materialize(places.join(met_by(materialize(open_.where(F.col("size") > FEW_MEMBERS).select("shingle"), "jaccard-crowds")), "shingle", "left_semi"), "jaccard-crowded")
+            else:
+                found = crowd_pairs(crowded, named, open_, rows, percent, NEAREST if step == "nearest" else None)
             more = materialize(found.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
             if not more.isEmpty():
-                good = screened(more, members, percent) if step == "few" else more
+                good = screened(more, rows, percent) if step == "few" else more
                 links = links.unionByName(verify(good, docs, speakers, shingle, percent))
                 tried = tried.unionByName(more)
+            if crowded.isEmpty():
+                break
 
         labels = materialize(connected_components(links), "jaccard-labels")
         known = members.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
