@@ -50,8 +50,9 @@ def test_t_distribution_of_real_degrees(spark):
     assert np.abs(out.p - special.t_cdf(out.x, out.nu)).max() < 5e-9
     for i, p in enumerate((0.005, 0.5, 0.9)):
         got = np.array([q[i] for q in out.q])
-        near = out.nu < 1000
-        assert np.abs(got - special.t_ppf(p, out.nu))[near].max() < 1e-7 and np.abs(got - special.t_ppf(p, out.nu)).max() < 1e-5
+        # an error of the distribution function counts more in tails, where the density is low
+        want = special.t_ppf(p, out.nu)
+        assert (np.abs(got - want) / (1 + np.abs(want))).max() < 1e-6
     assert spark.range(1).select(F.expr(distributions.t_quantile("0D", "5D")), F.expr(distributions.t_cdf("CAST(NULL AS DOUBLE)", "5D"))).first() == (None, None)
 
 
