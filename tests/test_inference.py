@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from dataclasses import replace
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.config import ORDERS, REGIME_PAIRS
-from tidewater.functions import distributions, special
+from tidewater.functions import distributions, kolmogorov, special
 from tidewater.operators import diagnostics, guards, predictive, recurrence, resampling
 
 DAY = dt.date(2020, 1, 1)
@@ -184,3 +186,37 @@ def test_look_ups_that_miss_a_date_are_refused(spark):
     assert guards.looked_up(rows, table, ["series", "date"], "a regime").count() == 3
     with pytest.raises(Exception, match="without a regime"):
         guards.looked_up(rows, table.where(F.col("date") > F.lit(DAY)), ["series", "date"], "a regime").count()
+
+
+def _distance_tail(n, d):
+    """The matrix of the distance's distribution in fractions, its power in steps."""
+    d = Fraction(d)
+    k = int(n * d) + 1
+    m, h = 2 * k - 1, k - n * d
+    rows = [[Fraction(0) if i - j + 1 < 0 else Fraction(1, math.factorial(i - j + 1)) for j in range(m)] for i in range(m)]
+    for i in range(m):
+        rows[i][0] -= h ** (i + 1) / math.factorial(i + 1)
+        rows[m - 1][i] -= h ** (m - i) / math.factorial(m - i)
+    rows[m - 1][0] += max(Fraction(0), 2 * h - 1) ** m / math.factorial(m)
+    matrix, u = np.array([[float(x) for x in row] for row in rows]), np.eye(m)[k - 1]
+    for i in range(1, n + 1):
+        u = matrix @ u * (i / n)
+    return 1 - u[k - 1]
+
+
+def test_the_distance_of_uniform_values_has_its_exact_tail(spark):
+    cases = [(1, 0.3), (1, 0.7), (2, 0.4), (5, 0.2), (10, 0.05), (10, 0.274), (10, 0.5), (50, 0.1), (200, 0.06), (200, 0.14), (200, 0.15), (300, 0.9)]
+    edges = [(0, 0.2, None), (5, None, None), (None, 0.2, None), (5, 0.0, 1.0), (5, 1.0, 0.0)]
+    table = spark.createDataFrame([*cases, *[e[:2] for e in edges]], "n long, d double")
+    got = {(r["n"], r["d"]): r["p"] for r in table.withColumn("p", F.expr(kolmogorov.ks_tail("n", "d"))).collect()}
+    assert got[10, 0.274] == pytest.approx(1 - 0.6284796154565, abs=1e-12)  # the published example
+    assert {c: got[c] for c in cases} == pytest.approx({c: _distance_tail(*c) for c in cases}, abs=1e-12)
+    assert all(got[n, d] == p for n, d, p in edges)
+
+
+def test_large_samples_take_the_limit_at_a_corrected_distance(spark, monkeypatch):
+    table = spark.createDataFrame([(1500, 0.02), (1500, 0.03), (1500, 0.05)], "n long, d double")
+    exact = [r["p"] for r in table.select(F.expr(kolmogorov.ks_tail("n", "d")).alias("p")).collect()]
+    monkeypatch.setattr(kolmogorov, "EXACT_TO", 100)
+    limit = [r["p"] for r in table.select(F.expr(kolmogorov.ks_tail("n", "d")).alias("p")).collect()]
+    assert limit == pytest.approx(exact, abs=1e-5)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.config import REGIMES, Study, level_key
+from tidewater.functions import kolmogorov
 from tidewater.functions.expressions import chi2_sf_1, chi2_sf_2, qlike, skew_test_p, t_two_sided, xlogy
 
 
@@ -102,9 +103,9 @@ def var_tests(scored: DataFrame, study: Study, by: tuple[str, ...] = ("series",
 
 
 def pit_uniformity(scored: DataFrame, by: tuple[str, ...] = ("series", "model")) -> DataFrame:
-    """Largest distance between the distribution of pit and the uniform one, its asymptotic p-value, and the mean of pit.
+    """Largest distance between the distribution of pit and the uniform one, its asymptotic and its exact p-value, and the mean of pit.
 
-    p_value_is_approximate is always true: the p-value is asymptotic and takes the forecast distributions for known ones.
+    p_value_is_approximate is always true: either p-value takes the forecast distributions for known ones, but their parameters are estimates.
     """
     rows = scored.where(F.col("pit").isNotNull())
     n = F.count("*").over(Window.partitionBy(*by))
@@ -114,7 +115,7 @@ def pit_uniformity(scored: DataFrame, by: tuple[str, ...] = ("series", "model"))
     x = F.col("ks") * (F.sqrt(F.col("n").cast("double")) + 0.12 + 0.11 / F.sqrt(F.col("n").cast("double")))
     terms = sum((2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x) for k in range(1, 21))
     p = F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)))
-    return out.withColumns({"p_value": p, "p_value_is_approximate": F.lit(True)})
+    return out.withColumns({"p_value": p, "p_exact": F.expr(kolmogorov.ks_tail("n", "ks")), "p_value_is_approximate": F.lit(True)})
 
 
 def paired(scored: DataFrame, pairs: list[tuple[str, str]], needed: tuple[str, ...], columns: tuple[str, ...] | None = None) -> DataFrame:

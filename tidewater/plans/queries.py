@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.config import ORDERS, REGIME_PAIRS, Study
 from tidewater.functions.distributions import crossed_sql, t_cdf_sql
 from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
+from tidewater.functions.kolmogorov import ks_tail_sql
 from tidewater.operators import derive, diagnostics, forecasts, garch, guards, likelihood, predictive, resampling, scoring
 from tidewater.sources import bars, runs
 from tidewater.sources.store import shared_folder, written
@@ -393,8 +394,8 @@ _KS_P = f"CASE WHEN {_KS_X} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_su
 
 
 @_register(
-    "pit_ks", "model p_value_is_approximate", "n ks mean_pit p_value",
-    f"""SELECT *, {_KS_P} AS p_value, true AS p_value_is_approximate FROM (SELECT model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT model, pit, row_number() OVER (PARTITION BY model ORDER BY pit, date)::DOUBLE AS i,
+    "pit_ks", "model p_value_is_approximate", "n ks mean_pit p_value p_exact",
+    f"""SELECT *, {_KS_P} AS p_value, {ks_tail_sql("n", "ks")} AS p_exact, true AS p_value_is_approximate FROM (SELECT model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT model, pit, row_number() OVER (PARTITION BY model ORDER BY pit, date)::DOUBLE AS i,
         count(*) OVER (PARTITION BY model)::DOUBLE AS n FROM scored WHERE pit IS NOT NULL) GROUP BY model)""", "scored",
 )
 def _pit_ks(spark, d):
@@ -646,8 +647,8 @@ def _sample_var(spark, d):
 
 
 @_register(
-    "sample_pit", "sample model p_value_is_approximate", "n ks mean_pit p_value",
-    f"""SELECT *, {_KS_P} AS p_value, true AS p_value_is_approximate FROM (SELECT sample, model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT sample, model, pit, row_number() OVER (PARTITION BY sample, model ORDER BY pit, date)::DOUBLE AS i,
+    "sample_pit", "sample model p_value_is_approximate", "n ks mean_pit p_value p_exact",
+    f"""SELECT *, {_KS_P} AS p_value, {ks_tail_sql("n", "ks")} AS p_exact, true AS p_value_is_approximate FROM (SELECT sample, model, count(*) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS ks, avg(pit) AS mean_pit FROM (SELECT sample, model, pit, row_number() OVER (PARTITION BY sample, model ORDER BY pit, date)::DOUBLE AS i,
         count(*) OVER (PARTITION BY sample, model)::DOUBLE AS n FROM sampled WHERE pit IS NOT NULL) GROUP BY 1, 2)""", "sampled",
 )
 def _sample_pit(spark, d):
