@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,29 @@ def normal_cdf_sql(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN 1 - ({upper}) ELSE {upper} END"
 
 
+# Coefficients of rational approximations of the normal quantile to double precision, the constant term first, for the middle and for tails.
+_MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+_TAIL = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Quantile of the normal distribution, in the JVM, for p between 1e-11 and 1 - 1e-11; null outside of (0, 1)."""
+
+    def ratio(coefficients: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+        over, under = (reduce(lambda a, c: a * x + c, c[-2::-1], F.lit(c[-1])) for c in coefficients)
+        return over / under
+
+    q = p - 0.5
+    depth = F.sqrt(-F.log(F.least(p, 1 - p)))
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * ratio(_MIDDLE, 0.180625 - q * q)).otherwise(F.signum(q) * ratio(_TAIL, depth - 1.6)))
+
+
 def normal_cdf(x: Column) -> Column:
     """The normal distribution function, in the JVM."""
     a, square = F.abs(x), -x * x / 2

@@ -10,7 +10,7 @@ from tidewater.functions.distributions import let, log_gamma
 BAND = 21
 #: n times the squared distance from which crossings of both bounds have a probability below 1e-13, so that one side's counts twice.
 ONE_SIDED_FROM = 4
-#: Sizes above this take the limit distribution at a corrected distance; its error is below 1e-6 there.
+#: Sizes above this take the limit distribution at a corrected distance; its error is about n^-1.5, so below 4e-6 there.
 EXACT_TO = 4096
 
 

@@ -13,7 +13,7 @@ from tidewater.config import ORDERS, REGIME_PAIRS, Study
 from tidewater.functions.distributions import crossed_sql, t_cdf_sql
 from tidewater.functions.expressions import annualised, chi2_sf_sql, normal_cdf_sql, skew_test_sql, t_two_sided_sql
 from tidewater.functions.kolmogorov import ks_tail_sql
-from tidewater.operators import derive, diagnostics, forecasts, garch, guards, likelihood, predictive, resampling, scoring
+from tidewater.operators import convergence, derive, diagnostics, forecasts, garch, guards, likelihood, predictive, resampling, scoring
 from tidewater.sources import bars, runs
 from tidewater.sources.store import shared_folder, written
 
@@ -1095,6 +1095,52 @@ def _garch_fit(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+
+# ---- convergence of chains
+
+#: Chains that the replicates of a mean are dealt to, and digits of their draws.
+N_CHAINS, DRAW_DIGITS = 4, 9
+
+
+def _chain_diagnostics_of(spark, d):
+    """Diagnostics of the resampled mean losses: replicate r is draw r div 4 of chain r mod 4."""
+    means = resampling.replicate_means(scoring.stacked_losses(scored(spark, d)), ["series", "model", "loss"], ORDERS)
+    draws = means.select("series", "model", "loss", (F.col("rep") % N_CHAINS).alias("chain"), F.floor(F.col("rep") / N_CHAINS).alias("draw"), F.round("mean", DRAW_DIGITS).alias("value"))
+    return convergence.convergence(draws, ["series", "model", "loss"])
+
+
+@_register("chain_diagnostics", "series model loss", "n_chains n_draws r_hat ess_bulk ess_tail")
+def _chain_diagnostics(spark, d):
+    return _chain_diagnostics_of(spark, d)
+
+
+@_register("chain_verdicts", "series model n_divergences converged", "worst_r_hat worst_ess_tail")
+def _chain_verdicts(spark, d):
+    """Whether all of a model's chains mix."""
+    return convergence.verdicts(_chain_diagnostics_of(spark, d), ["series", "model"])
+
+
+_HALF = ORDERS.replicates // N_CHAINS // 2
+_SIZE = 2 * N_CHAINS * _HALF
+_CHAINS_SQL = f"""{_with(["losses"])}, vals AS (SELECT series, model, loss, value, row_number() OVER (PARTITION BY series, model, loss ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY series, model, loss) AS n FROM losses WHERE value IS NOT NULL), {_draws("SELECT DISTINCT n FROM vals")},
+    chains AS (SELECT series, model, loss, rep % {N_CHAINS} * 2 + rep // {N_CHAINS} // {_HALF} AS piece, rep // {N_CHAINS} % {_HALF} AS t, round(sum(value * 1.0) / n, {DRAW_DIGITS}) AS value FROM vals JOIN draws USING (n, idx) GROUP BY series, model, loss, n, rep),
+    cuts AS (SELECT series, model, loss, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.5) AS middle, quantile_cont(value, 0.95) AS high FROM chains GROUP BY ALL),
+    forms AS (SELECT series, model, loss, piece, t, unnest(['bulk', 'folded', 'low', 'high']) AS kind, unnest([value, round(abs(value - middle) / (high - low), 12), CAST(value <= low AS DOUBLE), CAST(value <= high AS DOUBLE)]) AS x FROM chains JOIN cuts USING (series, model, loss)),
+    ranks AS (SELECT *, rank() OVER (PARTITION BY series, model, loss, kind ORDER BY x) + (count(*) OVER (PARTITION BY series, model, loss, kind, x) - 1) / 2.0 AS r FROM forms),
+    scores AS (SELECT series, model, loss, kind, piece, t, CASE WHEN kind IN ('low', 'high') THEN x ELSE {_bisected_sql("-9", "9", normal_cdf_sql("mid") + f" < (r - 0.375) / ({_SIZE} + 0.25)", 60)} END AS x FROM ranks),
+    centred AS (SELECT *, x - avg(x) OVER (PARTITION BY series, model, loss, kind, piece) AS c FROM scores),
+    spread AS (SELECT series, model, loss, kind, avg(v) AS w, var_samp(m) AS b FROM (SELECT series, model, loss, kind, piece, var_samp(x) AS v, avg(x) AS m FROM scores GROUP BY ALL) GROUP BY ALL),
+    r_hats AS (SELECT series, model, loss, max(sqrt(b / w + {_HALF - 1} / {_HALF})) AS r_hat FROM spread WHERE kind IN ('bulk', 'folded') GROUP BY ALL),
+    covs AS (SELECT x.series, x.model, x.loss, x.kind, y.t - x.t AS lag, sum(x.c * y.c) / {_SIZE} AS cov FROM centred x JOIN centred y ON x.series = y.series AND x.model = y.model AND x.loss = y.loss AND x.kind = y.kind AND x.piece = y.piece AND y.t >= x.t WHERE x.kind <> 'folded' GROUP BY ALL),
+    rhos AS (SELECT series, model, loss, kind, lag // 2 AS k, lag, CASE WHEN lag = 0 THEN 1 ELSE 1 - (w - cov) / (w * {_HALF - 1} / {_HALF} + b) END AS rho FROM covs JOIN spread USING (series, model, loss, kind)),
+    lag_pairs AS (SELECT series, model, loss, kind, k, sum(rho) AS total, max(CASE WHEN lag % 2 = 0 THEN rho END) AS even FROM rhos WHERE k <= {(_HALF - 3) // 2} GROUP BY ALL),
+    stops AS (SELECT *, coalesce(min(CASE WHEN total <= 0 THEN k END) OVER (PARTITION BY series, model, loss, kind), {(_HALF - 3) // 2}) AS stop, min(total) OVER (PARTITION BY series, model, loss, kind ORDER BY k) AS falling FROM lag_pairs),
+    taus AS (SELECT series, model, loss, kind, sum(CASE WHEN k < stop THEN 2 * falling WHEN even > 0 OR total >= 0 THEN even ELSE 0 END) - 1 AS tau FROM stops WHERE k <= stop GROUP BY ALL),
+    sizes AS (SELECT series, model, loss, max(CASE WHEN kind = 'bulk' THEN ess END) AS ess_bulk, min(CASE WHEN kind <> 'bulk' THEN ess END) AS ess_tail FROM (SELECT *, {_SIZE} / greatest(tau, 1 / log10({_SIZE})) AS ess FROM taus) GROUP BY ALL)"""
+_SQL["chain_diagnostics"] = f"""{_CHAINS_SQL} SELECT series, model, loss, {N_CHAINS}.0::DOUBLE AS n_chains, {ORDERS.replicates}.0::DOUBLE AS n_draws, {", ".join(f"round({x}, {DIGITS}) + 0.0 AS {x}" for x in ("r_hat", "ess_bulk", "ess_tail"))} FROM r_hats JOIN sizes USING (series, model, loss)"""
+_SQL["chain_verdicts"] = f"""{_CHAINS_SQL} SELECT series, model, 0 AS n_divergences, max(r_hat) <= 1.01 AND min(ess_tail) >= 400 AS converged, round(max(r_hat), {DIGITS}) + 0.0 AS worst_r_hat, round(min(ess_tail), {DIGITS}) + 0.0 AS worst_ess_tail FROM r_hats JOIN sizes USING (series, model, loss) GROUP BY ALL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
