@@ -240,6 +240,36 @@ def test_a_failed_link_is_replaced(spark, monkeypatch):
     assert len(calls) == 2 and calls[1] >= 1 and kept < 15
 
 
+def test_the_farthest_candidate_is_found(spark, monkeypatch):
+    """A link between two that have many nearer candidates, all of which fail."""
+    w = [f"w{i}" for i in range(200)]
+    texts = [" ".join("x" + x if i in (7 * k, 7 * k + 90) else x for i, x in enumerate(w)) for k in range(14)]
+    f = simhash.fingerprints_of([t.encode() for t in texts], 5, 4)
+    node, far = simhash.nodes_of(f), np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    rank = [[sorted(far[i][np.arange(len(f)) != i]).index(far[i, j]) if i != j else 0 for j in range(len(f))] for i in range(len(f))]
+    # behind REFILL nearer ones for both, and within the bound
+    i, j = max(((i, j) for i in range(len(f)) for j in range(i) if far[i, j] <= 46), key=lambda p: min(rank[p[0]][p[1]], rank[p[1]][p[0]]))
+    assert min(rank[i][j], rank[j][i]) > simhash.REFILL
+    one = sorted((int(node[i]), int(node[j])))
+    monkeypatch.setattr(simhash, "verify", lambda pairs, *rest: pairs.where((F.col("a") == one[0]) & (F.col("b") == one[1])))
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(_table(spark, texts)).collect()} == set(range(len(texts))) - {max(i, j)}
+
+
+@pytest.mark.parametrize("split", [simhash.SPLIT_ROWS, 8])
+def test_all_candidates_of_other_labels_are_given(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 64, (3, 4), dtype=np.uint64)
+    bits = rng.random((60, 256)) < 0.09
+    f = np.unique(base[np.arange(60) % 3] ^ np.packbits(bits, axis=1).view(">u8").astype(np.uint64), axis=0)
+    node, label = simhash.nodes_of(f), np.arange(len(f)) % 7
+    rows = [(int(node[i]), *(int(x) for x in f[i].view(np.int64)), int(label[i])) for i in range(len(f))]
+    out = simhash._links_of_all_words(spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, label long").drop("node"), 4, 46, None).collect()
+    far = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    want = {tuple(sorted((int(node[i]), int(node[j])))) for i in range(len(f)) for j in range(i) if far[i, j] <= 46 and label[i] != label[j]}
+    assert len(want) > 100 and {tuple(r) for r in out} == want and len(out) == len(want)
+
+
 def test_passages_go_in_any_script(spark):
     chinese = "\n".join("".join(chr(0x4E00 + (7 * i + 3 * j) % 5000) for j in range(30)) for i in range(40))
     lines = "\n".join(f"word{i}" for i in range(60))

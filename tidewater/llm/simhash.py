@@ -35,7 +35,7 @@ PLAN_FOR = 1_000_000
 CELL_ROWS = 4096
 #: Values a fingerprint may take in one partition.
 MAX_PROBES = 200
-#: Where a link failed, so many of the nearest candidates in other classes are tried for each fingerprint of a bucket.
+#: Where a link failed, so many of the nearest candidates in other classes are tried for each fingerprint of a bucket before all are.
 REFILL = 4
 
 
@@ -339,40 +339,64 @@ def _nearest(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np
     return a[keep], b[keep]
 
 
-def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, raises: list[int], turn: int = 0, small: int = 24, block: int = 1024) -> pa.RecordBatch | None:
-    """Links of the whole buckets in a batch sorted by bucket, sub and level; raises: the radius of each group of bits.
+def _new_pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray, group: np.ndarray, masks: np.ndarray, raises: list[int], earlier: list[int]) -> np.ndarray:
+    """Which of the pairs a, b meet in no earlier group of bits and in no earlier word; earlier: the radii of the words before."""
+    apart = f[a] ^ f[b]
+    fresh = np.ones(len(a), bool)
+    for k, radius in enumerate(earlier):
+        fresh &= np.bitwise_count(apart[:, k - len(earlier)]) > radius
+    for i in range(int(group.max(initial=0))):
+        fresh &= (group <= i) | (np.bitwise_count(apart[:, 0] & masks[i]) > raises[i])
+    return fresh
 
-    Without labels these are the edges of a spanning forest of each bucket, nearest candidates first; with labels, each row's nearest
-    candidates of other labels.
+
+def _link(batch: pa.RecordBatch, words: int, radius: int, wide: int, plan: list[tuple[np.ndarray, int]], turn: int = 0, most: int | None = None, small: int = 24, block: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Links of the whole buckets in a batch sorted by bucket, sub and level; plan: the groups of bits and their radii.
+
+    Without labels these are the edges of a spanning forest of each bucket, nearest candidates first; with labels, each row's `most` nearest
+    candidates of other labels, or all of them, each where its ends meet first.
     """
     f = np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(words)], axis=1)
     bucket, sub = batch.column("bucket").to_numpy(), batch.column("sub").to_numpy()
     fresh = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (sub[1:] != sub[:-1])])
     first = np.flatnonzero(fresh)
     size = np.diff(np.append(first, len(bucket)))
+    raises = [t for _, t in plan]
     bounds = (f, first, size, batch.column("level").to_numpy(), [raises[int(b >> 40)] for b in bucket[first]], radius, wide)
+    node = nodes_of(np.roll(f, turn, axis=1))
+
+    def edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
     if "label" in batch.schema.names:
         label = batch.column("label").to_numpy()
+        candidates = _candidates(*bounds, lambda x, y: label[x] != label[y], small, block)
+        if most is None:
+            masks = np.array([sum(1 << int(b) for b in bits) for bits, _ in plan], np.uint64)
+            for a, b in candidates:
+                ok = _new_pairs(f, a, b, bucket[a] >> 40, masks, raises, radii(wide, words)[:turn])
+                yield from edges(a[ok], b[ok])
+            return
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for x, y in _candidates(*bounds, lambda x, y: label[x] != label[y], small, block):
+        for x, y in candidates:
             a, b = np.append(a, x), np.append(b, y)
-            if len(a) > 4 * REFILL * len(f):
-                a, b = _nearest(f, a, b, REFILL)
-        a, b = _nearest(f, a, b, REFILL)
-        edges = np.stack([a, b], axis=1)
+            if len(a) > 4 * most * len(f):
+                a, b = _nearest(f, a, b, most)
+        yield from edges(*_nearest(f, a, b, most))
     else:
         forest = _Forest(len(bucket))
         for a, b in _candidates(*bounds, lambda x, y: forest.root[x] != forest.root[y], small, block):
             forest.add(a, b, np.bitwise_count(f[a] ^ f[b]).sum(1))
             forest.settle()
-        edges = np.array(forest.edges).reshape(-1, 2)
-    if not len(edges):
-        return None
-    node = nodes_of(np.roll(f, turn, axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
+        yield from edges(*np.array(forest.edges, np.int64).reshape(-1, 2).T)
 
 
-def _links(words: int, radius: int, wide: int, raises: list[int], turn: int):
+def _links(words: int, radius: int, wide: int, plan: list[tuple[np.ndarray, int]], turn: int, most: int | None):
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from _link(pa.Table.from_batches(held).combine_chunks().to_batches()[0], words, radius, wide, plan, turn, most)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
@@ -384,24 +408,21 @@ def _links(words: int, radius: int, wide: int, raises: list[int], turn: int):
             # rows of the last bucket wait for the next batch
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut or key is not None and (bucket[0], sub[0]) != key:
-                ready = held + ([batch.slice(0, cut)] if cut else [])
-                if ready and (out := _link(pa.Table.from_batches(ready).combine_chunks().to_batches()[0], words, radius, wide, raises, turn)):
-                    yield out
+                yield from whole(held + ([batch.slice(0, cut)] if cut else []))
                 held = []
             held.append(batch.slice(cut))
             key = (bucket[-1], sub[-1])
-        if held and (out := _link(pa.Table.from_batches(held).combine_chunks().to_batches()[0], words, radius, wide, raises, turn)):
-            yield out
+        yield from whole(held)
 
     return run
 
 
-def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0, turn: int = 0) -> DataFrame:
+def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0, turn: int = 0, most: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (f0, ...) of prints, of a spanning forest of each bucket.
 
     All pairs within `radius` bits in one word, f0 or the turn-th, and within `wide` bits in all words if there are several, are connected by
-    the links; nothing else is. If prints have a column label, links are each fingerprint's nearest candidates of other labels
-    instead, REFILL in each bucket. a and b are the fingerprints' nodes.
+    the links; nothing else is. If prints have a column label, links are candidates of other labels instead: each fingerprint's `most`
+    nearest in each bucket, or with None all such pairs, of which none is left out. a and b are the fingerprints' nodes.
     """
     spark = prints.sparkSession
     names = [f"f{i}" for i in range(words)]
@@ -414,7 +435,7 @@ def linked(prints: DataFrame, radius: int, words: int = 1, wide: int = 0, turn:
     rows = in_chunks(_bucketed(prints, plan), crowded(prints, plan, n))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "bucket", "sub").sortWithinPartitions("bucket", "sub", "level")
-    return ordered.mapInArrow(_links(words, radius, wide, [t for _, t in plan], turn), "a long, b long").distinct()
+    return ordered.mapInArrow(_links(words, radius, wide, plan, turn, most), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -440,10 +461,10 @@ def radii(wide: int, words: int) -> list[int]:
     return [(wide + words - i) // words - 1 for i in range(words)]
 
 
-def _links_of_all_words(prints: DataFrame, words: int, wide: int) -> DataFrame:
+def _links_of_all_words(prints: DataFrame, words: int, wide: int, most: int | None = None) -> DataFrame:
     links = None
     for turn, radius in enumerate(radii(wide, words)):
-        more = linked(prints, radius, words, wide, turn)
+        more = linked(prints, radius, words, wide, turn, most)
         links = more if links is None else links.unionByName(more)
     return materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
 
@@ -451,22 +472,28 @@ def _links_of_all_words(prints: DataFrame, words: int, wide: int) -> DataFrame:
 def near_links(prints: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, words: int, wide: int, percent: int) -> DataFrame:
     """(a, b): links between fingerprints (node, f0, ...) of prints whose texts have the similarity in word shingles.
 
-    First the forests of all buckets are verified. Where a link of a forest fails, what it connected may be connected otherwise: of all
-    fingerprints that candidates connect but verified links don't, the nearest candidates in other classes are verified, too.
+    They connect all that links of all candidates connect. First the forests of all buckets are verified. Where a link of a forest fails,
+    what it connected may be connected otherwise: of all fingerprints that candidates connect but verified links don't, the nearest
+    candidates in other classes are verified, and after them every candidate whose ends are in different classes still.
     rows: (doc_id, k, node) of docs.
     """
     tried = _links_of_all_words(prints, words, wide)
     speakers = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("one")).select("node", "one.doc_id", "one.k"), "near-speakers")
     good = verify(tried, docs, speakers, shingle, percent)
-    around = connected_components(tried).select("node", F.col("label").alias("around"))
-    inside = connected_components(good).select("node", F.col("label").alias("inside"))
-    both = materialize(around.join(inside, "node", "left").select("node", "around", F.coalesce("inside", "node").alias("label")), "near-classes")
-    split = materialize(both.groupBy("around").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("around"), "near-split")
-    if split.isEmpty():
-        return good
-    left = materialize(prints.join(both.join(split, "around", "left_semi").select("node", "label"), "node"), "near-left")
-    more = materialize(_links_of_all_words(left.drop("node"), words, wide).join(tried, ["a", "b"], "left_anti"), "near-more")
-    return good.unionByName(verify(more, docs, speakers, shingle, percent))
+    around = materialize(connected_components(tried).select("node", F.col("label").alias("around")), "near-around")
+    for most in (REFILL, None):
+        inside = connected_components(good).select("node", F.col("label").alias("inside"))
+        both = materialize(around.join(inside, "node", "left").select("node", "around", F.coalesce("inside", "node").alias("label")), "near-classes")
+        split = materialize(both.groupBy("around").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("around"), "near-split")
+        if split.isEmpty():
+            break
+        left = materialize(prints.join(both.join(split, "around", "left_semi").select("node", "label"), "node"), "near-left")
+        more = materialize(_links_of_all_words(left.drop("node"), words, wide, most).join(tried, ["a", "b"], "left_anti"), "near-more")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        good = good.unionByName(verify(more, docs, speakers, shingle, percent))
+    return good
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, wide: int = 46, percent: int = 80) -> DataFrame:
