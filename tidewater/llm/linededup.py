@@ -79,7 +79,7 @@ def _pieces(unit: Column) -> Column:
 def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `units`, array<string> in the text's order; joined, they are the text. A null text has null units."""
     coarse = _once(docs, F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0)), "_coarse")
-    some = F.exists("_coarse", lambda u: F.char_length(u) >= ENDLESS)
+    some = F.exists("_coarse", lambda u: (F.octet_length(u) >= ENDLESS) & (F.char_length(u) >= ENDLESS))
     return _once(coarse, F.when(some, F.flatten(F.transform("_coarse", _pieces))).otherwise(F.col("_coarse")), "units").drop("_coarse")
 
 
@@ -170,11 +170,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     counted = _once(marked, covered(F.filter("marks", lambda m: m["goes"])), "gone")
     met = F.coalesce(F.aggregate("marks", F.lit(0), lambda a, m: a + m["n"]), F.lit(0))
     counts = [met.alias("lines_repeated"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed")]
-    touched = with_units(counted.where(F.size("gone") > 0))
+    # one pass: only texts that lose something are cut again
+    touched = with_units(counted.withColumn("_changing", F.when(F.size("gone") > 0, F.col("text"))), "_changing")
     body = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("gone")), lambda i: F.get("units", i)), "")
-    changed = _once(touched, body, "left").select(*together(columns, F.col("left")), *counts)
-    whole = counted.where(F.col("gone").isNull() | (F.size("gone") == 0)).select(*together(columns, F.col("text")), *counts)
-    return whole.unionByName(changed)
+    left = F.when(F.col("_changing").isNotNull(), body).otherwise(F.col("text"))
+    return _once(touched, left, "left").select(*together(columns, F.col("left")), *counts)
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
